@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import simhash, suffix_dedup
+from sightline.llm import bpe_codec, packing, quality, simhash, suffix_dedup, token_store
 from sightline.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers are; their files stay outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return kept.select(
@@ -19,12 +26,32 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_tokens(written)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=2)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), distance=2, width=3, seed=42)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_array_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (
+        op3_suffix_array_dedup, op4_token_store, op5_packing, op6_quality_rules, op9_bpe_codec, op10_simhash_near_dedup,
+    )  # fmt: skip}
 
 
 def oracle_sql() -> dict[str, str]:
