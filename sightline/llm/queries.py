@@ -51,7 +51,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op3_suffix_array_dedup, op4_token_store, op5_packing, op6_quality_rules, op9_bpe_codec, op10_simhash_near_dedup,
-    )  # fmt: skip}
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
