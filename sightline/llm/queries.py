@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe_codec, packing, quality, simhash, suffix_dedup, token_store
+from sightline.llm import bpe_codec, packing, quality, simhash, suffix_dedup, token_store, toxicity, warc, wrappers
 from sightline.llm.common import table
 
 
@@ -18,6 +18,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, paths).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return kept.select(
@@ -40,6 +49,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -50,7 +64,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_suffix_array_dedup, op4_token_store, op5_packing, op6_quality_rules, op9_bpe_codec, op10_simhash_near_dedup,
+        op1_warc, op2_html_extraction, op3_suffix_array_dedup, op4_token_store, op5_packing, op6_quality_rules, op7_toxicity,
+        op9_bpe_codec, op10_simhash_near_dedup,
     )}
 
 
