@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import checkpointed, texts
@@ -42,15 +42,15 @@ def fingerprint_of(text: str, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long. A null text is empty."""
+    """(doc_id, h, fp): the hash and the fingerprint of every whole text. A null text is empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint_of(t, width, seed) for t in batch.column("text").to_pylist()]
             signed = [x - (1 << BITS) if x >> (BITS - 1) else x for x in found]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(signed, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(signed, pa.int64())], names=["doc_id", "h", "fp"])
 
-    return texts(docs).mapInArrow(work, "doc_id long, fp long")
+    return texts(docs).withColumn("h", F.xxhash64("text")).mapInArrow(work, "doc_id long, h long, fp long")
 
 
 def _blocks(n_blocks: int) -> list[tuple[int, int]]:
@@ -110,34 +110,43 @@ def _variants(fp: Column, distance: int) -> Column:
     return F.array(fp, *(fp.bitwiseXOR(F.lit(m)) for m in signed))
 
 
-def components(docs: DataFrame, distance: int = 2, width: int = 3, seed: int = 42, n_blocks: int = 5) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of ``docs``.
-
-    Null and empty texts have fingerprint zero, linked like any other. A row with a null
-    doc_id keeps its component, but never names one unless it has no other member. Rows
-    that repeat a doc_id each stay, in one component if their fingerprints are near. An
-    empty table gives an empty result; other columns are ignored.
-
-    Equal fingerprints are one class, counted before the shuffle, so that only distinct
-    fingerprints are linked. ``component_id`` is the smallest doc_id reachable.
-    """
+def _components(docs: DataFrame, distance: int, width: int, seed: int, n_blocks: int) -> DataFrame:
+    """doc_id, h (hash of the text), fp, component_id of every row."""
     own = checkpointed(fingerprints(docs, width, seed))
+    # Equal fingerprints are one class, counted before the shuffle: only distinct ones are linked.
     classes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     member = connected_components(near_links(classes.select("fp"), distance, n_blocks)).withColumnRenamed("node", "fp")
     linked = member.join(classes, "fp")
     named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     of_class = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # The classes are not collected: a plain join, split by Spark where one fingerprint is hot.
-    return own.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # The classes grow with the documents: a plain join, split by Spark where one fingerprint is hot.
+    return own.join(of_class, "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
-    """The row with the smallest doc_id of each component, all columns kept.
+def components(docs: DataFrame, distance: int = 2, width: int = 3, seed: int = 42, n_blocks: int = 5) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
-    Of several rows with that doc_id (and of rows whose doc_id is null) one for each
-    distinct text stays.
+    Null and empty texts have fingerprint zero, linked like any other. A row with a null
+    doc_id keeps its component, but never names one unless it has no other member. Rows
+    that repeat a doc_id each stay, in one component if their fingerprints are near. An
+    empty table gives an empty result; other columns are ignored. ``component_id`` is the
+    smallest doc_id reachable.
     """
-    found = components(docs, distance, width)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("_keep")).select(F.col("component_id").alias("_keep_id")).distinct()
-    stay = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return stay
+    found = _components(docs, distance, width, seed, n_blocks)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, seed: int = 42, n_blocks: int = 5) -> DataFrame:
+    """One row of each component, all columns kept: the smallest doc_id's, of several of
+    these that with the smallest hash of its text. Components without any doc_id keep one
+    row for each fingerprint."""
+    found = _components(docs, distance, width, seed, n_blocks)
+    nameless = F.when(F.col("component_id").isNull(), F.col("fp"))
+    stay = found.groupBy("component_id", nameless.alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x")).select("x.doc_id", "x.h")
+    stay = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("h").alias("_h"))
+    columns = docs.columns
+    hashed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = hashed.join(stay, ["_id", "_h"], "left_semi")
+    # Rows equal in both are repeats of one document; the join has sorted them already.
+    nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0)))
+    return kept.withColumn("_nth", nth).filter("_nth = 1").select(*columns)

@@ -94,13 +94,16 @@ def _bytes_of(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
         yield np.frombuffer(x.as_buffer() or b"", dtype=np.uint8)
 
 
+def _keys(raw: F.Column) -> tuple[F.Column, F.Column]:
+    """The MD5 of bytes as two longs."""
+    part = lambda a, n: F.conv(F.substring(F.md5(raw), a, n), 16, 10).cast("long")
+    return part(1, 15), part(16, 15) * 4 + part(31, 2) % 4
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, the text as bytes, and its MD5 as two longs."""
-    md5 = F.md5("raw")
-    part = lambda a: F.conv(F.substring(md5, a, 15), 16, 10).cast("long")
-    return texts(docs).select("doc_id", F.encode("text", "utf-8").alias("raw")).select(
-        "doc_id", "raw", part(1).alias("k1"), part(16).alias("k2"), F.conv(F.substring(md5, 31, 2), 16, 10).cast("long").alias("k3")
-    ).select("doc_id", "raw", "k1", (F.col("k2") * 4 + F.col("k3") % 4).alias("k2"))
+    k1, k2 = _keys(F.col("raw"))
+    return texts(docs).select("doc_id", F.encode("text", "utf-8").alias("raw")).select("doc_id", "raw", k1.alias("k1"), k2.alias("k2"))
 
 
 def _anchor_rows(keyed: DataFrame, length: int, only_hashes: bool) -> DataFrame:
@@ -336,3 +339,34 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "raw", "found").mapInArrow(
         work, "doc_id long, n_bytes long, spans array<struct<a: long, z: long>>, kept binary"
     )
+
+
+def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``docs`` with the text of every row cut to what ``remove_repeats`` keeps, and its
+    n_chars with it if there is such a column; all other columns and rows stay.
+
+    Bytes of a character that is cut in part go with it. Texts that nothing is cut from,
+    null ones too, are left as they were.
+    """
+    keyed = _keyed(docs)
+    spans = repeated_spans(keyed, length).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "z")).alias("_found"))
+    spans = spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_found")
+
+    @F.pandas_udf("string")
+    def cut(texts, found):
+        import pandas as pd
+
+        def one(text: str | None, some: list | None) -> str | None:
+            if some is None or text is None:
+                return text
+            b = text.encode("utf-8", "surrogatepass")
+            edges = [0, *(x for s in merged([(x["a"], x["z"]) for x in some]) for x in s), len(b)]
+            return b"".join(b[a:z] for a, z in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore")
+
+        return pd.Series([one(t, f) for t, f in zip(texts, found)], dtype=object)
+
+    k1, k2 = _keys(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    out = docs.join(spans, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left").withColumn("text", cut("text", "_found"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return out.select(*docs.columns)
