@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import texts
+from sightline.llm.common import checkpointed, texts
 
 #: Labelled rows that the machine is fitted on at most, those with the smallest hash of their id.
 SAMPLE_ROWS = 16_000
@@ -67,20 +67,14 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float = 0.3, decay: float = 3e-4, positive_cost: float = 4.0, seed: int = 1) -> Machine:
-        """AdaGrad on the logistic loss, over the terms with the highest
-        chi-square; an error on a toxic text costs ``positive_cost`` times as much."""
+    def fit(cls, rows: list[np.ndarray], y: np.ndarray, used: np.ndarray, epochs: int = 6, rate: float = 0.3, decay: float = 3e-4, positive_cost: float = 4.0, seed: int = 1) -> Machine:
+        """AdaGrad on the logistic loss over the ``used`` slots (sorted); an error on a toxic
+        text costs ``positive_cost`` times as much. One label alone gives its constant."""
         if not len(y):
             return cls.empty()
+        if y.min() == y.max():
+            return cls(30.0 if y[0] > 0 else -30.0, *(getattr(cls.empty(), k) for k in ("weight", "factor")))
         rng = np.random.default_rng(seed)
-        seen = np.zeros((2, SLOTS))
-        for r, label in zip(rows, y):
-            seen[int(label > 0), r] += 1
-        total, each, n = seen.sum(0), np.array([(y <= 0).sum(), (y > 0).sum()]), len(y)
-        if not each.all():
-            return cls(30.0 if each[1] else -30.0, *(getattr(cls.empty(), k) for k in ("weight", "factor")))
-        chi = n * (seen[1] * (each[0] - seen[0]) - seen[0] * (each[1] - seen[1])) ** 2 / np.maximum(1.0, total * (n - total) * each[0] * each[1])
-        used = np.sort([i for i in np.argsort(-chi, kind="stable")[:TERMS] if chi[i] >= LEAST_CHI]).astype(np.int64)
         local = np.full(SLOTS, -1)
         local[used] = np.arange(len(used))
         rows = [local[r][local[r] >= 0] for r in rows]
@@ -122,9 +116,20 @@ def _terms(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [slots_of(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "terms"])
+            yield pa.record_batch([batch.column("h"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["h", "toxic", "terms"])
 
-    return docs.select("toxic", "text").mapInArrow(work, "toxic int, terms array<int>")
+    return docs.select(F.xxhash64("doc_id", "text").alias("h"), "toxic", "text").mapInArrow(work, "h long, toxic int, terms array<int>")
+
+
+def best_terms(rows: DataFrame) -> np.ndarray:
+    """The slots that tell the labels apart best by chi-square, sorted. Counted in Spark; the
+    driver gets TERMS of them at most."""
+    n, n1 = (int(x or 0) for x in rows.agg(F.count("*"), F.sum("toxic")).first())
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("t"))
+    cross = F.col("a") * (n - n1 - (F.col("t") - F.col("a"))) - (F.col("t") - F.col("a")) * (n1 - F.col("a"))
+    chi = n * cross * cross / F.greatest(F.lit(1.0), F.col("t") * (n - F.col("t")) * float(n1) * float(n - n1))
+    top = counts.withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS)
+    return np.sort(np.array([r["term"] for r in top.select("term").collect()], dtype=np.int64))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -139,8 +144,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = _terms(texts(docs).join(F.broadcast(own), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_rows)).toPandas()
-    return Machine.fit([np.asarray(t, dtype=np.int64) for t in rows["terms"]], rows["toxic"].to_numpy(float))
+    rows = checkpointed(_terms(texts(docs).join(F.broadcast(own), "doc_id")))
+    used = best_terms(rows)
+    few = rows.select("h", "toxic", F.array_intersect("terms", F.lit(used.tolist()).cast("array<int>")).alias("terms"))
+    sample = few.orderBy("h").limit(sample_rows).toPandas()
+    return Machine.fit([np.sort(np.asarray(t, dtype=np.int64)) for t in sample["terms"]], sample["toxic"].to_numpy(float), used)
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
