@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline import schema
 from sightline.functions import scalars
-from sightline.operators import coverage, filters, quality, reconstruction, timing, trajectories
+from sightline.operators import constraints, coverage, filters, poses, quality, reconstruction, selection, timing, trajectories
 from sightline.sources import events, rig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,8 +301,10 @@ def filter_by_percentile(spark, sf_dir):
     return reconstruction.without_worst(_residuals(spark, sf_dir), 10.0).select(*IMAGE_KEY)
 
 
-@query(f"""AND {ERR}, kept AS (SELECT DISTINCT sync_index, object_id, keypoint_id FROM err WHERE euclidean_error <= 400)
-SELECT sync_index, object_id, keypoint_id, round(x_coord, 6) + 0 AS x_coord FROM world SEMI JOIN kept USING (sync_index, object_id, keypoint_id)""")
+KEPT = FLOOR.format(least=1).replace("\nSELECT sync_index, f.cam_id", ", kept AS (SELECT sync_index, f.cam_id") + ")"
+
+
+@query(f"AND {ERR}, cand AS (SELECT *, euclidean_error <= 400 AS keep FROM err)" + KEPT + " SELECT sync_index, object_id, keypoint_id, round(x_coord, 6) + 0 AS x_coord FROM world SEMI JOIN kept USING (sync_index, object_id, keypoint_id)")
 def prune_world(spark, sf_dir):
     obs = obs_of(spark, sf_dir)
     kept = reconstruction.within_pixels(_residuals(spark, sf_dir), 400.0, 1)
@@ -647,3 +649,116 @@ def decode_axes(spark, sf_dir):
 @query("SELECT CAST(l AS BIGINT) AS length, CAST(unnest(list_distinct(list_concat(range(0, CAST(greatest(0, l - 100) AS BIGINT) + 1, 50), [CAST(greatest(0, l - 100) AS BIGINT)]))) AS BIGINT) AS start FROM range(60, 400, 30) t(l)")
 def scan_tiles(spark, sf_dir):
     return spark.range(60, 400, 30).select(F.col("id").alias("length"), F.explode(scalars.tiles(F.col("id"), 100)).alias("start"))
+
+
+# --- poses and transforms --------------------------------------------------------------------------
+
+OFFSET = ("0.3 * cos(0.05 * CAST(sync_index AS DOUBLE)) + 0.2 * CAST(object_id AS DOUBLE)", "0.3 * sin(0.05 * CAST(sync_index AS DOUBLE))", "0.1 * CAST(object_id AS DOUBLE) - 0.3")
+
+
+def _flat(spark, sf_dir) -> DataFrame:
+    """Undistorted observations of flat objects with their place in the object."""
+    obs = obs_of(spark, sf_dir)
+    flat = events.world(obs).withColumn("z_coord", 0.1 * F.col("object_id").cast("double") - 0.3)
+    seen = reconstruction.project(flat, cams_of(spark)).select(*IMAGE_KEY, "img_loc_x", "img_loc_y")
+    rows = seen.join(obs.select(*IMAGE_KEY, "obj_loc_x", "obj_loc_y", "obj_loc_z"), IMAGE_KEY)
+    return reconstruction.undistort(rows, cams_of(spark))
+
+
+FULL = "full_views AS (SELECT cam_id, sync_index, object_id FROM obs GROUP BY ALL HAVING count(*) = 4)"
+
+
+@query(f"""AND {FULL}, o AS (SELECT *, {OFFSET[0]} AS ax, {OFFSET[1]} AS ay, {OFFSET[2]} AS az FROM full_views JOIN cams USING (cam_id))
+SELECT cam_id, sync_index, object_id, round(r0, 5) + 0 AS r0, round(r7, 5) + 0 AS r7, """ + ", ".join(f"round(r{3 * i} * ax + r{3 * i + 1} * ay + r{3 * i + 2} * az + t{i}, 5) + 0 AS t{i}" for i in range(3)) + ", CAST(4 AS BIGINT) AS n FROM o")
+def object_poses(spark, sf_dir):
+    p = poses.object_poses(_flat(spark, sf_dir))
+    return rounded(p.select("cam_id", "sync_index", "object_id", F.col("r")[0].alias("r0"), F.col("r")[7].alias("r7"), *(F.col("t")[i].alias(f"t{i}") for i in range(3)), "n"), 5)
+
+
+REL = "rel AS (SELECT a.cam_id AS cam_a, b.cam_id AS cam_b, " + ", ".join(
+    f"{' + '.join(f'b.r{3 * i + k} * a.r{3 * j + k}' for k in range(3))} AS r{3 * i + j}" for i in range(3) for j in range(3)
+) + ", a.t0 AS a0, a.t1 AS a1, a.t2 AS a2, b.t0 AS b0, b.t1 AS b1, b.t2 AS b2 FROM cams a JOIN cams b ON a.cam_id < b.cam_id)"
+REL_OUT = ", ".join([f"round(r{i}, 5) + 0 AS r{i}" for i in range(9)] + [f"round(b{i} - (r{3 * i} * a0 + r{3 * i + 1} * a1 + r{3 * i + 2} * a2), 4) + 0 AS t{i}" for i in range(3)])
+
+
+def _flat_columns(df: DataFrame) -> DataFrame:
+    out = df.select(*(c for c in df.columns if c not in "rt"), *(F.col("r")[i].alias(f"r{i}") for i in range(9)), *(F.col("t")[i].alias(f"t{i}") for i in range(3)))
+    return rounded(rounded(out, 5, *(f"r{i}" for i in range(9))), 4, *(f"t{i}" for i in range(3)))
+
+
+@query(f"AND {FULL}, {REL} SELECT x.sync_index, x.object_id, cam_a, cam_b, {REL_OUT} FROM rel JOIN full_views x ON x.cam_id = cam_a JOIN full_views y ON y.cam_id = cam_b AND x.sync_index = y.sync_index AND x.object_id = y.object_id")
+def relative_poses(spark, sf_dir):
+    return _flat_columns(poses.relative_poses(poses.object_poses(_flat(spark, sf_dir)), cams_of(spark)))
+
+
+@query(f"AND {FULL}, {REL}, c AS (SELECT x.cam_id AS cam_a, y.cam_id AS cam_b, count(*) AS n FROM full_views x JOIN full_views y USING (sync_index, object_id) WHERE x.cam_id < y.cam_id GROUP BY 1, 2) SELECT cam_a, cam_b, n, {REL_OUT} FROM rel JOIN c USING (cam_a, cam_b)")
+def average_poses(spark, sf_dir):
+    return _flat_columns(poses.average_poses(poses.relative_poses(poses.object_poses(_flat(spark, sf_dir)), cams_of(spark))))
+
+
+@query("SELECT a.cam_id AS cam_a, b.cam_id AS cam_b, count(*) AS n, true AS is_small FROM obs a JOIN obs b USING (sync_index, object_id, keypoint_id) WHERE a.cam_id < b.cam_id GROUP BY 1, 2 HAVING count(*) >= 4")
+def stereo_errors(spark, sf_dir):
+    und = _flat(spark, sf_dir).withColumns({"img_loc_x": F.col("und_x"), "img_loc_y": F.col("und_y")})
+    mean = poses.average_poses(poses.relative_poses(poses.object_poses(und), cams_of(spark)))
+    e = poses.stereo_errors(coverage.pair_correspondences(und), mean)
+    return e.select("cam_a", "cam_b", "n", (F.col("rmse") < 1e-6).alias("is_small"))
+
+
+TURN = poses.Similarity(poses._turn(poses.np.array([0.1, -0.2, 0.3])), poses.np.array([1.0, -2.0, 0.5]), 1.5)
+
+
+@query("SELECT " + ", ".join([f"round(CAST({float(TURN.r.reshape(-1)[i])!r} AS DOUBLE), 6) + 0 AS r{i}" for i in range(9)] + [f"round(CAST({float(TURN.t[i])!r} AS DOUBLE), 6) + 0 AS t{i}" for i in range(3)] + ["CAST(1.5 AS DOUBLE) AS scale"]))
+def estimate_similarity(spark, sf_dir):
+    w = events.world(obs_of(spark, sf_dir))
+    moved = TURN.points(w).select(*WORLD_KEY, *(F.col(f"{c}_coord").alias(f"b{c}") for c in "xyz"))
+    found = poses.estimate_similarity(w.join(moved, WORLD_KEY).select(*(F.col(f"{c}_coord").alias(f"a{c}") for c in "xyz"), "bx", "by", "bz"))
+    row = {f"r{i}": float(found.r.reshape(-1)[i]) for i in range(9)} | {f"t{i}": float(found.t[i]) for i in range(3)} | {"scale": found.scale}
+    return rounded(spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row)))
+
+
+@query("SELECT sync_index, object_id, keypoint_id, " + ", ".join(f"round(1.5 * ({' + '.join(f'({float(TURN.r[i, j])!r}) * {c}_coord' for j, c in enumerate('xyz'))}) + ({float(TURN.t[i])!r}), 6) + 0 AS {a}_coord" for i, a in enumerate("xyz")) + " FROM world")
+def apply_similarity(spark, sf_dir):
+    return rounded(TURN.points(events.world(obs_of(spark, sf_dir))).drop("frame_time"))
+
+
+@query(f"AND {ALL_PROJ} SELECT sync_index, cam_id, object_id, keypoint_id, round(u, 5) + 0 AS img_loc_x, round(v, 5) + 0 AS img_loc_y FROM proj")
+def projection_is_invariant(spark, sf_dir):
+    moved = reconstruction.project(TURN.points(events.world(obs_of(spark, sf_dir))), TURN.cameras(cams_of(spark)))
+    return rounded(moved.select(*IMAGE_KEY, "img_loc_x", "img_loc_y"), 5)
+
+
+@query("SELECT cam_id, round(-(r0 * t0 + r3 * t1 + r6 * t2), 6) + 0 AS x, round(-(r1 * t0 + r4 * t1 + r7 * t2), 6) + 0 AS y, round(-(r2 * t0 + r5 * t1 + r8 * t2), 6) + 0 AS z FROM part_cams WHERE r0 IS NOT NULL AND NOT ignored")
+def camera_centres(spark, sf_dir):
+    return rounded(poses.posed_centres(cams_of(spark, True)))
+
+
+# --- constraints and frame selection ---------------------------------------------------------------
+
+
+@query("AND m AS (SELECT p_partkey AS o, CAST(p_partkey % 10 + 1 AS DOUBLE) / 100 AS side FROM part), c AS (SELECT o, side, CAST(i AS BIGINT) AS k, x * side AS x, y * side AS y FROM m, (VALUES (0, -0.5, 0.5), (1, 0.5, 0.5), (2, 0.5, -0.5), (3, -0.5, -0.5)) v(i, x, y)) SELECT a.o AS object_id_a, a.k AS keypoint_id_a, b.o AS object_id_b, b.k AS keypoint_id_b, round(sqrt(CAST((a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS DOUBLE)), 9) + 0 AS distance FROM c a JOIN c b ON a.o = b.o AND a.k < b.k")
+def marker_constraints(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("object_id"), ((F.col("p_partkey") % 10 + 1).cast("double") / 100).alias("side"))
+    return rounded(constraints.marker_constraints(p).drop("sigma"), 9)
+
+
+@query("AND g AS (SELECT range AS p, range % 7 AS c, range // 7 AS r FROM range(35)), o AS (SELECT unnest([0, 6, 28, 34]) AS p), e AS (SELECT a.p AS a, b.p AS b FROM g a JOIN g b ON a.p < b.p AND abs(a.c - b.c) <= 1 AND abs(a.r - b.r) <= 1 UNION SELECT x.p, y.p FROM o x JOIN o y ON x.p < y.p) SELECT CAST(a AS BIGINT) AS keypoint_id_a, CAST(b AS BIGINT) AS keypoint_id_b, round(0.05 * sqrt((a % 7 - b % 7) ** 2 + (a // 7 - b // 7) ** 2), 9) + 0 AS distance FROM e")
+def board_truss(spark, sf_dir):
+    return rounded(constraints.board_truss(spark, 7, 5, 0.05).drop("sigma"), 9)
+
+
+@query("SELECT CAST(1 AS BIGINT) AS object_id_from, CAST((1 + k) % 4 AS BIGINT) AS keypoint_id_from, CAST(2 AS BIGINT) AS object_id_to, CAST((6 - k) % 4 AS BIGINT) AS keypoint_id_to FROM range(4) t(k)")
+def mirrored_corners(spark, sf_dir):
+    return constraints.mirrored_corners(spark.createDataFrame([(1, 1, 2, 2)], "object_id_a long, corner_a long, object_id_b long, corner_b long"))
+
+
+@query()
+def select_frames(spark, sf_dir):
+    obs = obs_of(spark, sf_dir)
+    t = obs.groupBy("cam_id", "sync_index").agg((F.avg("img_loc_x") - 900).alias("dx"), (F.avg("img_loc_y") - 500).alias("dy"))
+    tilts = t.select("cam_id", "sync_index", F.atan2("dy", "dx").alias("direction"), (F.hypot("dx", "dy") / 1000).alias("magnitude"))
+    return selection.select_frames(obs, cams_of(spark), tilts, target=30, least=4)
+
+
+@query()
+def smooth_points(spark, sf_dir):
+    return rounded(trajectories.smooth(events.world(obs_of(spark, sf_dir)), cutoff=6.0, rate=30.0))
