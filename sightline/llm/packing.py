@@ -6,9 +6,9 @@ longest item left takes the multiset of remaining lengths that comes closest to
 it: a subset-sum over bitsets of reachable totals, with the counts backtracked. Since only
 lengths matter, the plan needs just their histogram, and a multiset is used as often as
 the counts allow; each such step uses up a length, so that a plan has at most
-``capacity`` steps whatever the number of documents. Once no multiset fills a window, the
-rest follow each other in one stream that is cut at the windows, and its last part is cut
-into powers of two, which need no padding.
+``capacity`` steps whatever the number of documents. Lengths that no multiset brings up
+to a full window follow each other in one stream that is cut at the windows, and its last
+part is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -61,14 +61,15 @@ class Plan:
         #: By length: first ranks of the steps, and (first window, times in a window, offset).
         self.first: dict[int, list[int]] = {}
         self.steps: dict[int, list[tuple[int, int, int]]] = {}
-        used = dict.fromkeys(left, 0)
+        used, stream = dict.fromkeys(left, 0), {}
         while left:
             longest = max(left)
             left[longest] -= 1
             found = fill(left, capacity - longest)
             left[longest] += 1
-            if found is None:
-                break
+            if found is None:  # nor will anything fill it later, when fewer are left
+                stream[longest] = left.pop(longest)
+                continue
             window = dict(found)
             window[longest] = window.get(longest, 0) + 1
             again, offset = min(left[n] // c for n, c in window.items()), 0
@@ -81,11 +82,11 @@ class Plan:
                 if not left[n]:
                     del left[n]
             self.windows += again
-        self.stream_first = {n: used[n] for n in left}
+        self.stream_first = {n: used[n] for n in stream}
         self.stream_base, total = {}, 0
-        for n in sorted(left):
+        for n in sorted(stream):
             self.stream_base[n] = total
-            total += n * left[n]
+            total += n * stream[n]
         self.stream_windows, rest = divmod(total, capacity)
         self.tail = [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
         self.tail_starts = [self.stream_windows * capacity + sum(self.tail[:i]) for i in range(len(self.tail))]
