@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 from zlib import crc32
@@ -11,14 +14,32 @@ import numpy as np
 
 CACHED_WORDS = 400_000
 
+#: Letters of which each is one code point, normalised, with one lower case, then punctuation.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+class _Words(dict):
+    """Of each word its ids as bytes; a word that isn't there is encoded and kept, up to a fixed number."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = found = self.encode(word)
+        return found
+
 
 class WordEncoder:
     """The ids of texts, as the tokenizers library gives them without special tokens.
 
     For tokenizers that never join text across a space or line break: those that drop
     white space before they merge (such as word_bpe_49k). The text is cut there, so that
-    the library encodes each distinct word of a batch once; the words seen last are kept,
-    up to a fixed number.
+    the library encodes each distinct word once. Where the tokenizer lower-cases, takes
+    runs of letters as pieces and maps bytes to letters, a plain word is its letters and
+    the punctuation after them, and the letters go straight to the library's model.
     """
 
     def __init__(self, path: str) -> None:
@@ -29,31 +50,40 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
+        self.pack = {n: struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(64)}
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", ())]
+        cuts = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", ())]
+        plain = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] and not spec["post_processor"]
+        self.words = _Words(self._word if plain else self._any)
+        self.runs, self.marks = _Words(self._letters), _Words(self._any)
+
+    def _any(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes() if word else b""
+
+    def _word(self, word: str) -> bytes:
+        if (m := _PLAIN(word)) is None:
+            return self._any(word)
+        return self.runs[m[1].lower()] + self.marks[m[2]]
+
+    def _letters(self, run: str) -> bytes:
+        mapped = run if run.isascii() else "".join([_byte_letters(c) for c in run])
+        ids = [x.id for x in self.tokenizer.model.tokenize(mapped)]
+        return self.pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Of each text its ids in ``dtype``."""
-        out, cut, size = [], [], 0
-        for text in texts:
-            cut.append(text.replace("\n", " ").split(" "))
-            size += len(cut[-1])
-            if size > 200_000:
-                out += self._join(cut)
-                cut, size = [], 0
-        return out + self._join(cut)
-
-    def _join(self, cut: list[list[str]]) -> list[bytes]:
-        words = set().union(*cut).difference(self.known)
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known = {"": b""}
-            words = set().union(*cut) - {""}
-        new = list(words)
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, dtype=self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        get = self.words.__getitem__
+        return [b"".join(map(get, text.replace("\n", " ").split(" "))) for text in texts]
+
+
+@lru_cache(256)
+def _byte_letters(letter: str) -> str:
+    """The letters that stand for a Latin-1 letter's UTF-8 bytes in byte-level vocabularies:
+    printable bytes are themselves, the others count up from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return "".join(chr(b if b in printable else 256 + others.index(b)) for b in letter.encode())
 
 
 @lru_cache(2)
