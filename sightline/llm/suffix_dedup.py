@@ -143,57 +143,45 @@ def _batch(rows: list, only_hashes: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*rows)], names=names)
 
 
-def _rerank(*ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense ranks of tuples of ranks by sorting them, and how often each occurs."""
-    order = np.lexsort(ranks[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    if len(order):
-        new[0] = True
-        for r in ranks:
-            s = r[order]
-            new[1:] |= s[1:] != s[:-1]
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return rank, np.bincount(rank, minlength=1)
+def _twice(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once, found by sorting them."""
+    order = np.argsort(keys)
+    same = np.diff(keys[order]) == 0
+    again = np.zeros(len(keys), dtype=bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    return again
 
 
 def repeated_windows(group: np.ndarray, contexts: list[np.ndarray], length: int) -> list[np.ndarray]:
     """For each context, whether each of its windows occurs in another one of its group.
 
-    Prefix doubling: ranks of the grams at all positions are paired at offsets of the
-    length reached so far and reranked, for windows that are not unique yet.
+    Prefix doubling: names of what starts at each position are paired at offsets of the
+    length reached so far; the pairs of windows that are not unique yet are sorted, and
+    those that have become unique drop out.
     """
     k = gram_size(length)
     sizes = np.array([len(c) for c in contexts])
     base = np.concatenate(([0], np.cumsum(sizes)))
     data = np.concatenate(contexts)
-    name = np.zeros(len(data), dtype=np.int64)  # grams by their bytes' hash; those over a border aren't used
+    name = np.zeros(len(data), dtype=np.uint64)  # those over a border aren't used
     for a in range(0, len(data), CHUNK // 2):
         part = data[a : a + CHUNK // 2 + k - 1]
         start = np.arange(max(0, len(part) - k + 1))
-        name[a : a + len(start)] = Hashes(part).at(start, start + k).view(np.int64)
+        name[a : a + len(start)] = Hashes(part).at(start, start + k)
     n_windows = sizes - length + 1
     window = np.concatenate([base[i] + np.arange(n) for i, n in enumerate(n_windows)])
-    of = np.repeat(group, n_windows)
-    alive = np.ones(len(window), dtype=bool)
-    rank, have, live = None, k, np.arange(len(window))
-    # A window's prefix rank at each level needs the rank at a later position, which also
-    # may lie beyond the windows; so every position that starts a prefix is ranked.
-    ranks = _rerank(name)[0]
-    while have < length:
-        more = min(have, length - have)
-        at = np.arange(len(ranks) - more)
-        ranks = _rerank(ranks[at], ranks[at + more])[0]
-        have += more
-        rank, count = _rerank(of[live], ranks[window[live]])
-        stay = count[rank] > 1
-        alive[live[~stay]] = False
-        live = live[stay]
-        if not len(live):
+    of = np.repeat(_mix(group.astype(np.int64).view(np.uint64)), n_windows)
+    alive = np.zeros(len(window), dtype=bool)
+    live, have = np.arange(len(window)), k
+    while len(live):
+        if have < length:
+            more = min(have, length - have)
+            name, have = _mix(name[:-more] * _U(_ODD) + name[more:]), have + more
+        live = live[_twice(_mix(name[window[live]] ^ of[live]))]
+        if have == length:
             break
-    if rank is None:
-        rank, count = _rerank(of, ranks[window])
-        alive = count[rank] > 1
+    alive[live] = True
     return np.split(alive, np.cumsum(n_windows)[:-1])
 
 
