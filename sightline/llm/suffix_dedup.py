@@ -224,24 +224,63 @@ def _compare_classes(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(work, "k1 long, k2 long, a long, z long")
 
 
-def _compare_hot(rows: DataFrame, length: int) -> DataFrame:
-    """The same for grams with very many contexts: each window is a row, dealt by its hash."""
+def _compare_hot(rows: DataFrame, length: int, sizes: tuple[int, ...] = (32, 8, 1)) -> DataFrame:
+    """The same for grams with very many contexts, dealt by what the windows hold.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, b in enumerate(_bytes_of(batch, "raw")):
-                n = len(b) - length + 1
-                start = np.arange(n)
-                one = lambda c: np.full(n, batch.column(c)[i].as_py())  # noqa: B023, E731
-                yield pa.record_batch(
-                    [pa.array(x) for x in (one("gram"), Hashes(b).at(start, start + length).view(np.int64), one("k1"), one("k2"), one("lo") + start, one("alone"))],
-                    names=["gram", "window", "k1", "k2", "p", "alone"],
-                )
-
-    windows = rows.dropDuplicates(["gram", "context"]).mapInArrow(work, "gram long, window long, k1 long, k2 long, p long, alone boolean")
-    windows = checkpointed(windows)
-    twice = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).filter("n > 1")
-    return windows.filter("alone").join(twice, ["gram", "window"], "left_semi").select("k1", "k2", F.col("p").alias("a"), (F.col("p") + length).alias("z"))
+    Windows are compared in aligned blocks that shrink. A block whose whole text occurs
+    twice repeats in all its windows; one whose core (what all its windows share) is unique
+    repeats in none; only the rest, and one of each repeated text for them to meet, is cut
+    into smaller blocks.
+    """
+    fields = "gram long, o long, n long, k1 long, k2 long, p long, alone boolean, raw binary, whole long, core long"
+    names = [x.split()[0] for x in fields.split(", ")]
+    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()] + [pa.int64()] * 2
+    k = gram_size(length)
+
+    def cut(size: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                cells = zip(*(batch.column(c).to_pylist() for c in ("gram", "o", "k1", "k2", "p", "alone")))
+                for (gram, o, k1, k2, p, alone), b in zip(cells, _bytes_of(batch, "raw")):
+                    h, n = Hashes(b), len(b) - length + 1
+                    if o is None:  # how far the anchor is from the first window
+                        start = np.arange(len(b) - k + 1)
+                        o = int(np.flatnonzero(h.at(start, start + k).view(np.int64) == gram)[0])
+                    i = 0
+                    while i < n:
+                        m = (o - i) // size
+                        z = min(n, o - m * size + 1)  # windows i to z - 1 are of block m
+                        # The core runs from the start of the block's last window to the end of its first one.
+                        at = np.array([i, o - m * size]), np.array([z - 1 + length, o - m * size - size + 1 + length])
+                        if size >= length or at[0][1] >= len(b) or at[1][1] <= at[0][1]:
+                            core = 0
+                        else:
+                            core = int(h.at(at[0][1:], at[1][1:]).view(np.int64)[0])
+                        whole = int(h.at(at[0][:1], at[1][:1]).view(np.int64)[0])
+                        out.append((gram, o - i, z - i, k1, k2, p + i, alone, b[i : z - 1 + length].tobytes(), whole, core))
+                        i = z
+                    if len(out) > 5000:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                        out = []
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+        return work
+
+    left = rows.dropDuplicates(["gram", "context"]).select("gram", F.lit(None).cast("long").alias("o"), "k1", "k2", F.col("lo").alias("p"), "alone", "raw")
+    found = None
+    for size in sizes:
+        blocks = checkpointed(left.mapInArrow(cut(size), fields).withColumn("m", F.floor(F.col("o") / size)))
+        shared = blocks.groupBy("gram", "m", "core").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+        blocks = blocks.join(shared, ["gram", "m", "core"], "left_semi")
+        same = blocks.groupBy("gram", "o", "n", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p")).alias("one")).filter("c > 1").drop("c")
+        blocks = checkpointed(blocks.join(same, ["gram", "o", "n", "whole"], "left"))
+        spans = blocks.filter("one is not null and alone").select("k1", "k2", F.col("p").alias("a"), (F.col("p") + F.col("n") - 1 + length).alias("z"))
+        found = spans if found is None else found.unionByName(spans)
+        again = blocks.filter(F.col("one") == F.struct("k1", "k2", "p")).withColumn("alone", F.lit(False))
+        left = blocks.filter("one is null").unionByName(again).select("gram", "o", "k1", "k2", "p", "alone", "raw")
+    return found
 
 
 def repeated_spans(keyed: DataFrame, length: int, class_limit: int = 512) -> DataFrame:
