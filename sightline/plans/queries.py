@@ -581,9 +581,10 @@ FEATURES = """feat AS (SELECT cam_id, sync_index, avg(img_loc_x / width) AS mean
 feats AS (SELECT *, CASE WHEN std_y > 1e-6 THEN std_x / std_y ELSE 1.0 END AS aspect FROM feat)"""
 
 
-@query(f"AND {FEATURES} SELECT cam_id, sync_index, " + ", ".join(f"round({c}, 12) + 0 AS {c}" for c in ("mean_x", "mean_y", "std_x", "std_y", "aspect")) + " FROM feats")
+@query(f"AND {FEATURES} SELECT cam_id, sync_index, " + ", ".join(f"round({c}, {d}) + 0 AS {c}" for c, d in (("mean_x", 15), ("mean_y", 15), ("std_x", 7), ("std_y", 7), ("aspect", 4))) + " FROM feats")
 def pose_features(spark, sf_dir):
-    return rounded(quality.pose_features(obs_of(spark, sf_dir), cams_of(spark)), 12)
+    found = quality.pose_features(obs_of(spark, sf_dir), cams_of(spark))
+    return rounded(rounded(rounded(found, 15, "mean_x", "mean_y"), 7, "std_x", "std_y"), 4, "aspect")
 
 
 @query(f"""AND {FEATURES}, g AS (SELECT DISTINCT cam_id, {CELL} FROM obs JOIN cams USING (cam_id)),
