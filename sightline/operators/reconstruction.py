@@ -14,7 +14,8 @@ from sightline.schema import IMAGE_KEY, POINT, STATIC_SYNC_INDEX, WORLD_KEY
 
 def with_camera(points: DataFrame, cameras: DataFrame, only_posed: bool = True) -> DataFrame:
     """Observations with their camera's columns; a rig has tens of cameras, which go to each task."""
-    return points.join(F.broadcast(posed(cameras) if only_posed else cameras), "cam_id")
+    rig = posed(cameras) if only_posed else cameras
+    return points.join(F.broadcast(rig.drop("width", "height", "ignored", "fisheye")), "cam_id")
 
 
 def undistort(points: DataFrame, cameras: DataFrame, steps: int = 20) -> DataFrame:
@@ -23,7 +24,8 @@ def undistort(points: DataFrame, cameras: DataFrame, steps: int = 20) -> DataFra
     Fixed-point steps over whole columns; each is a projection, so that expressions don't
     nest. Fisheye cameras and cameras without intrinsics are left out.
     """
-    rows = points.join(F.broadcast(cameras.filter("fx is not null and not coalesce(fisheye, false)")), "cam_id")
+    lenses = cameras.filter("fx is not null and not coalesce(fisheye, false)").select("cam_id", "fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3")
+    rows = points.join(F.broadcast(lenses), "cam_id")
     rows = rows.withColumns({"_u": (F.col("img_loc_x") - F.col("cx")) / F.col("fx"), "_v": (F.col("img_loc_y") - F.col("cy")) / F.col("fy")})
     guess = F.struct(F.col("_u").alias("a"), F.col("_v").alias("b"))
 
