@@ -73,5 +73,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+#: The others fit models, hash in ways SQL lacks, or are too slow in SQL; tests hold them against brute force.
+ORACLES = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, url, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to, url FROM f
+    """,
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE ok AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(v, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.v, links.b FROM reach JOIN links ON reach.r = links.a),
+        n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+        SELECT v AS vec_id, coalesce(any_value(n_links), 0) AS n_links, min(r) AS component_id, min(r) = v AS kept FROM reach LEFT JOIN n ON n.a = v GROUP BY v
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
