@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline import schema
 from sightline.functions import scalars
-from sightline.operators import bundle, calibrate, constraints, coverage, filters, poses, quality, reconstruction, selection, timing, trajectories
+from sightline.operators import bundle, calibrate, constraints, coverage, filters, playback, poses, quality, reconstruction, selection, timing, trajectories
 from sightline.sources import events, rig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -780,3 +780,41 @@ def bundle_adjust(spark, sf_dir):
 @query(f"AND d AS (SELECT cam_id, r6 * x_coord + r7 * y_coord + r8 * z_coord + t2 AS z FROM world CROSS JOIN {POSED}) SELECT cam_id, round(quantile_cont(z, 0.95) / quantile_cont(z, 0.05), 6) + 0 AS depth_ratio, quantile_cont(z, 0.95) / quantile_cont(z, 0.05) >= 1.4 AS enough FROM d WHERE z > 0 GROUP BY cam_id")
 def constrains_lenses(spark, sf_dir):
     return rounded(calibrate.constrains_lenses(events.world(obs_of(spark, sf_dir)), cams_of(spark, True), 1.4))
+
+
+# --- playback and detections -----------------------------------------------------------------------
+
+
+@query("""AND w AS (SELECT CASE WHEN object_id = 1 THEN -1 ELSE sync_index END AS sync_index, object_id, keypoint_id, x_coord FROM world WHERE object_id = 0 OR sync_index = 3),
+p AS (SELECT object_id, keypoint_id, row_number() OVER (ORDER BY object_id, keypoint_id) - 1 AS place FROM (SELECT DISTINCT object_id, keypoint_id FROM w))
+SELECT f.sync_index, p.object_id, p.keypoint_id, place, round(coalesce(s.x_coord, m.x_coord), 6) + 0 AS x_coord FROM (SELECT DISTINCT sync_index FROM w WHERE sync_index <> -1) f CROSS JOIN p
+LEFT JOIN w m ON m.sync_index = f.sync_index AND m.object_id = p.object_id AND m.keypoint_id = p.keypoint_id LEFT JOIN w s ON s.sync_index = -1 AND s.object_id = p.object_id AND s.keypoint_id = p.keypoint_id""")
+def playback_frames(spark, sf_dir):
+    w = filters.collapse_static(events.world(obs_of(spark, sf_dir)).filter("object_id = 0 or sync_index = 3"), [1])
+    return rounded(playback.playback(w).select(*WORLD_KEY, F.col("place").cast("long").alias("place"), "x_coord"))
+
+
+@query("AND f AS (SELECT sync_index, row_number() OVER (ORDER BY sync_index) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT sync_index FROM obs)) SELECT sync_index FROM f WHERE i IN (SELECT CAST(round_even(k * ((SELECT max(n) FROM f) - 1) / 11.0, 0) AS BIGINT) FROM range(12) t(k))")
+def evenly_spaced_frames(spark, sf_dir):
+    return playback.evenly_spaced(obs_of(spark, sf_dir), 12)
+
+
+@query("""AND d AS (SELECT cam_id, sync_index, img_loc_x AS x, img_loc_y AS y, CAST((keypoint_id * 3 + sync_index) % 10 AS DOUBLE) / 10 AS confidence FROM obs),
+b AS (SELECT cam_id, sync_index, min(x) FILTER (WHERE confidence >= 0.5) AS x0, max(x) FILTER (WHERE confidence >= 0.5) AS x9, min(y) FILTER (WHERE confidence >= 0.5) AS y0, max(y) FILTER (WHERE confidence >= 0.5) AS y9 FROM d GROUP BY 1, 2),
+c AS (SELECT *, (x9 - x0) * 1.6 AS w, (y9 - y0) * 1.6 AS h, (x0 + x9) / 2 AS cx, (y0 + y9) / 2 AS cy FROM b), e AS (SELECT *, CASE WHEN w / greatest(h, 1) > 0.75 THEN w ELSE h * 0.75 END AS bw, CASE WHEN w / greatest(h, 1) > 0.75 THEN w / 0.75 ELSE h END AS bh FROM c),
+g AS (SELECT *, CAST(trunc(greatest(0, cx - bw / 2)) AS BIGINT) AS x1, CAST(trunc(greatest(0, cy - bh / 2)) AS BIGINT) AS y1, CAST(trunc(least(1920, cx + bw / 2)) AS BIGINT) AS x2, CAST(trunc(least(1080, cy + bh / 2)) AS BIGINT) AS y2 FROM e)
+SELECT cam_id, sync_index, CASE WHEN x0 IS NULL THEN 0 ELSE x1 END AS x1, CASE WHEN x0 IS NULL THEN 0 ELSE y1 END AS y1, CASE WHEN x0 IS NULL THEN 1920 WHEN x2 <= x1 THEN least(x1 + 1, 1920) ELSE x2 END AS x2, CASE WHEN x0 IS NULL THEN 1080 WHEN y2 <= y1 THEN least(y1 + 1, 1080) ELSE y2 END AS y2 FROM g""")
+def padded_boxes(spark, sf_dir):
+    d = obs_of(spark, sf_dir).select("cam_id", "sync_index", F.col("img_loc_x").alias("x"), F.col("img_loc_y").alias("y"), (((F.col("keypoint_id") * 3 + F.col("sync_index")) % 10).cast("double") / 10).alias("confidence"))
+    return playback.padded_boxes(d, ("cam_id", "sync_index"), 0.5, 0.75, 1920, 1080)
+
+
+@query("""AND h AS (SELECT event_id, [CAST((event_id * 7 + i * i * 13) % 37 AS DOUBLE) / 37 FOR i IN range(30)] AS m FROM events), t AS (SELECT *, list_position(m, list_max(m)) - 1 AS p FROM h), q AS (SELECT *, p % 6 AS i, p // 6 AS j FROM t),
+r AS (SELECT *, CASE WHEN i > 0 AND i < 5 THEN m[p] END AS xa, CASE WHEN i > 0 AND i < 5 THEN m[p + 2] END AS xb, CASE WHEN j > 0 AND j < 4 THEN m[p - 5] END AS ya, CASE WHEN j > 0 AND j < 4 THEN m[p + 7] END AS yb, m[p + 1] AS c FROM q)
+SELECT event_id, round(i + CASE WHEN xa IS NULL OR abs(xa - 2 * c + xb) < 1e-12 THEN 0 ELSE greatest(-0.5, least(0.5, 0.5 * (xa - xb) / (xa - 2 * c + xb))) END, 6) + 0 AS x,
+round(j + CASE WHEN ya IS NULL OR abs(ya - 2 * c + yb) < 1e-12 THEN 0 ELSE greatest(-0.5, least(0.5, 0.5 * (ya - yb) / (ya - 2 * c + yb))) END, 6) + 0 AS y, round(greatest(0, least(1, c)), 6) + 0 AS confidence FROM r""")
+def decode_heatmaps(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    heat = e.withColumn("heat", F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: ((F.col("event_id") * 7 + i * i * 13) % 37).cast("double") / 37))
+    x, y, c = scalars.decode_heatmap(F.col("heat"), 6, 5)
+    return rounded(heat.select("event_id", x.alias("x"), y.alias("y"), c.alias("confidence")))

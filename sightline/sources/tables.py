@@ -134,6 +134,36 @@ def write_cameras(cameras: DataFrame, path: str) -> None:
     write_toml(path, out)
 
 
+def write_aniposelib(cameras: DataFrame, path: str) -> None:
+    """Posed cameras as aniposelib reads them: sections cam_N and metadata."""
+    from sightline.operators.filters import posed
+
+    out: dict[str, Any] = {}
+    for c in posed(cameras).orderBy("cam_id").collect():
+        r = np.array([c[f"r{i}"] for i in range(9)]).reshape(3, 3)
+        out[f"cam_{c['cam_id']}"] = {
+            "name": f"cam_{c['cam_id']}", "size": [c["width"], c["height"]], "matrix": None if c["fx"] is None else [[c["fx"], 0.0, c["cx"]], [0.0, c["fy"], c["cy"]], [0.0, 0.0, 1.0]],
+            "distortions": None if c["k1"] is None else [c[k] for k in ("k1", "k2", "p1", "p2", *([] if c["fisheye"] else ["k3"]))], "rotation": vector_of(r).tolist(),
+            "translation": [c[f"t{i}"] for i in range(3)], "fisheye": bool(c["fisheye"]),
+        }
+    write_toml(path, out | {"metadata": {"adjusted": False, "error": 0.0}})
+
+
+DISTANCES = "constraint_id long, object_id_a long, keypoint_id_a long, object_id_b long, keypoint_id_b long, distance double, sigma double"
+
+
+def write_constraints(distances: DataFrame, path: str) -> None:
+    """Distance constraints, which are configuration, as one section each."""
+    write_toml(path, {f"distances.{r['constraint_id']}": r.asDict() for r in distances.orderBy("constraint_id").collect()})
+
+
+def read_constraints(spark: SparkSession, path: str) -> DataFrame:
+    with open(path, "rb") as f:
+        rows = tomllib.load(f).get("distances", {}).values()
+    names = [x.split()[0] for x in DISTANCES.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], DISTANCES)
+
+
 def read_pose_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(cam_a, cam_b, r, t, error) from sections stereo_a_b."""
     with open(path, "rb") as f:

@@ -136,6 +136,18 @@ def test_files(spark, tmp_path):
     assert lines[2].startswith("30\t30\t1\t1\tm") and lines[5] == "" and lines[6] == "0\t0.000\t1.000000\t2.000000\t3.000000"
 
 
+def test_configuration_files(spark, tmp_path):
+    import tomllib
+
+    tables.write_aniposelib(rig.cameras(spark, rig.ring(3, ignored=(1,))), str(tmp_path / "a.toml"))
+    raw = tomllib.loads((tmp_path / "a.toml").read_text())
+    assert set(raw) == {"cam_0", "cam_2", "metadata"} and raw["cam_0"]["name"] == "cam_0"
+    rows = [(0, 1, 2, 3, 4, 0.5, 0.001), (1, 1, 0, 1, 1, 0.25, 0.002)]
+    df = spark.createDataFrame(rows, tables.DISTANCES)
+    tables.write_constraints(df, str(tmp_path / "c.toml"))
+    assert sorted(map(tuple, tables.read_constraints(spark, str(tmp_path / "c.toml")).collect())) == rows
+
+
 def test_rotation_vectors():
     for v in ([0, 0, 0], [0.1, -0.2, 0.3], [np.pi, 0, 0], [0, 3.0, 0.5]):
         assert np.allclose(tables.rotation_of(tables.vector_of(tables.rotation_of(v))), tables.rotation_of(v), atol=1e-9)
