@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import mmap
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -26,7 +27,11 @@ from sightline.llm.common import texts
 
 #: How byte-level BPE cuts a text before it merges.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
+#: Comes after every merge.
+NONE = (1 << 40, -1)
+#: A run of letters that stands alone whatever follows, then punctuation; both without a doubt one piece each.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 LEXICON_WORDS = 32_768
 
 
@@ -62,18 +67,22 @@ class Merges:
 
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one piece: always the pair of lowest rank merges first, the leftmost of equals."""
-        ids, pairs = [self.byte_ids[b] for b in raw], self.pairs
-        if len(ids) > 40:
+        byte_ids, find = self.byte_ids, self.pairs.get
+        ids = [byte_ids[b] for b in raw]
+        if len(ids) > 60:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                found = pairs.get((ids[i], ids[i + 1]))
-                if found and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
+        found = [find(pair, NONE) for pair in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is NONE:
                 break
-            ids[at : at + 2] = [best[1]]
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i < len(found):
+                found[i] = find((ids[i], ids[i + 1]), NONE)
+            if i:
+                found[i - 1] = find((ids[i - 1], ids[i]), NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -115,10 +124,12 @@ class Lexicon:
 
     FIELDS = ("edge_start", "edge_label", "edge_target", "edge_skip", "final", "id_start", "ids")
 
-    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+    def __init__(self, arrays: dict[str, np.ndarray], raw: bytes | mmap.mmap | None = None, labels_at: int = 0) -> None:
         self.arrays = arrays
         for name in self.FIELDS:
-            setattr(self, name, arrays[name])
+            setattr(self, name, memoryview(arrays[name]))
+        #: The edges' labels as bytes that can be searched.
+        self.labels, self.labels_at = (raw, labels_at) if raw is not None else (arrays["edge_label"].tobytes(), 0)
 
     @classmethod
     def build(cls, entries: dict[bytes, list[int]]) -> Lexicon:
@@ -192,7 +203,8 @@ class Lexicon:
     def from_bytes(cls, raw: bytes | mmap.mmap) -> Lexicon:
         n = int.from_bytes(raw[:8], "little")
         head = json.loads(raw[8 : 8 + n])
-        return cls({k: np.frombuffer(raw, dtype=t, count=c, offset=8 + n + a) for k, (a, c, t) in head.items()})
+        arrays = {k: np.frombuffer(raw, dtype=t, count=c, offset=8 + n + a) for k, (a, c, t) in head.items()}
+        return cls(arrays, raw, 8 + n + head["edge_label"][0])
 
     @classmethod
     def mapped(cls, raw: bytes) -> Lexicon:
@@ -203,24 +215,43 @@ class Lexicon:
             return cls.from_bytes(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def find(self, word: bytes) -> list[int] | None:
-        state, rank, start, label = 0, 0, self.edge_start, self.edge_label
-        for b in word:
-            a, z = int(start[state]), int(start[state + 1])
-            i = a + int(label[a:z].searchsorted(b))
-            if i >= z or label[i] != b:
+        state, rank, start, target, skip = 0, 0, self.edge_start, self.edge_target, self.edge_skip
+        find, off = self.labels.find, self.labels_at
+        for i in range(len(word)):
+            at = find(word[i : i + 1], off + start[state], off + start[state + 1]) - off
+            if at < 0:
                 return None
-            rank += int(self.edge_skip[i])
-            state = int(self.edge_target[i])
+            rank += skip[at]
+            state = target[at]
         if not self.final[state]:
             return None
         return self.ids[self.id_start[rank] : self.id_start[rank + 1]].tolist()
 
 
+class _Known(dict):
+    """What words have been found to be, up to a fixed number: when that is reached, all become
+    old, and those that come again return from there."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, word: str) -> tuple[str, int, bytes]:
+        if (found := self.old.get(word)) is None:
+            found = self.find(word)
+        if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Codec:
     """Encodes and decodes whole texts word by word.
 
     A single space between two characters that are not white space always begins a piece,
-    so a text is cut there; texts with other white space runs are cut by the pattern.
+    so a text is cut there; texts with other white space runs are cut by the pattern. Of a
+    word the lexicon doesn't have, letters and the punctuation after them are pieces.
     """
 
     def __init__(self, path: str, lexicon: bytes | None) -> None:
@@ -229,19 +260,21 @@ class Codec:
         self.merges = merges(path)
         self.lexicon = Lexicon.mapped(lexicon) if lexicon else None
         self.odd = regex.compile(r"\s\s|\s\Z").search
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-
-    def word(self, word: str) -> tuple[str, int, bytes]:
-        """Of a word its ids joined by commas, their number, and the bytes that they decode to."""
-        if (got := self.known.get(word)) is None:
-            ids = self.lexicon and self.lexicon.find(word.encode("utf-8", "surrogatepass"))
-            if ids is None:
-                ids = self.merges.encode(word)
-            got = (",".join(map(str, ids)), len(ids), self.merges.decode(ids))
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[word] = got
-        return got
+        #: Of a word its ids, each with a comma after it, their number, and the bytes that they decode to.
+        self.words = _Known(self._word)
+
+    def _entry(self, ids: list[int]) -> tuple[str, int, bytes]:
+        return "".join([f"{i}," for i in ids]), len(ids), self.merges.decode(ids)
+
+    def _word(self, word: str) -> tuple[str, int, bytes]:
+        m = _PLAIN(word)
+        if m and m[2]:
+            run, mark = self.words[m[1]], self.words[m[2]]
+            return run[0] + mark[0], run[1] + mark[1], run[2] + mark[2]
+        raw = word.encode("utf-8", "surrogatepass")
+        if self.lexicon and (ids := self.lexicon.find(raw)) is not None:
+            return self._entry(ids)
+        return self._entry(self.merges.merge(raw) if m else self.merges.encode(word))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text)."""
@@ -249,12 +282,10 @@ class Codec:
             words = self.merges.split(text) if self.merges.split else [text]
             words = [p for w in words for p in ([w] if w in self.merges.special else self.merges.pieces(w))]
         else:
-            first, *rest = text.split(" ")
-            words = [first, *(" " + w for w in rest)]
-        got = list(map(self.word, words))
-        ids = ",".join([g[0] for g in got if g[1]])
-        decoded = b"".join([g[2] for g in got]).decode("utf-8", "replace")
-        return sum([g[1] for g in got]), sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
+            words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [w if i == 0 else " " + w for i, w in enumerate(text.split(" "))]
+        ids, n, raw = zip(*map(self.words.__getitem__, words)) if words else ((), (), ())
+        decoded = b"".join(raw).decode("utf-8", "replace")
+        return sum(n), sha256("".join(ids)[:-1].encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
 
     def encode(self, text: str) -> list[int]:
         return self.merges.encode(text)
@@ -288,7 +319,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 counts.update(text.split(" ")[1:])
-                if len(counts) > 150_000:
+                if len(counts) > 400_000:
                     yield out()
                     counts.clear()
         if counts:
