@@ -82,8 +82,7 @@ def near_links(fps: DataFrame, distance: int = 2, n_blocks: int = 5, pair_limit:
     wildcard bit where it is odd).
     """
     keyed = fps.select("fp", F.inline(_keys(F.col("fp"), distance, n_blocks)))
-    # A bucket keeps its members up to the limit in one list that is combined before the
-    # shuffle; of larger buckets only the fact is kept.
+    # Buckets are counted, combined before the shuffle; those of one fingerprint fall away.
     sized = checkpointed(keyed.groupBy("t", "masked").agg(F.count("*").alias("n")).filter("n > 1"))
     small = keyed.join(sized.filter(F.col("n") <= pair_limit), ["t", "masked"]).select("t", "masked", "fp")
     other = small.withColumnRenamed("fp", "other")
