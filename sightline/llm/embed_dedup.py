@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed
+from sightline.llm.common import checkpointed, smallest_hashes
 from sightline.llm.graph import connected_components
 
 #: Vectors that the rotation is learnt from at most: those with the smallest hash of their id.
@@ -194,7 +194,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = TABLES,
     # One quantiser for each dimension; the dimensions of a table are few.
     for d in [r["d"] for r in classes.select("d").distinct().collect()]:
         of_d = classes.filter(F.col("d") == d)
-        sample = of_d.orderBy(F.xxhash64("x"), "label").limit(sample_rows).select("x").toPandas()
+        sample = smallest_hashes(of_d, F.xxhash64("x"), sample_rows, "label").select("x").toPandas()
         quantiser = Quantiser.fit(np.stack(sample["x"].to_numpy()))
         e, c = _of_one_dimension(of_d, spark.sparkContext.broadcast(quantiser), quantiser.substrings(tables), least)
         edges, counts = (e, c) if edges is None else (edges.unionByName(e), counts.unionByName(c))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, texts
+from sightline.llm.common import checkpointed, smallest_hashes, texts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_punct")
 #: Rows that the trees are fitted on at most: those with the smallest hash of their id.
@@ -164,7 +164,8 @@ class Trees:
 def fit_quality(counted: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Trees fitted on the labelled rows with the smallest hash of their id, ``sample_rows`` at most."""
     own = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = counted.join(own, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample_rows).select("quality", *COUNTS).toPandas()
+    sample = smallest_hashes(counted.join(own, "doc_id"), F.xxhash64("doc_id"), sample_rows, "doc_id", "h")
+    rows = sample.select("quality", *COUNTS).toPandas()
     x = features({c: rows[c].to_numpy(float) for c in COUNTS})
     return Trees.fit(x, rows["quality"].to_numpy(float), tuple(m for _, m in FEATURES))
 

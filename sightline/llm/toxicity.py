@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, texts
+from sightline.llm.common import checkpointed, smallest_hashes, texts
 
 #: Labelled rows that the machine is fitted on at most, those with the smallest hash of their id.
 SAMPLE_ROWS = 16_000
@@ -139,11 +139,8 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
     """A machine fitted on labelled rows that aren't held out, ``sample_rows`` at most."""
-    own = (
-        labels.filter("toxic is not null").filter(~held_out(F.col("doc_id")))
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    )
+    known = labels.filter("toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    own = smallest_hashes(known, F.xxhash64("doc_id"), sample_rows, "doc_id")
     rows = checkpointed(_terms(texts(docs).join(F.broadcast(own), "doc_id")))
     used = best_terms(rows)
     few = rows.select("h", "toxic", F.array_intersect("terms", F.lit(used.tolist()).cast("array<int>")).alias("terms"))
