@@ -139,7 +139,11 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, see
     """One row of each component, all columns kept: the smallest doc_id's, of several of
     these that with the smallest hash of its text. Components without any doc_id keep one
     row for each fingerprint."""
-    found = _components(docs, distance, width, seed, n_blocks)
+    return least_rows(docs, _components(docs, distance, width, seed, n_blocks))
+
+
+def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, by ``found``: doc_id, h, fp, component_id of every row."""
     nameless = F.when(F.col("component_id").isNull(), F.col("fp"))
     stay = found.groupBy("component_id", nameless.alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x")).select("x.doc_id", "x.h")
     stay = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("h").alias("_h"))
