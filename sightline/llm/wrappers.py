@@ -36,7 +36,7 @@ FURNITURE_WORDS = frozenset(
     "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags teaser toolbar topbar widget widgets".split()
 )
 ARTICLE_WORDS = frozenset("article main entry post story content".split())
-REGION_TAGS = frozenset("#root html body article section header hgroup main div table td".split())
+MARKS = FURNITURE_WORDS | {"main"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -44,7 +44,8 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 def _key(tag: str, attributes: str) -> tuple[str, bool]:
-    """A tag with the words of its class, id and role, and whether it is hidden."""
+    """A tag with the words of its class, id and role, and whether it is hidden. All words
+    that decide about furniture and articles are kept, and six others."""
     words, hidden = set(), False
     if attributes.strip():
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -53,7 +54,8 @@ def _key(tag: str, attributes: str) -> tuple[str, bool]:
                 words.update(w for part in value.split() for w in _WORDS.findall(part))
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
-    return ".".join((tag, *sorted(words)[:6])), hidden
+    marks = words & MARKS
+    return ".".join((tag, *sorted(marks | {*sorted(words - marks)[: max(0, 6 - len(marks))]}))), hidden
 
 
 def parse(html: str) -> list[Any]:
