@@ -155,10 +155,30 @@ def is_article(key: str) -> bool:
 
 
 # A wrapper is [key, how often, pages, letters, linked letters, text, parts]: how often is one of
-# "1", "?", "+", "*"; key "#" is a text, whose text is kept while all pages agree on it.
-def wrapper_of(node: list[Any]) -> list[Any]:
+# "1", "?", "+", "*"; key "#" is a text, whose hash is kept while all pages agree on it,
+# followed by hashes of up to CONSTANT_PAGES different pages.
+CONSTANT_PAGES = 4
+
+
+def _page_name(tree: list[Any]) -> int:
+    from xxhash import xxh64
+
+    found, todo = xxh64(), [tree]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            found.update(x[0].encode("utf-8", "surrogatepass") + b"\0")
+        else:
+            todo += x[1]
+    return found.intdigest()
+
+
+def wrapper_of(node: list[Any], page: int | None = None) -> list[Any]:
     """A page as a wrapper, with groups that follow each other folded."""
-    parts = [["#", "1", 1, len(x[0]), x[1], x[0][:200], []] if isinstance(x, tuple) else wrapper_of(x) for x in node[1]]
+    from xxhash import xxh64_intdigest
+
+    page = _page_name(node) if page is None else page
+    parts = [["#", "1", 1, len(x[0]), x[1], [xxh64_intdigest(x[0].encode("utf-8", "surrogatepass")), page], []] if isinstance(x, tuple) else wrapper_of(x, page) for x in node[1]]
     return [node[0], "1", 1, 0, 0, None, fold(parts)]
 
 
@@ -192,7 +212,7 @@ def align(a: list[Any], b: list[Any], same_page: bool = False) -> list[Any]:
     optional = a[1] in "?*" or b[1] in "?*"
     how = ("*" if optional else "+") if repeated else ("?" if optional else "1")
     pages = max(a[2], b[2]) if same_page else a[2] + b[2]
-    text = a[5] if a[5] == b[5] and not same_page else None
+    text = [a[5][0], *sorted({*a[5][1:], *b[5][1:]})[:CONSTANT_PAGES]] if a[5] and b[5] and a[5][0] == b[5][0] and not same_page else None
     return [a[0], how, pages, a[3] + b[3], a[4] + b[4], text, align_parts(a[6], b[6], same_page)]
 
 
@@ -243,47 +263,74 @@ def to_regex(w: list[Any]) -> str:
     return inner if w[1] == "1" else f"({inner}){w[1]}"
 
 
-def rules_of(w: list[Any], constant_pages: int = 4) -> dict[str, list[str]]:
+def rules_of(w: list[Any], constant_pages: int = CONSTANT_PAGES) -> dict[str, list[str]]:
     """Where the article is: paths of its regions, and paths of furniture within.
 
-    Articles and main elements with text outside furniture are the regions. Without any,
-    it is the smallest element that holds most of the text that isn't links. Texts within
-    the regions that all of several pages share word for word are furniture, if others vary.
+    All articles and main elements with text outside furniture are the regions, and they are
+    taken whole. Without any, or if they hold little of the page, it is also the smallest
+    element that holds all texts that vary between pages and aren't links (all texts, if
+    little varies). In this one, texts that all of several different pages of the host share
+    word for word are furniture, if the other texts outweigh them, and so are its children
+    that hold links only.
     """
-    regions: list[tuple[str, float]] = []
-    weights: list[tuple[str, float, int]] = []
-    slots: list[tuple[str, bool]] = []
+    regions: dict[str, float] = {}
+    pages: dict[str, int] = {}
+    slots: list[tuple[str, list[Any]]] = []
 
-    def mass(x: list[Any], path: str, in_article: bool, depth: int) -> float:
+    def mass(x: list[Any], path: str, in_article: bool) -> float:
         if x[0] == "#":
-            slots.append((path, x[5] is not None and x[1] in "1?" and x[2] >= constant_pages))
+            slots.append((path, x))
             return max(0.0, x[3] - 2.0 * x[4]) / max(1, x[2])
         path = f"{path}/{x[0]}"
         if is_furniture(x[0], in_article):
             return 0.0
         own = is_article(x[0])
-        if own and not in_article:
-            regions.append((path, 0.0))
-            mine = len(regions) - 1
-        total = sum(mass(p, path, in_article or own, depth + 1) * (p[2] / max(1, x[2]) if p[2] < x[2] else 1) for p in x[6])
-        if own and not in_article:
-            regions[mine] = (path, total)
-        if x[0].split(".")[0] in REGION_TAGS:
-            weights.append((path, total, depth))
+        pages[path] = pages.get(path, 0) + x[2]
+        first = len(slots)
+        total = sum(mass(p, path, in_article or own) * (p[2] / max(1, x[2]) if p[2] < x[2] else 1) for p in x[6])
+        if own and not in_article and any(t[3] for _, t in slots[first:]):
+            regions[path] = regions.get(path, 0.0) + total
         return total
 
-    whole = mass(w, "", False, 0)
-    best = max((m for _, m in regions), default=0.0)
-    chosen = [p for p, m in regions if m > 0 and m >= 0.2 * best]
-    if not chosen or best < 0.15 * whole:
-        most = max((m for _, m, _ in weights), default=0.0)
-        deep = [(d, p) for p, m, d in weights if m > 0 and m >= 0.7 * most]
-        chosen = [max(deep)[1]] if deep else []
-    inside = [(p, c) for p, c in slots if any(p == r or p.startswith(r + "/") for r in chosen)]
-    varied = {p for p, c in inside if not c}
-    # A constant heading is a title that happens to be shared; a path that varies anywhere is kept.
-    fixed = {p for p, c in inside if c and not re.search(r"/h[1-6][^/]*$", p)} - varied if varied else set()
-    return {"regions": sorted(set(chosen)), "fixed": sorted(fixed)}
+    whole = mass(w, "", False)
+    chosen, fixed = set(regions), set()
+    if not chosen or sum(regions.values()) < 0.15 * whole:
+        linked = {p: 2 * sum(x[4] for q, x in slots if q == p) >= sum(x[3] for q, x in slots if q == p) for p in {p for p, _ in slots}}
+
+        def constant(x: list[Any], region_pages: int) -> bool:
+            return x[5] is not None and x[1] == "1" and x[2] >= region_pages and len(x[5]) > constant_pages
+
+        text = [(p, x) for p, x in slots if not linked[p]] or slots
+        heading = re.compile(r"/h[1-6][^/]*$").search
+        varying = [(p, x[3]) for p, x in text if not constant(x, w[2])]
+        # Where little but titles varies, pages are copies of each other and nothing is told apart.
+        outweigh = 2 * sum(n for p, n in varying if not heading(p)) > sum(x[3] for p, x in text if not heading(p))
+        region = _common_path([p for p, _ in varying] if outweigh else [p for p, _ in text])
+        if region:
+            inside = [(p, x) for p, x in slots if p == region or p.startswith(region + "/")]
+            shared = [(p, constant(x, pages[region]), x[3]) for p, x in inside if not linked[p]]
+            # A constant heading is a title that happens to be shared; a path that varies anywhere is kept.
+            varied = {p for p, c, _ in shared if not c}
+            same = {p for p, c, _ in shared if c and not heading(p)} - varied
+            if sum(n for p, _, n in shared if p in varied and not heading(p)) > sum(n for p, _, n in shared if p in same):
+                fixed |= same
+            branch = lambda p: p[len(region) :].split("/")[1:2]
+            with_text = [branch(p) for p, _, _ in shared]
+            if shared:
+                fixed |= {p for p, _ in inside if linked[p] and branch(p) not in with_text}
+            fixed = {p for p in fixed if not any(p == r or p.startswith(r + "/") for r in chosen)}
+            chosen.add(region)
+    return {"regions": sorted(chosen), "fixed": sorted(fixed)}
+
+
+def _common_path(paths: list[str]) -> str:
+    """The path of the smallest element that all paths lie in."""
+    found: list[str] = []
+    for parts in zip(*(p.split("/") for p in paths)):
+        if len({*parts}) > 1:
+            break
+        found.append(parts[0])
+    return "/".join(found)
 
 
 def main_text(tree: list[Any], rules: dict[str, list[str]]) -> str:

@@ -19,3 +19,32 @@ def test_markers_among_many_words():
     assert wrappers.extract(page, None) == "Body text Kept"
     page = "<body><div class='a b c d e f g main'><p>Body text</p></div><div class='x'><p>Other</p></div></body>"
     assert wrappers.extract(page, None) == "Body text"
+
+
+def test_texts_that_begin_alike_stay():
+    start = "The same beginning " * 15
+    for tag in ("article", "div"):
+        found = texts_of([f"<body><{tag}><h1>T{i}</h1><p>{start}end {i}</p><div class=x>more {i}</div></{tag}></body>" for i in range(8)])
+        assert all(f"end {i}" in t for i, t in enumerate(found))
+
+
+def test_copies_and_rare_parts_stay():
+    for tag in ("article", "div"):
+        pages = [f"<body><{tag}><h1>T{i}</h1><p>{f'word{i} ' * 30}</p></{tag}></body>" for i in range(20)]
+        copy = f"<body><{tag}><h1>C</h1><p>{'copied ' * 30}</p><blockquote>Only here</blockquote></{tag}></body>"
+        assert all("Only here" in t for t in texts_of([*pages, *[copy] * 5])[20:])
+        mirrors = [f"<body><{tag}><h1>M{i}</h1><p>{'one body ' * 30}</p></{tag}></body>" for i in range(8)]
+        assert all("one body" in t for t in texts_of(mirrors))
+
+
+def test_title_and_lead_beside_the_body_stay():
+    pages = [f"<body><div class=top>Brand</div><div class=content><h1>T{i}</h1><div class=lead>Lead {i}</div><div class=body><p>{f'word{i} ' * 60}</p></div></div><div class=s><a href=1>x{i}</a></div></body>" for i in range(8)]
+    for i, t in enumerate(texts_of(pages)):
+        assert t == f"T{i} Lead {i} " + " ".join([f"word{i}"] * 60)
+    alone = wrappers.extract(pages[0], None)
+    assert "T0 Lead 0 word0" in alone and "x0" not in alone
+
+
+def test_all_regions_stay():
+    page = f"<body><div><article class=update>Short</article></div><section><article>{'long text ' * 80}</article></section></body>"
+    assert wrappers.extract(page, None).startswith("Short long text")
