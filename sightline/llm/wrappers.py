@@ -2,24 +2,32 @@
 
 A page is a stream of tags and texts. Pages of one host are aligned with each other: texts
 that differ become slots, tags that only some pages have become optional groups, and equal
-groups that follow each other become repeated groups; there is no union. Wrappers of parts
-of a host are aligned with each other in the same way, so that a host of any size is
-reduced in steps and no task holds its pages together. The finished wrapper says which
-region holds the article and which parts of it are furniture; pages are then read by it.
+groups that follow each other become repeated groups; there is no union. Pages of one shape
+are counted together, which no order changes; shapes are then aligned in an order that
+their hashes set, in two steps, so that a host of any size has one result and no task holds
+its pages together. The finished wrapper says which region holds the article and which
+parts of it are furniture; pages are then read by it. Trees of any depth are walked without
+recursion, and a page is scanned once.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
+from math import isqrt
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import checkpointed
+
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
@@ -35,10 +43,13 @@ FURNITURE_WORDS = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup popular promo promoted promotion recommended "
     "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags teaser toolbar topbar widget widgets".split()
 )
-ARTICLE_WORDS = frozenset("article main entry post story content".split())
+#: A paragraph, heading or list item that has none but these words is furniture only if the wrapper agrees.
+WEAK_WORDS = frozenset("header popular recommended related search share sharing skip social tags teaser widget widgets".split())
+BLOCKS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 MARKS = FURNITURE_WORDS | {"main"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_PLAIN = re.compile(r"[^>\"']*")
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -58,6 +69,65 @@ def _key(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join((tag, *sorted(marks | {*sorted(words - marks)[: max(0, 6 - len(marks))]}))), hidden
 
 
+class _Scanner:
+    """The tags of a page in order; each character is looked at a fixed number of times.
+
+    An attribute's quotes are respected until one is never closed; from there on the next
+    ">" ends a tag. What no ">" follows is text.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last = html.rfind(">")
+        self.quotes = True
+        self.absent: set[str] = set()
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, tag or "" for other markup, whether it is an end tag, attributes) of the next tag."""
+        html = self.html
+        while 0 <= (start := html.find("<", at)) < self.last:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), "", False, ""
+            if html[start + 1] in "!?":
+                return start, html.find(">", start) + 1, "", False, ""
+            if m := _TAG.match(html, start + 1):
+                end = self._end(m.end())
+                return start, end + 1, m[2].lower(), bool(m[1]), html[m.end() : end]
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        end = self.html.find(">", at)
+        if end == at or ('"' not in (inside := self.html[at:end]) and "'" not in inside):
+            return end
+        here = at
+        while self.quotes:
+            here = _PLAIN.match(self.html, here).end()
+            if here < len(self.html) and self.html[here] == ">":
+                return here
+            close = self.html.find(self.html[here], here + 1) if here < len(self.html) else -1
+            if close < 0:
+                self.quotes = False
+            here = close + 1
+        return end
+
+    def closing(self, tag: str, at: int) -> int:
+        """Where the next end tag of ``tag`` starts, -1 if there is none."""
+        if tag in self.absent:
+            return -1
+        found = _closing(tag).search(self.html, at)
+        if not found or found.start() > self.last:
+            self.absent.add(tag)
+            return -1
+        return found.start()
+
+
+@lru_cache(1000)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile("</" + re.escape(tag) + r"(?=[\s/>]|\Z)", re.I | re.A)
+
+
 def parse(html: str) -> list[Any]:
     """The element tree: [key, children], children being elements or (text, linked letters).
 
@@ -67,8 +137,10 @@ def parse(html: str) -> list[Any]:
     """
     root: list[Any] = ["#root", []]
     stack: list[tuple[str, list]] = [("#root", root)]
+    opened: dict[str, int] = {}
     text: list[str] = []
-    linked, in_link, at, n = 0, False, 0, len(html)
+    scanner = _Scanner(html)
+    linked, in_link, at = 0, False, 0
 
     def add(part: str) -> None:
         nonlocal linked
@@ -88,56 +160,57 @@ def parse(html: str) -> list[Any]:
         linked = 0
 
     def close(tags: Any, barrier: frozenset) -> None:
+        if not any(map(opened.get, tags)):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
                 flush()
+                for t, _ in stack[i:]:
+                    opened[t] -= 1
                 del stack[i:]
                 return
             if stack[i][0] in barrier:
                 return
 
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, ending = m[2].lower(), bool(m[1])
+    while (found := scanner.next(at)) is not None:
+        start, end, tag, ending, attributes = found
+        add(html[at:start])
+        at = end
         if tag == "br":
             text.append("\n")
         elif tag in INLINE:
             if tag == "a":
                 in_link = not ending
-            if not ending and "hidden" in m[3] and _key(tag, m[3])[1] and (e := html.find("</" + m[2], at)) >= 0:
+            if not ending and "hidden" in attributes and _key(tag, attributes)[1] and (e := scanner.closing(tag, at)) >= 0:
                 at = e
         elif ending:
             flush()
             in_link = False
             close({tag}, frozenset())
         elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else (n if tag in ("script", "style", "textarea", "title") else at)
-        else:
+            e = scanner.closing(tag, at)
+            at = html.find(">", e) + 1 if e >= 0 else (len(html) if tag in ("script", "style", "textarea", "title") else at)
+        elif tag:
             flush()
             in_link = False
             if tag in CLOSES_P:
                 close({"p"}, SCOPE)
             if tag in SAME:
                 close(SAME[tag], SCOPE)
-            key, hidden = _key(tag, m[3])
+            key, hidden = _key(tag, attributes)
             node = [key + "!hidden" if hidden else key, []]
             stack[-1][1][1].append(node)
             if tag not in VOID:
                 stack.append((tag, node))
+                opened[tag] = opened.get(tag, 0) + 1
+    add(html[at:])
     flush()
     return root
 
 
-def is_furniture(key: str, in_article: bool) -> bool:
-    """Elements that hold no article text; a header within the article holds its title."""
+def is_furniture(key: str, in_article: bool) -> bool | None:
+    """Whether an element holds no article text; None if the wrapper has to tell. A header
+    within the article holds its title."""
     if key.endswith("!hidden"):
         return True
     tag, *words = key.split(".")
@@ -146,7 +219,9 @@ def is_furniture(key: str, in_article: bool) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
     bad = FURNITURE_WORDS.intersection(words)
-    return bool(bad - {"header"} if in_article else bad)
+    if in_article:
+        bad -= {"header"}
+    return None if bad and tag in BLOCKS and bad <= WEAK_WORDS else bool(bad)
 
 
 def is_article(key: str) -> bool:
@@ -154,49 +229,97 @@ def is_article(key: str) -> bool:
     return tag in ("article", "main") or "main" in words
 
 
-# A wrapper is [key, how often, pages, letters, linked letters, text, parts]: how often is one of
-# "1", "?", "+", "*"; key "#" is a text, whose hash is kept while all pages agree on it,
-# followed by hashes of up to CONSTANT_PAGES different pages.
+#: Rules of all hosts are broadcast up to so many bytes; beyond, they are joined, a host's pages dealt to FAN parts.
+BROADCAST_BYTES, FAN = 16_000_000, 32
+#: A text is shared by a host if it is on so many different pages and all pages agree on it.
 CONSTANT_PAGES = 4
 
 
-def _page_name(tree: list[Any]) -> int:
-    from xxhash import xxh64
-
-    found, todo = xxh64(), [tree]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, tuple):
-            found.update(x[0].encode("utf-8", "surrogatepass") + b"\0")
-        else:
-            todo += x[1]
-    return found.intdigest()
+class Wrapper:
+    """A part of a wrapper: an element with its parts, or a text (key "#").
 
+    ``how`` often it comes is one of "1", "?", "+", "*". While all pages agree on a text,
+    ``text`` is its hash, followed by the hashes of up to CONSTANT_PAGES different pages.
+    """
 
-def wrapper_of(node: list[Any], page: int | None = None) -> list[Any]:
-    """A page as a wrapper, with groups that follow each other folded."""
+    __slots__ = ("key", "how", "pages", "letters", "linked", "text", "parts")
+
+    def __init__(self, key: str, how: str, pages: int, letters: int, linked: int, text: list[int] | None, parts: list[Wrapper]) -> None:
+        self.key, self.how, self.pages, self.letters, self.linked, self.text, self.parts = key, how, pages, letters, linked, text, parts
+
+    def nodes(self) -> Iterator[tuple[int, Wrapper]]:
+        """(depth, part) of all parts in page order."""
+        todo = [(0, self)]
+        while todo:
+            depth, x = todo.pop()
+            yield depth, x
+            todo += [(depth + 1, p) for p in reversed(x.parts)]
+
+    def dump(self) -> str:
+        rows = [[depth, x.key, x.how, x.pages, x.letters, x.linked, x.text] for depth, x in self.nodes()]
+        return json.dumps(rows, separators=(",", ":"), ensure_ascii=False)
+
+    @classmethod
+    def load(cls, raw: str) -> Wrapper:
+        path: list[Wrapper] = []
+        for depth, *fields in json.loads(raw):
+            one = cls(*fields, [])
+            del path[depth:]
+            if path:
+                path[-1].parts.append(one)
+            path.append(one)
+        return path[0]
+
+    def shape(self) -> int:
+        """A name of the keys and repeats, equal for pages that differ in texts alone."""
+        from xxhash import xxh64
+
+        found = xxh64()
+        for depth, x in self.nodes():
+            found.update(f"{depth} {x.how}{x.key}\0".encode("utf-8", "surrogatepass"))
+        return found.intdigest() - (1 << 63)
+
+
+def _text_name(text: str) -> int:
     from xxhash import xxh64_intdigest
 
-    page = _page_name(node) if page is None else page
-    parts = [["#", "1", 1, len(x[0]), x[1], [xxh64_intdigest(x[0].encode("utf-8", "surrogatepass")), page], []] if isinstance(x, tuple) else wrapper_of(x, page) for x in node[1]]
-    return [node[0], "1", 1, 0, 0, None, fold(parts)]
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def fold(parts: list[Any], longest: int = 3) -> list[Any]:
+def wrapper_of(tree: list[Any]) -> Wrapper:
+    """A page as a wrapper, with groups that follow each other folded."""
+    order, todo = [], [tree]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [p for p in x[1] if not isinstance(p, tuple)]
+    names = [str(_text_name(p[0])) for x in order for p in x[1] if isinstance(p, tuple)]
+    page = _text_name(" ".join(names))
+    made: dict[int, Wrapper] = {}
+    for x in reversed(order):  # parts before what holds them
+        parts = [Wrapper("#", "1", 1, len(p[0]), p[1], [_text_name(p[0]), page], []) if isinstance(p, tuple) else made.pop(id(p)) for p in x[1]]
+        made[id(x)] = Wrapper(x[0], "1", 1, 0, 0, None, fold(parts))
+    return made[id(tree)]
+
+
+def fold(parts: list[Wrapper], longest: int = 3) -> list[Wrapper]:
     """Equal groups of up to ``longest`` parts in a row become one repeated group."""
     for size in range(1, longest + 1):
-        out: list[Any] = []
+        keys = [x.key for x in parts]
+        if not any(map(str.__eq__, keys, keys[size:])):
+            continue
+        out: list[Wrapper] = []
         i = 0
         while i < len(parts):
             group = parts[i : i + size]
-            keys, j = [g[0] for g in group], i + size
+            keys, j = [g.key for g in group], i + size
             if len(group) == size and len({*keys}) == size and "#" not in keys[:1]:
-                while [g[0] for g in parts[j : j + size]] == keys:
+                while [g.key for g in parts[j : j + size]] == keys:
                     group = [align(a, b, same_page=True) for a, b in zip(group, parts[j : j + size])]
                     j += size
             if j > i + size:
                 for g in group:
-                    g[1] = "+" if g[1] in "1+" else "*"
+                    g.how = "+" if g.how in "1+" else "*"
                 out += group
                 i = j
             else:
@@ -206,154 +329,258 @@ def fold(parts: list[Any], longest: int = 3) -> list[Any]:
     return parts
 
 
-def align(a: list[Any], b: list[Any], same_page: bool = False) -> list[Any]:
-    """One wrapper that both match."""
-    repeated = a[1] in "+*" or b[1] in "+*"
-    optional = a[1] in "?*" or b[1] in "?*"
+def align(a: Wrapper, b: Wrapper, same_page: bool = False) -> Wrapper:
+    """One wrapper that both match: parts in a common order are aligned, the others become optional."""
+    found = _both(a, b, same_page)
+    todo = [(a, b, found)]
+    while todo:
+        a, b, out = todo.pop()
+        i = j = 0
+        for p, q in _common([x.key for x in a.parts], [x.key for x in b.parts]):
+            out.parts += [_optional(x) for x in (*a.parts[i:p], *b.parts[j:q])]
+            one = _both(a.parts[p], b.parts[q], same_page)
+            out.parts.append(one)
+            if a.parts[p].parts or b.parts[q].parts:
+                todo.append((a.parts[p], b.parts[q], one))
+            i, j = p + 1, q + 1
+        out.parts += [_optional(x) for x in (*a.parts[i:], *b.parts[j:])]
+    return found
+
+
+def _both(a: Wrapper, b: Wrapper, same_page: bool) -> Wrapper:
+    """What is at the top of two aligned parts, without what they hold."""
+    repeated = a.how in "+*" or b.how in "+*"
+    optional = a.how in "?*" or b.how in "?*"
     how = ("*" if optional else "+") if repeated else ("?" if optional else "1")
-    pages = max(a[2], b[2]) if same_page else a[2] + b[2]
-    text = [a[5][0], *sorted({*a[5][1:], *b[5][1:]})[:CONSTANT_PAGES]] if a[5] and b[5] and a[5][0] == b[5][0] and not same_page else None
-    return [a[0], how, pages, a[3] + b[3], a[4] + b[4], text, align_parts(a[6], b[6], same_page)]
-
+    pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
+    text = None
+    if a.text and b.text and a.text[0] == b.text[0] and not same_page:
+        text = [a.text[0], *sorted({*a.text[1:], *b.text[1:]})[:CONSTANT_PAGES]]
+    return Wrapper(a.key, how, pages, a.letters + b.letters, a.linked + b.linked, text, [])
 
-def align_parts(a: list[Any], b: list[Any], same_page: bool) -> list[Any]:
-    """Parts in a common order are aligned, the others become optional."""
-    out: list[Any] = []
-    i = j = 0
-    for p, q in _common([x[0] for x in a], [x[0] for x in b]):
-        out += [_optional(x) for x in (*a[i:p], *b[j:q])]
-        out.append(align(a[p], b[q], same_page))
-        i, j = p + 1, q + 1
-    return out + [_optional(x) for x in (*a[i:], *b[j:])]
 
-
-def _optional(x: list[Any]) -> list[Any]:
-    return [x[0], "*" if x[1] in "+*" else "?", *x[2:]]
+def _optional(x: Wrapper) -> Wrapper:
+    return Wrapper(x.key, "*" if x.how in "+*" else "?", x.pages, x.letters, x.linked, x.text, x.parts)
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence; for very long rows, of one found greedily."""
+    """Places of a longest common subsequence. A row of its table is one number whose bits
+    say where it doesn't grow; every so many rows are kept, the rest are made again."""
     if a == b:
         return [(i, i) for i in range(len(a))]
-    if len(a) * len(b) > 250_000:
-        from difflib import SequenceMatcher
-
-        return [(x + k, y + k) for x, y, n in SequenceMatcher(None, a, b, autojunk=True).get_matching_blocks() for k in range(n)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    stop = 0
+    while stop < min(len(a), len(b)) - start and a[-1 - stop] == b[-1 - stop]:
+        stop += 1
+    head = [(i, i) for i in range(start)]
+    tail = [(len(a) - stop + i, len(b) - stop + i) for i in range(stop)]
+    rows, columns = a[start : len(a) - stop], b[start : len(b) - stop]
+    ones, where = (1 << len(columns)) - 1, dict.fromkeys(columns, 0)
+    for j, key in enumerate(columns):
+        where[key] |= 1 << j
+
+    def after(bits: int, some: list[str]) -> list[int]:
+        found = [bits]
+        for key in some:
+            both = found[-1] & where.get(key, 0)
+            found.append((found[-1] + both | found[-1] - both) & ones)
+        return found
+
+    step = 1 + isqrt(len(rows))
+    kept = [ones]
+    for i in range(0, len(rows), step):
+        kept.append(after(kept[-1], rows[i : i + step])[-1])
+    middle, j = [], len(columns)
+    for k in range(len(kept) - 2, -1, -1):
+        table = after(kept[k], rows[k * step : (k + 1) * step])
+        i = len(table) - 1
+        while i and j:
+            if table[i] >> (j - 1) & 1:
+                j -= 1
+            elif table[i - 1] >> (j - 1) & 1:
+                i, j = i - 1, j - 1
+                middle.append((start + k * step + i, start + j))
+            else:
+                i -= 1
+    return head + middle[::-1] + tail
 
 
-def to_regex(w: list[Any]) -> str:
+def to_regex(w: Wrapper) -> str:
     """The wrapper as an expression, for people."""
-    if w[0] == "#":
-        return "#" if w[1] == "1" else f"(#){w[1]}"
-    inner = " ".join([f"<{w[0]}>", *map(to_regex, w[6]), f"</{w[0].split('.')[0]}>"])
-    return inner if w[1] == "1" else f"({inner}){w[1]}"
+    out: list[str] = []
+    todo: list[Wrapper | str] = [w]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.key == "#":
+            out.append("#" if x.how == "1" else f"(#){x.how}")
+        else:
+            end = f"</{x.key.split('.')[0]}>"
+            out.append(f"<{x.key}>" if x.how == "1" else f"(<{x.key}>")
+            todo += [end if x.how == "1" else f"{end}){x.how}", *reversed(x.parts)]
+    return " ".join(out)
+
+
+class _Paths:
+    """The paths of a wrapper's elements as a tree; a path is known by a hash of its keys."""
 
+    def __init__(self) -> None:
+        self.name, self.parent, self.below, self.heading = [], [], [], []
+        self.at: dict[tuple[int, str], int] = {}
 
-def rules_of(w: list[Any], constant_pages: int = CONSTANT_PAGES) -> dict[str, list[str]]:
-    """Where the article is: paths of its regions, and paths of furniture within.
+    def child(self, parent: int, key: str) -> int:
+        if (parent, key) not in self.at:
+            self.at[parent, key] = len(self.name)
+            if parent >= 0:
+                self.below[parent].append(len(self.name))
+            self.name.append(path_name(self.name[parent] if parent >= 0 else 0, key))
+            self.parent.append(parent)
+            self.below.append([])
+            self.heading.append(key.split(".")[0] in HEADINGS)
+        return self.at[parent, key]
+
+    def number(self) -> None:
+        """Give each path its place in the tree and the end of what lies below it."""
+        self.first, self.end, todo, n = [0] * len(self.name), [0] * len(self.name), [0], 0
+        while todo:
+            x = todo.pop()
+            if x < 0:
+                self.end[~x] = n
+                continue
+            self.first[x], n = n, n + 1
+            todo += [~x, *reversed(self.below[x])]
+
+    def common(self, some: list[int]) -> int:
+        """The smallest element that all paths lie in: of the first and the last one."""
+        lo, hi = min(some, key=self.first.__getitem__), max(some, key=self.first.__getitem__)
+        while not self.first[lo] <= self.first[hi] < self.end[lo]:
+            lo = self.parent[lo]
+        return lo
+
+    def inside(self, path: int, region: int) -> bool:
+        return self.first[region] <= self.first[path] < self.end[region]
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def path_name(parent: int, key: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(f"{parent} {key}".encode("utf-8", "surrogatepass"))
+
+
+def _texts_below(x: Wrapper) -> list[Wrapper]:
+    return [p for _, p in x.nodes() if p.key == "#"]
+
+
+def _is_shared(x: Wrapper, pages: int, constant_pages: int) -> bool:
+    """Whether all of several different pages have one text word for word."""
+    return x.text is not None and x.how == "1" and x.pages >= pages and len(x.text) > constant_pages
+
+
+def rules_of(w: Wrapper, constant_pages: int = CONSTANT_PAGES) -> dict[str, list[int]]:
+    """Where the article is: paths of its regions, of texts that are furniture within, and
+    of elements that are furniture as a whole (``dropped``).
 
     All articles and main elements with text outside furniture are the regions, and they are
     taken whole. Without any, or if they hold little of the page, it is also the smallest
     element that holds all texts that vary between pages and aren't links (all texts, if
     little varies). In this one, texts that all of several different pages of the host share
     word for word are furniture, if the other texts outweigh them, and so are its children
-    that hold links only.
+    that hold links only. Blocks whose words only hint at furniture are furniture if their
+    texts are links for the greater part or are shared in this way.
     """
-    regions: dict[str, float] = {}
-    pages: dict[str, int] = {}
-    slots: list[tuple[str, list[Any]]] = []
-
-    def mass(x: list[Any], path: str, in_article: bool) -> float:
-        if x[0] == "#":
-            slots.append((path, x))
-            return max(0.0, x[3] - 2.0 * x[4]) / max(1, x[2])
-        path = f"{path}/{x[0]}"
-        if is_furniture(x[0], in_article):
-            return 0.0
-        own = is_article(x[0])
-        pages[path] = pages.get(path, 0) + x[2]
-        first = len(slots)
-        total = sum(mass(p, path, in_article or own) * (p[2] / max(1, x[2]) if p[2] < x[2] else 1) for p in x[6])
-        if own and not in_article and any(t[3] for _, t in slots[first:]):
-            regions[path] = regions.get(path, 0.0) + total
-        return total
-
-    whole = mass(w, "", False)
+    paths, slots, dropped = _Paths(), [], set()
+    pages: dict[int, int] = {}
+    # (part, path, place of what holds it, whether it begins an article, letters that count)
+    seen: list[list[Any]] = []
+    todo = [(w, -1, -1, False)]
+    while todo:
+        x, parent, holder, in_article = todo.pop()
+        if x.key == "#":
+            slots.append((parent, x))
+            seen.append([x, parent, holder, False, max(0.0, x.letters - 2.0 * x.linked) / max(1, x.pages)])
+            continue
+        path = paths.child(parent, x.key)
+        furniture = is_furniture(x.key, in_article)
+        if furniture is None:
+            own_texts = _texts_below(x)
+            furniture = 2 * sum(t.linked for t in own_texts) >= sum(t.letters for t in own_texts) or all(_is_shared(t, x.pages, constant_pages) for t in own_texts)
+            if furniture:
+                dropped.add(paths.name[path])
+        if furniture:
+            continue
+        own = is_article(x.key)
+        pages[path] = pages.get(path, 0) + x.pages
+        seen.append([x, path, holder, own and not in_article, 0.0])
+        todo += [(p, path, len(seen) - 1, in_article or own) for p in reversed(x.parts)]
+    paths.number()
+    regions: dict[int, float] = {}
+    with_text = [x.key == "#" and x.letters > 0 for x, *_ in seen]
+    for i in range(len(seen) - 1, -1, -1):
+        x, path, holder, begins, mass = seen[i]
+        if begins and with_text[i]:
+            regions[path] = regions.get(path, 0.0) + mass
+        if holder >= 0:
+            above = seen[holder][0]
+            seen[holder][4] += mass * (x.pages / max(1, above.pages) if x.pages < above.pages else 1)
+            with_text[holder] = with_text[holder] or with_text[i]
+    whole = seen[0][4] if seen else 0.0
     chosen, fixed = set(regions), set()
-    if not chosen or sum(regions.values()) < 0.15 * whole:
-        linked = {p: 2 * sum(x[4] for q, x in slots if q == p) >= sum(x[3] for q, x in slots if q == p) for p in {p for p, _ in slots}}
-
-        def constant(x: list[Any], region_pages: int) -> bool:
-            return x[5] is not None and x[1] == "1" and x[2] >= region_pages and len(x[5]) > constant_pages
-
+    if slots and (not chosen or sum(regions.values()) < 0.15 * whole):
+        letters: Counter = Counter()
+        links: Counter = Counter()
+        for p, x in slots:
+            letters[p] += x.letters
+            links[p] += x.linked
+        linked = {p: 2 * links[p] >= letters[p] for p in letters}
+        heading = paths.heading.__getitem__
         text = [(p, x) for p, x in slots if not linked[p]] or slots
-        heading = re.compile(r"/h[1-6][^/]*$").search
-        varying = [(p, x[3]) for p, x in text if not constant(x, w[2])]
+        varying = [(p, x.letters) for p, x in text if not _is_shared(x, w.pages, constant_pages)]
         # Where little but titles varies, pages are copies of each other and nothing is told apart.
-        outweigh = 2 * sum(n for p, n in varying if not heading(p)) > sum(x[3] for p, x in text if not heading(p))
-        region = _common_path([p for p, _ in varying] if outweigh else [p for p, _ in text])
-        if region:
-            inside = [(p, x) for p, x in slots if p == region or p.startswith(region + "/")]
-            shared = [(p, constant(x, pages[region]), x[3]) for p, x in inside if not linked[p]]
-            # A constant heading is a title that happens to be shared; a path that varies anywhere is kept.
-            varied = {p for p, c, _ in shared if not c}
-            same = {p for p, c, _ in shared if c and not heading(p)} - varied
-            if sum(n for p, _, n in shared if p in varied and not heading(p)) > sum(n for p, _, n in shared if p in same):
-                fixed |= same
-            branch = lambda p: p[len(region) :].split("/")[1:2]
-            with_text = [branch(p) for p, _, _ in shared]
-            if shared:
-                fixed |= {p for p, _ in inside if linked[p] and branch(p) not in with_text}
-            fixed = {p for p in fixed if not any(p == r or p.startswith(r + "/") for r in chosen)}
-            chosen.add(region)
-    return {"regions": sorted(chosen), "fixed": sorted(fixed)}
-
-
-def _common_path(paths: list[str]) -> str:
-    """The path of the smallest element that all paths lie in."""
-    found: list[str] = []
-    for parts in zip(*(p.split("/") for p in paths)):
-        if len({*parts}) > 1:
-            break
-        found.append(parts[0])
-    return "/".join(found)
-
-
-def main_text(tree: list[Any], rules: dict[str, list[str]]) -> str:
+        outweigh = 2 * sum(n for p, n in varying if not heading(p)) > sum(x.letters for p, x in text if not heading(p))
+        region = paths.common([p for p, _ in varying] if outweigh else [p for p, _ in text])
+        inside = [(p, x) for p, x in slots if paths.inside(p, region)]
+        shared = [(p, _is_shared(x, pages[region], constant_pages), x.letters) for p, x in inside if not linked[p]]
+        # A constant heading is a title that happens to be shared; a path that varies anywhere is kept.
+        varied = {p for p, c, _ in shared if not c}
+        same = {p for p, c, _ in shared if c and not heading(p)} - varied
+        if sum(n for p, _, n in shared if p in varied and not heading(p)) > sum(n for p, _, n in shared if p in same):
+            fixed |= same
+        starts = [(paths.first[b], b) for b in paths.below[region]]
+        branch = lambda p: bisect_right(starts, (paths.first[p], len(paths.name)))
+        branches = {branch(p) for p, _, _ in shared}
+        if shared:
+            fixed |= {p for p, _ in inside if linked[p] and branch(p) not in branches}
+        fixed = {p for p in fixed if not any(paths.inside(p, r) for r in chosen)}
+        chosen.add(region)
+    return {"regions": sorted(paths.name[p] for p in chosen), "fixed": sorted(paths.name[p] for p in fixed), "dropped": sorted(dropped)}
+
+
+def main_text(tree: list[Any], rules: dict[str, list[int]]) -> str:
     """The texts of a page's regions in page order, joined by a space."""
-    regions, fixed = set(rules["regions"]), set(rules["fixed"])
+    regions, fixed, dropped = (frozenset(rules[k]) for k in ("regions", "fixed", "dropped"))
     out: list[str] = []
-
-    def walk(x: list[Any], path: str, inside: bool, in_article: bool) -> None:
-        if is_furniture(x[0], in_article):
-            return
-        path = f"{path}/{x[0]}"
+    todo: list[tuple] = [(tree, 0, False, False)]
+    while todo:
+        x, parent, inside, in_article = todo.pop()
+        if isinstance(x, tuple):
+            if inside and parent not in fixed:
+                out.append(x[0])
+            continue
+        furniture, path = is_furniture(x[0], in_article), path_name(parent, x[0])
+        if furniture or (furniture is None and path in dropped):
+            continue
         inside, in_article = inside or path in regions, in_article or is_article(x[0])
-        for part in x[1]:
-            if not isinstance(part, tuple):
-                walk(part, path, inside, in_article)
-            elif inside and path not in fixed:
-                out.append(part[0])
-
-    walk(tree, "", False, False)
+        todo += [(part, path, inside, in_article) for part in reversed(x[1])]
     return " ".join(out)
 
 
-def extract(html: str, rules: dict[str, list[str]] | None) -> str:
+def extract(html: str, rules: dict[str, list[int]] | None) -> str:
     """A page's main text; a page that its host's wrapper finds nothing in has its own wrapper."""
     tree = parse(html)
     found = main_text(tree, rules) if rules else ""
@@ -364,44 +591,64 @@ def host(url: str = "url") -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _merge_rows(rows: list[str]) -> str:
-    found = None
-    for raw in sorted(rows):
-        one = json.loads(raw)
-        found = one if found is None else align(found, one)
-    return json.dumps(found, separators=(",", ":"), ensure_ascii=False)
-
-
 def infer(pages: DataFrame, fan: int = 32) -> DataFrame:
     """(host, wrapper): one wrapper for each host, over all its pages.
 
-    Each task aligns its own pages of a host; the results are aligned in two more steps,
-    so that the last one has at most ``fan`` of them for a host.
+    Each task counts its pages of one shape together. The shapes of a host are dealt to
+    ``fan`` parts by their hash, which also orders them; their wrappers are aligned within
+    the parts and then across them, one after another. Neither the order of pages nor their
+    partitioning changes the result.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
+        found: dict[tuple[str, int], Wrapper] = {}
+        held = 0
         for batch in batches:
             for name, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 one = wrapper_of(parse(html))
-                found[name] = align(found[name], one) if name in found else one
-            if len(found) > 20_000:
-                yield out(found)
-                found = {}
+                key = name, one.shape()
+                if key in found:
+                    found[key] = align(found[key], one)
+                else:
+                    found[key] = one
+                    held += sum(1 for _ in one.nodes())
+                if held > 500_000:
+                    yield out(found)
+                    found, held = {}, 0
         if found:
             yield out(found)
 
-    def out(found: dict[str, list]) -> pa.RecordBatch:
-        raw = [json.dumps(w, separators=(",", ":"), ensure_ascii=False) for w in found.values()]
-        return pa.record_batch([pa.array(found, pa.string()), pa.array(raw, pa.string())], names=["host", "wrapper"])
+    def out(found: dict[tuple[str, int], Wrapper]) -> pa.RecordBatch:
+        columns = [h for h, _ in found], [s for _, s in found], [w.dump() for w in found.values()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], names=["host", "shape", "wrapper"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted rows, those of one shape and then the shapes of one part as one row."""
+        at: tuple | None = None
+        whole: Wrapper | None = None
+        same: tuple[int, Wrapper] | None = None
 
-    def merge(group: pa.Table) -> pa.Table:
-        return pa.table({"host": [group.column("host")[0].as_py()], "wrapper": [_merge_rows(group.column("wrapper").to_pylist())]})
+        def row() -> pa.RecordBatch:
+            w = align(whole, same[1]) if whole else same[1]
+            return pa.record_batch([pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int64()), pa.array([w.dump()], pa.string())], names=["host", "shape", "wrapper"])
 
-    own = pages.select(host().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(part, "host string, wrapper string")
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(fan)))
-    once = salted.groupBy("host", "salt").applyInArrow(lambda t: merge(t), "host string, wrapper string")
-    return once.groupBy("host").applyInArrow(merge, "host string, wrapper string")
+        for batch in batches:
+            for name, salt, shape, raw in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "shape", "wrapper"))):
+                if at is not None and at != (name, salt):
+                    yield row()
+                    whole = same = None
+                at, one = (name, salt), Wrapper.load(raw)
+                if same and same[0] != shape:
+                    whole, same = align(whole, same[1]) if whole else same[1], None
+                same = (shape, align(same[1], one) if same else one)
+        if at is not None:
+            yield row()
+
+    schema = "host string, shape long, wrapper string"
+    own = pages.select(host().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(part, schema)
+    for salt in (F.pmod("shape", F.lit(fan)), F.lit(-1).cast("long")):
+        own = own.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").mapInArrow(merged, schema)
+    return own.select("host", "wrapper")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -415,9 +662,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     @pandas_udf("string")
     def rules(wrapper):
-        return wrapper.map(lambda w: json.dumps(rules_of(json.loads(w))))
+        return wrapper.map(lambda w: json.dumps(rules_of(Wrapper.load(w))))
 
-    ruled = infer(pages).select(F.col("host").alias("_host"), rules("wrapper").alias("rules"))
+    ruled = checkpointed(infer(pages).select("host", rules("wrapper").alias("rules")))
+    bytes_of_rules = ruled.agg(F.sum(F.octet_length("host") + F.octet_length("rules"))).first()[0] or 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Any] = {}
@@ -431,5 +679,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 found.append(extract(html, known.get(raw)))
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host().alias("_host"))
-    return own.join(ruled, "_host", "left").select("page_id", "url", "html", "rules").mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host().alias("host"))
+    if bytes_of_rules <= BROADCAST_BYTES:
+        ruled = own.join(F.broadcast(ruled), "host", "left")
+    else:  # pages of one host are dealt out, its rules go to all its parts
+        salt = F.pmod(F.xxhash64("html"), F.lit(FAN))
+        ruled = own.withColumn("salt", salt).join(ruled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAN - 1)).cast("array<long>"))), ["host", "salt"], "left")
+    return ruled.select("page_id", "url", "html", "rules").mapInArrow(work, "page_id long, url string, text string, n_chars long")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import time
+from functools import lru_cache
+
 from sightline.llm import wrappers
 
 
@@ -48,3 +52,77 @@ def test_title_and_lead_beside_the_body_stay():
 def test_all_regions_stay():
     page = f"<body><div><article class=update>Short</article></div><section><article>{'long text ' * 80}</article></section></body>"
     assert wrappers.extract(page, None).startswith("Short long text")
+
+
+def test_depth_and_open_tags():
+    n = 10_000
+    for tag in ("div", "p", "li", "section", "span"):
+        assert wrappers.extract(f"<article>{f'<{tag}>' * n}deep{f'</{tag}>' * n}<p>after</p></article>", None) == "deep after"
+    a, b = (wrappers.wrapper_of(wrappers.parse("<div>" * n + x)) for x in ("one", "two"))
+    w = wrappers.Wrapper.load(wrappers.align(a, b).dump())
+    assert wrappers.to_regex(w).count("<div>") == n and wrappers.rules_of(w)["regions"]
+    began = time.time()
+    for bad in ("<a ", '<a x="', "<a x='\">", "<svg>", "<span hidden>", "<!--", "</svg ", "<script", "<p></x>", "<", '<a "', "<style>a"):
+        wrappers.extract("<p>text</p>" + bad * 100_000, None)
+    assert time.time() - began < 60
+    assert wrappers.extract("<p>a < b and <b>c</b> > d</p><p>end <a href='x", None) == "a < b and c > d end <a href='x"
+
+
+def test_longest_common_rows():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+
+        @lru_cache(None)
+        def longest(i: int, j: int) -> int:
+            if i == len(a) or j == len(b):
+                return 0
+            return 1 + longest(i + 1, j + 1) if a[i] == b[j] else max(longest(i + 1, j), longest(i, j + 1))
+
+        found = wrappers._common(a, b)
+        assert all(a[i] == b[j] for i, j in found) and len(found) == longest(0, 0)
+        assert all(p < r and q < s for (p, q), (r, s) in zip(found, found[1:]))
+    assert len(wrappers._common(list("ab") * 5_000, list("ba") * 5_000)) == 9_999
+
+
+def test_words_that_only_hint():
+    page = "<body><article><h1 class='header'>T</h1><p class='related'>In related work, more.</p><ul class='related'><li>Menu</li></ul><p class='tags'><a href=1>one tag</a></p><p class='advert'>Buy</p></article></body>"
+    assert wrappers.extract(page, None) == "T In related work, more."
+
+
+def template(i: int, rng: random.Random) -> tuple[str, str]:
+    """A page without landmarks, with parts that come and go, and its main text."""
+    words = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    blocks = [("h1", words(5))] + [(rng.choice(["p", "p", "h2", "blockquote"]), words(rng.randint(8, 40))) for _ in range(rng.randint(2, 7))]
+    body = "".join(f"<{t}>{x}</{t}>" + rng.choice(["", "", "<div class='ad'>Buy it now</div>", "<aside>Beside</aside>"]) for t, x in blocks)
+    menu = "".join(f"<li><a href=/{k}>Menu {k}</a></li>" for k in range(rng.randint(2, 5)))
+    comments = "".join(f"<div class=c><b>user</b><p>{words(12)}</p></div>" for _ in range(rng.randint(0, 3)))
+    html = (
+        f"<html><head><title>{words(3)}</title></head><body><div class=top><ul>{menu}</ul></div><div class=story>{body}</div>"
+        f"<div class=comments>{comments}</div>{rng.choice(['', '<form><p>Sign in</p></form>'])}<div class=footer>All rights reserved</div></body></html>"
+    )
+    return html, " ".join(x for _, x in blocks)
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(160):
+        html, text = template(i, rng)
+        rows.append((i, f"http://{'big' if i % 3 else 'small'}.example/{i}", html))
+        want[i] = text
+    found = []
+    for parts in (1, 50):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        found.append({r["page_id"]: r["text"] for r in wrappers.extract_text(df).collect()})
+        assert {r["host"]: r["wrapper"] for r in wrappers.infer(df).collect()} == {r["host"]: r["wrapper"] for r in wrappers.infer(df.coalesce(1)).collect()}
+    assert found[0] == found[1] == want
+
+
+def test_rules_by_join(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/{i}", template(i, random.Random(i))[0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {tuple(r) for r in wrappers.extract_text(df).collect()}
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)
+    assert {tuple(r) for r in wrappers.extract_text(df).collect()} == want
