@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.arrays import Lists, bytes_of_words
 from sightline.llm.common import checkpointed, texts
 
 #: How byte-level BPE cuts a text before it merges.
@@ -47,38 +48,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(printable) else chr(next(rest)) for b in range(256)]
 
 
-class Lists:
-    """Lists of numbers in one array: ``n`` numbers each, from ``start`` on."""
-
-    def __init__(self, flat: np.ndarray, n: np.ndarray) -> None:
-        self.flat, self.n = flat, n.astype(np.int64)
-        self.start = np.cumsum(self.n) - self.n
-
-    def take(self, at: np.ndarray) -> Lists:
-        n = self.n[at]
-        first = np.cumsum(n) - n
-        return Lists(self.flat[np.repeat(self.start[at] - first, n) + np.arange(n.sum())], n)
-
-    def joined(self, n: np.ndarray) -> Lists:
-        """The first n[0] lists as one, the next n[1] as one, and so on."""
-        ends = np.concatenate(([0], np.cumsum(self.n)))[np.concatenate(([0], np.cumsum(n)))]
-        return Lists(self.flat, np.diff(ends))
-
-    def __add__(self, other: Lists) -> Lists:
-        return Lists(np.concatenate((self.flat, other.flat)), np.concatenate((self.n, other.n)))
-
-    def lists(self) -> list[list[int]]:
-        return [self.flat[a : a + n].tolist() for a, n in zip(self.start, self.n)]
-
-
-def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all words, where each begins, and how many it has."""
-    words = words.cast(pa.large_binary())
-    _, ends, data = words.buffers()
-    at = np.frombuffer(ends, dtype=np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
-    return np.frombuffer(data or b"", dtype=np.uint8), at[:-1], np.diff(at)
-
-
 class Merges:
     """A byte-level BPE vocabulary: exact merging, and the bytes of each id."""
 
@@ -117,7 +86,7 @@ class Merges:
     def merge_many(self, pieces: pa.Array) -> Lists:
         """The ids of each piece. Always the pair of lowest rank merges first, the leftmost of
         equals; pieces of one length are rows of an array and take their steps together."""
-        data, start, sizes = _bytes(pieces)
+        data, start, sizes = bytes_of_words(pieces)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         for size in np.unique(sizes[sizes > 0]).tolist():
             at = np.flatnonzero(sizes == size)
@@ -281,7 +250,7 @@ class Lexicon:
     def find_many(self, words: pa.Array) -> np.ndarray:
         """The rank of each word in sorted order, -1 if it isn't there; words of one length walk together."""
         key, target, skip, final = (self.arrays[name] for name in self.FIELDS[:4])
-        data, start, sizes = _bytes(words)
+        data, start, sizes = bytes_of_words(words)
         out = np.full(len(sizes), -1)
         for size in np.unique(sizes[sizes > 0]).tolist() if len(key) else ():
             at = np.flatnonzero(sizes == size)
