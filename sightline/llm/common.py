@@ -57,11 +57,26 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def smallest_hashes(df: DataFrame, hashed, rows: int, *ties: str) -> DataFrame:
-    """The ``rows`` rows with the smallest hash. Counts first, and lets only about so many rows
-    into the sort, so that tasks don't each send that many."""
-    n, top = df.count(), 1 << 20
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def smallest_hashes(df: DataFrame, hashed, rows: int, *ties: str, buckets: int = 4096) -> DataFrame:
+    """The ``rows`` rows with the smallest hash, all if there are fewer. A histogram of the
+    hashes says which of them come into the sort, so that tasks don't each send that many."""
+    top = 1 << 20
     part = F.pmod(hashed, F.lit(top))
-    if n > 2 * rows:
-        df = df.filter(part < -(-top * 5 * rows // (4 * n)))
-    return df.orderBy(part, hashed, *ties).limit(rows)
+    bucket = F.floor(part * buckets / top).cast("long")
+    total, last = 0, -1
+    for row in df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).orderBy("bucket").collect():
+        total, last = total + row["n"], row["bucket"]
+        if total >= rows:
+            break
+    return df.filter(bucket <= last).orderBy(part, hashed, *ties).limit(rows)

@@ -10,44 +10,68 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, smallest_hashes, texts
+from sightline.llm.arrays import Lists
+from sightline.llm.common import checkpointed, smallest_hashes, texts, unused
 
 #: Labelled rows that the machine is fitted on at most, those with the smallest hash of their id.
 SAMPLE_ROWS = 16_000
 SLOTS = 1 << 18
 FACTORS = 6
 PREFIXES = (4, 5)
-#: The terms that tell the labels apart best stay, if their chi-square is at least LEAST_CHI.
-TERMS, LEAST_CHI = 4096, 12.0
+#: Terms in so many rows of the sample at least stay if their chi-square against the labels is so high,
+LEAST_ROWS, LEAST_CHI = 5, 12.0
+#: or that of a pair that they are in, which pairs among the most frequent terms of the sample and the strongest ones are tried for.
+FREQUENT, STRONGEST = 1536, 512
+#: Letters of text that are scored at once, about.
+LETTERS_AT_ONCE = 4_000_000
 TOXIC_FROM = 0.7
 
 _TRIM = re.compile(r"^\W+|\W+$")
 
 
-@lru_cache(200_000)
-def slots(word: str) -> tuple[int, ...]:
+def slots(word: str) -> list[int]:
     """The slots of a word without case and outer punctuation, and of its first 4 and 5 letters."""
     bare = _TRIM.sub("", word.lower())
     terms = [bare, *(f"{bare[:n]}~{n}" for n in PREFIXES if len(bare) > n)] if bare else []
-    return tuple(crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in terms)
-
-
-def slots_of(text: str) -> np.ndarray:
-    """The distinct slots of a whole text."""
-    found = set().union(*map(slots, set(text.split())))
-    return np.fromiter(found, dtype=np.int64, count=len(found))
+    return [crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in terms]
+
+
+def slots_of(texts: list[str], used: np.ndarray | None = None) -> Lists:
+    """The distinct slots of each whole text, in ascending order; of those ``used`` alone (a
+    boolean for each slot), if given. Each distinct word is hashed once."""
+    words = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+    n, words = words.value_lengths().to_numpy(), words.flatten().dictionary_encode()
+    of_word = [slots(w) for w in words.dictionary.to_pylist()]
+    if used is not None:
+        of_word = [[s for s in some if used[s]] for some in of_word]
+    found = Lists.of(of_word).take(words.indices.to_numpy()).joined(n)
+    key = np.unique(np.repeat(np.arange(len(n)), found.n) * SLOTS + found.flat)
+    return Lists(key % SLOTS, np.bincount(key // SLOTS, minlength=len(n)))
+
+
+def in_parts(texts: list[str], letters: int = LETTERS_AT_ONCE) -> Iterator[list[str]]:
+    """The texts in parts of about so many letters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= letters:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 class Machine:
-    """Bias, weights and vectors; a text's terms count in proportion to one over the root of their number."""
+    """Bias, and a weight and a vector for each slot."""
 
     def __init__(self, bias: float, weight: np.ndarray, factor: np.ndarray) -> None:
         self.bias, self.weight, self.factor = bias, weight, factor
@@ -57,14 +81,20 @@ class Machine:
     def empty(cls) -> Machine:
         return cls(0.0, np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32))
 
+    def scores(self, terms: Lists) -> np.ndarray:
+        """The chance of label 1 of each text, from its distinct slots."""
+        row = np.repeat(np.arange(len(terms.n)), terms.n)
+        add = lambda x: np.bincount(row, x[terms.flat], len(terms.n))
+        sums = np.column_stack([add(self.factor[:, k]) for k in range(FACTORS)])
+        margin = self.bias + add(self.weight) + 0.5 * ((sums**2).sum(axis=1) - add(self.square))
+        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
     def score(self, terms: np.ndarray) -> float:
-        """The chance of label 1, for a text's distinct slots."""
-        if not len(terms):
-            margin = self.bias
-        else:
-            v = self.factor[terms].sum(axis=0)
-            margin = self.bias + self.weight[terms].sum() + 0.5 * (float(v @ v) - self.square[terms].sum())
-        return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+        return float(self.scores(Lists(terms, np.array([len(terms)])))[0])
+
+    def used(self) -> np.ndarray:
+        """The slots that count at all, as a boolean for each."""
+        return (self.weight != 0) | (self.square != 0)
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], y: np.ndarray, used: np.ndarray, epochs: int = 6, rate: float = 0.3, decay: float = 3e-4, positive_cost: float = 4.0, seed: int = 1) -> Machine:
@@ -115,21 +145,50 @@ class Machine:
 def _terms(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [slots_of(t) for t in batch.column("text").to_pylist()]
+            found = [x for some in in_parts(batch.column("text").to_pylist()) for x in slots_of(some).lists()]
             yield pa.record_batch([batch.column("h"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["h", "toxic", "terms"])
 
     return docs.select(F.xxhash64("doc_id", "text").alias("h"), "toxic", "text").mapInArrow(work, "h long, toxic int, terms array<int>")
 
 
-def best_terms(rows: DataFrame) -> np.ndarray:
-    """The slots that tell the labels apart best by chi-square, sorted. Counted in Spark; the
-    driver gets TERMS of them at most."""
+def chi_square(n, n1, t, a):
+    """Of ``n`` rows, ``n1`` with label 1, how far the ``t`` rows with a term, ``a`` of them with
+    label 1, are from what chance gives. Of numbers, arrays or columns."""
+    cross = a * (n - n1 - (t - a)) - (t - a) * (n1 - a)
+    return n * cross * cross, t * (n - t) * float(n1) * float(n - n1)
+
+
+def best_terms(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(slots that tell the labels apart alone, slots that are tried in pairs), sorted.
+
+    Counted in Spark, over all rows of the sample, whose size bounds what the driver gets.
+    """
     n, n1 = (int(x or 0) for x in rows.agg(F.count("*"), F.sum("toxic")).first())
     counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("t"))
-    cross = F.col("a") * (n - n1 - (F.col("t") - F.col("a"))) - (F.col("t") - F.col("a")) * (n1 - F.col("a"))
-    chi = n * cross * cross / F.greatest(F.lit(1.0), F.col("t") * (n - F.col("t")) * float(n1) * float(n - n1))
-    top = counts.withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS)
-    return np.sort(np.array([r["term"] for r in top.select("term").collect()], dtype=np.int64))
+    up, down = chi_square(n, n1, F.col("t"), F.col("a"))
+    counts = checkpointed(counts.filter(F.col("t") >= LEAST_ROWS).withColumn("chi", up / F.greatest(F.lit(1.0), down)))
+    alone = counts.filter(F.col("chi") >= LEAST_CHI)
+    tried = counts.orderBy(F.desc("t"), "term").limit(FREQUENT).select("term").union(alone.orderBy(F.desc("chi"), "term").limit(STRONGEST).select("term"))
+    return tuple(np.unique(np.array([r["term"] for r in x.select("term").collect()], dtype=np.int64)) for x in (alone, tried))
+
+
+def paired_terms(rows: list[np.ndarray], y: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """The slots of ``tried`` that tell the labels apart in a pair, and better than both alone do."""
+    if not len(tried) or not len(rows):
+        return tried[:0]
+    x = np.zeros((len(rows), len(tried)), np.float32)
+    for i, r in enumerate(rows):
+        at = np.searchsorted(tried, r)
+        x[i, at[(at < len(tried)) & (tried[np.minimum(at, len(tried) - 1)] == r)]] = 1
+    t, a = (x.T @ x).astype(float), (x[y > 0].T @ x[y > 0]).astype(float)
+    up, down = chi_square(len(y), y.sum(), t, a)
+    chi = up / np.maximum(1.0, down)
+    alone = np.diag(chi)
+    # The bar rises with the number of pairs that are tried.
+    bar = LEAST_CHI + 2 * np.log(max(1, len(tried) * (len(tried) - 1) / 2))
+    good = (t >= LEAST_ROWS) & (chi >= bar) & (chi >= alone[:, None] + alone[None, :] + LEAST_CHI)
+    np.fill_diagonal(good, False)
+    return tried[good.any(axis=1)]
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -142,10 +201,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     known = labels.filter("toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     own = smallest_hashes(known, F.xxhash64("doc_id"), sample_rows, "doc_id")
     rows = checkpointed(_terms(texts(docs).join(F.broadcast(own), "doc_id")))
-    used = best_terms(rows)
-    few = rows.select("h", "toxic", F.array_intersect("terms", F.lit(used.tolist()).cast("array<int>")).alias("terms"))
+    alone, tried = best_terms(rows)
+    both = np.union1d(alone, tried)
+    few = rows.select("h", "toxic", F.array_intersect("terms", F.lit(both.tolist()).cast("array<int>")).alias("terms"))
     sample = few.orderBy("h").limit(sample_rows).toPandas()
-    return Machine.fit([np.sort(np.asarray(t, dtype=np.int64)) for t in sample["terms"]], sample["toxic"].to_numpy(float), used)
+    terms, y = [np.sort(np.asarray(t, dtype=np.int64)) for t in sample["terms"]], sample["toxic"].to_numpy(float)
+    return Machine.fit(terms, y, np.union1d(alone, paired_terms(terms, y, tried)))
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -160,9 +221,10 @@ def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
+        used = machine.used()
         for batch in batches:
-            found = [machine.score(slots_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(found, pa.float64())], names=["doc_id", "h", "score"])
+            found = [machine.scores(slots_of(some, used)) for some in in_parts(batch.column("text").to_pylist())]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(np.concatenate([*found, np.zeros(0)]))], names=["doc_id", "h", "score"])
 
     keyed = texts(docs).withColumn("h", F.xxhash64("text"))
     scored = keyed.mapInArrow(work, "doc_id long, h long, score double")
@@ -170,6 +232,9 @@ def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
-    found = scores(docs, labels, sample_rows).filter("predicted = 1").select(F.col("h").alias("_h")).distinct()
-    return docs.join(found, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h"), "left_anti")
+    """The rows of ``docs`` that are not predicted toxic, all columns as they were, whatever
+    their names. Rows with equal texts stay or go together, a null text counts as empty; an
+    empty table gives an empty result."""
+    (h,) = unused(docs, "h")
+    found = scores(docs, labels, sample_rows).filter("predicted = 1").select(F.col("h").alias(h)).distinct()
+    return docs.join(found, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(h), "left_anti")

@@ -369,6 +369,37 @@ def test_machine_learns_pairs():
     assert got[want].mean() > got[~want].mean() + 0.5
 
 
+def test_score_is_the_sum_over_terms_and_pairs():
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(-0.3, rng.normal(0, 0.3, toxicity.SLOTS), rng.normal(0, 0.3, (toxicity.SLOTS, toxicity.FACTORS)))
+    texts = ["", " \n", "One one, ONE!", "some other words here", "Grüße aus München (heute)", "x" * 3000, "a b a b a"]
+    found = machine.scores(toxicity.slots_of(texts))
+    for text, got in zip(texts, found):
+        terms = set()
+        for word in text.split():
+            bare = word.lower().strip("".join(c for c in word if not (c.isalnum() or c == "_")))
+            terms |= {bare, *(f"{bare[:n]}~{n}" for n in (4, 5) if len(bare) > n)} - {""}
+        at = sorted({zlib.crc32(w.encode()) % toxicity.SLOTS for w in terms})
+        margin = machine.bias + sum(machine.weight[i] for i in at) + sum(float(machine.factor[i] @ machine.factor[j]) for i in at for j in at if i < j)
+        assert abs(got - 1 / (1 + np.exp(-margin))) < 1e-9
+    used = np.zeros(toxicity.SLOTS, bool)
+    assert toxicity.slots_of(texts, used).n.tolist() == [0] * len(texts)
+
+
+def test_toxicity_of_a_balanced_pair(spark):
+    """Toxic if exactly one of two words is there: neither tells anything alone."""
+    rng = random.Random(6)
+    docs, labels, want = [], [], {}
+    for i in range(5000):
+        words = [f"w{rng.randrange(400)}" for _ in range(25)] + [w for w in ("insult", "group") if rng.random() < 0.5]
+        docs.append((i, " ".join(rng.sample(words, len(words)))))
+        want[i] = ("insult" in words) != ("group" in words)
+        labels.append((i, int(want[i])))
+    rows = toxicity.scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sum((r["score"] >= 0.5) == want[r["doc_id"]] for r in held) > 0.9 * len(held)
+
+
 def test_toxicity_held_out(spark, tmp_path):
     rng = random.Random(0)
     docs, labels = [], []
