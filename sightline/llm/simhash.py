@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, texts
+from sightline.llm.common import checkpointed, texts, unused
 from sightline.llm.graph import connected_components
 
 BITS = 64
@@ -144,12 +144,13 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, see
 
 def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, by ``found``: doc_id, h, fp, component_id of every row."""
+    i, h, nth = unused(docs, "id", "h", "nth")
     nameless = F.when(F.col("component_id").isNull(), F.col("fp"))
     stay = found.groupBy("component_id", nameless.alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x")).select("x.doc_id", "x.h")
-    stay = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("h").alias("_h"))
+    stay = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(i), F.col("h").alias(h))
     columns = docs.columns
-    hashed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = hashed.join(stay, ["_id", "_h"], "left_semi")
+    hashed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), h: F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = hashed.join(stay, [i, h], "left_semi")
     # Rows equal in both are repeats of one document; the join has sorted them already.
-    nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).filter("_nth = 1").select(*columns)
+    order = F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(0)))
+    return kept.withColumn(nth, order).filter(F.col(nth) == 1).select(*columns)

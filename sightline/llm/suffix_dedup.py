@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, texts
+from sightline.llm.common import checkpointed, texts, unused
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -375,9 +375,9 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     Bytes of a character that is cut in part go with it. Texts that nothing is cut from,
     null ones too, are left as they were.
     """
-    keyed = _keyed(docs)
-    spans = repeated_spans(keyed, length).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "z")).alias("_found"))
-    spans = spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_found")
+    k1, k2, spans_of = unused(docs, "k1", "k2", "found")
+    spans = repeated_spans(_keyed(docs), length).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "z")).alias(spans_of))
+    spans = spans.select(F.col("k1").alias(k1), F.col("k2").alias(k2), spans_of)
 
     @F.pandas_udf("string")
     def cut(texts, found):
@@ -392,8 +392,8 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
         return pd.Series([one(t, f) for t, f in zip(texts, found)], dtype=object)
 
-    k1, k2 = _keys(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    out = docs.join(spans, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left").withColumn("text", cut("text", "_found"))
+    own = _keys(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    out = docs.join(spans, (own[0] == F.col(k1)) & (own[1] == F.col(k2)), "left").withColumn("text", cut("text", spans_of))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        out = out.withColumn("n_chars", F.when(F.col(spans_of).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*docs.columns)

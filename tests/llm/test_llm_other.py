@@ -11,11 +11,14 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sightline.llm import embed_dedup, graph, quality, simhash, suffix_dedup, toxicity, warc, wrappers
+from sightline.llm import embed_dedup, graph, near_copies, quality, simhash, suffix_dedup, toxicity, warc, wrappers
+from sightline.llm.common import smallest_hashes
 from sightline.llm.queries import queries
-from tests.llm.test_llm_text import brute_fingerprint, brute_repeats, check_pieces, classes, ids_of
+from tests.llm.test_llm_near_copies import brute_components
+from tests.llm.test_llm_text import brute_repeats, check_pieces, ids_of
 
 PAGES = "page_id long, url string, html string, host string, rules string, digest string"
 
@@ -216,8 +219,8 @@ def test_pipeline(spark, data, tmp_path):
             want = {r["doc_id"] for r in toxicity.scores(docs, labels).collect() if not r["predicted"]}
             assert {r["doc_id"] for r in rows} == want
         elif name == "simhash_near_dedup":
-            ids = sorted(before)
-            group = classes(ids, [brute_fingerprint(before[d]["text"] or "") for d in ids], 2)
+            # The stage's rule: five-word shingles, similarity 0.8.
+            group = brute_components({d: r["text"] for d, r in before.items()})
             assert sorted(r["doc_id"] for r in rows) == sorted(set(group.values()))
         elif name == "suffix_array_dedup":
             ids = sorted(before)
@@ -238,3 +241,24 @@ def test_pipeline(spark, data, tmp_path):
 def test_spans_merge():
     assert suffix_dedup.merged([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
     assert simhash.fingerprint_of("") == 0
+
+
+CLASHING = "id h nth k1 k2 found _id _h _nth _k1 _k2 _found id_ fp n bits component_id rest bucket score kept predicted held_out toxic quality".split()
+
+
+def test_pipeline_functions_keep_clashing_columns(spark):
+    rows = [(i, "one text of some words " * (i % 3 + 12), *[7] * len(CLASHING)) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in CLASHING))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    for found in (quality.keep_good(docs, labels), toxicity.drop_toxic(docs, labels), simhash.drop_near_duplicates(docs), near_copies.drop_near_copies(docs), suffix_dedup.without_repeats(docs)):
+        assert found.columns == docs.columns
+        assert all(r[c] == 7 for r in found.collect() for c in CLASHING)
+    assert toxicity.drop_toxic(docs, labels).count() == 9
+
+
+def test_smallest_hashes(spark):
+    df = spark.range(1000).selectExpr("if(id < 900, 5, id) as k", "id")
+    want = sorted((r["h"] % (1 << 20), r["h"], r["id"]) for r in df.selectExpr("xxhash64(k) as h", "id").collect())
+    for rows in (0, 3, 500, 950, 5000):
+        found = smallest_hashes(df, F.xxhash64("k"), rows, "id").collect()
+        assert sorted(r["id"] for r in found) == sorted(i for _, _, i in want[:rows])
