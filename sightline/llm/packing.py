@@ -2,13 +2,13 @@
 
 Documents may be cut: whole windows of ``capacity`` come off each document first, and what
 remains of each is an item of 1 to ``capacity - 1`` tokens. A window that starts with the
-longest item left takes the multiset of remaining lengths that comes closest to filling
-it: a subset-sum over bitsets of reachable totals, with the counts backtracked. Since only
+longest item left takes the multiset of remaining lengths that leaves the least slack: a
+subset-sum over bitsets of reachable totals, with the counts backtracked. Since only
 lengths matter, the plan needs just their histogram, and a multiset is used as often as
-the counts allow; each such step uses up a length, so that a plan has at most
-``capacity`` steps whatever the number of documents. Lengths that no multiset brings up
-to a full window follow each other in one stream that is cut at the windows, and its last
-part is cut into powers of two, which need no padding.
+the counts allow, so that the plan's size does not depend on the number of documents. The
+windows with the most slack are then dissolved: their items follow each other in a stream
+that is cut to fill the slack of the others, and what is left of it, less than a window, is
+cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from sightline.llm.tokens import crc_of, word_encoder
 ROWS_IN_BUCKET = 50_000
 
 
-def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]] | None:
-    """(length, times) that add up to exactly ``room``, within the counts; None if nothing does."""
+def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
+    """(length, times), within the counts, whose total comes closest to ``room`` from below."""
     full, mask = 1 << room, (1 << (room + 1)) - 1
     steps, bits = [], 1
     for length in sorted((n for n in counts if n <= room and counts[n]), reverse=True):
@@ -40,9 +40,7 @@ def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]] | None:
             times = min(times, left)
             bits |= (bits << (length * times)) & mask
             left, times = left - times, times * 2
-    if not bits & full:
-        return None
-    chosen, rest = [], room
+    chosen, rest = [], bits.bit_length() - 1
     for length, before in reversed(steps):
         times = 0
         while not before >> rest & 1:
@@ -52,48 +50,75 @@ def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]] | None:
     return chosen
 
 
+def least_slack(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(lengths and times of a window, number of such windows): all items, each window with as
+    little slack as what is left allows."""
+    left, out = {n: c for n, c in histogram.items() if c}, []
+    while left:
+        longest = max(left)
+        left[longest] -= 1
+        window = dict(fill(left, capacity - longest))
+        left[longest] += 1
+        window[longest] = window.get(longest, 0) + 1
+        again = min(left[n] // c for n, c in window.items())
+        for n, c in window.items():
+            left[n] -= again * c
+            if not left[n]:
+                del left[n]
+        out.append((window, again))
+    return out
+
+
 class Plan:
     """Where the item of a given length and rank goes."""
 
     def __init__(self, histogram: dict[int, int], capacity: int) -> None:
-        self.capacity, self.windows = capacity, 0
-        left = {n: c for n, c in histogram.items() if c}
+        found = [(sum(n * c for n, c in window.items()), window, again) for window, again in least_slack(histogram, capacity)]
+        demand, supply, stream = sum((capacity - total) * again for total, _, again in found), 0, {}
+        kept = []
+        for total, window, again in sorted(found, key=lambda x: -x[0]):
+            kept.append([total, window, again])
+        while supply < demand:
+            total, window, again = kept[-1]
+            # Each window that goes takes its slack with it and adds its items.
+            gone = min(again, -(-(demand - supply) // capacity))
+            demand, supply = demand - gone * (capacity - total), supply + gone * total
+            for n, c in window.items():
+                stream[n] = stream.get(n, 0) + gone * c
+            kept[-1][2] -= gone
+            if not kept[-1][2]:
+                kept.pop()
         #: By length: first ranks of the steps, and (first window, times in a window, offset).
         self.first: dict[int, list[int]] = {}
         self.steps: dict[int, list[tuple[int, int, int]]] = {}
-        used, stream = dict.fromkeys(left, 0), {}
-        while left:
-            longest = max(left)
-            left[longest] -= 1
-            found = fill(left, capacity - longest)
-            left[longest] += 1
-            if found is None:  # nor will anything fill it later, when fewer are left
-                stream[longest] = left.pop(longest)
-                continue
-            window = dict(found)
-            window[longest] = window.get(longest, 0) + 1
-            again, offset = min(left[n] // c for n, c in window.items()), 0
+        #: Of the stream: where each kind of slack begins in it, and (first window, offset there, slack).
+        self.slack_first, self.slacks = [], []
+        used, self.windows, filled = dict.fromkeys(histogram, 0), 0, 0
+        for total, window, again in kept:
+            offset = 0
             for n, c in window.items():
                 self.first.setdefault(n, []).append(used[n])
                 self.steps.setdefault(n, []).append((self.windows, c, offset))
                 offset += n * c
                 used[n] += again * c
-                left[n] -= again * c
-                if not left[n]:
-                    del left[n]
+            if total < capacity:
+                self.slack_first.append(filled)
+                self.slacks.append((self.windows, total, capacity - total))
+                filled += again * (capacity - total)
             self.windows += again
+        self.filled = filled
         self.stream_first = {n: used[n] for n in stream}
         self.stream_base, total = {}, 0
         for n in sorted(stream):
             self.stream_base[n] = total
             total += n * stream[n]
-        self.stream_windows, rest = divmod(total, capacity)
-        self.tail = [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
-        self.tail_starts = [self.stream_windows * capacity + sum(self.tail[:i]) for i in range(len(self.tail))]
-
-    @property
-    def sequences(self) -> int:
-        return self.windows + self.stream_windows + len(self.tail)
+        rest = total - filled
+        tail = [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
+        for i, size in enumerate(tail):
+            self.slack_first.append(filled)
+            self.slacks.append((self.windows + i, 0, size))
+            filled += size
+        self.sequences = self.windows + len(tail)
 
     def place(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
         """(start in the item, length, sequence, offset) of each of its pieces."""
@@ -104,14 +129,11 @@ class Plan:
             return [(0, length, window + nth // times, offset + nth % times * length)]
         at, out, done = self.stream_base[length] + (rank - self.stream_first[length]) * length, [], 0
         while done < length:
-            here, whole = at + done, self.stream_windows * self.capacity
-            if here < whole:
-                nth, begin, size = here // self.capacity, here // self.capacity * self.capacity, self.capacity
-            else:
-                i = bisect_right(self.tail_starts, here) - 1
-                nth, begin, size = self.stream_windows + i, self.tail_starts[i], self.tail[i]
-            take = min(length - done, begin + size - here)
-            out.append((done, take, self.windows + nth, here - begin))
+            i = bisect_right(self.slack_first, at + done) - 1
+            window, offset, size = self.slacks[i]
+            nth, into = divmod(at + done - self.slack_first[i], size)
+            take = min(length - done, size - into)
+            out.append((done, take, window + nth, offset + into))
             done += take
         return out
 
@@ -139,7 +161,7 @@ def _lengths(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int)
 
 
 def _crcs_of_cuts(docs: DataFrame, cuts: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
-    """(k, start, length, cut_crc) of the pieces of items that were cut, from their texts."""
+    """(k, start, length, cut_crc) of the pieces (doc_id, k, start, length) of items that were cut, from their texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
@@ -152,8 +174,11 @@ def _crcs_of_cuts(docs: DataFrame, cuts: DataFrame, tokenizer: str, end_id: int
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int64()] * 3)], names=["k", "start", "length", "cut_crc"])
 
-    wanted = cuts.groupBy("k").agg(F.collect_set(F.struct("start", "length")).alias("wanted"))
-    held = docs.select("k", "text").join(wanted, "k").groupBy("k").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    # Of copies of a text, one is encoded again.
+    wanted = cuts.groupBy("k").agg(F.collect_set(F.struct("start", "length")).alias("wanted"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("of"))
+    wanted = wanted.select("k", "wanted", F.col("of.doc_id").alias("doc_id")).alias("w")
+    held = docs.alias("d").join(wanted, (F.col("d.k") == F.col("w.k")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.k", "d.text", "w.wanted")
+    held = held.groupBy("k").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     return held.select("k", "text", "wanted").mapInArrow(work, "k string, start long, length long, cut_crc long")
 
 
@@ -213,7 +238,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | No
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     pieces = placed.mapInArrow(work, "doc_id long, k string, start long, length long, crc long, doc_tokens long, sequence_id long, offset long")
-    cut = pieces.filter("crc is null").select("k", "start", "length").distinct()
+    cut = pieces.filter("crc is null").select("doc_id", "k", "start", "length")
     crcs = _crcs_of_cuts(keyed, cut, tokenizer, end_id)
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     whole = pieces.filter("crc is not null").withColumnRenamed("crc", "ids_crc32").select(*columns)

@@ -261,6 +261,30 @@ def test_plan(seed):
         assert sorted(cells) == list(range(n)) and (n == 64 or n & (n - 1) == 0)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_least_slack(seed):
+    """Each window against all multisets of what is left."""
+    rng = random.Random(seed)
+    left = Counter(rng.randint(1, 23) for _ in range(rng.randint(1, 9)))
+    for window, again in packing.least_slack(dict(left), 24):
+        items = list(left.elements())
+        longest = max(items)
+        items.remove(longest)
+        reach = {0}
+        for n in items:
+            reach |= {r + n for r in reach if r + n <= 24 - longest}
+        assert sum(n * c for n, c in window.items()) == longest + max(reach)
+        left -= Counter({n: c * again for n, c in window.items()})
+    assert not left
+
+
+def test_lengths_that_fill_nothing_share_windows():
+    """Most items stay whole: slack is filled from as few as it takes."""
+    plan = packing.Plan({3000: 1000, 700: 50}, 4096)
+    cut = sum(len(plan.place(n, i)) > 1 for n, c in ((3000, 1000), (700, 50)) for i in range(c))
+    assert plan.windows == 3035000 // 4096 and cut <= 262
+
+
 def test_bpe_odd(odd, none):
     from tokenizers import Tokenizer
 
