@@ -35,6 +35,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder as Parquet and read again: cut from its lineage like a
+    checkpoint, but compressed."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, marked for broadcasting if it has so many rows at most; beyond, joins shuffle.
+    For rows of a few numbers that are checkpointed or stored."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def filesystem(uri: str):
     """The pyarrow filesystem and the path there of a URI, for files that tasks read and write."""
     from pyarrow import fs

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, smallest_hashes, texts, unused
+from sightline.llm.common import broadcast_if_small, checkpointed, smallest_hashes, texts, unused
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_punct")
 #: Rows that the trees are fitted on at most: those with the smallest hash of their id.
@@ -196,6 +196,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     whatever their names. Rows that repeat a doc_id and text stay or go together, rows with
     a null doc_id by their text; an empty table gives an empty result."""
     i, h = unused(docs, "id", "h")
-    found = verdicts(docs, labels).filter("kept").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    gone = checkpointed(verdicts(docs, labels).filter("not kept").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct())
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (hashed == F.col(h)), "left_semi")
+    return docs.join(broadcast_if_small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (hashed == F.col(h)), "left_anti")

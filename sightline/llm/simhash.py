@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, texts, unused
+from sightline.llm.common import broadcast_if_small, checkpointed, texts, unused
 from sightline.llm.graph import connected_components
 
 BITS = 64
@@ -144,13 +144,23 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, see
 
 def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, by ``found``: doc_id, h, fp, component_id of every row."""
-    i, h, nth = unused(docs, "id", "h", "nth")
+    i, h, nth, many = unused(docs, "id", "h", "nth", "many")
+    found = checkpointed(found.select("doc_id", "h", "component_id", "fp"))
     nameless = F.when(F.col("component_id").isNull(), F.col("fp"))
-    stay = found.groupBy("component_id", nameless.alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x")).select("x.doc_id", "x.h")
-    stay = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(i), F.col("h").alias(h))
-    columns = docs.columns
-    hashed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), h: F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = hashed.join(stay, [i, h], "left_semi")
-    # Rows equal in both are repeats of one document; the join has sorted them already.
+    stay = found.groupBy("component_id", nameless.alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x")).select("x.doc_id", "x.h", F.lit(True).alias("stays"))
+    rows = found.groupBy("doc_id", "h").agg(F.count("*").alias("n")).alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.h") == F.col("s.h"))
+    # Most rows are alone in their component and unique: only the others are named.
+    named = rows.join(stay.alias("s"), same, "left").filter("stays is null or n > 1").select(F.col("r.doc_id").alias(i), F.col("r.h").alias(h), F.col("stays").isNotNull().alias(many))
+    named = checkpointed(named)
+    repeated = not named.filter(F.col(many)).isEmpty()
+    named = broadcast_if_small(named)
+    hashed = docs.withColumn(nth, F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = hashed.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(nth) == F.col(h)), "left")
+    alone = marked.filter(F.col(many).isNull()).select(*docs.columns)
+    if not repeated:
+        return alone
+    # Rows equal in both are repeats of one document: the first that is met stays.
     order = F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(0)))
-    return kept.withColumn(nth, order).filter(F.col(nth) == 1).select(*columns)
+    repeats = marked.filter(F.col(many)).withColumn(nth, order).filter(F.col(nth) == 1).select(*docs.columns)
+    return alone.unionByName(repeats)

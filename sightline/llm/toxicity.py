@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.arrays import Lists
-from sightline.llm.common import checkpointed, smallest_hashes, texts, unused
+from sightline.llm.common import broadcast_if_small, checkpointed, smallest_hashes, texts, unused
 
 #: Labelled rows that the machine is fitted on at most, those with the smallest hash of their id.
 SAMPLE_ROWS = 16_000
@@ -236,5 +236,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     their names. Rows with equal texts stay or go together, a null text counts as empty; an
     empty table gives an empty result."""
     (h,) = unused(docs, "h")
-    found = scores(docs, labels, sample_rows).filter("predicted = 1").select(F.col("h").alias(h)).distinct()
-    return docs.join(found, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(h), "left_anti")
+    gone = checkpointed(scores(docs, labels, sample_rows).filter("predicted = 1").select(F.col("h").alias(h)).distinct())
+    return docs.join(broadcast_if_small(gone), F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(h), "left_anti")
