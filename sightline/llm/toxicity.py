@@ -29,7 +29,7 @@ PREFIXES = (4, 5)
 #: Terms in so many rows of the sample at least stay if their chi-square against the labels is so high,
 LEAST_ROWS, LEAST_CHI = 5, 12.0
 #: or that of a pair that they are in, which pairs among the most frequent terms of the sample and the strongest ones are tried for.
-FREQUENT, STRONGEST = 1536, 512
+FREQUENT, STRONGEST = 768, 256
 #: Letters of text that are scored at once, about.
 LETTERS_AT_ONCE = 4_000_000
 TOXIC_FROM = 0.7
@@ -176,11 +176,15 @@ def paired_terms(rows: list[np.ndarray], y: np.ndarray, tried: np.ndarray) -> np
     """The slots of ``tried`` that tell the labels apart in a pair, and better than both alone do."""
     if not len(tried) or not len(rows):
         return tried[:0]
-    x = np.zeros((len(rows), len(tried)), np.float32)
-    for i, r in enumerate(rows):
-        at = np.searchsorted(tried, r)
-        x[i, at[(at < len(tried)) & (tried[np.minimum(at, len(tried) - 1)] == r)]] = 1
-    t, a = (x.T @ x).astype(float), (x[y > 0].T @ x[y > 0]).astype(float)
+    t, a = np.zeros((len(tried),) * 2), np.zeros((len(tried),) * 2)
+    for lo in range(0, len(rows), 1024):
+        x = np.zeros((len(rows[lo : lo + 1024]), len(tried)), np.float32)
+        for i, r in enumerate(rows[lo : lo + 1024]):
+            at = np.searchsorted(tried, r)
+            x[i, at[(at < len(tried)) & (tried[np.minimum(at, len(tried) - 1)] == r)]] = 1
+        toxic = x[y[lo : lo + 1024] > 0]
+        t += x.T @ x
+        a += toxic.T @ toxic
     up, down = chi_square(len(y), y.sum(), t, a)
     chi = up / np.maximum(1.0, down)
     alone = np.diag(chi)
