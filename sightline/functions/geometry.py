@@ -1,8 +1,8 @@
-"""Camera geometry as column expressions, all inside whole-stage code generation."""
+"""Camera geometry as column expressions; scalar arithmetic throughout, so that code is generated for it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,40 +12,30 @@ def camera_frame(x: Column, y: Column, z: Column) -> tuple[Column, Column, Colum
     return row(0), row(1), row(2)
 
 
-def distort(a: Column, b: Column) -> tuple[Column, Column]:
-    """Brown-Conrady distortion of normalised coordinates with k1, k2, p1, p2, k3."""
-    r2 = a * a + b * b
-    radial = 1 + r2 * (F.col("k1") + r2 * (F.col("k2") + r2 * F.col("k3")))
-    dx = 2 * F.col("p1") * a * b + F.col("p2") * (r2 + 2 * a * a)
-    dy = F.col("p1") * (r2 + 2 * b * b) + 2 * F.col("p2") * a * b
-    return a * radial + dx, b * radial + dy
-
-
-def distort_fisheye(a: Column, b: Column) -> tuple[Column, Column]:
-    """Equidistant distortion with four terms in k1, k2, p1, p2."""
-    r = F.sqrt(a * a + b * b)
-    t = F.atan(r)
-    t2 = t * t
-    bent = t * (1 + t2 * (F.col("k1") + t2 * (F.col("k2") + t2 * (F.col("p1") + t2 * F.col("p2")))))
-    scale = F.when(r > 1e-12, bent / r).otherwise(F.lit(1.0))
-    return a * scale, b * scale
-
-
-def project(x: Column, y: Column, z: Column, fisheye: bool = False) -> tuple[Column, Column, Column]:
-    """Pixel and depth of a world point; the pixel is null at depth zero."""
-    xc, yc, zc = camera_frame(x, y, z)
-    a, b = F.try_divide(xc, zc), F.try_divide(yc, zc)
-    u, v = (distort_fisheye if fisheye else distort)(a, b)
-    return F.col("fx") * u + F.col("cx"), F.col("fy") * v + F.col("cy"), zc
-
-
-def undistort_step(u: Column, v: Column, a: Column, b: Column) -> tuple[Column, Column]:
-    """One fixed-point step from the guess (a, b) towards the inverse of ``distort``."""
-    r2 = a * a + b * b
-    radial = 1 + r2 * (F.col("k1") + r2 * (F.col("k2") + r2 * F.col("k3")))
-    dx = 2 * F.col("p1") * a * b + F.col("p2") * (r2 + 2 * a * a)
-    dy = F.col("p1") * (r2 + 2 * b * b) + 2 * F.col("p2") * a * b
-    return (u - dx) / radial, (v - dy) / radial
+def with_pixels(rows: DataFrame, x: str = "x_coord", y: str = "y_coord", z: str = "z_coord") -> DataFrame:
+    """``rows`` (world points beside a camera's columns) with _u, _v and _depth: the pixel of each
+    point, null at depth zero, and its depth.
+
+    Brown-Conrady with k1, k2, p1, p2, k3, or the equidistant model with four terms in k1,
+    k2, p1, p2 where the camera's ``fisheye`` says so. Each step is a projection of its own
+    and uses the one before as seldom as it can: where a filter on pixels is moved below
+    them, all steps are written out in it.
+    """
+    c, square = F.col, lambda e: F.pow(e, F.lit(2.0))
+    xc, yc, zc = camera_frame(c(x), c(y), c(z))
+    rows = rows.withColumns({"_xc": xc, "_yc": yc, "_depth": zc})
+    rows = rows.withColumns({"_a": F.try_divide("_xc", "_depth"), "_b": F.try_divide("_yc", "_depth")})
+    rows = rows.withColumn("_r", F.sqrt(square(c("_a")) + square(c("_b"))))
+    rows = rows.withColumns({"_q": square(c("_r")), "_t": F.atan("_r")})
+    rows = rows.withColumn("_t2", square(c("_t")))
+    bent = c("_t") * (1 + c("_t2") * (c("k1") + c("_t2") * (c("k2") + c("_t2") * (c("p1") + c("_t2") * c("p2")))))
+    radial = 1 + c("_q") * (c("k1") + c("_q") * (c("k2") + c("_q") * c("k3")))
+    fisheye = F.coalesce("fisheye", F.lit(False))
+    rows = rows.withColumn("_s", F.when(fisheye, F.coalesce(F.try_divide(bent, c("_r")), F.lit(1.0))).otherwise(radial))
+    dx = F.when(fisheye, 0.0).otherwise(2 * c("p1") * c("_a") * c("_b") + c("p2") * (c("_q") + 2 * square(c("_a"))))
+    dy = F.when(fisheye, 0.0).otherwise(c("p1") * (c("_q") + 2 * square(c("_b"))) + 2 * c("p2") * c("_a") * c("_b"))
+    rows = rows.withColumns({"_u": c("fx") * (c("_a") * c("_s") + dx) + c("cx"), "_v": c("fy") * (c("_b") * c("_s") + dy) + c("cy")})
+    return rows.drop("_xc", "_yc", "_a", "_b", "_r", "_q", "_t", "_t2", "_s")
 
 
 def camera_centre() -> tuple[Column, Column, Column]:

@@ -24,83 +24,177 @@ def _turn(w: np.ndarray) -> np.ndarray:
     return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
 
 
-def _nearest_rotation(m: np.ndarray) -> np.ndarray:
+def _turns(w: np.ndarray) -> np.ndarray:
+    """Rotations of rotation vectors (rows)."""
+    angle = np.linalg.norm(w, axis=1)[:, None, None]
+    x, y, z = (w / np.maximum(angle[:, :, 0], 1e-300)).T
+    zero = np.zeros_like(x)
+    k = np.stack([zero, -z, y, z, zero, -x, -y, x, zero], axis=1).reshape(-1, 3, 3)
+    return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * (k @ k)
+
+
+def _nearest_rotations(m: np.ndarray) -> np.ndarray:
     u, _, vt = np.linalg.svd(m)
-    return u @ np.diag([1, 1, np.linalg.det(u @ vt)]) @ vt
+    u[:, :, 2] *= np.linalg.det(u @ vt)[:, None]
+    return u @ vt
 
 
-def _start(obj: np.ndarray, und: np.ndarray, flat: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A first pose: from the homography of a plane, or by direct linear transformation."""
-    x, y = und.T
-    p = np.column_stack([obj[:, :2] if flat else obj, np.ones(len(obj))])
+def _projective(p: np.ndarray, image: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """The 3-row matrices that take each group's homogeneous points ``p`` to its image points, up to scale."""
+    x, y = image[:, :, :1], image[:, :, 1:]
     zero = np.zeros_like(p)
-    a = np.vstack([np.hstack([p, zero, -x[:, None] * p]), np.hstack([zero, p, -y[:, None] * p])])
-    h = np.linalg.svd(a)[2][-1].reshape(3, -1)
-    if (h @ p.T)[2].mean() < 0:
-        h = -h
+    a = np.concatenate([np.concatenate([p, zero, -x * p], axis=2), np.concatenate([zero, p, -y * p], axis=2)], axis=1)
+    if weight is not None:
+        a = a * np.concatenate([weight, weight], axis=1)[:, :, None]
+    return np.linalg.svd(a)[2][:, -1].reshape(len(p), 3, -1)
+
+
+def _starts(obj: np.ndarray, und: np.ndarray, flat: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First poses: from the homography of a plane, or by direct linear transformation."""
+    p = np.concatenate([obj[:, :, :2] if flat else obj, np.ones((*obj.shape[:2], 1))], axis=2)
+    h = _projective(p, und)
+    h = h * np.where(np.einsum("gj,gnj->gn", h[:, 2], p).mean(axis=1) < 0, -1.0, 1.0)[:, None, None]
     if flat:
-        scale = (np.linalg.norm(h[:, 0]) + np.linalg.norm(h[:, 1])) / 2
-        h = h / scale
-        return _nearest_rotation(np.column_stack([h[:, 0], h[:, 1], np.cross(h[:, 0], h[:, 1])])), h[:, 2]
-    scale = np.cbrt(abs(np.linalg.det(h[:, :3]))) or 1.0
-    return _nearest_rotation(h[:, :3] / scale), h[:, 3] / scale
+        h = h / ((np.linalg.norm(h[:, :, 0], axis=1) + np.linalg.norm(h[:, :, 1], axis=1)) / 2)[:, None, None]
+        r = _nearest_rotations(np.stack([h[:, :, 0], h[:, :, 1], np.cross(h[:, :, 0], h[:, :, 1])], axis=2))
+        return r, h[:, :, 2] - r[:, :, 2] * obj[:, :1, 2]
+    scale = np.cbrt(np.abs(np.linalg.det(h[:, :, :3])))[:, None, None]
+    scale[scale == 0] = 1.0
+    return _nearest_rotations(h[:, :, :3] / scale), h[:, :, 3] / scale[:, :, 0]
 
 
-def solve_pose(obj: np.ndarray, und: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Rotation, translation and rmse (normalised units) of an object before a camera.
+def solve_poses(obj: np.ndarray, und: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rotations, translations, rmse (normalised units) and validity of many objects before
+    cameras, each of the same number of points: ``obj`` (groups, points, 3), ``und`` (groups, points, 2).
 
-    Planes need four points, other objects six; then Gauss-Newton steps on the reprojection.
+    Planes need four points, other objects six; then Gauss-Newton steps on the reprojection,
+    of all groups at once.
     """
-    flat = bool(np.ptp(obj[:, 2]) < 1e-6)
-    if len(obj) < (4 if flat else 6):
-        return None
-    r, t = _start(obj, und, flat)
-    if flat:
-        t = t + r[:, 2] * -obj[0, 2]
+    g, n = obj.shape[:2]
+    flat = np.ptp(obj[:, :, 2], axis=1) < 1e-6
+    ok = np.isfinite(obj).all(axis=(1, 2)) & np.isfinite(und).all(axis=(1, 2)) & np.where(flat, n >= 4, n >= 6)
+    r, t, rmse = np.tile(np.eye(3), (g, 1, 1)), np.zeros((g, 3)), np.full(g, np.nan)
+    for plane in (True, False):
+        which = np.flatnonzero(ok & (flat == plane))
+        if len(which):
+            r[which], t[which] = _starts(obj[which], und[which], plane)
+    live = np.flatnonzero(ok)
     for _ in range(rounds):
-        c = obj @ r.T + t
-        if (np.abs(c[:, 2]) < 1e-9).any():
-            return None
-        a, b, iz = c[:, 0] / c[:, 2], c[:, 1] / c[:, 2], 1 / c[:, 2]
-        res = np.concatenate([a - und[:, 0], b - und[:, 1]])
-        turned = c - t
-        du = np.column_stack([iz, np.zeros_like(iz), -a * iz])
-        dv = np.column_stack([np.zeros_like(iz), iz, -b * iz])
-        jac = np.vstack([np.hstack([np.cross(turned, d), d]) for d in (du, dv)])
-        step = np.linalg.lstsq(jac, -res, rcond=None)[0]
-        r, t = _turn(step[:3]) @ r, t + step[3:]
-        if np.abs(step).max() < 1e-12:
+        turned = np.einsum("gij,gnj->gni", r[live], obj[live])
+        c = turned + t[live][:, None]
+        bad = (np.abs(c[:, :, 2]) < 1e-9).any(axis=1)
+        ok[live[bad]] = False
+        live, turned, c = live[~bad], turned[~bad], c[~bad]
+        if not len(live):
             break
-    c = obj @ r.T + t
-    if (c[:, 2] <= 0).any():
-        return None
-    err = c[:, :2] / c[:, 2:] - und
-    return _nearest_rotation(r), t, float(np.sqrt((err**2).sum(axis=1).mean()))
+        iz = 1 / c[:, :, 2]
+        a, b, zero = c[:, :, 0] * iz, c[:, :, 1] * iz, np.zeros_like(iz)
+        res = np.concatenate([a - und[live, :, 0], b - und[live, :, 1]], axis=1)
+        d = np.concatenate([np.stack([iz, zero, -a * iz], axis=2), np.stack([zero, iz, -b * iz], axis=2)], axis=1)
+        jac = np.concatenate([np.cross(np.concatenate([turned, turned], axis=1), d), d], axis=2)
+        step = -np.einsum("gij,gj->gi", np.linalg.pinv(np.einsum("gni,gnj->gij", jac, jac), hermitian=True), np.einsum("gni,gn->gi", jac, res))
+        r[live], t[live] = _turns(step[:, :3]) @ r[live], t[live] + step[:, 3:]
+        live = live[np.abs(step).max(axis=1) >= 1e-12]
+    at = np.flatnonzero(ok)
+    c = np.einsum("gij,gnj->gni", r[at], obj[at]) + t[at][:, None]
+    ok[at[(c[:, :, 2] <= 0).any(axis=1)]] = False
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rmse[at] = np.sqrt((((c[:, :, :2] / c[:, :, 2:]) - und[at]) ** 2).sum(axis=2).mean(axis=1))
+    if len(at):
+        r[at] = _nearest_rotations(r[at])
+    return r, t, rmse, ok
+
+
+def solve_pose(obj: np.ndarray, und: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Rotation, translation and rmse of one object; None if it has no pose."""
+    r, t, rmse, ok = solve_poses(np.asarray(obj, float)[None], np.asarray(und, float)[None], rounds)
+    return (r[0], t[0], float(rmse[0])) if ok[0] else None
+
+
+def _views(points: DataFrame, fields: tuple[str, ...], keys: tuple[str, ...], least: int) -> DataFrame:
+    """(keys, n, v): the fields of each group's points one after another, in the order of the points."""
+    own = F.struct("keypoint_id", *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(fields)))
+    groups = points.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("p")).withColumn("n", F.size("p")).filter(F.col("n") >= least)
+    return groups.select(*keys, "n", F.flatten(F.transform("p", lambda x: F.array(*(x[f"f{i}"] for i in range(len(fields)))))).alias("v"))
+
+
+def _by_size(batch, width: int):
+    """(places, (groups, points, width) values) of the groups of each size in a batch."""
+    n, v = batch.column("n").to_numpy(), batch.column("v")
+    start = v.offsets.to_numpy()[:-1]
+    values = v.values.to_numpy(zero_copy_only=False)
+    for size in np.unique(n):
+        at = np.flatnonzero(n == size)
+        yield at, values[start[at][:, None] + np.arange(size * width)].reshape(len(at), size, width)
 
 
 def object_poses(undistorted: DataFrame, least: int = 4) -> DataFrame:
     """Pose of each object before each camera in each frame.
 
     ``undistorted`` has und_x, und_y and obj_loc_*. A group is one object in one image, as
-    small as the object; groups are gathered into rows, and one Arrow pass solves a batch.
+    small as the object; groups are gathered into rows, and one Arrow pass solves all
+    groups of one size in a batch together.
     """
-    z = F.coalesce("obj_loc_z", F.lit(0.0))
-    row = F.struct("keypoint_id", "obj_loc_x", "obj_loc_y", z.alias("obj_loc_z"), "und_x", "und_y")
-    groups = undistorted.filter("obj_loc_x is not null and obj_loc_y is not null").groupBy("cam_id", "sync_index", "object_id").agg(F.array_sort(F.collect_list(row)).alias("p")).filter(F.size("p") >= least)
+    keys = ("cam_id", "sync_index", "object_id")
+    seen = undistorted.filter("obj_loc_x is not null and obj_loc_y is not null").withColumn("obj_loc_z", F.coalesce("obj_loc_z", F.lit(0.0)))
+    groups = _views(seen, ("obj_loc_x", "obj_loc_y", "obj_loc_z", "und_x", "und_y"), keys, least)
 
     def solve(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            out = []
-            for cam, sync, obj, p in zip(pdf["cam_id"], pdf["sync_index"], pdf["object_id"], pdf["p"]):
-                v = np.array([[x[c] for c in ("obj_loc_x", "obj_loc_y", "obj_loc_z", "und_x", "und_y")] for x in p], dtype=float)
-                found = solve_pose(v[:, :3], v[:, 3:])
-                if found:
-                    out.append((cam, sync, obj, found[0].reshape(-1).tolist(), found[1].tolist(), found[2], len(v)))
-            yield pd.DataFrame(out, columns=["cam_id", "sync_index", "object_id", "r", "t", "rmse", "n"])
+        for batch in batches:
+            for at, x in _by_size(batch, 5):
+                r, t, rmse, ok = solve_poses(x[:, :, :3], x[:, :, 3:])
+                own = [batch.column(c).take(pa.array(at[ok])) for c in keys]
+                arrays = [pa.FixedSizeListArray.from_arrays(pa.array(a[ok].reshape(-1)), k).cast(pa.list_(pa.float64())) for a, k in ((r, 9), (t, 3))]
+                yield pa.record_batch([*own, *arrays, pa.array(rmse[ok]), pa.array(np.full(int(ok.sum()), x.shape[1]))], names=[*keys, "r", "t", "rmse", "n"])
+
+    return groups.mapInArrow(solve, POSE)
 
-    return groups.mapInPandas(solve, POSE)
+
+def board_tilts(points: DataFrame, limit: float = 5.0, least: int = 4) -> DataFrame:
+    """(cam_id, sync_index, object_id, direction, magnitude, rotation) of flat objects: how they lean,
+    from the homography of their place in the object, scaled to [0, 1], to the image.
+
+    Its perspective terms give direction (0 to 2 pi) and magnitude of the tilt, its affine
+    part the turn in the image. A second fit leaves out points that the first one puts
+    more than ``limit`` off, if four are left. Objects without a homography have no tilt (0, 0, 0).
+    """
+    keys = ("cam_id", "sync_index", "object_id")
+    flat = points.filter("obj_loc_x is not null and obj_loc_y is not null and img_loc_x is not null and img_loc_y is not null")
+    groups = _views(flat, ("obj_loc_x", "obj_loc_y", "img_loc_x", "img_loc_y"), keys, least)
+
+    def solve(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at, x in _by_size(batch, 4):
+                lo, span = x[:, :, :2].min(axis=1, keepdims=True), np.ptp(x[:, :, :2], axis=1)[:, None]
+                p = np.concatenate([(x[:, :, :2] - lo) / np.where(span < 1e-6, 1.0, span), np.ones((*x.shape[:2], 1))], axis=2)
+                # Pixels around their middle, so that the system is well scaled.
+                mid = x[:, :, 2:].mean(axis=1)
+                size = np.maximum(np.abs(x[:, :, 2:] - mid[:, None]).max(axis=(1, 2)), 1e-12)
+                image = (x[:, :, 2:] - mid[:, None]) / size[:, None, None]
+                h = _projective(p, image)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    seen = np.einsum("gij,gnj->gni", h, p)
+                    off = np.linalg.norm(seen[:, :, :2] / seen[:, :, 2:] - image, axis=2) * size[:, None]
+                    good = off <= limit
+                    again = (good.sum(axis=1) >= 4) & ~good.all(axis=1)
+                    if again.any():
+                        h[again] = _projective(p[again], image[again], good[again].astype(float))
+                    back = np.zeros_like(h)
+                    back[:, 0], back[:, 1], back[:, 2] = h[:, 0] * size[:, None] + h[:, 2] * mid[:, :1], h[:, 1] * size[:, None] + h[:, 2] * mid[:, 1:], h[:, 2]
+                    h = back / back[:, 2:, 2:]
+                none = ~np.isfinite(h).all(axis=(1, 2))
+                h[none] = np.eye(3)
+                u, _, vt = np.linalg.svd(h[:, :2, :2])
+                turn = u @ vt
+                full = 2 * np.pi
+                found = np.arctan2(h[:, 2, 1], h[:, 2, 0]) % full, np.hypot(h[:, 2, 0], h[:, 2, 1]), np.arctan2(turn[:, 1, 0], turn[:, 0, 0]) % full
+                yield pa.record_batch([*(batch.column(c).take(pa.array(at)) for c in keys), *(pa.array(np.where(none, 0.0, f)) for f in found)], names=[*keys, "direction", "magnitude", "rotation"])
+
+    return groups.mapInArrow(solve, "cam_id long, sync_index long, object_id long, direction double, magnitude double, rotation double")
 
 
 def relative_poses(poses: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -252,21 +346,20 @@ def stereo_errors(correspondences: DataFrame, pairs: DataFrame) -> DataFrame:
     ``correspondences``: x_a, y_a, x_b, y_b without distortion. Depths along both rays solve
     a 2x2 system in closed form, so that all of it is column arithmetic.
     """
-    rows = correspondences.join(F.broadcast(pairs.select("cam_a", "cam_b", "r", "t")), ["cam_a", "cam_b"])
-    ray_a = G.matvec(F.col("r"), F.array("x_a", "y_a", F.lit(1.0)))
-    rows = rows.withColumn("_d", ray_a).withColumn("_e", F.array("x_b", "y_b", F.lit(1.0)))
-    dot = lambda a, b: sum((F.element_at(a, i + 1) * F.element_at(b, i + 1) for i in range(3)), F.lit(0.0))
-    rows = rows.withColumns({"_dd": dot("_d", "_d"), "_de": dot("_d", "_e"), "_ee": dot("_e", "_e"), "_dt": dot("_d", "t"), "_et": dot("_e", "t")})
-    det = F.col("_dd") * F.col("_ee") - F.col("_de") * F.col("_de")
-    s = F.try_divide(F.col("_de") * F.col("_et") - F.col("_ee") * F.col("_dt"), det)
-    u = F.try_divide(F.col("_dd") * F.col("_et") - F.col("_de") * F.col("_dt"), det)
+    pose = pairs.select("cam_a", "cam_b", *(F.col("r")[i].alias(f"_r{i}") for i in range(9)), *(F.col("t")[i].alias(f"_t{i}") for i in range(3)))
+    rows = correspondences.join(F.broadcast(pose), ["cam_a", "cam_b"])
+    c = F.col
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b)), F.lit(0.0))
+    # The ray of camera a in camera b, the ray of camera b, and the way between the cameras.
+    rows = rows.withColumns({f"_d{i}": c(f"_r{3 * i}") * c("x_a") + c(f"_r{3 * i + 1}") * c("y_a") + c(f"_r{3 * i + 2}") for i in range(3)})
+    d, e, t = [c(f"_d{i}") for i in range(3)], [c("x_b"), c("y_b"), F.lit(1.0)], [c(f"_t{i}") for i in range(3)]
+    rows = rows.withColumns({"_dd": dot(d, d), "_de": dot(d, e), "_ee": dot(e, e), "_dt": dot(d, t), "_et": dot(e, t)})
+    det = c("_dd") * c("_ee") - c("_de") * c("_de")
+    rows = rows.withColumns({"_s": F.try_divide(c("_de") * c("_et") - c("_ee") * c("_dt"), det), "_u": F.try_divide(c("_dd") * c("_et") - c("_de") * c("_dt"), det)})
     # The middle of the shortest line between the rays, in camera b; back in camera a by R'.
-    rows = rows.withColumns({"_s": s, "_u": u}).filter("_s > 0 and _u > 0")
-    mid = F.array(*(((F.element_at("_d", i) * F.col("_s") + F.element_at("t", i)) + F.element_at("_e", i) * F.col("_u")) / 2 for i in (1, 2, 3)))
-    rows = rows.withColumn("_m", mid).withColumn("_n", F.array(*(F.element_at("_m", i) - F.element_at("t", i) for i in (1, 2, 3))))
-    back = F.array(*(sum((F.element_at("r", 3 * k + i + 1) * F.element_at("_n", k + 1) for k in range(3)), F.lit(0.0)) for i in range(3)))
-    rows = rows.withColumn("_p", back)
-    off = lambda p, x, y: (F.element_at(p, 1) / F.element_at(p, 3) - F.col(x)) ** 2 + (F.element_at(p, 2) / F.element_at(p, 3) - F.col(y)) ** 2
+    rows = rows.filter("_s > 0 and _u > 0").withColumns({f"_m{i}": ((d[i] * c("_s") + t[i]) + e[i] * c("_u")) / 2 for i in range(3)})
+    rows = rows.withColumns({f"_p{i}": dot([c(f"_r{3 * k + i}") for k in range(3)], [c(f"_m{k}") - c(f"_t{k}") for k in range(3)]) for i in range(3)})
+    off = lambda p, x, y: (c(f"{p}0") / c(f"{p}2") - c(x)) ** 2 + (c(f"{p}1") / c(f"{p}2") - c(y)) ** 2
     return rows.groupBy("cam_a", "cam_b").agg(F.sqrt(F.avg((off("_p", "x_a", "y_a") + off("_m", "x_b", "y_b")) / 2)).alias("rmse"), F.count("*").alias("n")).filter("n >= 4")
 
 

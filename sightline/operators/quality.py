@@ -268,5 +268,15 @@ def camera_quality(points: DataFrame, errors: DataFrame, world: DataFrame, camer
     return camera_errors(errors, cameras).join(seen, "cam_id", "left").join(depth_ratios(world, cameras).select("cam_id", "depth_ratio"), "cam_id").select("cam_id", F.coalesce("n_observed", F.lit(0)).alias("n_observed"), "n", "rmse", "depth_ratio")
 
 
+def marker_quality(frame_errors: DataFrame, errors: DataFrame, static_objects: Iterable[int] = ()) -> DataFrame:
+    """(object_id, is_static, reprojection_rmse, relative_rmse_pct, rmse_mm, n_pairs) of each object with
+    scale errors (those of scale_frame_errors), pooled over its frames; 0 px without residuals."""
+    seen = errors.groupBy("object_id").agg(F.sqrt(F.avg(F.col("euclidean_error") ** 2)).alias("px"))
+    pooled = lambda c: F.sqrt(F.try_divide(F.sum(c), F.sum("n_pairs")))
+    scale = frame_errors.groupBy("object_id").agg((pooled("relative_sse") * 100).alias("relative_rmse_pct"), (pooled("sse") * 1000).alias("rmse_mm"), F.sum("n_pairs").alias("n_pairs"))
+    out = scale.join(seen, "object_id", "left").withColumn("is_static", F.col("object_id").isin(list(static_objects)))
+    return out.select("object_id", "is_static", F.coalesce("px", F.lit(0.0)).alias("reprojection_rmse"), "relative_rmse_pct", "rmse_mm", "n_pairs")
+
+
 def static_world(points: DataFrame, static_objects: Iterable[int]) -> DataFrame:
     return collapse_static(points, static_objects)

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions import geometry as G
 from sightline.operators.filters import collapse_static, posed
@@ -15,26 +16,63 @@ from sightline.schema import IMAGE_KEY, POINT, STATIC_SYNC_INDEX, WORLD_KEY
 def with_camera(points: DataFrame, cameras: DataFrame, only_posed: bool = True) -> DataFrame:
     """Observations with their camera's columns; a rig has tens of cameras, which go to each task."""
     rig = posed(cameras) if only_posed else cameras
-    return points.join(F.broadcast(rig.drop("width", "height", "ignored", "fisheye")), "cam_id")
+    return points.join(F.broadcast(rig.drop("width", "height", "ignored")), "cam_id")
+
+
+def _without_distortion(u, v, k: dict, steps: int):
+    """Arrays of normalised coordinates without the distortion of a Brown-Conrady lens, by fixed-point steps."""
+    a, b = u, v
+    for _ in range(steps):
+        r2 = a * a + b * b
+        radial = 1 + r2 * (k["k1"] + r2 * (k["k2"] + r2 * k["k3"]))
+        dx = 2 * k["p1"] * a * b + k["p2"] * (r2 + 2 * a * a)
+        dy = k["p1"] * (r2 + 2 * b * b) + 2 * k["p2"] * a * b
+        a, b = (u - dx) / radial, (v - dy) / radial
+    return a, b
+
+
+def _without_fisheye(u, v, k: dict, steps: int):
+    """The same for an equidistant lens: Newton steps for the angle whose bent value is the radius."""
+    import numpy as np
+
+    bent = np.minimum(np.hypot(u, v), np.pi / 2)
+    t = bent
+    for _ in range(steps):
+        t2 = t * t
+        value = t * (1 + t2 * (k["k1"] + t2 * (k["k2"] + t2 * (k["p1"] + t2 * k["p2"])))) - bent
+        t = t - value / (1 + t2 * (3 * k["k1"] + t2 * (5 * k["k2"] + t2 * (7 * k["p1"] + t2 * 9 * k["p2"]))))
+    scale = np.where(bent > 1e-12, np.tan(t) / np.maximum(bent, 1e-12), 1.0)
+    return u * scale, v * scale
 
 
 def undistort(points: DataFrame, cameras: DataFrame, steps: int = 20) -> DataFrame:
-    """Observations with und_x, und_y, normalised image coordinates without distortion.
+    """Observations with und_x, und_y, normalised image coordinates without distortion, null
+    where a pixel is null; of both kinds of lenses. Cameras without intrinsics are left out.
 
-    Fixed-point steps over whole columns; each is a projection, so that expressions don't
-    nest. Fisheye cameras and cameras without intrinsics are left out.
+    One Arrow pass over batches; the inverse has no closed form.
     """
-    lenses = cameras.filter("fx is not null and not coalesce(fisheye, false)").select("cam_id", "fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3")
-    rows = points.join(F.broadcast(lenses), "cam_id")
-    rows = rows.withColumns({"_u": (F.col("img_loc_x") - F.col("cx")) / F.col("fx"), "_v": (F.col("img_loc_y") - F.col("cy")) / F.col("fy")})
-    guess = F.struct(F.col("_u").alias("a"), F.col("_v").alias("b"))
+    import pyarrow as pa
 
-    def step(g, _):
-        a, b = G.undistort_step(F.col("_u"), F.col("_v"), g["a"], g["b"])
-        return F.struct(a.alias("a"), b.alias("b"))
+    names = ("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3")
+    lenses = cameras.filter("fx is not null").select("cam_id", F.coalesce("fisheye", F.lit(False)).alias("_fisheye"), *(F.coalesce(n, F.lit(0.0)).alias(f"_{n}") for n in names))
+    rows = points.join(F.broadcast(lenses), "cam_id").select(*points.columns, "_fisheye", *(f"_{n}" for n in names))
+    kept = points.columns
 
-    found = rows.withColumn("_g", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), guess, step))
-    return found.select(*points.columns, F.col("_g.a").alias("und_x"), F.col("_g.b").alias("und_y"))
+    def work(batches):
+        import numpy as np
+
+        for batch in batches:
+            k = {n: batch.column(f"_{n}").to_numpy() for n in names}
+            u, v = ((batch.column(f"img_loc_{c}").to_numpy(zero_copy_only=False) - k[f"c{c}"]) / k[f"f{c}"] for c in "xy")
+            a, b = np.empty(len(u)), np.empty(len(u))
+            fisheye = batch.column("_fisheye").to_numpy(zero_copy_only=False).astype(bool)
+            for which, inverse in ((~fisheye, _without_distortion), (fisheye, _without_fisheye)):
+                if which.any():
+                    a[which], b[which] = inverse(u[which], v[which], {n: x[which] for n, x in k.items()}, steps)
+            out = [batch.column(n) for n in kept] + [pa.array(a, from_pandas=True), pa.array(b, from_pandas=True)]
+            yield pa.record_batch(out, names=[*kept, "und_x", "und_y"])
+
+    return rows.mapInArrow(work, T.StructType([*points.schema.fields, T.StructField("und_x", T.DoubleType()), T.StructField("und_y", T.DoubleType())]))
 
 
 def triangulate(points: DataFrame, cameras: DataFrame, static_objects: Iterable[int] = ()) -> DataFrame:
@@ -43,7 +81,8 @@ def triangulate(points: DataFrame, cameras: DataFrame, static_objects: Iterable[
     Each observation adds two rows to a point's linear system; their products are ten sums,
     combined before the shuffle, so that a static point seen in every frame is no hot key.
     One Arrow pass then takes the eigenvector of the smallest eigenvalue for each batch.
-    The frame's time is the mean over all its rows, null for static points.
+    The frame's time is the mean over all its rows, null for static points. Points at
+    infinity have null coordinates.
     """
     static = list(static_objects)
     rows = collapse_static(undistort(points, posed(cameras)), static)
@@ -62,27 +101,31 @@ def triangulate(points: DataFrame, cameras: DataFrame, static_objects: Iterable[
             for i, j in cells:
                 m[:, i, j] = m[:, j, i] = pdf[f"m{i}{j}"]
             v = np.linalg.eigh(m)[1][:, :, 0] if len(pdf) else np.empty((0, 4))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out = pdf[[*WORLD_KEY, "n_views"]].copy()
-                for k, c in enumerate(("x_coord", "y_coord", "z_coord")):
-                    out[c] = v[:, k] / v[:, 3]
+            far = np.abs(v[:, 3]) < 1e-12
+            out = pdf[[*WORLD_KEY, "n_views"]].copy()
+            for k, c in enumerate(("x_coord", "y_coord", "z_coord")):
+                out[c] = np.where(far, np.nan, v[:, k] / np.where(far, 1.0, v[:, 3]))
             yield out
 
     found = sums.mapInPandas(solve, "sync_index long, object_id long, keypoint_id long, n_views long, x_coord double, y_coord double, z_coord double")
     times = points.groupBy("sync_index").agg(F.avg("frame_time").alias("frame_time"))
+    found = found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("x_coord", "y_coord", "z_coord")})
     return found.join(times, "sync_index", "left").select(*WORLD_KEY, "x_coord", "y_coord", "z_coord", "frame_time", "n_views")
 
 
 def project(world: DataFrame, cameras: DataFrame) -> DataFrame:
     """Every world point in every posed camera: (keys, cam_id, img_loc_x, img_loc_y, depth)."""
-    rows = world.crossJoin(F.broadcast(posed(cameras)))
-    u, v, z = G.project(F.col("x_coord"), F.col("y_coord"), F.col("z_coord"))
-    return rows.select("sync_index", "cam_id", *POINT, u.alias("img_loc_x"), v.alias("img_loc_y"), z.alias("depth"), "width", "height")
+    rows = G.with_pixels(world.crossJoin(F.broadcast(posed(cameras))))
+    return rows.select("sync_index", "cam_id", *POINT, F.col("_u").alias("img_loc_x"), F.col("_v").alias("img_loc_y"), F.col("_depth").alias("depth"), "width", "height")
 
 
 def visible(projected: DataFrame) -> DataFrame:
-    """In front of the camera and within the image."""
-    return projected.filter("depth > 0 and img_loc_x >= 0 and img_loc_x < width and img_loc_y >= 0 and img_loc_y < height")
+    """In front of the camera and within the image.
+
+    Each pixel stands once in the condition: Spark moves it below the projection and so
+    writes the whole lens model out wherever a pixel stands.
+    """
+    return projected.filter("depth > 0 and floor(img_loc_x / width) = 0 and floor(img_loc_y / height) = 0")
 
 
 def facing(centre: tuple, normal: tuple) -> F.Column:
@@ -105,9 +148,8 @@ def matched(points: DataFrame, world: DataFrame, static_objects: Iterable[int] =
 
 def residuals(points: DataFrame, world: DataFrame, cameras: DataFrame, static_objects: Iterable[int] = ()) -> DataFrame:
     """(keys, error_x, error_y, euclidean_error): projected less observed, of matched rows of posed cameras."""
-    rows = with_camera(matched(points, world, static_objects).filter("x_coord is not null"), cameras)
-    u, v, _ = G.project(F.col("x_coord"), F.col("y_coord"), F.col("z_coord"))
-    out = rows.select(*IMAGE_KEY, (u - F.col("img_loc_x")).alias("error_x"), (v - F.col("img_loc_y")).alias("error_y"))
+    rows = G.with_pixels(with_camera(matched(points, world, static_objects).filter("x_coord is not null"), cameras))
+    out = rows.select(*IMAGE_KEY, (F.col("_u") - F.col("img_loc_x")).alias("error_x"), (F.col("_v") - F.col("img_loc_y")).alias("error_y"))
     return out.withColumn("euclidean_error", F.hypot("error_x", "error_y"))
 
 

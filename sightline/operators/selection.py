@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from sightline.functions.scalars import grid_cell, tilt_bin
 
 
+def frame_tilts(boards: DataFrame) -> DataFrame:
+    """(cam_id, sync_index, direction, magnitude): of each frame its most tilted object (poses.board_tilts)."""
+    best = boards.groupBy("cam_id", "sync_index").agg(F.max(F.struct("magnitude", (-F.col("object_id")).alias("o"), "direction")).alias("b"))
+    return best.select("cam_id", "sync_index", F.col("b.direction").alias("direction"), F.col("b.magnitude").alias("magnitude"))
+
+
 def select_frames(points: DataFrame, cameras: DataFrame, tilts: DataFrame, target: int = 30, least: int = 6, cells: int = 5) -> DataFrame:
     """(cam_id, sync_index, place): for each camera the best frame of each tilt direction, then frames
     that add most new grid cells, the earliest of equals.

@@ -17,16 +17,18 @@ ORACLES: dict[str, str] = {}
 
 RIG = rig.ring(4)
 #: The same rig with a camera that is ignored and one more that has no pose and sees nothing.
+#: The same rig with a fisheye camera.
+ROUND_RIG = rig.ring(4, fisheye=(2,))
 PART_RIG = [*rig.ring(4, ignored=(3,)), rig.ring(5, unposed=(4,))[4]]
 
 
 def query(sql: str | None = None):
-    """Registers a function under its name; the SQL may use obs, world, cams and part_cams."""
+    """Registers a function under its name; the SQL may use obs, world, cams, part_cams and round_cams."""
 
     def put(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            views = (("obs", events.OBSERVATIONS_SQL), ("world", events.WORLD_SQL), ("cams", rig.cameras_sql(RIG)), ("part_cams", rig.cameras_sql(PART_RIG)))
+            views = (("obs", events.OBSERVATIONS_SQL), ("world", events.WORLD_SQL), ("cams", rig.cameras_sql(RIG)), ("part_cams", rig.cameras_sql(PART_RIG)), ("round_cams", rig.cameras_sql(ROUND_RIG)))
             ORACLES[f.__name__] = "WITH " + ", ".join(f"{n} AS ({body})" for n, body in views) + (", " + sql.strip()[4:].lstrip() if sql.strip().upper().startswith("AND ") else " " + sql.strip())
         return f
 
@@ -337,6 +339,35 @@ def undistort_points(spark, sf_dir):
     return rounded(reconstruction.undistort(_seen(spark, sf_dir), cams_of(spark)).select(*IMAGE_KEY, "und_x", "und_y"))
 
 
+ROUND = """seen AS (SELECT *, atan(q) AS th, CASE WHEN q > 1e-12 THEN atan(q) / q ELSE 1 END AS bend FROM (SELECT *, sqrt(a * a + b * b) AS q FROM (SELECT w.*, c.*, xc / zc AS a, yc / zc AS b FROM (SELECT w.sync_index, w.object_id, w.keypoint_id, c.*,
+r0 * x_coord + r1 * y_coord + r2 * z_coord + t0 AS xc, r3 * x_coord + r4 * y_coord + r5 * z_coord + t1 AS yc, r6 * x_coord + r7 * y_coord + r8 * z_coord + t2 AS zc FROM world w CROSS JOIN round_cams c) w, (SELECT 1) c))),
+proj AS (SELECT *, CASE WHEN fisheye THEN a * bend * (1 + th ** 2 * (k1 + th ** 2 * (k2 + th ** 2 * (p1 + th ** 2 * p2)))) ELSE a * (1 + q ** 2 * (k1 + q ** 2 * (k2 + q ** 2 * k3))) + 2 * p1 * a * b + p2 * (q ** 2 + 2 * a * a) END AS da,
+CASE WHEN fisheye THEN b * bend * (1 + th ** 2 * (k1 + th ** 2 * (k2 + th ** 2 * (p1 + th ** 2 * p2)))) ELSE b * (1 + q ** 2 * (k1 + q ** 2 * (k2 + q ** 2 * k3))) + p1 * (q ** 2 + 2 * b * b) + 2 * p2 * a * b END AS db FROM seen)"""
+
+
+def round_cams_of(spark: SparkSession) -> DataFrame:
+    return rig.cameras(spark, ROUND_RIG)
+
+
+@query(f"AND {ROUND} SELECT sync_index, cam_id, object_id, keypoint_id, round(fx * da + cx, 6) + 0 AS img_loc_x, round(fy * db + cy, 6) + 0 AS img_loc_y FROM proj")
+def fisheye_projection(spark, sf_dir):
+    """Projection where one camera of the rig has a fisheye lens."""
+    return rounded(reconstruction.project(events.world(obs_of(spark, sf_dir)), round_cams_of(spark)).select(*IMAGE_KEY, "img_loc_x", "img_loc_y"))
+
+
+@query(f"AND {ROUND} SELECT sync_index, cam_id, object_id, keypoint_id, round(a, 6) + 0 AS und_x, round(b, 6) + 0 AS und_y FROM proj")
+def fisheye_undistort(spark, sf_dir):
+    seen = reconstruction.project(events.world(obs_of(spark, sf_dir)), round_cams_of(spark))
+    return rounded(reconstruction.undistort(seen, round_cams_of(spark)).select(*IMAGE_KEY, "und_x", "und_y"))
+
+
+@query("""SELECT sync_index, object_id, keypoint_id, round(x_coord, 5) + 0 AS x_coord, round(y_coord, 5) + 0 AS y_coord, round(z_coord, 5) + 0 AS z_coord FROM world SEMI JOIN (SELECT sync_index, object_id, keypoint_id FROM obs GROUP BY ALL HAVING count(*) >= 2) USING (sync_index, object_id, keypoint_id)""")
+def fisheye_triangulate(spark, sf_dir):
+    obs = obs_of(spark, sf_dir)
+    seen = reconstruction.project(events.world(obs), round_cams_of(spark)).select(*IMAGE_KEY, "img_loc_x", "img_loc_y").join(obs.select(*IMAGE_KEY, "frame_time"), IMAGE_KEY)
+    return rounded(reconstruction.triangulate(seen, round_cams_of(spark)).select(*WORLD_KEY, "x_coord", "y_coord", "z_coord"), 5)
+
+
 # --- trajectories ----------------------------------------------------------------------------------
 
 
@@ -469,6 +500,17 @@ def scale_by_object(spark, sf_dir):
     return rounded(quality.pooled_by_object(_scale(spark, sf_dir), [1]))
 
 
+@query(f"AND {OBJ}, {ERR} SELECT object_id, object_id = 1 AS is_static, round(coalesce(px, 0), 6) + 0 AS reprojection_rmse, round(sqrt(sum(relative_sse) / sum(n_pairs)) * 100, 6) + 0 AS relative_rmse_pct, round(sqrt(sum(sse) / sum(n_pairs)) * 1000, 6) + 0 AS rmse_mm, CAST(sum(n_pairs) AS BIGINT) AS n_pairs FROM sf LEFT JOIN (SELECT object_id, sqrt(avg(euclidean_error ** 2)) AS px FROM err GROUP BY 1) USING (object_id) GROUP BY object_id, px")
+def marker_quality(spark, sf_dir):
+    return rounded(quality.marker_quality(_scale(spark, sf_dir), _residuals(spark, sf_dir), [1]))
+
+
+@query(f"AND {OBJ} SELECT round(median(rmse) * 1000, 6) + 0 AS median_rmse_mm, arg_min(sync_index, (-rmse, sync_index)) AS worst_sync_index FROM (SELECT sync_index, object_id, round(rmse, 9) AS rmse FROM sf)")
+def scale_median_and_worst(spark, sf_dir):
+    frames = _scale(spark, sf_dir).withColumn("rmse", F.round("rmse", 9))
+    return rounded(quality.scale_report(frames).select("median_rmse_mm", "worst_sync_index"))
+
+
 @query(f"""AND d AS (SELECT cam_id, r6 * x_coord + r7 * y_coord + r8 * z_coord + t2 AS z FROM world CROSS JOIN {POSED}) SELECT cam_id, count(*) AS n, round(quantile_cont(z, 0.95) / quantile_cont(z, 0.05), 6) + 0 AS depth_ratio FROM d WHERE z > 0 GROUP BY cam_id""")
 def depth_ratios(spark, sf_dir):
     return rounded(quality.depth_ratios(events.world(obs_of(spark, sf_dir)), cams_of(spark, True)))
@@ -581,10 +623,11 @@ FEATURES = """feat AS (SELECT cam_id, sync_index, avg(img_loc_x / width) AS mean
 feats AS (SELECT *, CASE WHEN std_y > 1e-6 THEN std_x / std_y ELSE 1.0 END AS aspect FROM feat)"""
 
 
-@query(f"AND {FEATURES} SELECT cam_id, sync_index, " + ", ".join(f"round({c}, {d}) + 0 AS {c}" for c, d in (("mean_x", 15), ("mean_y", 15), ("std_x", 7), ("std_y", 7), ("aspect", 4))) + " FROM feats")
+@query(f"AND {FEATURES} SELECT cam_id, sync_index, " + ", ".join(f"round({e}, {d}) + 0 AS {c}" for c, e, d in (("mean_x", "mean_x * 1920", 8), ("mean_y", "mean_y * 1080", 8), ("std_x", "std_x", 7), ("std_y", "std_y", 7), ("aspect", "aspect", 4))) + " FROM feats")
 def pose_features(spark, sf_dir):
     found = quality.pose_features(obs_of(spark, sf_dir), cams_of(spark))
-    return rounded(rounded(rounded(found, 15, "mean_x", "mean_y"), 7, "std_x", "std_y"), 4, "aspect")
+    found = found.withColumns({"mean_x": F.col("mean_x") * 1920, "mean_y": F.col("mean_y") * 1080})  # in pixels
+    return rounded(rounded(rounded(found, 8, "mean_x", "mean_y"), 7, "std_x", "std_y"), 4, "aspect")
 
 
 @query(f"""AND {FEATURES}, g AS (SELECT DISTINCT cam_id, {CELL} FROM obs JOIN cams USING (cam_id)),
@@ -697,13 +740,36 @@ def average_poses(spark, sf_dir):
     return _flat_columns(poses.average_poses(poses.relative_poses(poses.object_poses(_flat(spark, sf_dir)), cams_of(spark))))
 
 
-@query("SELECT a.cam_id AS cam_a, b.cam_id AS cam_b, count(*) AS n, true AS is_small FROM obs a JOIN obs b USING (sync_index, object_id, keypoint_id) WHERE a.cam_id < b.cam_id GROUP BY 1, 2 HAVING count(*) >= 4")
+@query(f"AND {FULL} SELECT a.cam_id AS cam_a, b.cam_id AS cam_b, count(*) AS n, CAST(0 AS DOUBLE) AS rmse FROM obs a JOIN obs b USING (sync_index, object_id, keypoint_id) SEMI JOIN (SELECT x.cam_id AS a_id, y.cam_id AS b_id FROM full_views x JOIN full_views y USING (sync_index, object_id)) v ON v.a_id = a.cam_id AND v.b_id = b.cam_id WHERE a.cam_id < b.cam_id GROUP BY 1, 2 HAVING count(*) >= 4")
 def stereo_errors(spark, sf_dir):
     und = _flat(spark, sf_dir).withColumns({"img_loc_x": F.col("und_x"), "img_loc_y": F.col("und_y")})
     mean = poses.average_poses(poses.relative_poses(poses.object_poses(und), cams_of(spark)))
     e = poses.stereo_errors(coverage.pair_correspondences(und), mean)
-    return e.select("cam_a", "cam_b", "n", (F.col("rmse") < 1e-6).alias("is_small"))
-
+    return rounded(e.select("cam_a", "cam_b", "n", "rmse"), 7)
+
+
+@query("""AND r AS (SELECT DISTINCT sync_index, 0.001 * (sync_index % 7) + CASE WHEN sync_index % 41 = 5 THEN 0.5 ELSE 0 END AS th, 1 + 0.01 * (sync_index % 11) + CASE WHEN sync_index % 37 = 3 THEN 2 ELSE 0 END AS d FROM obs),
+m AS (SELECT *, degrees(abs(th - (SELECT atan2(sum(sin(th)), sum(cos(th))) FROM r))) AS w FROM r), q AS (SELECT quantile_cont(d, 0.25) AS d1, quantile_cont(d, 0.75) AS d3, quantile_cont(w, 0.25) AS w1, quantile_cont(w, 0.75) AS w3, count(*) AS n FROM m)
+SELECT sync_index FROM m, q WHERE n < 5 OR (d BETWEEN d1 - 1.5 * (d3 - d1) AND d3 + 1.5 * (d3 - d1) AND w <= w3 + 1.5 * (w3 - w1))""")
+def usual_poses(spark, sf_dir):
+    """Relative poses of two cameras without those that lie or turn far from the others."""
+    s = obs_of(spark, sf_dir).select("sync_index").distinct()
+    turn = 0.001 * (F.col("sync_index") % 7) + F.when(F.col("sync_index") % 41 == 5, 0.5).otherwise(0.0)
+    d = 1 + 0.01 * (F.col("sync_index") % 11) + F.when(F.col("sync_index") % 37 == 3, 2.0).otherwise(0.0)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    r = F.array(F.cos(turn), -F.sin(turn), zero, F.sin(turn), F.cos(turn), zero, zero, zero, one)
+    relative = s.select(F.lit(0).cast("long").alias("cam_a"), F.lit(1).cast("long").alias("cam_b"), "sync_index", F.lit(0).cast("long").alias("object_id"), r.alias("r"), F.array(d, zero, zero).alias("t"))
+    return poses.without_outlier_poses(relative).select("sync_index")
+
+
+@query(f"""AND {FULL}, o AS (SELECT *, r6 * ({OFFSET[0]}) + r7 * ({OFFSET[1]}) + r8 * ({OFFSET[2]}) + t2 AS depth FROM full_views JOIN cams USING (cam_id))
+SELECT cam_id, sync_index, object_id, round((atan2(r7, r6) + 2 * pi()) % (2 * pi()), 5) + 0 AS direction, round(0.05 * sqrt(r6 * r6 + r7 * r7) / depth, 6) + 0 AS magnitude FROM o""")
+def board_tilts(spark, sf_dir):
+    flat = _flat(spark, sf_dir).withColumns({"img_loc_x": F.col("und_x"), "img_loc_y": F.col("und_y")})
+    found = poses.board_tilts(flat).select("cam_id", "sync_index", "object_id", "direction", "magnitude")
+    # A direction just under the full turn is that of a camera that looks along the axis.
+    near = F.when(F.col("direction") > 2 * poses.np.pi - 1e-7, 0.0).otherwise(F.col("direction"))
+    return rounded(rounded(found.withColumn("direction", near), 5, "direction"), 6, "magnitude")
 
 TURN = poses.Similarity(poses._turn(poses.np.array([0.1, -0.2, 0.3])), poses.np.array([1.0, -2.0, 0.5]), 1.5)
 
@@ -755,9 +821,7 @@ def mirrored_corners(spark, sf_dir):
 @query()
 def select_frames(spark, sf_dir):
     obs = obs_of(spark, sf_dir)
-    t = obs.groupBy("cam_id", "sync_index").agg((F.avg("img_loc_x") - 900).alias("dx"), (F.avg("img_loc_y") - 500).alias("dy"))
-    tilts = t.select("cam_id", "sync_index", F.atan2("dy", "dx").alias("direction"), (F.hypot("dx", "dy") / 1000).alias("magnitude"))
-    return selection.select_frames(obs, cams_of(spark), tilts, target=30, least=4)
+    return selection.select_frames(obs, cams_of(spark), selection.frame_tilts(poses.board_tilts(obs)), target=30, least=4)
 
 
 @query()
@@ -785,12 +849,15 @@ def constrains_lenses(spark, sf_dir):
 # --- playback and detections -----------------------------------------------------------------------
 
 
-@query("""AND w AS (SELECT CASE WHEN object_id = 1 THEN -1 ELSE sync_index END AS sync_index, object_id, keypoint_id, x_coord FROM world WHERE object_id = 0 OR sync_index = 3),
+@query("""AND w AS (SELECT sync_index, object_id, keypoint_id, x_coord FROM world WHERE object_id <> 1 UNION ALL SELECT -1, object_id, keypoint_id, arg_min(x_coord, sync_index) FROM world WHERE object_id = 1 GROUP BY ALL),
 p AS (SELECT object_id, keypoint_id, row_number() OVER (ORDER BY object_id, keypoint_id) - 1 AS place FROM (SELECT DISTINCT object_id, keypoint_id FROM w))
 SELECT f.sync_index, p.object_id, p.keypoint_id, place, round(coalesce(s.x_coord, m.x_coord), 6) + 0 AS x_coord FROM (SELECT DISTINCT sync_index FROM w WHERE sync_index <> -1) f CROSS JOIN p
 LEFT JOIN w m ON m.sync_index = f.sync_index AND m.object_id = p.object_id AND m.keypoint_id = p.keypoint_id LEFT JOIN w s ON s.sync_index = -1 AND s.object_id = p.object_id AND s.keypoint_id = p.keypoint_id""")
 def playback_frames(spark, sf_dir):
-    w = filters.collapse_static(events.world(obs_of(spark, sf_dir)).filter("object_id = 0 or sync_index = 3"), [1])
+    every = events.world(obs_of(spark, sf_dir))
+    # A static point has one place: where it was first.
+    place = every.filter("object_id = 1").groupBy("object_id", "keypoint_id").agg(*(F.min_by(c, "sync_index").alias(c) for c in ("x_coord", "y_coord", "z_coord")))
+    w = every.filter("object_id <> 1").drop("frame_time").unionByName(place.withColumn("sync_index", F.lit(-1).cast("long")))
     return rounded(playback.playback(w).select(*WORLD_KEY, F.col("place").cast("long").alias("place"), "x_coord"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightline.schema import CAMERA_NUMBERS, CAMERAS
 
-#: Focal length, image centre and distortion of a common action camera.
-LENS = {"fx": 1394.6, "fy": 1394.6, "cx": 960.0, "cy": 540.0, "k1": 0.115, "k2": -0.219, "p1": 0.0012, "p2": 0.0086, "k3": 0.113}
+#: A made-up lens with every kind of distortion, and a made-up fisheye (four terms in k1, k2, p1, p2).
+LENS = {"fx": 1301.37, "fy": 1308.91, "cx": 964.83, "cy": 536.27, "k1": 0.0913, "k2": -0.1837, "p1": 0.00153, "p2": -0.00211, "k3": 0.0619}
+FISHEYE = {"fx": 701.43, "fy": 704.59, "cx": 955.71, "cy": 544.87, "k1": 0.0313, "k2": -0.008, "p1": 0.002, "p2": -0.0004, "k3": 0.0}
 
 
 def look_at(position: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -20,16 +21,16 @@ def look_at(position: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.nd
     return r, -r @ position
 
 
-def ring(n: int = 4, radius: float = 2.0, height: float = 0.5, width: int = 1920, tall: int = 1080, ignored: tuple[int, ...] = (), unposed: tuple[int, ...] = ()) -> list[dict]:
+def ring(n: int = 4, radius: float = 2.0, height: float = 0.5, width: int = 1920, tall: int = 1080, ignored: tuple[int, ...] = (), unposed: tuple[int, ...] = (), fisheye: tuple[int, ...] = ()) -> list[dict]:
     """One dict for each camera, numbers rounded to 12 digits so that they read the same everywhere."""
     out = []
     for cam in range(n):
         turn = 2 * np.pi * cam / n
         r, t = look_at(np.array([radius * np.cos(turn), radius * np.sin(turn), height]), np.array([0.0, 0.0, height]))
-        row = {"cam_id": cam, "width": width, "height": tall, **LENS}
+        row = {"cam_id": cam, "width": width, "height": tall, **(FISHEYE if cam in fisheye else LENS)}
         row |= {f"r{i}": None if cam in unposed else round(float(x), 12) + 0.0 for i, x in enumerate(r.reshape(-1))}
         row |= {f"t{i}": None if cam in unposed else round(float(x), 12) + 0.0 for i, x in enumerate(t)}
-        out.append(row | {"ignored": cam in ignored, "fisheye": False})
+        out.append(row | {"ignored": cam in ignored, "fisheye": cam in fisheye})
     return out
 
 

@@ -9,6 +9,7 @@ from collections.abc import Mapping
 from typing import Any
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,6 +178,46 @@ def read_pose_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "cam_a long, cam_b long, r array<double>, t array<double>, error double")
 
 
+def write_pose_pairs(pairs: DataFrame, path: str) -> None:
+    """Relative poses (cam_a, cam_b, r, t, error) as sections stereo_a_b, a < b, rotations as vectors."""
+    rows = pairs.filter("cam_a < cam_b").orderBy("cam_a", "cam_b").collect()
+    write_toml(path, {f"stereo_{r['cam_a']}_{r['cam_b']}": {"RMSE": r["error"], "rotation": vector_of(np.array(r["r"]).reshape(3, 3)).tolist(), "translation": list(r["t"])} for r in rows})
+
+
+def wide_labelled(points: DataFrame, names: Mapping[int, str]) -> DataFrame:
+    """sync_index, frame_time and {name}_x, {name}_y, {name}_z of each named point, names in order.
+
+    One row for each frame, null where a point isn't seen; of several objects' points the mean.
+    """
+    from sightline.operators.trajectories import wide
+
+    times = points.groupBy("sync_index").agg(F.avg("frame_time").alias("frame_time"))
+    columns = [f"{n}_{a}" for n in sorted(set(names.values())) for a in "xyz"]
+    return wide(points, dict(names)).join(times, "sync_index").select("sync_index", "frame_time", *columns)
+
+
+def write_wide_labelled(points: DataFrame, names: Mapping[int, str], path: str) -> None:
+    """``wide_labelled`` as a CSV in the order of frames."""
+    write_points_csv(wide_labelled(points, names).orderBy("sync_index"), path)
+
+
+def load_timestamps(spark: SparkSession, folder: str, meta: DataFrame | None = None) -> DataFrame:
+    """Frame times of a recording: those of ``timestamps.csv`` in its folder, else inferred from the
+    cameras' frame counts and rates (``meta``) and kept beside it as ``inferred_timestamps.csv``."""
+    from sightline.operators.timing import inferred_times
+
+    try:
+        return read_timestamps(spark, f"{folder.rstrip('/')}/timestamps.csv")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if meta is None or meta.isEmpty():
+        raise ValueError("no timestamps, and no cameras to infer them from")
+    found = inferred_times(meta)
+    write_timestamps(found, f"{folder.rstrip('/')}/inferred_timestamps.csv")
+    return found
+
+
 def write_trc(wide: DataFrame, names: list[str], path: str, rate: float, units: str = "m") -> None:
     """An OpenSim table from wide points (sync_index, time, {name}_x...): five lines of header and one empty.
 

@@ -136,6 +136,88 @@ def test_files(spark, tmp_path):
     assert lines[2].startswith("30\t30\t1\t1\tm") and lines[5] == "" and lines[6] == "0\t0.000\t1.000000\t2.000000\t3.000000"
 
 
+def test_wide_csv_pairs_and_timestamps(spark, tmp_path):
+    world = spark.createDataFrame([(1, 0, 0, 1.5, 2.0, 3.0, 0.5), (0, 0, 0, 1.0, 2.0, 3.0, None), (0, 0, 1, 7.0, 8.0, 9.0, 0.25)], schema.WORLD_POINTS)
+    tables.write_wide_labelled(world, {0: "nose", 1: "ear"}, str(tmp_path / "wide"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "wide"))
+    assert back.columns == ["sync_index", "frame_time", *(f"{n}_{a}" for n in ("ear", "nose") for a in "xyz")]
+    assert sorted(map(tuple, back.collect())) == [("0", "0.250000", "7.000000", "8.000000", "9.000000", "1.000000", "2.000000", "3.000000"), ("1", "0.500000", None, None, None, "1.500000", "2.000000", "3.000000")]
+    r = tables.rotation_of([0.1, -0.2, 0.3])
+    pairs = spark.createDataFrame([(0, 1, r.reshape(-1).tolist(), [1.0, 2.0, 3.0], 0.5), (1, 0, r.T.reshape(-1).tolist(), [0.0] * 3, 0.5)], "cam_a long, cam_b long, r array<double>, t array<double>, error double")
+    tables.write_pose_pairs(pairs, str(tmp_path / "p.toml"))
+    (found,) = tables.read_pose_pairs(spark, str(tmp_path / "p.toml")).collect()
+    assert (found["cam_a"], found["cam_b"], found["t"], found["error"]) == (0, 1, [1.0, 2.0, 3.0], 0.5) and np.allclose(np.array(found["r"]).reshape(3, 3), r)
+    folder = str(tmp_path / "recording")
+    with pytest.raises(ValueError):
+        tables.load_timestamps(spark, folder)
+    meta = spark.createDataFrame([(0, 3, 30.0), (1, 3, 30.0)], "cam_id long, frame_count long, fps double")
+    inferred = sorted(map(tuple, tables.load_timestamps(spark, folder, meta).collect()))
+    assert len(inferred) == 6 and spark.read.option("header", True).csv(folder + "/inferred_timestamps.csv").count() == 6
+    tables.write_timestamps(spark.createDataFrame([(0, 0.5), (0, 0.25)], "cam_id long, frame_time double"), folder + "/timestamps.csv")
+    assert sorted(map(tuple, tables.load_timestamps(spark, folder, meta).collect())) == [(0, 0, 0.25), (0, 1, 0.5)]
+
+
+def test_poses_of_solids_and_planes():
+    rng = np.random.default_rng(3)
+    for n, flat in ((4, True), (9, True), (6, False), (12, False)):
+        obj = rng.uniform(-0.3, 0.3, (40, n, 3))
+        if flat:
+            obj[:, :, 2] = 0.1
+        turn = np.array([poses._turn(rng.uniform(-0.8, 0.8, 3)) for _ in range(40)])
+        t = rng.uniform(-0.3, 0.3, (40, 3)) + [0, 0, 2]
+        c = np.einsum("gij,gnj->gni", turn, obj) + t[:, None]
+        und = c[:, :, :2] / c[:, :, 2:]
+        r, found, rmse, ok = poses.solve_poses(obj, und)
+        assert ok.all() and np.allclose(r, turn, atol=1e-6) and np.allclose(found, t, atol=1e-6) and rmse.max() < 1e-8
+    few = poses.solve_poses(rng.uniform(size=(2, 5, 3)), rng.uniform(size=(2, 5, 2)))
+    assert not few[3].any() and poses.solve_pose(np.full((4, 3), np.nan), np.zeros((4, 2))) is None
+
+
+def test_tilt_without_wrong_points(spark):
+    """One corner far off doesn't change the tilt; too few points have none."""
+    rows, rng = [], np.random.default_rng(1)
+    turn, grid = poses._turn(np.array([0.3, -0.4, 0.1])), [(i % 5, i // 5) for i in range(25)]
+    for frame, off in ((0, 0.0), (1, 300.0)):
+        for k, (x, y) in enumerate(grid):
+            c = turn @ np.array([0.1 * x, 0.1 * y, 0.0]) + [0, 0, 2]
+            rows.append((frame, 0, 0, k, float(1000 * c[0] / c[2] + off * (k == 7)), float(1000 * c[1] / c[2]), 0.1 * x, 0.1 * y))
+    rows += [(2, 0, 0, k, 1.0, 2.0, 0.0, 0.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "sync_index long, cam_id long, object_id long, keypoint_id long, img_loc_x double, img_loc_y double, obj_loc_x double, obj_loc_y double")
+    out = {r["sync_index"]: r for r in poses.board_tilts(df, limit=60.0).collect()}
+    assert set(out) == {0, 1}
+    want = 0.4 * turn[2, :2] / 2
+    assert abs(out[1]["magnitude"] - out[0]["magnitude"]) < 1e-9
+    assert abs(out[0]["magnitude"] - np.hypot(*want)) < 1e-9 and abs(out[0]["direction"] - np.arctan2(want[1], want[0]) % (2 * np.pi)) < 1e-9
+
+
+def test_labelled_trajectories_by_hand(spark, data):
+    """The flagship against a singular value decomposition of each point."""
+    from sightline.plans import queries, registry
+
+    observed = trajectories.fill_image_gaps(queries.obs_of(spark, data))
+    cams = {r["cam_id"]: r for r in queries.cams_of(spark).collect()}
+    systems: dict = {}
+    for r in reconstruction.undistort(observed, queries.cams_of(spark)).collect():
+        c = cams[r["cam_id"]]
+        p = np.array([[c[f"r{3 * i}"], c[f"r{3 * i + 1}"], c[f"r{3 * i + 2}"], c[f"t{i}"]] for i in range(3)])
+        systems.setdefault((r["sync_index"], r["object_id"], r["keypoint_id"]), []).append(np.stack([r["und_x"] * p[2] - p[0], r["und_y"] * p[2] - p[1]]))
+    points: dict = {}
+    for (sync, _, k), rows in systems.items():
+        if len(rows) > 1:
+            v = np.linalg.svd(np.concatenate(rows))[2][-1]
+            points.setdefault((sync, queries.NAMES[k]), []).append(v[:3] / v[3])
+    out = registry.flagship(spark, data).collect()
+    assert {r["sync_index"] for r in out} == {s for s, _ in points}
+    for r in out:
+        for name in set(queries.NAMES.values()):
+            want = points.get((r["sync_index"], name))
+            for i, a in enumerate("xyz"):
+                got = r[f"{name}_{a}"]
+                assert (got is None) == (want is None)
+                # Rays of made-up pixels can be all but parallel.
+                assert want is None or abs(got - np.mean(want, axis=0)[i]) < 1e-4 * max(1.0, np.abs(want).max())
+
+
 def test_configuration_files(spark, tmp_path):
     import tomllib
 
