@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     then the smaller neighbours likewise, until the edges are stars around the smallest
     nodes; the number of rounds grows with the logarithm of the longest path. Minima are
     combined before each shuffle, and the joins are plain equi-joins which Spark splits
-    where a node is hot. Every round is checkpointed. No edge is ever collected.
+    where a node is hot. Every round is checkpointed. No edge is ever collected. Edges
+    with a null end are left out; without edges there are no rows.
     """
     loops = edges.filter("src = dst").select("src").distinct()
     e = checkpointed(
@@ -26,9 +27,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not signature[0]:
             break
-        e = checkpointed(_small_star(_large_star(e)))
+        before, e = e, checkpointed(_small_star(_large_star(e)))
         now = _signature(e)
-        if now == signature:
+        # Equal counts and no new edge: the same edges.
+        if now == signature and e.join(before, ["src", "dst"], "left_anti").isEmpty():
             break
         signature = now
     else:
@@ -41,7 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _signature(e: DataFrame) -> tuple:
-    """Two equal ones in succession: the edges no longer change."""
+    """Differs if the edges differ, but for chance."""
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % 1000000007)).first())
 
 
