@@ -133,9 +133,15 @@ def remap_points(points: DataFrame, remaps: DataFrame) -> DataFrame:
     """Observations of a remapped point take the identity and place of its target.
 
     ``remaps``: object_id_from, keypoint_id_from, object_id_to, keypoint_id_to, obj_loc_x/y/z;
-    a target must not be the source of another rule.
+    a source must have one rule, and a target must not be the source of another one (ValueError).
     """
-    r = F.broadcast(remaps.select(F.col("object_id_from").alias("object_id"), F.col("keypoint_id_from").alias("keypoint_id"), "object_id_to", "keypoint_id_to", *(F.col(f"obj_loc_{a}").alias(f"_{a}") for a in "xyz")))
+    sources = remaps.select(F.col("object_id_from").alias("o"), F.col("keypoint_id_from").alias("k"))
+    targets = remaps.select(F.col("object_id_to").alias("o"), F.col("keypoint_id_to").alias("k"))
+    if not sources.groupBy("o", "k").count().filter("count > 1").isEmpty():
+        raise ValueError("a point has two rules")
+    if not targets.join(sources, ["o", "k"], "left_semi").isEmpty():
+        raise ValueError("the target of a rule is the source of another one")
+    r = remaps.select(F.col("object_id_from").alias("object_id"), F.col("keypoint_id_from").alias("keypoint_id"), "object_id_to", "keypoint_id_to", *(F.col(f"obj_loc_{a}").alias(f"_{a}") for a in "xyz"))
     hit = F.col("object_id_to").isNotNull()
     return points.join(r, list(POINT), "left").select(*(
         F.coalesce(f"{c}_to", c).alias(c) if c in POINT
@@ -178,4 +184,4 @@ def confident(points: DataFrame, threshold: float) -> DataFrame:
 
 def exclude_points(points: DataFrame, excluded: DataFrame) -> DataFrame:
     """Without the object ids listed."""
-    return points.join(F.broadcast(excluded.select("object_id").distinct()), "object_id", "left_anti").select(*points.columns)
+    return points.join(excluded.select("object_id").distinct(), "object_id", "left_anti").select(*points.columns)

@@ -93,7 +93,7 @@ def rigidity_violations(world: DataFrame, distances: DataFrame, static_objects:
         F.struct(F.lit("a").alias("end"), F.col("object_id_a").alias("object_id"), F.col("keypoint_id_a").alias("keypoint_id")),
         F.struct(F.lit("b").alias("end"), F.col("object_id_b").alias("object_id"), F.col("keypoint_id_b").alias("keypoint_id")),
     )))
-    hit = points.join(F.broadcast(ends), list(POINT))
+    hit = points.join(ends, list(POINT))
     at = lambda e, v: F.max(F.when(F.col("end") == e, F.col(v)))
     both = hit.groupBy("constraint_id", "sync_index", "object_id_a", "object_id_b", "distance", "sigma").agg(
         F.count("*").alias("n"), *(at(e, f"{v}_coord").alias(f"{v}{e}") for e in "ab" for v in "xyz")
@@ -107,7 +107,7 @@ def centroid_violations(world: DataFrame, centroids: DataFrame, corners: int = 4
     centres = world.filter(F.col("keypoint_id") < corners).groupBy("sync_index", "object_id").agg(F.count("*").alias("n"), *(F.avg(f"{v}_coord").alias(v) for v in "xyz")).filter(F.col("n") == corners)
     ends = centroids.select("constraint_id", "object_id_a", "object_id_b", "distance", "sigma", F.inline(F.array(*(F.struct(F.lit(e).alias("end"), F.col(f"object_id_{e}").alias("object_id")) for e in "ab"))))
     at = lambda e, v: F.max(F.when(F.col("end") == e, F.col(v)))
-    both = centres.join(F.broadcast(ends), "object_id").groupBy("constraint_id", "sync_index", "object_id_a", "object_id_b", "distance", "sigma").agg(F.count("*").alias("m"), *(at(e, v).alias(f"{v}{e}") for e in "ab" for v in "xyz")).filter("m = 2")
+    both = centres.join(ends, "object_id").groupBy("constraint_id", "sync_index", "object_id_a", "object_id_b", "distance", "sigma").agg(F.count("*").alias("m"), *(at(e, v).alias(f"{v}{e}") for e in "ab" for v in "xyz")).filter("m = 2")
     measured = F.sqrt(sum(((F.col(f"{v}a") - F.col(f"{v}b")) ** 2 for v in "xyz"), F.lit(0.0)))
     return both.select("constraint_id", "sync_index", "object_id_a", "object_id_b", F.lit("centroid").alias("kind"), "distance", "sigma", measured.alias("measured"), (measured - F.col("distance")).alias("violation"))
 
@@ -144,7 +144,7 @@ def segment_lengths(world: DataFrame, a: int, b: int) -> DataFrame:
 
 def depth_cues(cues: DataFrame, world: DataFrame) -> DataFrame:
     """(cue_id, reason, x, y, z): each cue's single point, or why there is none (missing, ambiguous)."""
-    found = world.join(F.broadcast(cues.select("cue_id", "sync_index", "keypoint_id")), ["sync_index", "keypoint_id"])
+    found = world.join(cues.select("cue_id", "sync_index", "keypoint_id"), ["sync_index", "keypoint_id"])
     each = found.groupBy("cue_id").agg(F.count("*").alias("n"), F.min(F.struct("x_coord", "y_coord", "z_coord")).alias("p"))
     out = cues.select("cue_id").join(each, "cue_id", "left")
     reason = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("ok")
@@ -255,7 +255,7 @@ def capture_suitability(points: DataFrame, world: DataFrame, cameras: DataFrame)
 def wireframe(world: DataFrame, segments: DataFrame) -> DataFrame:
     """(sync_index, object_id, segment, ax.., bx..): segments both of whose points stand; no self-join."""
     ends = segments.select("segment", F.inline(F.array(*(F.struct(F.lit(e).alias("end"), F.col(f"keypoint_{e}").alias("keypoint_id")) for e in "ab"))))
-    hit = world.join(F.broadcast(ends), "keypoint_id")
+    hit = world.join(ends, "keypoint_id")
     at = lambda e, v: F.max(F.when(F.col("end") == e, F.col(f"{v}_coord")))
     return hit.groupBy("sync_index", "object_id", "segment").agg(F.countDistinct("end").alias("n"), *(at(e, v).alias(f"{e}{v}") for e in "ab" for v in "xyz")).filter("n = 2").drop("n")
 

@@ -136,6 +136,16 @@ def test_files(spark, tmp_path):
     assert lines[2].startswith("30\t30\t1\t1\tm") and lines[5] == "" and lines[6] == "0\t0.000\t1.000000\t2.000000\t3.000000"
 
 
+def test_remap_rules(spark):
+    kind = "object_id_from long, keypoint_id_from long, object_id_to long, keypoint_id_to long, obj_loc_x double, obj_loc_y double, obj_loc_z double"
+    df = spark.createDataFrame([(0, 0, 1, 1, 0.0, 0.0, 0.0)], OBS)
+    for rules in ([(1, 1, 2, 2), (1, 1, 3, 3)], [(1, 1, 2, 2), (2, 2, 3, 3)]):
+        with pytest.raises(ValueError):
+            filters.remap_points(df, spark.createDataFrame([(*r, 0.0, 0.0, 0.0) for r in rules], kind))
+    (row,) = filters.remap_points(df, spark.createDataFrame([(1, 1, 2, 5, 0.0, 0.0, 0.0)], kind)).collect()
+    assert (row["object_id"], row["keypoint_id"]) == (2, 5)
+
+
 def test_wide_csv_pairs_and_timestamps(spark, tmp_path):
     world = spark.createDataFrame([(1, 0, 0, 1.5, 2.0, 3.0, 0.5), (0, 0, 0, 1.0, 2.0, 3.0, None), (0, 0, 1, 7.0, 8.0, 9.0, 0.25)], schema.WORLD_POINTS)
     tables.write_wide_labelled(world, {0: "nose", 1: "ear"}, str(tmp_path / "wide"))
