@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.places import numbered
 from sightline.schema import IMAGE_KEY, POINT, STATIC_SYNC_INDEX, WORLD_KEY
 
 MODULUS = 1_000_003
@@ -173,8 +174,7 @@ def frames_with_corners(points: DataFrame, least: int) -> DataFrame:
 
 def every_nth_frame(points: DataFrame, step: int) -> DataFrame:
     """Rows of every nth distinct frame, by its place in order."""
-    frames = points.select("sync_index").distinct()
-    nth = frames.withColumn("_nth", F.row_number().over(Window.orderBy("sync_index")) - 1).filter(F.col("_nth") % step == 0)
+    nth = numbered(points.select("sync_index").distinct(), "sync_index", name="_nth").filter(F.col("_nth") % step == 0)
     return points.join(nth, "sync_index", "left_semi").select(*points.columns)
 
 

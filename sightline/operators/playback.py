@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.places import numbered
 from sightline.schema import POINT, STATIC_SYNC_INDEX, WORLD_KEY
 
 XYZ = ("x_coord", "y_coord", "z_coord")
@@ -26,7 +27,7 @@ def evenly_spaced(frames: DataFrame, n: int) -> DataFrame:
     if n <= 0:
         raise ValueError("the number of frames must be positive")
     own = frames.select("sync_index").distinct()
-    placed = own.withColumn("_i", F.row_number().over(Window.orderBy("sync_index")) - 1)
+    placed = numbered(own, "sync_index", name="_i")
     count = own.agg(F.count("*").alias("_n"))
     steps = count.select("_n", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("_k"))
     at = F.when(F.col("_n") <= n, F.lit(None)).otherwise(F.rint(F.col("_k") * (F.col("_n") - 1) / max(1, n - 1)).cast("long"))

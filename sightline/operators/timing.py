@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.places import numbered
+
 DEFAULT_FPS = 30.0
 
 
 def dense_frame_index(times: DataFrame) -> DataFrame:
-    """(cam_id, frame_index, frame_time): place in order of time, from 0."""
-    w = Window.partitionBy("cam_id").orderBy("frame_time")
-    return times.select("cam_id", (F.row_number().over(w) - 1).cast("long").alias("frame_index"), "frame_time")
+    """(cam_id, frame_index, frame_time): place in order of time, from 0.
+
+    All frames are numbered together, by camera and time, and each camera's first number is taken off.
+    """
+    rows = numbered(times.select("cam_id", "frame_time"), "cam_id", "frame_time", name="_place")
+    first = rows.groupBy("cam_id").agg(F.min("_place").alias("_first"))
+    same = F.col("a.cam_id").eqNullSafe(F.col("b.cam_id"))
+    return rows.alias("a").join(first.alias("b"), same).select("a.cam_id", (F.col("_place") - F.col("_first")).alias("frame_index"), "frame_time")
 
 
 def ranked_frame_index(times: DataFrame, cam_id: int) -> DataFrame:

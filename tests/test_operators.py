@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline import schema
-from sightline.operators import coverage, filters, poses, reconstruction, timing, trajectories
+from sightline.operators import coverage, filters, places, poses, reconstruction, timing, trajectories
 from sightline.sources import events, rig, tables
 from sightline.streaming import live
 
@@ -136,6 +136,14 @@ def test_files(spark, tmp_path):
     assert lines[2].startswith("30\t30\t1\t1\tm") and lines[5] == "" and lines[6] == "0\t0.000\t1.000000\t2.000000\t3.000000"
 
 
+def test_numbered(spark):
+    df = spark.range(1000).selectExpr("cast(pmod(id * 7919, 1000) as long) as v", "id % 3 as w").repartition(7)
+    assert all(r["place"] == r["v"] for r in places.numbered(df, "v").collect())
+    assert places.numbered(df.limit(0), "v").collect() == []
+    twice = sorted(r["place"] for r in places.numbered(df.select("w"), "w").collect())
+    assert twice == list(range(1000))
+
+
 def test_remap_rules(spark):
     kind = "object_id_from long, keypoint_id_from long, object_id_to long, keypoint_id_to long, obj_loc_x double, obj_loc_y double, obj_loc_z double"
     df = spark.createDataFrame([(0, 0, 1, 1, 0.0, 0.0, 0.0)], OBS)
