@@ -46,7 +46,15 @@ def stored(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df``, marked for broadcasting if it has so many rows at most; beyond, joins shuffle.
     For rows of a few numbers that are checkpointed or stored."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def small_batches(spark: SparkSession, rows: int = 2_500) -> None:
+    """Hand at most so many rows at once to Python for the rest of the session: whole documents
+    are long, and Spark holds a batch several times while it passes it on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
 
 
 def filesystem(uri: str):
