@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions import geometry as G
 from sightline.functions.scalars import grid_cell, tilt_bin
 from sightline.operators.filters import collapse_static, drop_static, posed
+from sightline.operators.quantiles import quantiles
 from sightline.schema import POINT, STATIC_SYNC_INDEX
 
 
@@ -75,9 +76,10 @@ def depth_ratios(world: DataFrame, cameras: DataFrame) -> DataFrame:
     """(cam_id, n, depth_ratio): 95th over 5th percentile of depths in front of each posed camera; null under two."""
     rows = drop_static(world).crossJoin(F.broadcast(posed(cameras)))
     depth = rows.select("cam_id", G.camera_frame(F.col("x_coord"), F.col("y_coord"), F.col("z_coord"))[2].alias("z")).filter("z > 0")
-    each = depth.groupBy("cam_id").agg(F.count("*").alias("n"), F.percentile("z", F.array(F.lit(0.95), F.lit(0.05))).alias("q"))
-    out = posed(cameras).select("cam_id").join(each, "cam_id", "left")
-    return out.select("cam_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= 2, F.try_divide(F.col("q")[0], F.col("q")[1])).alias("depth_ratio"))
+    each = depth.groupBy("cam_id").agg(F.count("*").alias("n"))
+    q = quantiles(depth, "z", (0.05, 0.95), ("cam_id",)).groupBy("cam_id").agg(F.min_by("z", "percentile").alias("near"), F.max_by("z", "percentile").alias("far"))
+    out = posed(cameras).select("cam_id").join(each, "cam_id", "left").join(q, "cam_id", "left")
+    return out.select("cam_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= 2, F.try_divide("far", "near")).alias("depth_ratio"))
 
 
 def rigidity_violations(world: DataFrame, distances: DataFrame, static_objects: Iterable[int] = ()) -> DataFrame:

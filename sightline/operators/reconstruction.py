@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sightline.functions import geometry as G
 from sightline.operators.filters import collapse_static, posed
+from sightline.operators.quantiles import quantiles
 from sightline.schema import IMAGE_KEY, POINT, STATIC_SYNC_INDEX, WORLD_KEY
 
 
@@ -180,8 +181,7 @@ def unmatched(points: DataFrame, world: DataFrame, cameras: DataFrame, static_ob
 
 def error_percentiles(errors: DataFrame, at: tuple[float, ...] = (0.5, 0.95, 0.975, 0.99)) -> DataFrame:
     """(percentile, error), exact and interpolated."""
-    found = errors.agg(F.percentile("euclidean_error", F.array(*map(F.lit, at))).alias("e"))
-    return found.select(F.posexplode("e").alias("i", "error")).select(F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("percentile"), "error")
+    return quantiles(errors, "euclidean_error", at).select("percentile", F.col("euclidean_error").alias("error"))
 
 
 def percent_above(errors: DataFrame, limit: float) -> DataFrame:
@@ -214,11 +214,8 @@ def without_worst(errors: DataFrame, percent: float, by_camera: bool = True, lea
     """Without the worst ``percent`` of residuals, of each camera or overall, with the floor."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be within (0, 100]")
-    q = F.percentile("euclidean_error", F.lit(1 - percent / 100))
-    if by_camera:
-        rows = errors.join(F.broadcast(errors.groupBy("cam_id").agg(q.alias("_q"))), "cam_id")
-    else:
-        rows = errors.crossJoin(F.broadcast(errors.agg(q.alias("_q"))))
+    q = quantiles(errors, "euclidean_error", (1 - percent / 100,), ("cam_id",) if by_camera else ()).drop("percentile").withColumnRenamed("euclidean_error", "_q")
+    rows = errors.join(F.broadcast(q), "cam_id") if by_camera else errors.crossJoin(F.broadcast(q))
     return _with_floor(rows, F.col("euclidean_error") <= F.col("_q"), least).select(*errors.columns)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline import schema
-from sightline.operators import coverage, filters, places, poses, reconstruction, timing, trajectories
+from sightline.operators import coverage, filters, places, poses, quantiles, reconstruction, timing, trajectories
 from sightline.sources import events, rig, tables
 from sightline.streaming import live
 
@@ -144,6 +144,18 @@ def test_numbered(spark):
     assert twice == list(range(1000))
 
 
+def test_quantiles(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v)) for k in range(3) for v in np.concatenate([rng.lognormal(0, 3, 50 * k + 1), [0.0] * k, [2.5] * 7 * k])] + [(0, None)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    at = (0.0, 0.05, 0.5, 0.95, 1.0)
+    for keys in ((), ("k",)):
+        for r in quantiles.quantiles(df, "v", at, keys).collect():
+            own = [v for k, v in rows if v is not None and (not keys or k == r["k"])]
+            assert abs(r["v"] - np.quantile(own, r["percentile"])) <= 1e-12 * max(1.0, r["v"])
+    assert quantiles.quantiles(df, "v", at, ("k",)).count() == 15 and quantiles.quantiles(df.limit(0), "v", at).collect() == []
+
+
 def test_remap_rules(spark):
     kind = "object_id_from long, keypoint_id_from long, object_id_to long, keypoint_id_to long, obj_loc_x double, obj_loc_y double, obj_loc_z double"
     df = spark.createDataFrame([(0, 0, 1, 1, 0.0, 0.0, 0.0)], OBS)
