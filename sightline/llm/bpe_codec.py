@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.arrays import Lists, bytes_of_words
-from sightline.llm.common import checkpointed, texts
+from sightline.llm.common import checkpointed, released, texts
 
 #: How byte-level BPE cuts a text before it merges.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -390,7 +390,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    rows = texts(docs).select("text").mapInArrow(work, "word string, n long")
+    rows = texts(docs).select("text").mapInArrow(released(work), "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).select(F.concat(F.lit(" "), "word").alias("word"), "n")
 
 
@@ -429,4 +429,4 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WOR
             n, ids, decoded = zip(*found) if found else ((), (), ())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return own.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return own.mapInArrow(released(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -57,6 +57,25 @@ def small_batches(spark: SparkSession, rows: int = 2_500) -> None:
         spark.conf.set(name, rows)
 
 
+def released(work):
+    """``work`` over a task's batches, after which freed memory goes back to the system: Python
+    workers live on between tasks and would keep it."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+
+    return run
+
+
 def filesystem(uri: str):
     """The pyarrow filesystem and the path there of a URI, for files that tasks read and write."""
     from pyarrow import fs

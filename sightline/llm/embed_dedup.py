@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, smallest_hashes
+from sightline.llm.common import checkpointed, released, smallest_hashes
 from sightline.llm.graph import connected_components
 
 #: Vectors that the rotation is learnt from at most: those with the smallest hash of their id.
@@ -165,7 +165,7 @@ def _compare(rows: DataFrame, substrings: list[tuple[int, int]], least: float) -
         if held is not None and held.num_rows:
             yield from finish(held)
 
-    return rows.repartition("pair").sortWithinPartitions("pair", "side", "rep").mapInArrow(work, "a long, b long, n long")
+    return rows.repartition("pair").sortWithinPartitions("pair", "side", "rep").mapInArrow(released(work), "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -225,7 +225,7 @@ def _of_one_dimension(classes: DataFrame, shared, substrings: list[tuple[int, in
             yield pa.record_batch([*(batch.column(c) for c in ("rep", "label", "size", "x")), pa.array(codes.view(np.int64))], names=["rep", "label", "size", "x", "code"])
 
     label = dict(classes.dtypes)["label"]
-    coded = checkpointed(classes.select("rep", "label", "size", "x").mapInArrow(code, f"rep long, label {label}, size long, x array<double>, code long"))
+    coded = checkpointed(classes.select("rep", "label", "size", "x").mapInArrow(released(code), f"rep long, label {label}, size long, x array<double>, code long"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +237,7 @@ def _of_one_dimension(classes: DataFrame, shared, substrings: list[tuple[int, in
                 names=["rep", "label", "number", "entry"],
             )
 
-    keyed = coded.select("rep", "label", "code").mapInArrow(entries, f"rep long, label {label}, number long, entry long")
+    keyed = coded.select("rep", "label", "code").mapInArrow(released(entries), f"rep long, label {label}, number long, entry long")
     shared_entries = keyed.groupBy("label", "number", "entry").agg(F.count("*").alias("m")).filter("m > 1")
     met = checkpointed(keyed.join(shared_entries, ["label", "number", "entry"]))
     blocks = F.ceil(F.col("m") / BLOCK)

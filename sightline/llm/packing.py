@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, texts
+from sightline.llm.common import checkpointed, released, texts
 from sightline.llm.tokens import crc_of, word_encoder
 
 ROWS_IN_BUCKET = 50_000
@@ -157,7 +157,7 @@ def _lengths(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int)
                 names=["doc_id", "k", "n", "whole", "rest_crc"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, k string, n long, whole array<long>, rest_crc long")
+    return docs.mapInArrow(released(work), "doc_id long, k string, n long, whole array<long>, rest_crc long")
 
 
 def _crcs_of_cuts(docs: DataFrame, cuts: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
@@ -179,7 +179,7 @@ def _crcs_of_cuts(docs: DataFrame, cuts: DataFrame, tokenizer: str, end_id: int
     wanted = wanted.select("k", "wanted", F.col("of.doc_id").alias("doc_id")).alias("w")
     held = docs.alias("d").join(wanted, (F.col("d.k") == F.col("w.k")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.k", "d.text", "w.wanted")
     held = held.groupBy("k").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
-    return held.select("k", "text", "wanted").mapInArrow(work, "k string, start long, length long, cut_crc long")
+    return held.select("k", "text", "wanted").mapInArrow(released(work), "k string, start long, length long, cut_crc long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | None = 2) -> DataFrame:
@@ -237,7 +237,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | No
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    pieces = placed.mapInArrow(work, "doc_id long, k string, start long, length long, crc long, doc_tokens long, sequence_id long, offset long")
+    pieces = placed.mapInArrow(released(work), "doc_id long, k string, start long, length long, crc long, doc_tokens long, sequence_id long, offset long")
     cut = pieces.filter("crc is null").select("doc_id", "k", "start", "length")
     crcs = _crcs_of_cuts(keyed, cut, tokenizer, end_id)
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import broadcast_if_small, checkpointed, smallest_hashes, texts, unused
+from sightline.llm.common import broadcast_if_small, checkpointed, released, smallest_hashes, texts, unused
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_punct")
 #: Rows that the trees are fitted on at most: those with the smallest hash of their id.
@@ -65,7 +65,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), batch.column("h"), *arrays], names=["doc_id", "h", *COUNTS])
 
     keyed = texts(docs).withColumn("h", F.xxhash64("text"))
-    return keyed.mapInArrow(work, "doc_id long, h long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return keyed.mapInArrow(released(work), "doc_id long, h long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> F.Column:

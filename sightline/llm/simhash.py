@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import broadcast_if_small, checkpointed, texts, unused
+from sightline.llm.common import broadcast_if_small, checkpointed, released, texts, unused
 from sightline.llm.graph import connected_components
 
 BITS = 64
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             signed = [x - (1 << BITS) if x >> (BITS - 1) else x for x in found]
             yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(signed, pa.int64())], names=["doc_id", "h", "fp"])
 
-    return texts(docs).withColumn("h", F.xxhash64("text")).mapInArrow(work, "doc_id long, h long, fp long")
+    return texts(docs).withColumn("h", F.xxhash64("text")).mapInArrow(released(work), "doc_id long, h long, fp long")
 
 
 def _blocks(n_blocks: int) -> list[tuple[int, int]]:

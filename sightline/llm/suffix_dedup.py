@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, texts, unused
+from sightline.llm.common import checkpointed, released, texts, unused
 
 CHUNK = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
@@ -135,7 +135,7 @@ def _anchor_rows(keyed: DataFrame, length: int, only_hashes: bool) -> DataFrame:
                 yield _batch(out, only_hashes)
 
     names = "gram long, context long" + ("" if only_hashes else ", k1 long, k2 long, place long")
-    return keyed.select("raw", "k1", "k2").mapInArrow(work, names)
+    return keyed.select("raw", "k1", "k2").mapInArrow(released(work), names)
 
 
 def _batch(rows: list, only_hashes: bool) -> pa.RecordBatch:
@@ -221,7 +221,7 @@ def _compare_classes(rows: DataFrame, length: int) -> DataFrame:
         if held is not None and held.num_rows and (out := finish(held)) is not None:
             yield out
 
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(work, "k1 long, k2 long, a long, z long")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(released(work), "k1 long, k2 long, a long, z long")
 
 
 def _compare_hot(rows: DataFrame, length: int, sizes: tuple[int, ...] = (32, 8, 1)) -> DataFrame:
@@ -271,7 +271,7 @@ def _compare_hot(rows: DataFrame, length: int, sizes: tuple[int, ...] = (32, 8,
     left = rows.dropDuplicates(["gram", "context"]).select("gram", F.lit(None).cast("long").alias("o"), "k1", "k2", F.col("lo").alias("p"), "alone", "raw")
     found = None
     for size in sizes:
-        blocks = checkpointed(left.mapInArrow(cut(size), fields).withColumn("m", F.floor(F.col("o") / size)))
+        blocks = checkpointed(left.mapInArrow(released(cut(size)), fields).withColumn("m", F.floor(F.col("o") / size)))
         shared = blocks.groupBy("gram", "m", "core").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
         blocks = blocks.join(shared, ["gram", "m", "core"], "left_semi")
         same = blocks.groupBy("gram", "o", "n", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p")).alias("one")).filter("c > 1").drop("c")
@@ -316,7 +316,7 @@ def repeated_spans(keyed: DataFrame, length: int, class_limit: int = 512) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.binary()])], names=["gram", "context", "k1", "k2", "lo", "alone", "hot", "raw"])
 
     pieces = keyed.join(by_text, ["k1", "k2"]).select("raw", "k1", "k2", "found").mapInArrow(
-        cut, "gram long, context long, k1 long, k2 long, lo long, alone boolean, hot boolean, raw binary"
+        released(cut), "gram long, context long, k1 long, k2 long, lo long, alone boolean, hot boolean, raw binary"
     )
     pieces = checkpointed(pieces)
     full = span(rows.filter("not mixed")).unionByName(
@@ -364,7 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "raw", "found").mapInArrow(
-        work, "doc_id long, n_bytes long, spans array<struct<a: long, z: long>>, kept binary"
+        released(work), "doc_id long, n_bytes long, spans array<struct<a: long, z: long>>, kept binary"
     )
 
 

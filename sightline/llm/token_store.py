@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import filesystem, new_folder, texts
+from sightline.llm.common import filesystem, new_folder, released, texts
 from sightline.llm.tokens import crc_of, word_encoder
 
 MAGIC = b"SLTS0001"
@@ -188,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 2, folder
         yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     ordered = texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shards = ordered.mapInArrow(work, "shard long, path string, n_docs long, n_ids long").collect()
+    shards = ordered.mapInArrow(released(work), "shard long, path string, n_docs long, n_ids long").collect()
     base, rows = 0, []
     for x in sorted(shards, key=lambda x: x["shard"]):
         rows.append((*x, base))
@@ -225,5 +225,5 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_pydict(out)
 
     return manifest.select("path", "base").mapInArrow(
-        work, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+        released(work), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     )

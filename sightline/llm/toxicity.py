@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.arrays import Lists
-from sightline.llm.common import broadcast_if_small, checkpointed, smallest_hashes, texts, unused
+from sightline.llm.common import broadcast_if_small, checkpointed, released, smallest_hashes, texts, unused
 
 #: Labelled rows that the machine is fitted on at most, those with the smallest hash of their id.
 SAMPLE_ROWS = 16_000
@@ -148,7 +148,7 @@ def _terms(docs: DataFrame) -> DataFrame:
             found = [x for some in in_parts(batch.column("text").to_pylist()) for x in slots_of(some).lists()]
             yield pa.record_batch([batch.column("h"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["h", "toxic", "terms"])
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("h"), "toxic", "text").mapInArrow(work, "h long, toxic int, terms array<int>")
+    return docs.select(F.xxhash64("doc_id", "text").alias("h"), "toxic", "text").mapInArrow(released(work), "h long, toxic int, terms array<int>")
 
 
 def chi_square(n, n1, t, a):
@@ -231,7 +231,7 @@ def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
             yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(np.concatenate([*found, np.zeros(0)]))], names=["doc_id", "h", "score"])
 
     keyed = texts(docs).withColumn("h", F.xxhash64("text"))
-    scored = keyed.mapInArrow(work, "doc_id long, h long, score double")
+    scored = keyed.mapInArrow(released(work), "doc_id long, h long, score double")
     return scored.select("doc_id", "h", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import filesystem, new_folder
+from sightline.llm.common import filesystem, new_folder, released
 
 #: Fixed values of the formats: the frame that holds the dictionary, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -212,7 +212,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "202
             writer.close()
         yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string())})
 
-    done = ready.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(work, "path string")
+    done = ready.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(released(work), "path string")
     return sorted(x["path"] for x in done.collect())
 
 
@@ -243,4 +243,4 @@ def read_archives(spark, paths: list[str], with_payload: bool = False) -> DataFr
 
     kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if with_payload else "")
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return listed.mapInArrow(work, kind)
+    return listed.mapInArrow(released(work), kind)

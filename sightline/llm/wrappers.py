@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed
+from sightline.llm.common import checkpointed, released
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -645,9 +645,9 @@ def infer(pages: DataFrame, fan: int = 32) -> DataFrame:
             yield row()
 
     schema = "host string, shape long, wrapper string"
-    own = pages.select(host().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(part, schema)
+    own = pages.select(host().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(released(part), schema)
     for salt in (F.pmod("shape", F.lit(fan)), F.lit(-1).cast("long")):
-        own = own.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").mapInArrow(merged, schema)
+        own = own.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").mapInArrow(released(merged), schema)
     return own.select("host", "wrapper")
 
 
@@ -685,4 +685,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     else:  # pages of one host are dealt out, its rules go to all its parts
         salt = F.pmod(F.xxhash64("html"), F.lit(FAN))
         ruled = own.withColumn("salt", salt).join(ruled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAN - 1)).cast("array<long>"))), ["host", "salt"], "left")
-    return ruled.select("page_id", "url", "html", "rules").mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return ruled.select("page_id", "url", "html", "rules").mapInArrow(released(work), "page_id long, url string, text string, n_chars long")
