@@ -49,7 +49,7 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 2_500) -> None:
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Hand at most so many rows at once to Python for the rest of the session: whole documents
     are long, and Spark holds a batch several times while it passes it on."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
