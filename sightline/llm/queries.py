@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe_codec, embed_dedup, packing, quality, simhash, suffix_dedup, token_store, toxicity, warc, wrappers
+from sightline.llm import bpe_codec, conversations, embed_dedup, packing, quality, simhash, suffix_dedup, token_store, toxicity, warc, wrappers
 from sightline.llm.common import table
 
 
@@ -66,10 +66,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), distance=2, width=3, seed=42)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc, op2_html_extraction, op3_suffix_array_dedup, op4_token_store, op5_packing, op6_quality_rules, op7_toxicity,
-        op8_embedding_near_dedup, op9_bpe_codec, op10_simhash_near_dedup,
+        op8_embedding_near_dedup, op9_bpe_codec, op10_simhash_near_dedup, op11_conversation_repair,
     )}
 
 
