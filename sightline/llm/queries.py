@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe_codec, conversations, embed_dedup, packing, quality, simhash, suffix_dedup, token_store, toxicity, warc, wrappers
+from sightline.llm import bpe_codec, conversations, embed_dedup, packing, phrases, quality, simhash, suffix_dedup, token_store, toxicity, warc, wrappers
 from sightline.llm.common import table
 
 
@@ -70,10 +70,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), max_words=4, least=30, within=80, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc, op2_html_extraction, op3_suffix_array_dedup, op4_token_store, op5_packing, op6_quality_rules, op7_toxicity,
         op8_embedding_near_dedup, op9_bpe_codec, op10_simhash_near_dedup, op11_conversation_repair,
+        op12_phrase_collocations,
     )}
 
 
@@ -95,6 +100,23 @@ ORACLES = {
         n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
         SELECT v AS vec_id, coalesce(any_value(n_links), 0) AS n_links, min(r) AS component_id, min(r) = v AS kept FROM reach LEFT JOIN n ON n.a = v GROUP BY v
     """,
+    "op12_phrase_collocations": """
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+        g AS (SELECT lang, words, unnest(list_transform(range(1, len(ws) - words + 2), lambda i: array_to_string(ws[i : i + words - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS words)),
+        f AS (SELECT lang, words, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, words, phrase),
+        totals AS (SELECT lang, sum(f) AS n FROM f WHERE words = 1 GROUP BY lang),
+        known AS (SELECT * FROM f WHERE f >= 30),
+        cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, words, unnest(range(1, words)) AS k FROM known WHERE words > 1),
+        scored AS (SELECT c.*, h.f AS l, t.f AS r, 2000000 * c.a // (h.f + t.f) AS score FROM cuts c
+            JOIN known h ON h.lang = c.lang AND h.phrase = array_to_string(c.ws[1 : c.k], ' ') JOIN known t ON t.lang = c.lang AND t.phrase = array_to_string(c.ws[c.k + 1 : c.words], ' ')),
+        best AS (SELECT lang, phrase, words, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        longer AS (SELECT lang, f, words, ' ' || phrase || ' ' AS around FROM known WHERE words > 2),
+        open AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM longer x WHERE x.lang = b.lang AND x.words > b.words AND 100 * x.f >= 80 * b.a AND contains(x.around, ' ' || b.phrase || ' '))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM open)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
 
 

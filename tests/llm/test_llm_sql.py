@@ -11,7 +11,7 @@ from sightline.llm import queries as llm
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     found = con.execute(llm.ORACLES[name])
     columns = [d[0] for d in found.description]
