@@ -75,24 +75,26 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sums_by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(distinct keys in ascending order, sums of each column by key)."""
+def sums_by_key(keys: np.ndarray, *values: np.ndarray, carried: int = 0) -> tuple[np.ndarray, ...]:
+    """(distinct keys in ascending order, sums of each column by key); the last ``carried`` columns
+    follow from the key and stay as they are."""
     if not len(keys):
         return keys, *(v.astype(np.int64) for v in values)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], *(np.add.reduceat(v[order].astype(np.int64), first) for v in values)
+    summing = len(values) - carried
+    return keys[first], *(np.add.reduceat(v[order].astype(np.int64), first) for v in values[:summing]), *(v[order[first]] for v in values[summing:])
 
 
-def summed(pairs: Iterable[tuple[np.ndarray, ...]], held: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(keys in ascending order, sums of each further column by key), of about ``held`` keys at once."""
+def summed(pairs: Iterable[tuple[np.ndarray, ...]], held: int | None = None, carried: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """``sums_by_key`` of about ``held`` keys at once."""
     held = held or HELD
     parts: list[tuple[np.ndarray, ...]] = []
     n = 0
 
     def together() -> tuple[np.ndarray, ...]:
-        return sums_by_key(*(np.concatenate(x) for x in zip(*parts)))
+        return sums_by_key(*(np.concatenate(x) for x in zip(*parts)), carried=carried)
 
     for p in pairs:
         parts.append(p)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe_codec, conversations, embed_dedup, packing, phrases, quality, simhash, suffix_dedup, token_store, toxicity, warc, wrappers
+from sightline.llm import bpe_codec, conversations, embed_dedup, language_model, packing, phrases, quality, simhash, suffix_dedup, token_store, toxicity, warc, wrappers
 from sightline.llm.common import table
 
 
@@ -74,11 +74,15 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), max_words=4, least=30, within=80, top=2000)
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"), order=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_warc, op2_html_extraction, op3_suffix_array_dedup, op4_token_store, op5_packing, op6_quality_rules, op7_toxicity,
         op8_embedding_near_dedup, op9_bpe_codec, op10_simhash_near_dedup, op11_conversation_repair,
-        op12_phrase_collocations,
+        op12_phrase_collocations, op13_language_model,
     )}
 
 

@@ -6,12 +6,15 @@ import random
 import re
 from collections import Counter
 from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sightline.llm import grams, phrases
+from sightline.llm import grams, language_model, phrases
+from sightline.llm.queries import queries
 
 DOCS = "doc_id long, text string, lang string, n long, h long, phrase string"
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -93,3 +96,104 @@ def test_sums():
         assert all(a < b for a, b in pairwise(keys.tolist()))
         got.update(dict(zip(keys.tolist(), n.tolist())))
     assert got == {1: 2, 2: 5, 3: 11}
+
+
+# --- Language model --------------------------------------------------------------------------------
+
+
+def tokens_of(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), None]
+
+
+def brute_model(texts, order):
+    """A function that gives log10 of each token's probability, from the definition."""
+    start = "begin "
+    counts = {n: Counter() for n in range(1, order + 1)}
+    for t in texts:
+        own = [start] * (order - 1) + tokens_of(t)
+        for i in range(order - 1, len(own)):
+            counts[order][tuple(own[i - order + 1 : i + 1])] += 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    words = {g[0] for g in counts[1]}
+    off, kinds = {}, {}
+    for n in range(1, order + 1):
+        off[n] = [0, *language_model.discounts([sum(v == k for v in counts[n].values()) for k in (1, 2, 3, 4)])]
+        kinds[n] = {}
+        for g, v in counts[n].items():
+            kinds[n].setdefault(g[:-1], []).append(v)
+
+    def p(context, w):
+        n = len(context) + 1
+        below = 1 / (len(words) + 1) if n == 1 else p(context[1:], w)
+        own = kinds[n].get(context)
+        if own is None:
+            return below
+        v = counts[n][(*context, w)]
+        return (v - off[n][min(v, 3)] + sum(off[n][min(x, 3)] for x in own) * below) / sum(own)
+
+    def logs(text):
+        own = [start] * (order - 1) + tokens_of(text)
+        return [np.log10(p(tuple(own[i - order + 1 : i]), own[i])) for i in range(order - 1, len(own))]
+
+    return logs, p, words
+
+
+def check_scores(rows, got, order):
+    learnt = [text for i, text in rows if i is None or crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in learnt for w in tokens_of(t))
+    total = sum(count.values())
+    logs, _, _ = brute_model(learnt, order)
+    want = sorted(
+        ((-1 if i is None else i), i is not None and crc32(str(i).encode()) % 7 == 2, len(tokens_of(t)), sum(w in count for w in tokens_of(t)), total,
+         sum(np.log10((count[w] + 1) / (total + len(count) + 1)) for w in tokens_of(t)), sum(logs(t)) if learnt else 0.0) for i, t in rows
+    )
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], *tuple(r)[1:]) for r in got)
+    assert [x[:5] for x in found] == [x[:5] for x in want]
+    assert np.allclose([x[5:] for x in found], [x[5:] for x in want], rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_model_odd(spark, order, monkeypatch):
+    rows = [(r[0] if k % 9 else None, *r[1:]) for k, r in enumerate(odd_docs(3))]
+    got = language_model.scores(spark.createDataFrame(rows, DOCS).repartition(3), order).collect()
+    check_scores([(r[0], r[1]) for r in rows], got, order)
+
+
+def test_model_query(spark, data):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = queries()["op13_language_model"](spark, data).collect()
+    check_scores(docs, got, 2)
+    held = [r for r in got if r["held_out"] and r["n_tokens"] > 20]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_probabilities_sum_to_one():
+    texts = ["a b a b c", "a b c d", "c c c a", "", "x y z a b"]
+    for order in (2, 3):
+        _, p, words = brute_model(texts, order)
+        for context in [("a",), ("b",), ("q",), (None,)] if order == 2 else [("a", "b"), ("q", "a"), ("c", "c")]:
+            assert sum(p(context, w) for w in [*words, "never"]) == pytest.approx(1)
+
+
+def test_model_empty(spark):
+    assert language_model.scores(spark.createDataFrame([], DOCS)).collect() == []
+    held = next(i for i in range(100) if crc32(str(i).encode()) % 7 == 2)
+    (row,) = language_model.scores(spark.createDataFrame([(held, "a b", None, 0, 0, "")], DOCS)).collect()
+    assert tuple(row) == (held, True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_hot_contexts_are_split(spark):
+    """A word before most others: its pairs lie in several partitions, and are found again."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"the w{rng.randrange(500)}" for _ in range(200)), "en", 0, 0, "") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", F.col("text").cast("binary").alias("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        model = language_model.fit(docs)
+        got = language_model.scores(spark.createDataFrame(rows, DOCS)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(model.seen[2].hot) < 70 and max(model.seen[2].sizes) < model.seen[2].size / 4
+    check_scores([(r[0], r[1]) for r in rows], got, 2)
