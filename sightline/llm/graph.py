@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import checkpointed
 
+#: Edges in one partition, about.
+EDGES_A_PART = 50_000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
@@ -16,8 +19,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     then the smaller neighbours likewise, until the edges are stars around the smallest
     nodes; the number of rounds grows with the logarithm of the longest path. Minima are
     combined before each shuffle, and the joins are plain equi-joins which Spark splits
-    where a node is hot. Every round is checkpointed. No edge is ever collected. Edges
-    with a null end are left out; without edges there are no rows.
+    where a node is hot. Every round is checkpointed, in as many partitions as its edges fill.
+    No edge is ever collected. Edges with a null end are left out; without edges there are
+    no rows.
     """
     loops = edges.filter("src = dst").select("src").distinct()
     e = checkpointed(
@@ -27,7 +31,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not signature[0]:
             break
-        before, e = e, checkpointed(_small_star(_large_star(e)))
+        parts = max(1, -(-signature[0] // EDGES_A_PART))
+        before, e = e, checkpointed(_small_star(_large_star(e, parts), parts))
         now = _signature(e)
         # Equal counts and no new edge: the same edges.
         if now == signature and e.join(before, ["src", "dst"], "left_anti").isEmpty():
@@ -47,19 +52,20 @@ def _signature(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % 1000000007)).first())
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, parts: int) -> DataFrame:
     """Every larger neighbour of a node, linked to the smallest of the node and its neighbours."""
+    e = e.coalesce(parts)
     both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy(F.col("src").alias("n")).agg(F.min("dst").alias("m")).select("n", F.least("n", "m").alias("m"))
+    least = both.groupBy(F.col("src").alias("n")).agg(F.min("dst").alias("m")).select("n", F.least("n", "m").alias("m")).coalesce(parts)
     return (
         both.filter("dst > src").join(least, F.col("src") == F.col("n"))
-        .select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst").distinct()
+        .select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst").coalesce(parts).distinct().coalesce(parts)
     )
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, parts: int) -> DataFrame:
     """Every smaller neighbour of a node and the node itself, linked to the smallest of them."""
-    least = e.groupBy(F.col("src").alias("n")).agg(F.min("dst").alias("m"))
+    least = e.groupBy(F.col("src").alias("n")).agg(F.min("dst").alias("m")).coalesce(parts)
     moved = e.join(least, F.col("src") == F.col("n")).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     own = least.select(F.col("n").alias("src"), F.col("m").alias("dst"))
-    return moved.unionByName(own).filter("src <> dst").distinct()
+    return moved.unionByName(own).filter("src <> dst").coalesce(parts).distinct().coalesce(parts)
