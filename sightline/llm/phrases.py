@@ -6,7 +6,7 @@ occur inside one that is a word longer go by an anti-join, and a window ranks wh
 
 Most sequences are seen once, and a row for each of them would be about ten times the text. A
 sequence can only be as frequent as its first and its last words without one, so lengths are
-counted one after the other, as 64-bit hashes, and only for sequences both of whose parts are
+counted one after the other, by hashes, and only for sequences both of whose parts are
 frequent enough. What is known to be frequent is a table of 2^26 bits by hash, of one size whatever
 the input: a bit that two sequences share lets a rare one pass, never keeps a frequent one out.
 Sequences that pass are then counted as texts, and those counts alone are used.
@@ -27,6 +27,8 @@ from sightline.llm.grams import Words, mixed, sections, summed
 #: What separates words inside a piece, and what ends a piece.
 SPACES, BREAKS = b" \t", b".,;:!?\x0a\x0b\x0c\x0d"
 BITS = 26
+#: Bits of a hash that are shuffled to count sequences; two that share them only let a rare one pass.
+KEPT_BITS = 48
 #: Positions in one row of Spark's bitmaps.
 BITMAP = 32_768
 #: Rows of one language are ranked in so many groups before they are ranked together.
@@ -100,13 +102,13 @@ def _frequent_bits(docs: DataFrame, known: list, least: int) -> np.ndarray:
                 for bits in known:
                     found.keep(bits.value)
                     found.grow()
-                yield found.hashes, found.count
+                yield found.hashes >> np.uint64(64 - KEPT_BITS), found.count
 
         for keys, n in summed(pairs()):
             yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "m"])
 
     counts = docs.mapInArrow(released(work), "h long, m long").groupBy("h").agg(F.sum("m").alias("m")).filter(F.col("m") >= least)
-    slot = F.shiftrightunsigned("h", 64 - BITS)
+    slot = F.shiftrightunsigned("h", KEPT_BITS - BITS)
     rows = counts.groupBy(F.floor(slot / BITMAP).cast("int").alias("row")).agg(F.bitmap_construct_agg(slot % BITMAP).alias("bits"))
     out = np.zeros((1 << BITS) // 8, np.uint8)
     for r in rows.collect():  # 2,048 rows of 4 KB at most
@@ -119,7 +121,7 @@ def counted(docs: DataFrame, max_words: int = 4, least: int = 30) -> DataFrame:
     ``least`` times; with no words and an empty phrase: how many words the language has."""
     spark, own = docs.sparkSession, _texts(docs)
     bits: list = []
-    for _ in range(max_words):
+    for _ in range(max_words - 1):
         bits.append(spark.sparkContext.broadcast(_frequent_bits(own, bits, least)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +131,11 @@ def counted(docs: DataFrame, max_words: int = 4, least: int = 30) -> DataFrame:
             names, ids, languages = found.words.names.to_pylist(), found.words.ids.tolist(), found.languages
             totals = np.bincount(found.language, minlength=len(languages))
             yield pa.record_batch([pa.array(languages, pa.binary()), pa.array([0] * len(languages), pa.int32()), pa.array([b""] * len(languages), pa.binary()), pa.array(totals)], schema=schema)
-            for n, table in enumerate(bits, 1):
+            for n in range(1, max_words + 1):
                 if n > 1:
                     found.grow()
-                found.keep(table.value)
+                if n < max_words:  # most of the longest ones whose parts are frequent are so, too
+                    found.keep(bits[n - 1].value)
                 phrases = [b" ".join([names[i] for i in ids[a : a + n]]) for a in found.first.tolist()]
                 own = [languages[x] for x in found.language[found.first].tolist()]
                 yield pa.record_batch([pa.array(own, pa.binary()), pa.array([n] * len(own), pa.int32()), pa.array(phrases, pa.binary()), pa.array(found.count)], schema=schema)
