@@ -30,23 +30,30 @@ from sightline.llm.common import checkpointed, released
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml".split())
+MATH = frozenset("math mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl select html body article section div".split())
 
-# Parts that are never article text, by element and by words of class, id or role.
-FURNITURE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg math button select menu dialog textarea search title object".split())
-FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus "
-    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup popular promo promoted promotion recommended "
-    "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags teaser toolbar topbar widget widgets".split()
+# Elements that are never article text, and words of class, id and role that name page parts: those
+# that name nothing else, those that are also words of articles, words that go with either in a name, and words that deny one.
+FURNITURE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg button select menu dialog textarea search title object".split())
+SURE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs commentlist comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu "
+    "modal nav navbar navigation newsletter outbrain pager pagination popup sidebar signup sponsor sponsored subscribe taboola toolbar topbar".split()
 )
-#: A paragraph, heading or list item that has none but these words is furniture only if the wrapper agrees.
-WEAK_WORDS = frozenset("header popular recommended related search share sharing skip social tags teaser widget widgets".split())
+LIKELY_WORDS = frozenset(
+    "banner comment header login notice notices popular promo promoted promotion recommended related replies reply respond search share sharing skip social tags teaser widget widgets".split()
+)
+JOINING_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons column container content entry form global group icon icons inner item items left link links list main outer page panel post posts "
+    "primary reader right secondary section site slot stories text thread top unit user wrap wrapper".split()
+)
+DENYING_WORDS = frozenset("has hide is no not with without".split())
+FURNITURE_WORDS = SURE_WORDS | LIKELY_WORDS
 BLOCKS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
-MARKS = FURNITURE_WORDS | {"main"}
 
 _PLAIN = re.compile(r"[^>\"']*")
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -54,19 +61,49 @@ _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _key(tag: str, attributes: str) -> tuple[str, bool]:
-    """A tag with the words of its class, id and role, and whether it is hidden. All words
-    that decide about furniture and articles are kept, and six others."""
-    words, hidden = set(), False
+def _named(tag: str, kind: str, token: str) -> str:
+    """What a token of a class, id or role says about an element: "3" furniture, "2" likely
+    furniture, "h" a header, "1" a hint that the wrapper has to bear out, "" nothing.
+
+    A whole token speaks, or one of several words all of which name or go with page parts;
+    another one that has such a word in it only hints. Ids are often anchors of headings.
+    """
+    words = _WORDS.findall(token)
+    named = FURNITURE_WORDS.intersection(words)
+    if not named or (len(words) > 1 and words[0] in DENYING_WORDS) or (kind == "id" and tag in BLOCKS):
+        return ""
+    if not all(w in FURNITURE_WORDS or w in JOINING_WORDS for w in words) or (named == {"header"} and len(words) > 1):
+        return "1"
+    if named & SURE_WORDS:
+        return "3"
+    if kind == "id" or tag in BLOCKS:
+        return "1"
+    return "h" if named == {"header"} and kind == "class" else "3" if kind == "role" else "2"
+
+
+def _key(tag: str, attributes: str) -> str:
+    """A tag with the words of its class and role (a hash stands for more than six), and after
+    a "!" what its attributes say: "x" hidden, "m" main, or what ``_named`` gives."""
+    words, said = set(), set()
     if attributes.strip():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), unescape(value.strip("\"'")).lower()
             if name in ("class", "id", "role"):
-                words.update(w for part in value.split() for w in _WORDS.findall(part))
+                for token in value.split():
+                    said.add(_named(tag, name, token))
+                    if token == "main":
+                        said.add("m")
+                    if name != "id":
+                        words.update(_WORDS.findall(token))
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                hidden = True
-    marks = words & MARKS
-    return ".".join((tag, *sorted(marks | {*sorted(words - marks)[: max(0, 6 - len(marks))]}))), hidden
+                said.add("x")
+    if not words and not said:
+        return tag
+    kept = sorted(words)
+    if len(kept) > 6:
+        kept = [*kept[:6], f"{_text_name(' '.join(kept)):x}"]
+    mark = next((m for m in "x3m2h1" if m in said), "")
+    return ".".join((tag, *kept)) + (f"!{mark}" if mark else "")
 
 
 class _Scanner:
@@ -132,8 +169,8 @@ def parse(html: str) -> list[Any]:
     """The element tree: [key, children], children being elements or (text, linked letters).
 
     Inline elements leave only their text; a text is what stands between two block tags.
-    Missing and surplus end tags are put up with, as browsers do; hidden elements, comments
-    and raw elements are left out.
+    Missing and surplus end tags are put up with, as browsers do; comments, raw elements and
+    hidden inline elements (to their end tag, or that of their block) are left out.
     """
     root: list[Any] = ["#root", []]
     stack: list[tuple[str, list]] = [("#root", root)]
@@ -141,10 +178,12 @@ def parse(html: str) -> list[Any]:
     text: list[str] = []
     scanner = _Scanner(html)
     linked, in_link, at = 0, False, 0
+    # A hidden inline element that is open, and how many of its tag are.
+    unseen, depth = "", 0
 
     def add(part: str) -> None:
         nonlocal linked
-        if part:
+        if part and not unseen:
             part = unescape(part)
             text.append(part)
             if in_link:
@@ -181,24 +220,26 @@ def parse(html: str) -> list[Any]:
         elif tag in INLINE:
             if tag == "a":
                 in_link = not ending
-            if not ending and "hidden" in attributes and _key(tag, attributes)[1] and (e := scanner.closing(tag, at)) >= 0:
-                at = e
+            if unseen:
+                depth += (tag == unseen) * (-1 if ending else tag not in VOID)
+                unseen = unseen if depth else ""
+            elif not ending and tag not in VOID and ("hidden" in (low := attributes.lower()) or "style" in low) and _key(tag, attributes).endswith("!x"):
+                unseen, depth = tag, 1
         elif ending:
             flush()
-            in_link = False
+            in_link, unseen = False, ""
             close({tag}, frozenset())
         elif tag in RAW:
             e = scanner.closing(tag, at)
             at = html.find(">", e) + 1 if e >= 0 else (len(html) if tag in ("script", "style", "textarea", "title") else at)
         elif tag:
             flush()
-            in_link = False
+            in_link, unseen = False, ""
             if tag in CLOSES_P:
                 close({"p"}, SCOPE)
             if tag in SAME:
                 close(SAME[tag], SCOPE)
-            key, hidden = _key(tag, attributes)
-            node = [key + "!hidden" if hidden else key, []]
+            node = [_key(tag, attributes), []]
             stack[-1][1][1].append(node)
             if tag not in VOID:
                 stack.append((tag, node))
@@ -208,25 +249,26 @@ def parse(html: str) -> list[Any]:
     return root
 
 
-def is_furniture(key: str, in_article: bool) -> bool | None:
-    """Whether an element holds no article text; None if the wrapper has to tell. A header
-    within the article holds its title."""
-    if key.endswith("!hidden"):
-        return True
-    tag, *words = key.split(".")
-    if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True
+def furniture(key: str, in_article: bool) -> str:
+    """Whether an element holds no article text: "yes", "no", "likely" (unless it holds most of
+    its article) or "hint" (if the wrapper bears it out). A header within the article holds its title."""
+    name, _, mark = key.partition("!")
+    tag = name.partition(".")[0]
+    if mark == "x":
+        return "yes"
     if tag in ("html", "body", "article", "main"):
-        return False
-    bad = FURNITURE_WORDS.intersection(words)
-    if in_article:
-        bad -= {"header"}
-    return None if bad and tag in BLOCKS and bad <= WEAK_WORDS else bool(bad)
+        return "no"
+    if tag in FURNITURE_TAGS or mark == "3" or (tag == "header" and not in_article):
+        return "yes"
+    return "likely" if mark == "2" or (mark == "h" and not in_article) else "hint" if mark == "1" else "no"
 
 
 def is_article(key: str) -> bool:
-    tag, *words = key.split(".")
-    return tag in ("article", "main") or "main" in words
+    return key.partition("!")[0].partition(".")[0] == "article"
+
+
+def is_main(key: str) -> bool:
+    return key.endswith("!m") or key.partition("!")[0].partition(".")[0] == "main"
 
 
 #: Rules of all hosts are broadcast up to so many bytes; beyond, they are joined, a host's pages dealt to FAN parts.
@@ -418,7 +460,7 @@ def to_regex(w: Wrapper) -> str:
         elif x.key == "#":
             out.append("#" if x.how == "1" else f"(#){x.how}")
         else:
-            end = f"</{x.key.split('.')[0]}>"
+            end = f"</{x.key.partition('!')[0].partition('.')[0]}>"
             out.append(f"<{x.key}>" if x.how == "1" else f"(<{x.key}>")
             todo += [end if x.how == "1" else f"{end}){x.how}", *reversed(x.parts)]
     return " ".join(out)
@@ -439,7 +481,7 @@ class _Paths:
             self.name.append(path_name(self.name[parent] if parent >= 0 else 0, key))
             self.parent.append(parent)
             self.below.append([])
-            self.heading.append(key.split(".")[0] in HEADINGS)
+            self.heading.append(key.partition("!")[0].partition(".")[0] in HEADINGS)
         return self.at[parent, key]
 
     def number(self) -> None:
@@ -473,72 +515,128 @@ def path_name(parent: int, key: str) -> int:
     return xxh64_intdigest(f"{parent} {key}".encode("utf-8", "surrogatepass"))
 
 
-def _texts_below(x: Wrapper) -> list[Wrapper]:
-    return [p for _, p in x.nodes() if p.key == "#"]
-
-
 def _is_shared(x: Wrapper, pages: int, constant_pages: int) -> bool:
     """Whether all of several different pages have one text word for word."""
     return x.text is not None and x.how == "1" and x.pages >= pages and len(x.text) > constant_pages
 
 
+class _Part:
+    """A part of a wrapper on its way through ``rules_of``: what it holds besides sure furniture."""
+
+    __slots__ = ("x", "path", "holder", "verdict", "in_article", "in_main", "letters", "linked", "least", "varies", "article")
+
+    def __init__(self, x: Wrapper, path: int, holder: int, verdict: str, in_article: bool, in_main: bool) -> None:
+        self.x, self.path, self.holder, self.verdict, self.in_article, self.in_main = x, path, holder, verdict, in_article, in_main
+        self.letters = self.linked = 0
+        #: Pages that have the rarest text, whether a text varies, and whether there is an article with text that isn't links.
+        self.least, self.varies, self.article = float("inf"), False, False
+
+
+def _walk(w: Wrapper, paths: _Paths, constant_pages: int) -> list[_Part]:
+    """All parts outside sure furniture in page order, with what they hold."""
+    parts: list[_Part] = []
+    order = [(w, -1, -1, False, False)]
+    while order:
+        x, parent, holder, in_article, in_main = order.pop()
+        if x.key == "#":
+            one = _Part(x, parent, holder, "no", in_article, in_main)
+            one.letters, one.linked, one.least, one.varies = x.letters, x.linked, x.pages, not _is_shared(x, 0, constant_pages)
+            parts.append(one)
+            continue
+        path = paths.child(parent, x.key)
+        verdict = furniture(x.key, in_article)
+        if verdict == "yes":
+            continue
+        parts.append(_Part(x, path, holder, verdict, in_article, in_main))
+        article = in_article or is_article(x.key)
+        order += [(p, path, len(parts) - 1, article, in_main or is_main(x.key)) for p in reversed(x.parts)]
+        holder = len(parts) - 1
+    for one in reversed(parts):
+        own = is_article(one.x.key) and one.x.key != "#"
+        one.article = one.article or (own and one.letters > 2 * one.linked)
+        if one.holder >= 0:
+            up = parts[one.holder]
+            up.letters, up.linked = up.letters + one.letters, up.linked + one.linked
+            up.least, up.varies, up.article = min(up.least, one.least), up.varies or one.varies, up.article or one.article
+    return parts
+
+
 def rules_of(w: Wrapper, constant_pages: int = CONSTANT_PAGES) -> dict[str, list[int]]:
-    """Where the article is: paths of its regions, of texts that are furniture within, and
-    of elements that are furniture as a whole (``dropped``).
-
-    All articles and main elements with text outside furniture are the regions, and they are
-    taken whole. Without any, or if they hold little of the page, it is also the smallest
-    element that holds all texts that vary between pages and aren't links (all texts, if
-    little varies). In this one, texts that all of several different pages of the host share
-    word for word are furniture, if the other texts outweigh them, and so are its children
-    that hold links only. Blocks whose words only hint at furniture are furniture if their
-    texts are links for the greater part or are shared in this way.
+    """Where the article is: paths of its ``regions``, of texts that are furniture within
+    (``fixed``), of elements that are furniture as a whole (``dropped``), and of those that are
+    none in spite of their name (``kept``).
+
+    Articles with text that isn't links for the greater part are the regions, and they are taken whole.
+    So are main elements, but for texts that all pages of the host share; of a main element around
+    articles, headings and texts that vary and aren't links. Without any, the region is the smallest element that
+    holds all texts that vary between pages and aren't links (all texts, if little varies). In it, texts that
+    all of several different pages of the host share word for word are furniture, if the other
+    texts outweigh them, and so are its children that hold links only.
+
+    What a name makes likely furniture is so unless it holds most of its article; what a name hints
+    at only if nothing on that path varies. (Whether one is links for the greater part is seen on each page.)
     """
-    paths, slots, dropped = _Paths(), [], set()
+    paths = _Paths()
+    parts = _walk(w, paths, constant_pages)
+    # By path: letters that aren't links, whether all parts are shared; and the letters of the article around.
+    own: Counter = Counter()
+    shared_path: dict[int, bool] = {}
+    around: dict[int, int] = {}
+    kind: dict[int, str] = {}
+    enclosing: list[int] = []
+    for one in parts:
+        x = one.x
+        base = one.holder if one.holder >= 0 and (is_article(parts[one.holder].x.key) or is_main(parts[one.holder].x.key)) else (enclosing[one.holder] if one.holder >= 0 else 0)
+        enclosing.append(base)
+        if one.verdict in ("likely", "hint"):
+            own[one.path] += one.letters - one.linked
+            shared_path[one.path] = shared_path.get(one.path, True) and not one.varies and one.least >= x.pages
+            around[one.path] = max(around.get(one.path, 0), parts[base].letters - parts[base].linked)
+            kind[one.path] = one.verdict
+    kept = {p for p, k in kind.items() if k == "likely" and 2 * own[p] > around[p] and not shared_path[p]}
+    dropped = {p for p, k in kind.items() if k == "hint" and shared_path[p]}
+    gone: set[int] = set()
+    slots: list[tuple[int, Wrapper]] = []
+    regions: set[int] = set()
+    mains: dict[int, bool] = {}
+    loose: list[tuple[int, Wrapper]] = []  # texts of a main element outside its articles
+    plain: list[tuple[int, Wrapper]] = []  # texts of a main element without articles
     pages: dict[int, int] = {}
-    # (part, path, place of what holds it, whether it begins an article, letters that count)
-    seen: list[list[Any]] = []
-    todo = [(w, -1, -1, False)]
-    while todo:
-        x, parent, holder, in_article = todo.pop()
-        if x.key == "#":
-            slots.append((parent, x))
-            seen.append([x, parent, holder, False, max(0.0, x.letters - 2.0 * x.linked) / max(1, x.pages)])
+    main_at: list[int] = []
+    for i, one in enumerate(parts):
+        x = one.x
+        main_at.append(main_at[one.holder] if one.holder >= 0 else -1)
+        if one.holder in gone or one.path in dropped or (one.verdict == "likely" and one.path not in kept) or (one.verdict == "hint" and 2 * one.linked >= one.letters > 0):
+            gone.add(i)
             continue
-        path = paths.child(parent, x.key)
-        furniture = is_furniture(x.key, in_article)
-        if furniture is None:
-            own_texts = _texts_below(x)
-            furniture = 2 * sum(t.linked for t in own_texts) >= sum(t.letters for t in own_texts) or all(_is_shared(t, x.pages, constant_pages) for t in own_texts)
-            if furniture:
-                dropped.add(paths.name[path])
-        if furniture:
+        if x.key == "#":
+            slots.append((one.path, x))
+            if one.in_main and not one.in_article:
+                (loose if mains[main_at[i]] else plain).append((one.path, x))
             continue
-        own = is_article(x.key)
-        pages[path] = pages.get(path, 0) + x.pages
-        seen.append([x, path, holder, own and not in_article, 0.0])
-        todo += [(p, path, len(seen) - 1, in_article or own) for p in reversed(x.parts)]
+        pages[one.path] = pages.get(one.path, 0) + x.pages
+        if is_article(x.key) and not one.in_article and one.letters > 2 * one.linked:
+            regions.add(one.path)
+        elif is_main(x.key) and not one.in_article and not one.in_main and one.letters > 0:
+            mains[i] = one.article
+            main_at[i] = i
+            regions.add(one.path)
+        elif is_main(x.key) and not one.in_main:
+            main_at[i], mains[i] = i, False
     paths.number()
-    regions: dict[int, float] = {}
-    with_text = [x.key == "#" and x.letters > 0 for x, *_ in seen]
-    for i in range(len(seen) - 1, -1, -1):
-        x, path, holder, begins, mass = seen[i]
-        if begins and with_text[i]:
-            regions[path] = regions.get(path, 0.0) + mass
-        if holder >= 0:
-            above = seen[holder][0]
-            seen[holder][4] += mass * (x.pages / max(1, above.pages) if x.pages < above.pages else 1)
-            with_text[holder] = with_text[holder] or with_text[i]
-    whole = seen[0][4] if seen else 0.0
     chosen, fixed = set(regions), set()
-    if slots and (not chosen or sum(regions.values()) < 0.15 * whole):
-        letters: Counter = Counter()
-        links: Counter = Counter()
-        for p, x in slots:
-            letters[p] += x.letters
-            links[p] += x.linked
-        linked = {p: 2 * links[p] >= letters[p] for p in letters}
-        heading = paths.heading.__getitem__
+    letters: Counter = Counter()
+    links: Counter = Counter()
+    for p, x in slots:
+        letters[p] += x.letters
+        links[p] += x.linked
+    linked = {p: 2 * links[p] >= letters[p] for p in letters}
+    heading = paths.heading.__getitem__
+    # Around articles, only what is known to vary stays, and headings.
+    varied = {p for p, x in loose if x.text is None}
+    fixed |= {p for p, _ in loose if linked[p] or (p not in varied and not heading(p))}
+    fixed |= _shared_texts([(p, _is_shared(x, pages[_main_of(paths, p, regions)], constant_pages), x.letters) for p, x in plain if not linked[p]], heading)
+    if slots and not chosen:
         text = [(p, x) for p, x in slots if not linked[p]] or slots
         varying = [(p, x.letters) for p, x in text if not _is_shared(x, w.pages, constant_pages)]
         # Where little but titles varies, pages are copies of each other and nothing is told apart.
@@ -546,25 +644,50 @@ def rules_of(w: Wrapper, constant_pages: int = CONSTANT_PAGES) -> dict[str, list
         region = paths.common([p for p, _ in varying] if outweigh else [p for p, _ in text])
         inside = [(p, x) for p, x in slots if paths.inside(p, region)]
         shared = [(p, _is_shared(x, pages[region], constant_pages), x.letters) for p, x in inside if not linked[p]]
-        # A constant heading is a title that happens to be shared; a path that varies anywhere is kept.
-        varied = {p for p, c, _ in shared if not c}
-        same = {p for p, c, _ in shared if c and not heading(p)} - varied
-        if sum(n for p, _, n in shared if p in varied and not heading(p)) > sum(n for p, _, n in shared if p in same):
-            fixed |= same
+        fixed |= _shared_texts(shared, heading)
         starts = [(paths.first[b], b) for b in paths.below[region]]
         branch = lambda p: bisect_right(starts, (paths.first[p], len(paths.name)))
         branches = {branch(p) for p, _, _ in shared}
         if shared:
             fixed |= {p for p, _ in inside if linked[p] and branch(p) not in branches}
-        fixed = {p for p in fixed if not any(paths.inside(p, r) for r in chosen)}
         chosen.add(region)
-    return {"regions": sorted(paths.name[p] for p in chosen), "fixed": sorted(paths.name[p] for p in fixed), "dropped": sorted(dropped)}
+    named = {"regions": chosen, "fixed": fixed, "dropped": dropped, "kept": kept}
+    return {k: sorted(paths.name[p] for p in some) for k, some in named.items()}
+
+
+def _main_of(paths: _Paths, path: int, regions: set[int]) -> int:
+    while path not in regions:
+        path = paths.parent[path]
+    return path
+
+
+def _shared_texts(shared: list[tuple[int, bool, int]], heading: Any) -> set[int]:
+    """Of (path, whether all pages share the text, letters), the paths of shared texts, if the others outweigh them.
+    A constant heading is a title that happens to be shared; a path that varies anywhere is kept."""
+    varied = {p for p, c, _ in shared if not c}
+    same = {p for p, c, _ in shared if c and not heading(p)} - varied
+    return same if sum(n for p, _, n in shared if p in varied and not heading(p)) > sum(n for p, _, n in shared if p in same) else set()
+
+
+def _links_of(tree: list[Any]) -> dict[int, bool]:
+    """By element, whether its text is links for the greater part."""
+    order, todo = [], [tree]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [p for p in x[1] if not isinstance(p, tuple)]
+    sums: dict[int, tuple[int, int]] = {}
+    for x in reversed(order):
+        own = [p if isinstance(p, tuple) else sums[id(p)] for p in x[1]]
+        sums[id(x)] = sum(len(n) if isinstance(n, str) else n for n, _ in own), sum(k for _, k in own)
+    return {k: 2 * linked >= letters > 0 for k, (letters, linked) in sums.items()}
 
 
 def main_text(tree: list[Any], rules: dict[str, list[int]]) -> str:
     """The texts of a page's regions in page order, joined by a space."""
-    regions, fixed, dropped = (frozenset(rules[k]) for k in ("regions", "fixed", "dropped"))
+    regions, fixed, dropped, kept = (frozenset(rules[k]) for k in ("regions", "fixed", "dropped", "kept"))
     out: list[str] = []
+    links: dict[int, bool] = {}
     todo: list[tuple] = [(tree, 0, False, False)]
     while todo:
         x, parent, inside, in_article = todo.pop()
@@ -572,8 +695,12 @@ def main_text(tree: list[Any], rules: dict[str, list[int]]) -> str:
             if inside and parent not in fixed:
                 out.append(x[0])
             continue
-        furniture, path = is_furniture(x[0], in_article), path_name(parent, x[0])
-        if furniture or (furniture is None and path in dropped):
+        verdict, path = furniture(x[0], in_article), path_name(parent, x[0])
+        if verdict == "hint" and path not in dropped:
+            links = links or _links_of(tree)
+            if links[id(x)]:
+                continue
+        elif verdict != "no" and path not in kept:
             continue
         inside, in_article = inside or path in regions, in_article or is_article(x[0])
         todo += [(part, path, inside, in_article) for part in reversed(x[1])]

@@ -126,3 +126,64 @@ def test_rules_by_join(spark, monkeypatch):
     want = {tuple(r) for r in wrappers.extract_text(df).collect()}
     monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)
     assert {tuple(r) for r in wrappers.extract_text(df).collect()} == want
+
+
+def test_words_inside_other_names_do_not_condemn():
+    """Names that only hold a furniture word, anchors, and an article that a likely name is on."""
+    names = ["entry-content has-sidebar", "no-comments", "social-science", "share-price", "ad-hoc", "login-guide", "search", "article-notice", "promo", "entry search"]
+    for name in names:
+        for pages in (1, 8):
+            found = texts_of([f"<body><article><h1>T{i}</h1><div class='{name}'><p>{f'word{i} ' * 20}</p></div></article></body>" for i in range(pages)])
+            assert all(t == f"T{i} " + " ".join([f"word{i}"] * 20) for i, t in enumerate(found)), name
+    assert wrappers.extract("<body><div class='page with-sidebar'><p>Body text</p></div></body>", None) == "Body text"
+    for tag in ("h2", "p", "div", "section", "ul"):
+        for anchor in ("notice", "comment-on-the-law", "search", "related"):
+            page = f"<article><p>Before</p><{tag} id='{anchor}'>Notice period</{tag}><p>After</p></article>"
+            assert wrappers.extract(page, None) == "Before Notice period After", (tag, anchor)
+
+
+def test_names_of_page_parts_still_condemn():
+    names = ["sidebar-left", "cookie-banner", "post-comments", "comment-list", "site-footer", "ad-slot", "newsletter-signup", "share-buttons", "related-posts", "main-nav", "sponsored"]
+    for name in names:
+        page = f"<article><h1>T</h1><p>Body text of some length</p><div class='{name}'>Other</div></article>"
+        assert wrappers.extract(page, None) == "T Body text of some length", name
+    for part in ("<div id=comments>Reader</div>", "<div id=sidebar>S</div>", "<div role=navigation>N</div>", "<div role=search>Q</div>"):
+        assert wrappers.extract(f"<article><p>Body</p>{part}</article>", None) == "Body"
+
+
+def test_hints_go_where_the_wrapper_agrees():
+    pages = [f"<article><h1>T{i}</h1><p>word{i} and more</p><div class='ad-hoc'>The same on every page</div><div class='share-price'>Price {i}</div></article>" for i in range(8)]
+    assert texts_of(pages) == [f"T{i} word{i} and more Price {i}" for i in range(8)]
+
+
+def test_links_of_one_block_do_not_condemn_another():
+    for name in ("related", "tags"):
+        pages = [f"<article><p class={name}><a href=1>Link {i} of some length</a></p><p>Body {i}</p><p class={name}>In this field {i}, more.</p></article>" for i in range(8)]
+        assert texts_of(pages) == [f"Body {i} In this field {i}, more." for i in range(8)]
+
+
+def test_many_class_words_are_told_apart():
+    pages = [f"<article><p class='related a1 b c d e f xa'>Same words here</p><p class='related a1 b c d e f xb'>Own {i}</p><p>Body {i}</p></article>" for i in range(8)]
+    assert all(f"Own {i} Body {i}" in t for i, t in enumerate(texts_of(pages)))
+
+
+def test_main_around_an_article():
+    for start, end in (("<div class='main-wrapper'>", "</div>"), ("<main>", "</main>"), ("<div class=main>", "</div>"), ("<div role=main>", "</div>")):
+        page = lambda i: f"<body>{start}<header>Site name and slogan</header><div class=crumb>Home</div><article><h1>T{i}</h1><p>Body {i}</p></article><div class='bottom'>Copyright notice</div>{end}</body>"  # noqa: B023, E731
+        assert wrappers.extract(page(0), None) == "T0 Body 0", start
+        assert texts_of([page(i) for i in range(8)]) == [f"T{i} Body {i}" for i in range(8)]
+    page = lambda i: f"<main><h1>Title {i}</h1><div class=lead>Lead {i}</div><article><p>Body {i}</p></article><div class=b>All rights reserved</div></main>"
+    assert texts_of([page(i) for i in range(8)]) == [f"Title {i} Lead {i} Body {i}" for i in range(8)]
+    page = lambda i: f"<main><div class=brand>Site name</div><h1>Title {i}</h1><p>{f'word{i} ' * 9}</p><div class=b>All rights reserved</div></main>"
+    assert texts_of([page(i) for i in range(8)]) == [f"Title {i} " + " ".join([f"word{i}"] * 9) for i in range(8)]
+
+
+def test_hidden_inline_and_math():
+    assert wrappers.extract("<article><p>a <span style='display:none'>x</span><span hidden>x<span>y</span>z</span> b</p></article>", None) == "a b"
+    assert wrappers.extract("<article><p>a <span hidden>open</p><p>b</p></article>", None) == "a b"
+    assert wrappers.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold</p></article>", None) == "Let x=2 hold"
+
+
+def test_articles_that_are_cards_of_links():
+    pages = [f"<body><div class=story><h1>T{i}</h1><p>{f'word{i} ' * 30}</p></div><div class=more><article><a href=1>Another story {i}</a></article><article><a href=2>And one {i}</a></article></div></body>" for i in range(8)]
+    assert texts_of(pages) == [f"T{i} " + " ".join([f"word{i}"] * 30) for i in range(8)]
