@@ -15,7 +15,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.arrays import Lists
@@ -26,10 +26,12 @@ SAMPLE_ROWS = 16_000
 SLOTS = 1 << 18
 FACTORS = 6
 PREFIXES = (4, 5)
-#: Terms in so many rows of the sample at least stay if their chi-square against the labels is so high,
+#: How many different words of a text begin alike is a term, too, from these numbers on.
+ALIKE = (2, 3)
+#: Terms in so many rows of the sample at least stay if their chi-square against the labels is so high, or that of a pair that they are in.
 LEAST_ROWS, LEAST_CHI = 5, 12.0
-#: or that of a pair that they are in, which pairs among the most frequent terms of the sample and the strongest ones are tried for.
-FREQUENT, STRONGEST = 768, 256
+#: Terms whose pairs with all others are counted in one row of Spark's work.
+PAIR_ROWS = 32
 #: Letters of text that are scored at once, about.
 LETTERS_AT_ONCE = 4_000_000
 TOXIC_FROM = 0.7
@@ -37,23 +39,45 @@ TOXIC_FROM = 0.7
 _TRIM = re.compile(r"^\W+|\W+$")
 
 
-def slots(word: str) -> list[int]:
-    """The slots of a word without case and outer punctuation, and of its first 4 and 5 letters."""
-    bare = _TRIM.sub("", word.lower())
-    terms = [bare, *(f"{bare[:n]}~{n}" for n in PREFIXES if len(bare) > n)] if bare else []
-    return [crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in terms]
+def _slot(term: str) -> int:
+    return crc32(term.encode("utf-8", "surrogatepass")) % SLOTS
+
+
+def _alike(slots: np.ndarray, n: int) -> np.ndarray:
+    """The slots of ``n`` or more words with one beginning, from that of the beginning."""
+    return (slots * 2654435761 + n * 40503) % SLOTS
 
 
 def slots_of(texts: list[str], used: np.ndarray | None = None) -> Lists:
     """The distinct slots of each whole text, in ascending order; of those ``used`` alone (a
-    boolean for each slot), if given. Each distinct word is hashed once."""
+    boolean for each slot), if given.
+
+    Terms are the words without case and outer punctuation, their first 4 and 5 letters (of
+    longer words), and that 2 or 3 different words of the text begin so. Each distinct word is hashed once.
+    """
     words = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
     n, words = words.value_lengths().to_numpy(), words.flatten().dictionary_encode()
-    of_word = [slots(w) for w in words.dictionary.to_pylist()]
+    names: dict[str, int] = {}
+    of_word = np.array([names.setdefault(_TRIM.sub("", w.lower()), len(names)) for w in words.dictionary.to_pylist()], dtype=np.int64)
+    whole = np.array([_slot(x) if x else -1 for x in names], dtype=np.int64)
+    begins = [np.array([_slot(f"{x[:k]}~{k}") if len(x) > k else -1 for x in names], dtype=np.int64) for k in PREFIXES]
+    if used is not None:
+        # The last place is that of words that have no such term.
+        used = np.append(used, False)
+        whole = np.where(used[whole], whole, -1)
+        begins = [np.where((used[x] | np.any([used[_alike(x, k)] for k in ALIKE], axis=0)) & (x >= 0), x, -1) for x in begins]
+    row, name = np.repeat(np.arange(len(n)), n), of_word[words.indices.to_numpy()]
+    wanted = ((whole >= 0) | np.any([x >= 0 for x in begins], axis=0))[name]
+    key = np.unique(row[wanted] * max(1, len(names)) + name[wanted])
+    row, name = key // max(1, len(names)), key % max(1, len(names))
+    found = [(row * SLOTS + whole[name])[whole[name] >= 0]]
+    for x in begins:
+        key, times = np.unique((row * SLOTS + x[name])[x[name] >= 0], return_counts=True)
+        found.append(key)
+        found += [key[times >= k] // SLOTS * SLOTS + _alike(key[times >= k] % SLOTS, k) for k in ALIKE]
+    key = np.unique(np.concatenate(found))
     if used is not None:
-        of_word = [[s for s in some if used[s]] for some in of_word]
-    found = Lists.of(of_word).take(words.indices.to_numpy()).joined(n)
-    key = np.unique(np.repeat(np.arange(len(n)), found.n) * SLOTS + found.flat)
+        key = key[used[key % SLOTS]]
     return Lists(key % SLOTS, np.bincount(key // SLOTS, minlength=len(n)))
 
 
@@ -97,7 +121,7 @@ class Machine:
         return (self.weight != 0) | (self.square != 0)
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, used: np.ndarray, epochs: int = 6, rate: float = 0.3, decay: float = 3e-4, positive_cost: float = 4.0, seed: int = 1) -> Machine:
+    def fit(cls, rows: list[np.ndarray], y: np.ndarray, used: np.ndarray, epochs: int = 6, rate: float = 0.3, decay: float = 3e-4, positive_cost: float = 8.0, seed: int = 1) -> Machine:
         """AdaGrad on the logistic loss over the ``used`` slots (sorted); an error on a toxic
         text costs ``positive_cost`` times as much. One label alone gives its constant."""
         if not len(y):
@@ -158,41 +182,92 @@ def chi_square(n, n1, t, a):
     return n * cross * cross, t * (n - t) * float(n1) * float(n - n1)
 
 
-def best_terms(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(slots that tell the labels apart alone, slots that are tried in pairs), sorted.
+def least_counts(n: int, n1: int, bar: float) -> tuple[float, float]:
+    """(rows with label 1 that a pair is in at least, if it tells of label 1; rows at all that it
+    is in at least, if it tells of label 0) for its chi-square to reach ``bar``. For a given
+    number of rows with label 1 it is highest without others, for a given number of rows with
+    fewest of them; so no pair that reaches it is missed."""
+    count = np.arange(1, n + 1, dtype=float)
+    out = []
+    for some in (count, np.zeros(n)):
+        up, down = chi_square(float(n), float(n1), count, some)
+        enough = np.flatnonzero((up >= bar * np.maximum(1.0, down)) & (count <= (n1 if some[0] else n)))
+        out.append(float(count[enough[0]]) if len(enough) else np.inf)
+    return out[0], out[1]
 
-    Counted in Spark, over all rows of the sample, whose size bounds what the driver gets.
+
+def best_terms(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray], float]:
+    """(slots that tell the labels apart alone; two sets of slots, in one of which both terms of any pair that
+    tells them apart are; the chi-square that such a pair has at least).
+
+    Counted in Spark, over all rows of the sample; the driver gets ``SLOTS`` numbers at most.
     """
     n, n1 = (int(x or 0) for x in rows.agg(F.count("*"), F.sum("toxic")).first())
     counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("t"))
     up, down = chi_square(n, n1, F.col("t"), F.col("a"))
     counts = checkpointed(counts.filter(F.col("t") >= LEAST_ROWS).withColumn("chi", up / F.greatest(F.lit(1.0), down)))
-    alone = counts.filter(F.col("chi") >= LEAST_CHI)
-    tried = counts.orderBy(F.desc("t"), "term").limit(FREQUENT).select("term").union(alone.orderBy(F.desc("chi"), "term").limit(STRONGEST).select("term"))
-    return tuple(np.unique(np.array([r["term"] for r in x.select("term").collect()], dtype=np.int64)) for x in (alone, tried))
+    terms = counts.count()
+    # The bar rises with the number of pairs that are tried.
+    bar = LEAST_CHI + 2 * float(np.log(max(1, terms * (terms - 1) / 2)))
+    toxic, clean = least_counts(n, n1, bar) if 0 < n1 < n else (np.inf, np.inf)
+    some = (F.col("chi") >= LEAST_CHI, F.col("a") >= max(LEAST_ROWS, toxic), F.col("t") >= max(LEAST_ROWS, clean))
+    alone, *tried = (np.sort(np.array([r["term"] for r in counts.filter(x).select("term").collect()], dtype=np.int64)) for x in some)
+    return alone, tried, bar
+
+
+def _bits(rows: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
+    """By 64 rows and term, which of the rows hold the term, as one number."""
+    words = -(-len(rows) // 64)
+    out = np.zeros((words, len(terms)), np.uint64)
+    for i, r in enumerate(rows):
+        at = np.searchsorted(terms, r)
+        at = at[(at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == r)]
+        out[i // 64, at] |= np.uint64(1 << (i % 64))
+    return out
 
 
-def paired_terms(rows: list[np.ndarray], y: np.ndarray, tried: np.ndarray) -> np.ndarray:
-    """The slots of ``tried`` that tell the labels apart in a pair, and better than both alone do."""
-    if not len(tried) or not len(rows):
+def paired_terms(spark: SparkSession, rows: list[np.ndarray], y: np.ndarray, tried: np.ndarray, bar: float) -> np.ndarray:
+    """The slots of ``tried`` that tell the labels apart in a pair, and better than both alone do.
+
+    All pairs are counted, each row of Spark's work those of PAIR_ROWS terms; what each task
+    needs is a bit for each term and row of the sample.
+    """
+    if len(tried) < 2 or not 0 < y.sum() < len(y):
         return tried[:0]
-    t, a = np.zeros((len(tried),) * 2), np.zeros((len(tried),) * 2)
-    for lo in range(0, len(rows), 1024):
-        x = np.zeros((len(rows[lo : lo + 1024]), len(tried)), np.float32)
-        for i, r in enumerate(rows[lo : lo + 1024]):
-            at = np.searchsorted(tried, r)
-            x[i, at[(at < len(tried)) & (tried[np.minimum(at, len(tried) - 1)] == r)]] = 1
-        toxic = x[y[lo : lo + 1024] > 0]
-        t += x.T @ x
-        a += toxic.T @ toxic
-    up, down = chi_square(len(y), y.sum(), t, a)
-    chi = up / np.maximum(1.0, down)
-    alone = np.diag(chi)
-    # The bar rises with the number of pairs that are tried.
-    bar = LEAST_CHI + 2 * np.log(max(1, len(tried) * (len(tried) - 1) / 2))
-    good = (t >= LEAST_ROWS) & (chi >= bar) & (chi >= alone[:, None] + alone[None, :] + LEAST_CHI)
-    np.fill_diagonal(good, False)
-    return tried[good.any(axis=1)]
+    n, n1 = float(len(y)), float(y.sum())
+    order = np.argsort(-y, kind="stable")  # toxic rows first, so that their bits are the first words'
+    toxic = _bits([rows[i] for i in order[: int(n1)]], tried)
+    clean = _bits([rows[i] for i in order[int(n1) :]], tried)
+    shared = spark.sparkContext.broadcast((toxic, clean))
+
+    def counts(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((hi - lo, x.shape[1] - lo))
+        for word in x:
+            out += np.bitwise_count(word[lo:hi, None] & word[None, lo:])
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, clean = shared.value
+        alone = [np.bitwise_count(x).sum(axis=0, dtype=float) for x in (toxic, clean)]
+        up, down = chi_square(n, n1, alone[0] + alone[1], alone[0])
+        chi_alone = up / np.maximum(1.0, down)
+        for batch in batches:
+            good = np.zeros(toxic.shape[1], bool)
+            for block in batch.column("block").to_pylist():
+                lo, hi = block * PAIR_ROWS, min((block + 1) * PAIR_ROWS, toxic.shape[1])
+                a = counts(toxic, lo, hi)
+                t = a + counts(clean, lo, hi)
+                up, down = chi_square(n, n1, t, a)
+                chi = up / np.maximum(1.0, down)
+                pairs = (t >= LEAST_ROWS) & (chi >= bar) & (chi >= chi_alone[lo:hi, None] + chi_alone[None, lo:] + LEAST_CHI)
+                pairs &= np.arange(lo, toxic.shape[1])[None, :] > np.arange(lo, hi)[:, None]
+                good[lo:hi] |= pairs.any(axis=1)
+                good[lo:] |= pairs.any(axis=0)
+            yield pa.record_batch([pa.array(np.flatnonzero(good))], names=["at"])
+
+    blocks = -(-len(tried) // PAIR_ROWS)
+    found = spark.range(0, blocks, 1, min(blocks, 64)).select(F.col("id").alias("block")).mapInArrow(work, "at long").distinct().collect()
+    return np.sort(tried[[r["at"] for r in found]]) if found else tried[:0]
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -205,12 +280,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     known = labels.filter("toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     own = smallest_hashes(known, F.xxhash64("doc_id"), sample_rows, "doc_id")
     rows = checkpointed(_terms(texts(docs).join(F.broadcast(own), "doc_id")))
-    alone, tried = best_terms(rows)
-    both = np.union1d(alone, tried)
-    few = rows.select("h", "toxic", F.array_intersect("terms", F.lit(both.tolist()).cast("array<int>")).alias("terms"))
+    alone, tried, bar = best_terms(rows)
+    wanted = np.zeros(SLOTS, bool)
+    wanted[np.concatenate([alone, *tried])] = True
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(wanted)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [[x for x in some if shared.value[x]] for some in batch.column("terms").to_pylist()]
+            yield pa.record_batch([batch.column("h"), batch.column("toxic"), pa.array(terms, pa.list_(pa.int32()))], names=["h", "toxic", "terms"])
+
+    few = rows.mapInArrow(released(work), "h long, toxic int, terms array<int>")
     sample = few.orderBy("h").limit(sample_rows).toPandas()
     terms, y = [np.sort(np.asarray(t, dtype=np.int64)) for t in sample["terms"]], sample["toxic"].to_numpy(float)
-    return Machine.fit(terms, y, np.union1d(alone, paired_terms(terms, y, tried)))
+    used = np.unique(np.concatenate([alone, *(paired_terms(spark, terms, y, some, bar) for some in tried)]))
+    return Machine.fit(terms, y, used)
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -409,7 +409,11 @@ def test_score_is_the_sum_over_terms_and_pairs():
         for word in text.split():
             bare = word.lower().strip("".join(c for c in word if not (c.isalnum() or c == "_")))
             terms |= {bare, *(f"{bare[:n]}~{n}" for n in (4, 5) if len(bare) > n)} - {""}
-        at = sorted({zlib.crc32(w.encode()) % toxicity.SLOTS for w in terms})
+        at = {zlib.crc32(w.encode()) % toxicity.SLOTS for w in terms}
+        for n in (4, 5):
+            begins = Counter(w[:n] for w in terms if "~" not in w and len(w) > n)
+            at |= {(zlib.crc32(f"{b}~{n}".encode()) % toxicity.SLOTS * 2654435761 + k * 40503) % toxicity.SLOTS for b, c in begins.items() for k in (2, 3) if c >= k}
+        at = sorted(at)
         margin = machine.bias + sum(machine.weight[i] for i in at) + sum(float(machine.factor[i] @ machine.factor[j]) for i in at for j in at if i < j)
         assert abs(got - 1 / (1 + np.exp(-margin))) < 1e-9
     used = np.zeros(toxicity.SLOTS, bool)
@@ -430,6 +434,51 @@ def test_toxicity_of_a_balanced_pair(spark):
     assert sum((r["score"] >= 0.5) == want[r["doc_id"]] for r in held) > 0.9 * len(held)
 
 
+def test_toxicity_of_a_rare_pair(spark):
+    """Toxic if two words are there that are neutral alone and rarer than thousands of others."""
+    rng = random.Random(8)
+    docs, labels, want = [], [], {}
+    for i in range(4000):
+        kind = i % 20
+        words = [f"w{rng.randrange(2500)}" for _ in range(60)]
+        words += {0: ["insultx", "groupx"], 1: ["insultx"] * 2, 2: ["groupx"], 3: ["insultx"], 4: ["groupx"]}.get(kind, [])
+        docs.append((i, " ".join(rng.sample(words, len(words)))))
+        want[i] = kind == 0
+        labels.append((i, int(want[i])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [r for r in toxicity.scores(*frames).collect() if r["held_out"]]
+    assert all((r["score"] >= 0.5) == want[r["doc_id"]] for r in held if docs[r["doc_id"]][1].split().count("insultx") != 1 or want[r["doc_id"]])
+    assert sum((r["score"] >= 0.5) == want[r["doc_id"]] for r in held) > 0.97 * len(held)
+
+
+def test_paired_terms_are_those_of_all_pairs(spark):
+    """Pairs that are counted by bits, against every pair counted plainly; and no pair that reaches the bar lies outside both sets."""
+    rng = np.random.default_rng(3)
+    n = 400
+    rows = [np.unique(rng.integers(0, 90, 12)) for _ in range(n)]
+    y = np.array([float((3 in r and 7 in r) or (rng.random() < 0.2 and not (11 in r and 12 in r))) for r in rows])
+    n1, bar = y.sum(), 12.0
+    rows = [np.union1d(r, [11, 12]) if rng.random() < 0.5 else r for r in rows]
+    toxic, clean = toxicity.least_counts(n, int(n1), bar)
+    t1 = {i: sum(i in r for r in rows) for i in range(90)}
+    a1 = {i: sum(i in r and v for r, v in zip(rows, y)) for i in range(90)}
+
+    def chi(t, a):
+        up, down = toxicity.chi_square(float(n), n1, float(t), float(a))
+        return up / max(1.0, down)
+
+    want: set[int] = set()
+    for i in range(90):
+        for j in range(i):
+            t = sum(i in r and j in r for r in rows)
+            a = sum(i in r and j in r and v for r, v in zip(rows, y))
+            if t >= toxicity.LEAST_ROWS and chi(t, a) >= bar and chi(t, a) >= chi(t1[i], a1[i]) + chi(t1[j], a1[j]) + toxicity.LEAST_CHI:
+                want |= {i, j}
+                assert min(a1[i], a1[j]) >= toxic or min(t1[i], t1[j]) >= clean
+    found = toxicity.paired_terms(spark, rows, y, np.arange(90), bar)
+    assert {3, 7} <= want == {*found.tolist()}
+
+
 def test_toxicity_held_out(spark, tmp_path):
     rng = random.Random(0)
     docs, labels = [], []
