@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from sightline.functions import geometry as G
 from sightline.operators.filters import collapse_static, posed
 from sightline.operators.quantiles import quantiles
+from sightline.sources.checkpoints import use_checkpoints
 from sightline.schema import IMAGE_KEY, POINT, STATIC_SYNC_INDEX, WORLD_KEY
 
 
@@ -191,22 +192,32 @@ def percent_above(errors: DataFrame, limit: float) -> DataFrame:
 def _with_floor(errors: DataFrame, keep: F.Column, least: int) -> DataFrame:
     """Rows to keep, and for cameras left with fewer than ``least`` their smallest errors, ties included.
 
-    The limit of a camera is found from its counts by error and not by ranking its rows.
+    The limit of a camera is found from its counts by error and not by ranking its rows: of
+    groups of its errors, the least ones only are ranked together. ``errors`` is read several times.
     """
     flagged = errors.withColumn("_keep", keep)
     kept = flagged.groupBy("cam_id").agg(F.count_if("_keep").alias("_kept"))
     short = kept.filter(F.col("_kept") < least).select("cam_id")
     by_error = flagged.join(F.broadcast(short), "cam_id").groupBy("cam_id", "euclidean_error").agg(F.count("*").alias("_n"))
+    group = F.pmod(F.xxhash64("euclidean_error"), F.lit(64))
+    first = by_error.withColumn("_place", F.row_number().over(Window.partitionBy("cam_id", group).orderBy("euclidean_error"))).filter(F.col("_place") <= least)
     w = Window.partitionBy("cam_id").orderBy("euclidean_error").rowsBetween(Window.unboundedPreceding, -1)
-    limit = by_error.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).filter(F.col("_before") < least).groupBy("cam_id").agg(F.max("euclidean_error").alias("_limit"))
+    limit = first.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).filter(F.col("_before") < least).groupBy("cam_id").agg(F.max("euclidean_error").alias("_limit"))
     out = flagged.join(F.broadcast(limit), "cam_id", "left")
     return out.filter(F.col("_keep") | (F.col("euclidean_error") <= F.col("_limit"))).select(*errors.columns)
 
 
+def _written(errors: DataFrame) -> DataFrame:
+    """``errors``, computed once."""
+    use_checkpoints(errors.sparkSession)
+    return errors.checkpoint()
+
+
 def within_pixels(errors: DataFrame, limit: float, least: int = 10) -> DataFrame:
     """Residuals of at most ``limit`` pixels, with the floor for each camera."""
     if limit <= 0 or least < 1:
         raise ValueError("the limit and the floor must be positive")
+    errors = _written(errors)
     return _with_floor(errors, F.col("euclidean_error") <= limit, least)
 
 
@@ -214,7 +225,8 @@ def without_worst(errors: DataFrame, percent: float, by_camera: bool = True, lea
     """Without the worst ``percent`` of residuals, of each camera or overall, with the floor."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be within (0, 100]")
-    q = quantiles(errors, "euclidean_error", (1 - percent / 100,), ("cam_id",) if by_camera else ()).drop("percentile").withColumnRenamed("euclidean_error", "_q")
+    errors = _written(errors)
+    q = quantiles(errors, "euclidean_error", (1 - percent / 100,), ("cam_id",) if by_camera else (), written=True).drop("percentile").withColumnRenamed("euclidean_error", "_q")
     rows = errors.join(F.broadcast(q), "cam_id") if by_camera else errors.crossJoin(F.broadcast(q))
     return _with_floor(rows, F.col("euclidean_error") <= F.col("_q"), least).select(*errors.columns)
 

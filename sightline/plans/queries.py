@@ -16,9 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RIG = rig.ring(4)
-#: The same rig with a camera that is ignored and one more that has no pose and sees nothing.
 #: The same rig with a fisheye camera.
 ROUND_RIG = rig.ring(4, fisheye=(2,))
+#: The same rig with a camera that is ignored and one more that has no pose and sees nothing.
 PART_RIG = [*rig.ring(4, ignored=(3,)), rig.ring(5, unposed=(4,))[4]]
 
 
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql is not None:
             views = (("obs", events.OBSERVATIONS_SQL), ("world", events.WORLD_SQL), ("cams", rig.cameras_sql(RIG)), ("part_cams", rig.cameras_sql(PART_RIG)), ("round_cams", rig.cameras_sql(ROUND_RIG)))
-            ORACLES[f.__name__] = "WITH " + ", ".join(f"{n} AS ({body})" for n, body in views) + (", " + sql.strip()[4:].lstrip() if sql.strip().upper().startswith("AND ") else " " + sql.strip())
+            ORACLES[f.__name__] = ("WITH RECURSIVE " if sql.strip().startswith("AND RECURSIVE") else "WITH ") + ", ".join(f"{n} AS ({body})" for n, body in views) + (", " + sql.strip()[4:].lstrip().removeprefix("RECURSIVE ") if sql.strip().upper().startswith("AND ") else " " + sql.strip())
         return f
 
     return put
@@ -468,6 +468,21 @@ def align_equal_clocks(spark, sf_dir):
     return timing.align(clocks).select("sync_index", "cam_id", "frame_index")
 
 
+@query("""AND RECURSIVE c AS (SELECT cam_id, list(t ORDER BY t) AS ts FROM (SELECT cam_id, min(frame_time) AS t FROM obs GROUP BY cam_id, sync_index) GROUP BY cam_id),
+tt AS (SELECT list(ts ORDER BY cam_id) AS tt, list(cam_id ORDER BY cam_id) AS ids FROM c),
+step AS (SELECT CAST(-1 AS BIGINT) AS sync, [CAST(0 AS BIGINT) FOR x IN ids] AS pos, [CAST(0 AS BIGINT) FOR x IN ids] AS used, [false FOR x IN ids] AS joins, true AS any_joins, true AS going FROM tt
+UNION ALL SELECT sync + CASE WHEN any_now THEN 1 ELSE 0 END, [pos[i] + CASE WHEN any_now THEN CASE WHEN j[i] THEN 1 ELSE 0 END WHEN i = list_position(now, list_min(now)) THEN 1 ELSE 0 END FOR i IN ks], pos, j, any_now, true
+FROM (SELECT *, list_contains(j, true) AS any_now FROM (SELECT *, [now[i] IS NOT NULL AND NOT (now[i] > e[i] OR e[i] - now[i] < now[i] - l[i]) FOR i IN ks] AS j
+FROM (SELECT *, [coalesce(list_min([nxt[o] FOR o IN ks IF o <> i]), CAST('inf' AS DOUBLE)) FOR i IN ks] AS e, [coalesce(list_max([now[o] FOR o IN ks IF o <> i]), CAST('-inf' AS DOUBLE)) FOR i IN ks] AS l
+FROM (SELECT *, [tt[i][pos[i] + 1] FOR i IN ks] AS now, [tt[i][pos[i] + 2] FOR i IN ks] AS nxt FROM (SELECT step.*, tt.tt, range(1, len(ids) + 1) AS ks FROM step, tt))))) WHERE list_min(now) IS NOT NULL),
+flat AS (SELECT sync, used, joins, unnest(range(1, len(ids) + 1)) AS i, ids FROM step, tt WHERE any_joins AND sync >= 0)
+SELECT sync AS sync_index, ids[i] AS cam_id, CASE WHEN joins[i] THEN used[i] END AS frame_index FROM flat""")
+def align_clocks(spark, sf_dir):
+    """The cameras' own frame times, of which some come early, late or not at all; in segments of 400 frames, so that several are joined."""
+    own = obs_of(spark, sf_dir).groupBy("cam_id", "sync_index").agg(F.min("frame_time").alias("frame_time"))
+    return timing.align(timing.dense_frame_index(own), segment=400).select("sync_index", "cam_id", "frame_index")
+
+
 # --- scale, rigidity, geometry ---------------------------------------------------------------------
 
 OBJ = """frames AS (SELECT w.sync_index, w.object_id, w.keypoint_id, x_coord, y_coord, z_coord, ox, oy, cams FROM world w JOIN (SELECT sync_index, object_id, keypoint_id, arg_min(obj_loc_x, cam_id) AS ox,

@@ -30,10 +30,10 @@ def every_nth(stream: DataFrame, step: int) -> DataFrame:
 
 
 def matched_pairs(left: DataFrame, right: DataFrame, late: str = "2 seconds") -> DataFrame:
-    """Stream-stream join of two cameras on the point and frame; state is dropped behind the watermark."""
+    """Stream-stream join of two cameras on the point and frame, up to ``late`` apart; state is dropped behind the watermark."""
     timed = [d.withColumn("at", F.timestamp_micros((F.col("frame_time") * 1e6).cast("long"))).withWatermark("at", late) for d in (left, right)]
     a, b = (d.select(*(F.col(c).alias(f"{c}_{s}") for c in ("sync_index", "object_id", "keypoint_id", "img_loc_x", "img_loc_y", "at"))) for d, s in zip(timed, "ab"))
-    same = F.expr("sync_index_a = sync_index_b AND object_id_a = object_id_b AND keypoint_id_a = keypoint_id_b AND at_a BETWEEN at_b - INTERVAL 2 SECONDS AND at_b + INTERVAL 2 SECONDS")
+    same = F.expr("sync_index_a = sync_index_b AND object_id_a = object_id_b AND keypoint_id_a = keypoint_id_b AND at_a BETWEEN at_b - INTERVAL {late} AND at_b + INTERVAL {late}".format(late=late))
     return a.join(b, same)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -274,3 +276,69 @@ def test_stream_equals_batch(spark, data, tmp_path):
     q.stop()
     last = {r["cam_id"]: r["n"] for r in spark.sql("select cam_id, max(n) as n from boxes group by cam_id").collect()}
     assert last == {r["cam_id"]: r["count"] for r in obs.groupBy("cam_id").count().collect()}
+
+
+@pytest.mark.parametrize("most", [5, 100_000])
+def test_quantiles_are_those_of_percentile(spark, most):
+    """NaN, infinities, negative values, ties and one heavy value; slices of over five values are narrowed."""
+    rng = random.Random(3)
+    inf, nan = float("inf"), float("nan")
+    sets = {
+        0: [float(x) for x in range(1, 100)] + [nan] * 40,
+        1: [rng.uniform(-1, 1) * 10 ** rng.randint(-5, 5) for _ in range(400)] + [0.0, -0.0, None],
+        2: [7.25] * 500, 3: [7.25] * 500 + [7.25 + i * 1e-12 for i in range(50)] + [inf, -inf], 4: [nan, None], 5: [None], 6: [3.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "k long, v double")
+    at = (0.0, 0.05, 0.5, 0.9, 0.99, 1.0)
+    want = {(r["k"], p): x for r in df.groupBy("k").agg(F.percentile("v", list(at)).alias("q")).filter("q is not null").collect() for p, x in zip(at, r["q"])}
+    got = {(r["k"], r["percentile"]): r["v"] for r in quantiles.quantiles(df, "v", at, ("k",), most=most).collect()}
+    assert got.keys() == want.keys()
+    for key, x in want.items():
+        assert got[key] == pytest.approx(x, rel=1e-12, nan_ok=True), key
+    whole = {r["percentile"]: r["v"] for r in quantiles.quantiles(df.filter("k < 4"), "v", (0.3, 0.7), most=most).collect()}
+    assert list(whole.values()) == pytest.approx(df.filter("k < 4").select(F.percentile("v", [0.3, 0.7])).first()[0])
+    assert quantiles.quantiles(df.limit(0), "v", at, ("k",)).collect() == []
+
+
+def sequential_alignment(clocks):
+    """The pass over one recording's clocks {cam: [(time, index)]}, as the definition has it."""
+    cams = sorted(clocks)
+    own = {c: sorted(clocks[c]) for c in cams}
+    at, out, sync = dict.fromkeys(cams, 0), [], 0
+    while live := [c for c in cams if at[c] < len(own[c])]:
+        now = {c: own[c][at[c]][0] for c in live}
+        after = {c: own[c][at[c] + 1][0] for c in live if at[c] + 1 < len(own[c])}
+        joins = []
+        for c in live:
+            earliest = min((t for o, t in after.items() if o != c), default=float("inf"))
+            latest = max((t for o, t in now.items() if o != c), default=float("-inf"))
+            if now[c] <= earliest and earliest - now[c] >= now[c] - latest:
+                joins.append(c)
+        if joins:
+            out += [(sync, c, own[c][at[c]][1] if c in joins else None) for c in cams]
+            for c in joins:
+                at[c] += 1
+            sync += 1
+        else:
+            at[min(live, key=lambda c: now[c])] += 1
+    return out
+
+
+@pytest.mark.parametrize(("segment", "ahead"), [(7, 4), (40, 3), (10_000, 64)])
+def test_alignment_by_segments(spark, segment, ahead):
+    """Dropped, late, doubled and jittered frames, a camera that starts late and one that ends early, equal times, two recordings."""
+    rng = random.Random(segment)
+    rows, want = [], set()
+    for name in ("a", None):
+        clocks = {}
+        for cam in range(4):
+            frames = [i for i in range(120) if rng.random() > 0.12 and not (cam == 1 and i < 30) and not (cam == 2 and i > 80)]
+            clocks[cam] = [(round(i / 30 + cam * 0.004 + rng.choice([0, 0, rng.uniform(-0.02, 0.02)]), 4), k) for k, i in enumerate(sorted([*frames, *rng.sample(frames, 4)]))]
+            rows += [(name, cam, k, t) for t, k in clocks[cam]]
+        want |= {(name or "", *r) for r in sequential_alignment(clocks)}
+    df = spark.createDataFrame(rows + [("a", 0, 999, None)], "rec string, cam_id long, frame_index long, frame_time double").repartition(5)
+    got = [(r["rec"], r["sync_index"], r["cam_id"], r["frame_index"]) for r in timing.align(df, "rec", segment=segment, ahead=ahead).collect()]
+    assert len(got) == len(want) and set(got) == want
+    one = [tuple(r) for r in timing.align(df.filter("rec = 'a'").drop("rec"), segment=segment, ahead=ahead).collect()]
+    assert set(one) == {r[1:] for r in want if r[0] == "a"}
+    assert timing.align(df.limit(0), "rec").collect() == []
