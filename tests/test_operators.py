@@ -342,3 +342,55 @@ def test_alignment_by_segments(spark, segment, ahead):
     one = [tuple(r) for r in timing.align(df.filter("rec = 'a'").drop("rec"), segment=segment, ahead=ahead).collect()]
     assert set(one) == {r[1:] for r in want if r[0] == "a"}
     assert timing.align(df.limit(0), "rec").collect() == []
+
+
+def plain_smooth(x, cutoff, rate, order):
+    """Forward and backward recursion over one column, padded by odd reflection."""
+    b, a = trajectories.butterworth(order, cutoff, rate)
+    pad = 3 * (order + 1)
+    if len(x) <= pad:
+        return x
+    steady = np.zeros(order)
+    for k in range(order - 1, -1, -1):
+        steady[k] = (steady[k + 1] if k + 1 < order else 0.0) + b[k + 1] - a[k + 1]
+
+    def run(v):
+        s, out = steady * v[0], []
+        for value in v:
+            y = b[0] * value + s[0]
+            s = np.array([(s[k + 1] if k + 1 < order else 0.0) + b[k + 1] * value - a[k + 1] * y for k in range(order)])
+            out.append(y)
+        return np.array(out)
+
+    whole = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
+    return run(run(whole)[::-1])[::-1][pad:-pad]
+
+
+@pytest.mark.parametrize(("order", "block"), [(2, 10), (2, 100), (3, 64), (2, 4096)])
+def test_smoothing_by_blocks(spark, order, block):
+    rng = np.random.default_rng(order)
+    rows, want = [], {}
+    for keypoint, n in enumerate((1, 9, 13, 47, 230, 500)):
+        frames = np.sort(rng.choice(2 * n + 3, n, replace=False))
+        xyz = rng.normal(0, 1, (n, 3)).cumsum(axis=0)
+        rows += [(int(i), 0, keypoint, *map(float, v), None) for i, v in zip(frames, xyz)]
+        done = np.column_stack([plain_smooth(xyz[:, k], 5.0, 30.0, order) for k in range(3)])
+        want |= {(keypoint, int(i)): tuple(v) for i, v in zip(frames, done)}
+    df = spark.createDataFrame(rows, "sync_index long, object_id long, keypoint_id long, x_coord double, y_coord double, z_coord double, frame_time double").repartition(3)
+    got = {(r["keypoint_id"], r["sync_index"]): (r["x_coord"], r["y_coord"], r["z_coord"]) for r in trajectories.smooth(df, 5.0, 30.0, order, max(block, 3 * (order + 1) + 1)).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(a - b) for k in want for a, b in zip(got[k], want[k])) < 1e-9
+
+
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_gaps_by_blocks(spark, block):
+    rng = random.Random(block)
+    rows = [(i, cam, 0, k, float(i * k), float(i), i / 30) for cam in range(2) for k in range(3) for i in sorted(rng.sample(range(-10, 60), 25))]
+    df = spark.createDataFrame(rows, OBS)
+    want = sorted(map(tuple, trajectories.fill_gaps(df, trajectories.IMAGE_TRACK, trajectories.IMAGE_VALUES, 3, block=10**6).collect()))
+    assert sorted(map(tuple, trajectories.fill_gaps(df, trajectories.IMAGE_TRACK, trajectories.IMAGE_VALUES, 3, block=block).collect())) == want
+    filled = {(r[0], r[1], r[3]) for r in want}
+    for cam in range(2):
+        for k in range(3):
+            own = sorted(r[0] for r in rows if r[1] == cam and r[3] == k)
+            assert all((i, cam, k) in filled for a, b in zip(own, own[1:]) for i in range(a + 1, min(b, a + 4)))
