@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import schema
-from sightline.functions import scalars
-from sightline.operators import bundle, calibrate, constraints, coverage, filters, playback, poses, quality, reconstruction, selection, timing, trajectories
+from sightline.functions import geometry, scalars
+from sightline.operators import bundle, calibrate, constraints, coverage, filters, intrinsics, playback, poses, quality, reconstruction, selection, timing, trajectories
 from sightline.sources import events, rig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -861,6 +861,36 @@ def constrains_lenses(spark, sf_dir):
     return rounded(calibrate.constrains_lenses(events.world(obs_of(spark, sf_dir)), cams_of(spark, True), 1.4))
 
 
+def _boards(spark, sf_dir) -> DataFrame:
+    """A board of 5 x 4 corners before each camera in each of its frames, leaning as the frame's pixels say."""
+    views = obs_of(spark, sf_dir).groupBy("cam_id", "sync_index").agg((F.avg("img_loc_x") + F.avg("img_loc_y")).alias("m"))
+    m, sin, cos = F.col("m"), F.sin, F.cos
+    (sx, cx), (sy, cy), (sz, cz) = ((sin(a), cos(a)) for a in (0.6 * sin(m), 0.5 * cos(1.7 * m), 0.3 * sin(3.1 * m)))
+    turn = (cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx, sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx, -sy, cy * sx, cy * cx)
+    move = (0.25 * sin(2.3 * m), 0.15 * cos(1.3 * m), 0.6 + 0.3 * F.abs(sin(0.9 * m)))
+    lenses = rig.cameras(spark, ROUND_RIG).select("cam_id", "fisheye", "fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3")
+    rows = views.withColumns({f"r{i}": e for i, e in enumerate(turn)} | {f"t{i}": e for i, e in enumerate(move)}).join(F.broadcast(lenses), "cam_id")
+    rows = rows.withColumn("keypoint_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+    rows = rows.withColumns({"x": 0.05 * (F.col("keypoint_id") % 5) - 0.1, "y": 0.05 * F.floor(F.col("keypoint_id") / 5) - 0.075, "z": F.lit(0.0)})
+    return geometry.with_pixels(rows, "x", "y", "z").select(
+        "sync_index", "cam_id", F.lit(0).cast("long").alias("object_id"), "keypoint_id", F.col("_u").alias("img_loc_x"), F.col("_v").alias("img_loc_y"),
+        F.col("x").alias("obj_loc_x"), F.col("y").alias("obj_loc_y"), F.lit(None).cast("double").alias("obj_loc_z"),
+    )
+
+
+@query("SELECT cam_id, round(fx, 2) + 0 AS fx, round(fy, 2) + 0 AS fy, round(cx, 2) + 0 AS cx, round(cy, 2) + 0 AS cy, round(k1, 4) + 0 AS k1, round(k2, 4) + 0 AS k2, round(p1, 5) + 0 AS p1, round(p2, 5) + 0 AS p2, round(k3, 4) + 0 AS k3, true AS fits, (SELECT count(DISTINCT sync_index) FROM obs o WHERE o.cam_id = c.cam_id) AS n_frames FROM round_cams c")
+def calibrated_lenses(spark, sf_dir):
+    """The lenses of both kinds again, from boards that were seen through them."""
+    found = intrinsics.calibrate(_boards(spark, sf_dir), rig.cameras(spark, ROUND_RIG))
+    digits = {"fx": 2, "fy": 2, "cx": 2, "cy": 2, "k1": 4, "k2": 4, "p1": 5, "p2": 5, "k3": 4}
+    return found.select("cam_id", *(((F.round(c, n)) + 0.0).alias(c) for c, n in digits.items()), (F.col("rmse") < 1e-4).alias("fits"), "n_frames")
+
+
+@query("SELECT cam_id, width / 2.0 AS fx, width / 2.0 AS fy, width / 2.0 AS cx, height / 2.0 AS cy, CAST(0 AS DOUBLE) AS k1, CAST(0 AS DOUBLE) AS k3 FROM cams")
+def default_lenses(spark, sf_dir):
+    return intrinsics.default_lenses(intrinsics.without_lenses(cams_of(spark))).select("cam_id", "fx", "fy", "cx", "cy", "k1", "k3")
+
+
 # --- playback and detections -----------------------------------------------------------------------
 
 
