@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline import schema
 from sightline.functions import geometry, scalars
-from sightline.operators import bundle, calibrate, constraints, coverage, filters, intrinsics, playback, poses, quality, reconstruction, selection, timing, trajectories
+from sightline.operators import bundle, calibrate, constraints, coverage, epipolar, filters, intrinsics, playback, poses, quality, reconstruction, selection, timing, trajectories
 from sightline.sources import events, rig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -886,6 +886,26 @@ def calibrated_lenses(spark, sf_dir):
     return found.select("cam_id", *(((F.round(c, n)) + 0.0).alias(c) for c, n in digits.items()), (F.col("rmse") < 1e-4).alias("fits"), "n_frames")
 
 
+@query("""AND c0 AS (SELECT * FROM cams WHERE cam_id = 0), j AS (SELECT c.cam_id, [[c.r0, c.r1, c.r2], [c.r3, c.r4, c.r5], [c.r6, c.r7, c.r8]] AS r, [c.t0, c.t1, c.t2] AS t,
+[[z.r0, z.r1, z.r2], [z.r3, z.r4, z.r5], [z.r6, z.r7, z.r8]] AS r0, [z.t0, z.t1, z.t2] AS t0 FROM cams c, c0 z),
+m AS (SELECT cam_id, t, t0, [[list_dot_product(r[i], r0[k]) FOR k IN [1, 2, 3]] FOR i IN [1, 2, 3]] AS q FROM j), n AS (SELECT cam_id, q, [t[i] - list_dot_product(q[i], t0) FOR i IN [1, 2, 3]] AS d FROM m),
+s AS (SELECT sqrt(list_dot_product(d, d)) AS size FROM n WHERE cam_id = 1)
+SELECT cam_id, round(q[1][1], 3) + 0 AS r00, round(q[1][3], 3) + 0 AS r02, round(q[3][1], 3) + 0 AS r20, round(d[1] / size, 3) + 0 AS x, round(d[2] / size, 3) + 0 AS y, round(d[3] / size, 3) + 0 AS z FROM n, s""")
+def epipolar_rig(spark, sf_dir):
+    """The rig again, before its first camera and at baseline 1 to its second, from points of the events that all cameras see."""
+    import numpy as np
+
+    obs = obs_of(spark, sf_dir)
+    spots = obs.groupBy("sync_index", "object_id", "keypoint_id").agg(F.min("img_loc_x").alias("a"), F.max("img_loc_y").alias("b"), F.sum("img_loc_x").alias("c"))
+    spots = spots.select("sync_index", "object_id", "keypoint_id", (0.4 * F.sin("a")).alias("x_coord"), (0.4 * F.sin(1.3 * F.col("b"))).alias("y_coord"), (0.5 + 0.4 * F.sin(0.7 * F.col("c"))).alias("z_coord"))
+    seen = geometry.with_pixels(spots.crossJoin(F.broadcast(cams_of(spark))))
+    points = seen.select("sync_index", "cam_id", "object_id", "keypoint_id", F.col("_u").alias("img_loc_x"), F.col("_v").alias("img_loc_y"))
+    poses = epipolar.bootstrap(points, intrinsics.without_poses(cams_of(spark))).before(0)
+    size = float(np.linalg.norm(poses[1][1]))
+    rows = [(c, float(r[0, 0]), float(r[0, 2]), float(r[2, 0]), *(float(v) / size for v in t)) for c, (r, t) in poses.items()]
+    return rounded(spark.createDataFrame(rows, "cam_id long, r00 double, r02 double, r20 double, x double, y double, z double"), 3)
+
+
 @query("SELECT cam_id, width / 2.0 AS fx, width / 2.0 AS fy, width / 2.0 AS cx, height / 2.0 AS cy, CAST(0 AS DOUBLE) AS k1, CAST(0 AS DOUBLE) AS k3 FROM cams")
 def default_lenses(spark, sf_dir):
     return intrinsics.default_lenses(intrinsics.without_lenses(cams_of(spark))).select("cam_id", "fx", "fy", "cx", "cy", "k1", "k3")
