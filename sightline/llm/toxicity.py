@@ -32,6 +32,8 @@ ALIKE = (2, 3)
 LEAST_ROWS, LEAST_CHI = 5, 12.0
 #: Terms whose pairs with all others are counted in one row of Spark's work.
 PAIR_ROWS = 32
+#: Rows without label 1 that pairs are counted over at first, by 64.
+CLEAN_WORDS = 24
 #: Letters of text that are scored at once, about.
 LETTERS_AT_ONCE = 4_000_000
 TOXIC_FROM = 0.7
@@ -215,58 +217,63 @@ def best_terms(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray], float]:
     return alone, tried, bar
 
 
-def _bits(rows: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
+def _bits(rows: Lists, terms: np.ndarray) -> np.ndarray:
     """By 64 rows and term, which of the rows hold the term, as one number."""
-    words = -(-len(rows) // 64)
-    out = np.zeros((words, len(terms)), np.uint64)
-    for i, r in enumerate(rows):
-        at = np.searchsorted(terms, r)
-        at = at[(at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == r)]
-        out[i // 64, at] |= np.uint64(1 << (i % 64))
+    out = np.zeros((-(-len(rows.n) // 64), len(terms)), np.uint64)
+    at = np.minimum(np.searchsorted(terms, rows.flat), len(terms) - 1)
+    held = terms[at] == rows.flat
+    row = np.repeat(np.arange(len(rows.n)), rows.n)[held]
+    np.bitwise_or.at(out, (row // 64, at[held]), np.uint64(1) << (row % 64).astype(np.uint64))
     return out
 
 
-def paired_terms(spark: SparkSession, rows: list[np.ndarray], y: np.ndarray, tried: np.ndarray, bar: float) -> np.ndarray:
-    """The slots of ``tried`` that tell the labels apart in a pair, and better than both alone do.
+def paired_terms(spark: SparkSession, rows: Lists, y: np.ndarray, tried: np.ndarray, bar: float, of_toxic: bool) -> np.ndarray:
+    """The slots of ``tried`` that tell of label 1 (or of label 0) in a pair, and better than both alone do.
 
     All pairs are counted, each row of Spark's work those of PAIR_ROWS terms; what each task
-    needs is a bit for each term and row of the sample.
+    needs is a bit for each term and row of the sample. Pairs that tell of label 1 are first counted over the
+    rows with it and some of the others: more of the others only lower their chi-square, so most need no more.
     """
     if len(tried) < 2 or not 0 < y.sum() < len(y):
         return tried[:0]
     n, n1 = float(len(y)), float(y.sum())
-    order = np.argsort(-y, kind="stable")  # toxic rows first, so that their bits are the first words'
-    toxic = _bits([rows[i] for i in order[: int(n1)]], tried)
-    clean = _bits([rows[i] for i in order[int(n1) :]], tried)
-    shared = spark.sparkContext.broadcast((toxic, clean))
+    shared = spark.sparkContext.broadcast(tuple(_bits(rows.take(np.flatnonzero(x)), tried) for x in (y > 0, y <= 0)))
 
     def counts(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        out = np.zeros((hi - lo, x.shape[1] - lo))
+        out = np.zeros((hi - lo, x.shape[1] - lo), np.int32)
         for word in x:
             out += np.bitwise_count(word[lo:hi, None] & word[None, lo:])
-        return out
+        return out.astype(float)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = shared.value
         alone = [np.bitwise_count(x).sum(axis=0, dtype=float) for x in (toxic, clean)]
         up, down = chi_square(n, n1, alone[0] + alone[1], alone[0])
         chi_alone = up / np.maximum(1.0, down)
+        few = clean[:CLEAN_WORDS] if of_toxic else clean
         for batch in batches:
             good = np.zeros(toxic.shape[1], bool)
             for block in batch.column("block").to_pylist():
                 lo, hi = block * PAIR_ROWS, min((block + 1) * PAIR_ROWS, toxic.shape[1])
                 a = counts(toxic, lo, hi)
-                t = a + counts(clean, lo, hi)
+                t = a + counts(few, lo, hi)
                 up, down = chi_square(n, n1, t, a)
-                chi = up / np.maximum(1.0, down)
-                pairs = (t >= LEAST_ROWS) & (chi >= bar) & (chi >= chi_alone[lo:hi, None] + chi_alone[None, lo:] + LEAST_CHI)
-                pairs &= np.arange(lo, toxic.shape[1])[None, :] > np.arange(lo, hi)[:, None]
-                good[lo:hi] |= pairs.any(axis=1)
-                good[lo:] |= pairs.any(axis=0)
+                may = (up >= bar * np.maximum(1.0, down)) & ((a * n > t * n1) == of_toxic)
+                may &= np.arange(lo, toxic.shape[1])[None, :] > np.arange(lo, hi)[:, None]
+                first, second = np.nonzero(may)
+                for k in range(0, len(first), 1 << 14):
+                    i, j = lo + first[k : k + (1 << 14)], lo + second[k : k + (1 << 14)]
+                    own = a[i - lo, j - lo]
+                    both = own + np.bitwise_count(clean[:, i] & clean[:, j]).sum(axis=0, dtype=float)
+                    up, down = chi_square(n, n1, both, own)
+                    chi = up / np.maximum(1.0, down)
+                    found = (both >= LEAST_ROWS) & (chi >= bar) & (chi >= chi_alone[i] + chi_alone[j] + LEAST_CHI)
+                    good[i[found]] = good[j[found]] = True
             yield pa.record_batch([pa.array(np.flatnonzero(good))], names=["at"])
 
     blocks = -(-len(tried) // PAIR_ROWS)
-    found = spark.range(0, blocks, 1, min(blocks, 64)).select(F.col("id").alias("block")).mapInArrow(work, "at long").distinct().collect()
+    found = spark.range(0, blocks, 1, min(blocks, 64)).select(F.col("id").alias("block")).mapInArrow(released(work), "at long").distinct().collect()
+    shared.destroy()
     return np.sort(tried[[r["at"] for r in found]]) if found else tried[:0]
 
 
@@ -292,9 +299,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
             yield pa.record_batch([batch.column("h"), batch.column("toxic"), pa.array(terms, pa.list_(pa.int32()))], names=["h", "toxic", "terms"])
 
     few = rows.mapInArrow(released(work), "h long, toxic int, terms array<int>")
-    sample = few.orderBy("h").limit(sample_rows).toPandas()
-    terms, y = [np.sort(np.asarray(t, dtype=np.int64)) for t in sample["terms"]], sample["toxic"].to_numpy(float)
-    used = np.unique(np.concatenate([alone, *(paired_terms(spark, terms, y, some, bar) for some in tried)]))
+    # As arrays from end to end: the sample is a few megabytes, as lists it would be hundreds.
+    sample = few.orderBy("h").limit(sample_rows).toArrow()
+    y, held = sample.column("toxic").to_numpy().astype(float), sample.column("terms").combine_chunks()
+    rows = Lists(held.flatten().to_numpy(), held.value_lengths().to_numpy())
+    used = np.unique(np.concatenate([alone, *(paired_terms(spark, rows, y, some, bar, of_toxic) for some, of_toxic in zip(tried, (True, False)))]))
+    wanted[:] = False
+    wanted[used] = True
+    row = np.repeat(np.arange(len(rows.n)), rows.n)[wanted[rows.flat]]
+    terms = np.split(np.sort(row * SLOTS + rows.flat[wanted[rows.flat]]) % SLOTS, np.cumsum(np.bincount(row, minlength=len(rows.n)))[:-1]) if len(rows.n) else []
     return Machine.fit(terms, y, used)
 
 

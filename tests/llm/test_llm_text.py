@@ -12,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+
 from sightline.llm import bpe_codec, packing, quality, simhash, suffix_dedup, token_store, toxicity
+from sightline.llm.arrays import Lists
 from sightline.llm.queries import queries, tokenizer_path
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -451,7 +453,7 @@ def test_toxicity_of_a_rare_pair(spark):
     assert sum((r["score"] >= 0.5) == want[r["doc_id"]] for r in held) > 0.97 * len(held)
 
 
-def test_paired_terms_are_those_of_all_pairs(spark):
+def test_paired_terms_are_those_of_all_pairs(spark, monkeypatch):
     """Pairs that are counted by bits, against every pair counted plainly; and no pair that reaches the bar lies outside both sets."""
     rng = np.random.default_rng(3)
     n = 400
@@ -475,8 +477,10 @@ def test_paired_terms_are_those_of_all_pairs(spark):
             if t >= toxicity.LEAST_ROWS and chi(t, a) >= bar and chi(t, a) >= chi(t1[i], a1[i]) + chi(t1[j], a1[j]) + toxicity.LEAST_CHI:
                 want |= {i, j}
                 assert min(a1[i], a1[j]) >= toxic or min(t1[i], t1[j]) >= clean
-    found = toxicity.paired_terms(spark, rows, y, np.arange(90), bar)
-    assert {3, 7} <= want == {*found.tolist()}
+    for some in (1, 24):  # rows of the other label that are counted at first
+        monkeypatch.setattr(toxicity, "CLEAN_WORDS", some)
+        found = [toxicity.paired_terms(spark, Lists.of([r.tolist() for r in rows]), y, np.arange(90), bar, x).tolist() for x in (True, False)]
+        assert {3, 7} <= want == {*found[0], *found[1]}
 
 
 def test_toxicity_held_out(spark, tmp_path):
