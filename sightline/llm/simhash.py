@@ -160,7 +160,8 @@ def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     alone = marked.filter(F.col(many).isNull()).select(*docs.columns)
     if not repeated:
         return alone
-    # Rows equal in both are repeats of one document: the first that is met stays.
-    order = F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(0)))
+    # Rows equal in both are repeats of one document: that with the smallest hash of all its columns stays.
+    whole = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    order = F.row_number().over(Window.partitionBy(i, h).orderBy(whole))
     repeats = marked.filter(F.col(many)).withColumn(nth, order).filter(F.col(nth) == 1).select(*docs.columns)
     return alone.unionByName(repeats)

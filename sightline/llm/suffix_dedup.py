@@ -3,9 +3,11 @@
 Every window of ``length`` bytes owns one anchor, the leftmost gram with the smallest hash
 that starts in it, so that equal windows own equal grams at equal offsets. Prefix doubling
 starts at these grams and not at single bytes: positions with a unique gram are dropped,
-the rest are reranked by their whole context (all windows of one anchor), and where
-contexts of one gram differ, Spark sorts them by gram and pairs of ranks at offsets
-``gram, 2 gram, ...`` are reranked until a position is unique or the length is reached.
+and so are contexts (all windows of one anchor) that are equal as a whole or unique. Where
+contexts of one gram differ, the names of two neighbouring strings, which are 64-bit hashes
+and not ranks, are paired to that of the string of twice the length at ``gram, 2 gram, ...``, in
+the task that has the gram, until a position is unique or the length is reached; grams with many contexts
+are compared by Spark in blocks of windows instead.
 """
 
 from __future__ import annotations
@@ -285,6 +287,9 @@ def _compare_hot(rows: DataFrame, length: int, sizes: tuple[int, ...] = (32, 8,
 
 def repeated_spans(keyed: DataFrame, length: int, class_limit: int = 512) -> DataFrame:
     """(k1, k2, a, z): spans of the texts that are covered by repeated windows; they may overlap."""
+    # The windows of an anchor are counted in 16 bits.
+    if length < 1 or length - gram_size(length) > 0xFFFF:
+        raise ValueError("lengths are from 1 to 81919 bytes")
     grams = _anchor_rows(keyed, length, True).groupBy("gram").agg(
         F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")
     ).filter("n > 1").select("gram", (F.col("c0") != F.col("c1")).alias("mixed"))

@@ -500,3 +500,19 @@ def test_toxicity_held_out(spark, tmp_path):
 def test_words_of_both_counts(spark, odd):
     n = bpe_codec.word_counts(odd).agg(F.sum("n")).first()[0]
     assert n == sum((r["text"] or "").count(" ") for r in odd.collect())
+
+
+def test_repeats_of_lengths_beyond_a_chunk_are_refused(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for length in (0, 81_920, suffix_dedup.CHUNK, suffix_dedup.CHUNK + 1):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(docs, length)
+    long = "".join(chr(97 + i * i % 23 * i % 25) for i in range(81_919))
+    twice = spark.createDataFrame([(1, long), (2, "y" + long + "z")], "doc_id long, text string")
+    assert {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(twice, 81_919).collect()} == {1: b"", 2: b"yz"}
+
+
+def test_the_repeat_that_stays_does_not_depend_on_partitions(spark):
+    rows = [(1, "one two three four five six", lang, i) for i, lang in enumerate("abcdefgh")]
+    found = {simhash.drop_near_duplicates(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, lang string, n long").repartition(k + 1)).first()["lang"] for k in range(4)}
+    assert len(found) == 1
