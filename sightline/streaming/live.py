@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from sightline.schema import IMAGE_POINTS
 
@@ -58,3 +60,60 @@ def tracked_boxes(stream: DataFrame, pad: float = 0.1) -> DataFrame:
 
     out = "cam_id long, x0 double, y0 double, x1 double, y1 double, n long"
     return stream.groupBy("cam_id").applyInPandasWithState(update, out, BOX.simpleString()[7:-1].replace(":", " "), "update", "NoTimeout")
+
+
+class FileSink:
+    """Parquet under ``path``, a folder for each batch: a batch that comes again replaces its own folder alone.
+
+    Once the stream has ended there is a table ``path``/end with the number of batches; a
+    reader that waits for all rows waits for that.
+    """
+
+    def __init__(self, path: str, change: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
+        self.path, self.change = path.rstrip("/"), change
+
+    def batch(self, rows: DataFrame, batch_id: int) -> None:
+        self.change(rows).write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+
+    def end(self, spark: SparkSession, batches: int) -> None:
+        spark.createDataFrame([(batches,)], "batches long").write.mode("overwrite").parquet(f"{self.path}/end")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/rows").drop("batch")
+
+    def ended(self, spark: SparkSession) -> int | None:
+        """The number of batches once the stream has ended, until then None."""
+        try:
+            return spark.read.schema("batches long").parquet(f"{self.path}/end").first()["batches"]
+        except AnalysisException:
+            return None
+
+
+def fan_out(stream: DataFrame, sinks: Sequence[FileSink], checkpoint: str, available: bool = True) -> StreamingQuery:
+    """One stream into several sinks: each batch is read once, kept while all sinks take it, and dropped.
+
+    With ``available`` the query ends once all that is there has been read, and hands the end on to
+    every sink. A failure in one sink fails the batch; on the next start all of them get it again and
+    replace what they had of it.
+    """
+    spark = stream.sparkSession
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        try:
+            for sink in sinks:
+                sink.batch(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    if not available:
+        return writer.start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    batches = [p["batchId"] for p in query.recentProgress]
+    last = max(batches, default=-1)
+    for sink in sinks:
+        # A restart without new rows adds no batch to those that there are.
+        sink.end(spark, max(last + 1, sink.ended(spark) or 0))
+    return query

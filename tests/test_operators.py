@@ -394,3 +394,35 @@ def test_gaps_by_blocks(spark, block):
         for k in range(3):
             own = sorted(r[0] for r in rows if r[1] == cam and r[3] == k)
             assert all((i, cam, k) in filled for a, b in zip(own, own[1:]) for i in range(a + 1, min(b, a + 4)))
+
+
+def test_fan_out(spark, tmp_path):
+    """Two sinks take each file once, agree with a batch run, see the end, and a failed batch comes again to both."""
+    rng = random.Random(2)
+    source = str(tmp_path / "in")
+    rows = [(i, i % 3, 0, k, rng.random(), rng.random(), None, None, None, i / 30) for i in range(40) for k in range(2)]
+    kinds = "sync_index long, cam_id long, object_id long, keypoint_id long, img_loc_x double, img_loc_y double, obj_loc_x double, obj_loc_y double, obj_loc_z double, frame_time double"
+    every = spark.createDataFrame(rows, kinds)
+    for k in range(4):
+        every.filter(F.col("sync_index") % 4 == k).coalesce(1).write.mode("append").parquet(source)
+    whole = live.FileSink(str(tmp_path / "whole"))
+    counts = live.FileSink(str(tmp_path / "counts"), lambda d: d.groupBy("cam_id").agg(F.count("*").alias("n")))
+    fails = [True]
+
+    class Weak(live.FileSink):
+        def batch(self, rows, batch_id):
+            if batch_id == 1 and fails[0]:
+                raise RuntimeError("no room")
+            super().batch(rows, batch_id)
+
+    weak = Weak(str(tmp_path / "weak"))
+    stream = live.read_observations(spark, source, files_per_trigger=1)
+    with pytest.raises(Exception, match="no room"):
+        live.fan_out(stream, [whole, weak, counts], str(tmp_path / "checkpoint"))
+    assert whole.ended(spark) is None
+    fails[0] = False
+    live.fan_out(live.read_observations(spark, source, files_per_trigger=1), [whole, weak, counts], str(tmp_path / "checkpoint"))
+    want = sorted(map(repr, every.collect()))
+    assert sorted(map(repr, whole.read(spark).select(*every.columns).collect())) == want == sorted(map(repr, weak.read(spark).select(*every.columns).collect()))
+    assert {r["cam_id"]: r["n"] for r in counts.read(spark).groupBy("cam_id").agg(F.sum("n").alias("n")).collect()} == {r["cam_id"]: r["count"] for r in every.groupBy("cam_id").count().collect()}
+    assert whole.ended(spark) == counts.ended(spark) == 4
