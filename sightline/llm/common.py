@@ -62,20 +62,25 @@ def released(work):
     workers live on between tasks and would keep it."""
 
     def run(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # a C library without it
-            pass
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def filesystem(uri: str):
     """The pyarrow filesystem and the path there of a URI, for files that tasks read and write."""
     from pyarrow import fs

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.arrays import Lists
-from sightline.llm.common import broadcast_if_small, checkpointed, released, smallest_hashes, texts, unused
+from sightline.llm.common import broadcast_if_small, checkpointed, give_back, released, smallest_hashes, texts, unused
 
 #: Labelled rows that the machine is fitted on at most, those with the smallest hash of their id.
 SAMPLE_ROWS = 16_000
@@ -217,14 +217,29 @@ def best_terms(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray], float]:
     return alone, tried, bar
 
 
-def _bits(rows: Lists, terms: np.ndarray) -> np.ndarray:
-    """By 64 rows and term, which of the rows hold the term, as one number."""
-    out = np.zeros((-(-len(rows.n) // 64), len(terms)), np.uint64)
-    at = np.minimum(np.searchsorted(terms, rows.flat), len(terms) - 1)
-    held = terms[at] == rows.flat
-    row = np.repeat(np.arange(len(rows.n)), rows.n)[held]
-    np.bitwise_or.at(out, (row // 64, at[held]), np.uint64(1) << (row % 64).astype(np.uint64))
-    return out
+def _some_rows(rows: Lists, size: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, term) of all terms, of so many rows at once."""
+    for lo in range(0, len(rows.n), size):
+        n = rows.n[lo : lo + size]
+        first = int(rows.start[lo])
+        yield lo + np.repeat(np.arange(len(n)), n), rows.flat[first : first + int(n.sum())]
+
+
+def _bits(rows: Lists, y: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By 64 rows and term, which of the rows hold the term, as one number; of the rows with label 1, and of the others."""
+    toxic = y > 0
+    place = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)) - 1
+    out = tuple(np.zeros((-(-int(x.sum()) // 64), len(terms)), np.uint64) for x in (~toxic, toxic))
+    number = np.full(SLOTS, -1, np.int32)
+    number[terms] = np.arange(len(terms), dtype=np.int32)
+    for row, term in _some_rows(rows):
+        at = number[term]
+        row, at = row[at >= 0], at[at >= 0]
+        for k in (0, 1):
+            own = toxic[row] == bool(k)
+            where = place[row[own]]
+            np.bitwise_or.at(out[k], (where // 64, at[own]), np.uint64(1) << (where % 64).astype(np.uint64))
+    return out[1], out[0]
 
 
 def paired_terms(spark: SparkSession, rows: Lists, y: np.ndarray, tried: np.ndarray, bar: float, of_toxic: bool) -> np.ndarray:
@@ -237,7 +252,7 @@ def paired_terms(spark: SparkSession, rows: Lists, y: np.ndarray, tried: np.ndar
     if len(tried) < 2 or not 0 < y.sum() < len(y):
         return tried[:0]
     n, n1 = float(len(y)), float(y.sum())
-    shared = spark.sparkContext.broadcast(tuple(_bits(rows.take(np.flatnonzero(x)), tried) for x in (y > 0, y <= 0)))
+    shared = spark.sparkContext.broadcast(_bits(rows, y, tried))
 
     def counts(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
         out = np.zeros((hi - lo, x.shape[1] - lo), np.int32)
@@ -306,8 +321,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     used = np.unique(np.concatenate([alone, *(paired_terms(spark, rows, y, some, bar, of_toxic) for some, of_toxic in zip(tried, (True, False)))]))
     wanted[:] = False
     wanted[used] = True
-    row = np.repeat(np.arange(len(rows.n)), rows.n)[wanted[rows.flat]]
-    terms = np.split(np.sort(row * SLOTS + rows.flat[wanted[rows.flat]]) % SLOTS, np.cumsum(np.bincount(row, minlength=len(rows.n)))[:-1]) if len(rows.n) else []
+    terms: list[np.ndarray] = []
+    for row, term in _some_rows(rows):
+        row, term = row[wanted[term]], term[wanted[term]]
+        terms += [np.sort(x) for x in np.split(term, np.searchsorted(row, np.arange(len(terms) + 1, min(len(terms) + 256, len(rows.n)))))]
+    del sample, held, rows
+    give_back()
     return Machine.fit(terms, y, used)
 
 
