@@ -15,11 +15,12 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.arrays import Lists
-from sightline.llm.common import broadcast_if_small, checkpointed, give_back, released, smallest_hashes, texts, unused
+from sightline.llm.common import broadcast_if_small, checkpointed, filesystem, give_back, new_folder, released, smallest_hashes, texts, unused
 
 #: Labelled rows that the machine is fitted on at most, those with the smallest hash of their id.
 SAMPLE_ROWS = 16_000
@@ -252,7 +253,15 @@ def paired_terms(spark: SparkSession, rows: Lists, y: np.ndarray, tried: np.ndar
     if len(tried) < 2 or not 0 < y.sum() < len(y):
         return tried[:0]
     n, n1 = float(len(y)), float(y.sum())
-    shared = spark.sparkContext.broadcast(_bits(rows, y, tried))
+    # Through the shared folder, since a broadcast would stay in the driver's memory.
+    path = new_folder(spark, "toxicity") + ".bits"
+    fs, at = filesystem(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at) as out:
+        for x in _bits(rows, y, tried):
+            out.write(x.tobytes())
+    width = len(tried)
+    words = -(-int(n1) // 64)
 
     def counts(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
         out = np.zeros((hi - lo, x.shape[1] - lo), np.int32)
@@ -261,7 +270,10 @@ def paired_terms(spark: SparkSession, rows: Lists, y: np.ndarray, tried: np.ndar
         return out.astype(float)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = shared.value
+        fs, at = filesystem(path)
+        with fs.open_input_stream(at) as source:
+            both = np.frombuffer(source.read(), dtype=np.uint64).reshape(-1, width)
+        toxic, clean = both[:words], both[words:]
         alone = [np.bitwise_count(x).sum(axis=0, dtype=float) for x in (toxic, clean)]
         up, down = chi_square(n, n1, alone[0] + alone[1], alone[0])
         chi_alone = up / np.maximum(1.0, down)
@@ -279,16 +291,15 @@ def paired_terms(spark: SparkSession, rows: Lists, y: np.ndarray, tried: np.ndar
                 for k in range(0, len(first), 1 << 14):
                     i, j = lo + first[k : k + (1 << 14)], lo + second[k : k + (1 << 14)]
                     own = a[i - lo, j - lo]
-                    both = own + np.bitwise_count(clean[:, i] & clean[:, j]).sum(axis=0, dtype=float)
-                    up, down = chi_square(n, n1, both, own)
+                    all_rows = own + np.bitwise_count(clean[:, i] & clean[:, j]).sum(axis=0, dtype=float)
+                    up, down = chi_square(n, n1, all_rows, own)
                     chi = up / np.maximum(1.0, down)
-                    found = (both >= LEAST_ROWS) & (chi >= bar) & (chi >= chi_alone[i] + chi_alone[j] + LEAST_CHI)
+                    found = (all_rows >= LEAST_ROWS) & (chi >= bar) & (chi >= chi_alone[i] + chi_alone[j] + LEAST_CHI)
                     good[i[found]] = good[j[found]] = True
             yield pa.record_batch([pa.array(np.flatnonzero(good))], names=["at"])
 
     blocks = -(-len(tried) // PAIR_ROWS)
     found = spark.range(0, blocks, 1, min(blocks, 64)).select(F.col("id").alias("block")).mapInArrow(released(work), "at long").distinct().collect()
-    shared.destroy()
     return np.sort(tried[[r["at"] for r in found]]) if found else tried[:0]
 
 
@@ -315,7 +326,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
     few = rows.mapInArrow(released(work), "h long, toxic int, terms array<int>")
     # As arrays from end to end: the sample is a few megabytes, as lists it would be hundreds.
-    sample = few.orderBy("h").limit(sample_rows).toArrow()
+    path = new_folder(spark, "toxicity")
+    few.orderBy("h").limit(sample_rows).write.parquet(path)
+    fs, at = filesystem(path)
+    sample = pq.read_table(at, filesystem=fs).sort_by("h")
     y, held = sample.column("toxic").to_numpy().astype(float), sample.column("terms").combine_chunks()
     rows = Lists(held.flatten().to_numpy(), held.value_lengths().to_numpy())
     used = np.unique(np.concatenate([alone, *(paired_terms(spark, rows, y, some, bar, of_toxic) for some, of_toxic in zip(tried, (True, False)))]))
