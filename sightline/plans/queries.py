@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline import schema
 from sightline.functions import geometry, scalars
-from sightline.operators import bundle, calibrate, constraints, coverage, epipolar, filters, intrinsics, joint, playback, poses, quality, reconstruction, selection, timing, trajectories
+from sightline.operators import bundle, calibrate, constraints, coverage, epipolar, filters, intrinsics, joint, playback, poses, quality, reconstruction, selection, targets, timing, trajectories
 from sightline.sources import events, rig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -929,6 +929,73 @@ def default_lenses(spark, sf_dir):
     return intrinsics.default_lenses(intrinsics.without_lenses(cams_of(spark))).select("cam_id", "fx", "fy", "cx", "cy", "k1", "k3")
 
 
+# --- targets ---------------------------------------------------------------------------------------
+
+BOARDS_SQL = "b AS (SELECT p_partkey AS board_id, p_size % 5 + 2 AS c, p_size % 4 + 2 AS r FROM part), k AS (SELECT board_id, c, r, unnest(range(c * r)) AS a FROM b)"
+
+
+def _boards_of(spark, sf_dir, columns="p_size % 5 + 2", rows="p_size % 4 + 2") -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("board_id"), F.expr(columns).alias("columns"), F.expr(rows).alias("rows"), F.expr("'DICT_' || CASE p_partkey % 5 WHEN 0 THEN '4X4' WHEN 1 THEN '5X5' WHEN 2 THEN '6X6' WHEN 3 THEN '7X7' ELSE 'OWN' END").alias("family"))
+
+
+@query(f"AND {BOARDS_SQL} SELECT board_id, a AS keypoint_id_a, a + 1 AS keypoint_id_b FROM k WHERE a % c < c - 1 UNION ALL SELECT board_id, a, a + c FROM k WHERE a < c * (r - 1)")
+def chessboard_edges(spark, sf_dir):
+    return targets.chessboard_edges(_boards_of(spark, sf_dir))
+
+
+@query(f"AND {BOARDS_SQL} SELECT p.board_id, p.a AS keypoint_id_a, q.a AS keypoint_id_b FROM k p JOIN k q ON p.board_id = q.board_id AND p.a < q.a AND (p.a % p.c = q.a % q.c OR p.a // p.c = q.a // q.c)")
+def board_line_edges(spark, sf_dir):
+    k = _boards_of(spark, sf_dir).withColumn("keypoint_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("columns") * F.col("rows") - 1).cast("long"))))
+    return targets.line_edges(k.select("board_id", "keypoint_id", (0.05 * (F.col("keypoint_id") % F.col("columns"))).alias("obj_loc_x"), (0.05 * F.expr("keypoint_id div columns")).alias("obj_loc_y")))
+
+
+@query("""SELECT board_id, n_markers, CASE WHEN family <> 'OWN' AND n_markers <= 1000 THEN 'DICT_' || family || '_' || CASE WHEN n_markers <= 50 THEN 50 WHEN n_markers <= 100 THEN 100 WHEN n_markers <= 250 THEN 250 ELSE 1000 END END AS dictionary
+FROM (SELECT p_partkey AS board_id, (p_size + 2) * (p_size + 1) // 2 AS n_markers, CASE p_partkey % 5 WHEN 0 THEN '4X4' WHEN 1 THEN '5X5' WHEN 2 THEN '6X6' WHEN 3 THEN '7X7' ELSE 'OWN' END AS family FROM part)""")
+def fitting_pools(spark, sf_dir):
+    return targets.fitting_pools(_boards_of(spark, sf_dir, "p_size + 2", "p_size + 1"), targets.pools(spark))
+
+
+def _markers_of(spark, sf_dir) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("object_id"), (0.05 * (F.col("p_size") % 4)).alias("side"), (F.col("p_partkey") % 3 == 0).alias("static"))
+
+
+@query("""AND m AS (SELECT p_partkey AS id, p_size % 4 AS side, p_partkey % 3 = 0 AS static FROM part),
+l AS (SELECT l_partkey AS a, CASE WHEN l_linenumber < 7 THEN l_linenumber % 6 END AS ca, l_suppkey AS b, l_linenumber % 3 AS cb, l_quantity - 3 AS d, least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem),
+p AS (SELECT o_custkey AS a, 0 AS ca, o_orderkey AS b, 0 AS cb, o_orderkey % 3 AS t, least(o_custkey, o_orderkey) AS low, greatest(o_custkey, o_orderkey) AS high FROM orders),
+le AS (SELECT a AS id FROM l UNION ALL SELECT b FROM l), pe AS (SELECT a AS id FROM p UNION ALL SELECT b FROM p WHERE a <> b),
+e AS (SELECT CASE WHEN a < b OR (a = b AND ca < cb) THEN (a, ca, b, cb) ELSE (b, cb, a, ca) END AS e, low, high FROM l WHERE ca IS NOT NULL UNION ALL SELECT CASE WHEN a < b OR a = b THEN (a, -1, b, cb) ELSE (b, cb, a, -1) END, low, high FROM l WHERE ca IS NULL)
+SELECT DISTINCT * FROM (SELECT 'bad side' AS problem, id AS object_id, CAST(NULL AS BIGINT) AS other FROM m WHERE side = 0 UNION ALL SELECT 'beyond the dictionary', id, NULL FROM m WHERE id >= 1000 OR id < 0
+UNION ALL SELECT 'unknown marker in a link', id, NULL FROM le WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT 'unknown marker in a pair', id, NULL FROM pe WHERE id NOT IN (SELECT id FROM m)
+UNION ALL SELECT 'link of one marker', a, NULL FROM l WHERE a = b UNION ALL SELECT 'pair of one marker', a, NULL FROM p WHERE a = b
+UNION ALL SELECT 'bad corner of a link', low, high FROM l WHERE ca > 3 UNION ALL SELECT 'link with one corner', low, high FROM l WHERE ca IS NULL
+UNION ALL SELECT 'static and mobile link', low, high FROM l JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.static <> y.static
+UNION ALL SELECT 'static and mobile pair', low, high FROM p JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.static <> y.static
+UNION ALL SELECT 'unequal sides of a pair', low, high FROM p JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.side <> y.side
+UNION ALL SELECT 'bad distance', low, high FROM l WHERE d <= 0 UNION ALL SELECT 'repeated link', min(low), min(high) FROM e GROUP BY e HAVING count(*) > 1
+UNION ALL SELECT 'several mirror pairs', id, NULL FROM pe GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'link and pair', l.low, l.high FROM l JOIN p ON l.low = p.low AND l.high = p.high
+UNION ALL SELECT 'link to a remapped face', id, NULL FROM le WHERE id IN (SELECT b FROM p WHERE t = 0))""")
+def target_problems(spark, sf_dir):
+    line, orders = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders"))
+    links = line.select(
+        F.col("l_partkey").alias("object_id_a"), F.when(F.col("l_linenumber") < 7, (F.col("l_linenumber") % 6).cast("int")).alias("corner_a"), F.col("l_suppkey").alias("object_id_b"), (F.col("l_linenumber") % 3).cast("int").alias("corner_b"),
+        (F.col("l_quantity") - 3).cast("double").alias("distance"), F.lit(None).cast("double").alias("sigma"),
+    )
+    pairs = orders.select(F.col("o_custkey").alias("object_id_a"), F.lit(0).alias("corner_a"), F.col("o_orderkey").alias("object_id_b"), F.lit(0).alias("corner_b"), (0.01 * (F.col("o_orderkey") % 3)).alias("thickness"), F.lit(None).cast("double").alias("sigma"))
+    return targets.problems(_markers_of(spark, sf_dir), links, pairs, 1000)
+
+
+@query("""SELECT sync_index, cam_id, object_id, keypoint_id, CAST(s * CASE WHEN keypoint_id IN (0, 3) THEN -0.025 ELSE 0.025 END AS DOUBLE) + 0 AS obj_loc_x, CAST(s * CASE WHEN keypoint_id < 2 THEN 0.025 ELSE -0.025 END AS DOUBLE) + 0 AS obj_loc_y, CAST(CASE WHEN s IS NOT NULL THEN CASE WHEN object_id % 2 = 0 THEN 0.01 ELSE 0.0 END END AS DOUBLE) AS obj_loc_z
+FROM (SELECT sync_index, cam_id, sync_index % 300 AS object_id, keypoint_id FROM obs) LEFT JOIN (SELECT p_partkey AS object_id, p_size % 4 AS s FROM part) USING (object_id)""")
+def placed_detections(spark, sf_dir):
+    """Detections of many markers, some of which no target has; every second one is the back of a board."""
+    markers = _markers_of(spark, sf_dir)
+    back = markers.filter("object_id % 2 = 0").select("object_id", F.lit(0.01).alias("thickness"))
+    points = obs_of(spark, sf_dir).withColumn("object_id", F.col("sync_index") % 300)
+    return rounded(targets.placed(points, markers, back).select("sync_index", "cam_id", "object_id", "keypoint_id", "obj_loc_x", "obj_loc_y", "obj_loc_z"))
+
+
 # --- playback and detections -----------------------------------------------------------------------
 
 

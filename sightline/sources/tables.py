@@ -100,17 +100,20 @@ def read_cameras(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, CAMERAS)
 
 
-def _toml(value: Any) -> str:
+def toml_value(value: Any) -> str:
     if isinstance(value, bool):
         return str(value).lower()
     if isinstance(value, (list, tuple)):
-        return "[" + ", ".join(map(_toml, value)) + "]"
+        return "[" + ", ".join(map(toml_value, value)) + "]"
     return f'"{value}"' if isinstance(value, str) else repr(value)
 
 
 def write_toml(path: str, tables: Mapping[str, Mapping[str, Any]]) -> None:
     """Sections of plain values, nulls left out; the file is replaced at once."""
-    text = "\n".join(f"[{name}]\n" + "".join(f"{k} = {_toml(v)}\n" for k, v in t.items() if v is not None) for name, t in tables.items())
+    replace_file(path, "\n".join(f"[{name}]\n" + "".join(f"{k} = {toml_value(v)}\n" for k, v in t.items() if v is not None) for name, t in tables.items()))
+
+
+def replace_file(path: str, text: str) -> None:
     fd, temporary = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
     with os.fdopen(fd, "w") as f:
         f.write(text)
