@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline import schema
 from sightline.functions import geometry, scalars
 from sightline.operators import bundle, calibrate, constraints, coverage, epipolar, filters, intrinsics, joint, playback, poses, quality, reconstruction, selection, targets, timing, trajectories
-from sightline.sources import events, rig
+from sightline.sources import events, rig, scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -404,6 +404,19 @@ def wide_points(spark, sf_dir):
     return rounded(trajectories.wide(events.world(obs_of(spark, sf_dir)), NAMES))
 
 
+@query("""AND own AS (SELECT * FROM world WHERE object_id = (SELECT object_id FROM world GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)), k AS (SELECT keypoint_id, row_number() OVER (ORDER BY keypoint_id) - 1 AS place FROM (SELECT DISTINCT keypoint_id FROM own)),
+j AS (SELECT f.sync_index, k.keypoint_id, place, x_coord, y_coord, z_coord FROM (SELECT DISTINCT sync_index FROM own) f CROSS JOIN k LEFT JOIN own USING (sync_index, keypoint_id))
+SELECT sync_index, place, """ + ", ".join(
+    f"round(coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY keypoint_id ORDER BY sync_index ROWS UNBOUNDED PRECEDING), first_value({c} IGNORE NULLS) OVER (PARTITION BY keypoint_id ORDER BY sync_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 5) + 0 AS {c}"
+    for c in ("x_coord", "y_coord", "z_coord")
+) + " FROM j")
+def scene_frames(spark, sf_dir):
+    """The frames of a scene file, read back from their JSON."""
+    frames = scenes.scene_frames(events.world(obs_of(spark, sf_dir))).select("sync_index", F.from_json(F.to_json("joints"), "array<array<double>>").alias("joints"))
+    rows = frames.select("sync_index", F.posexplode("joints").alias("place", "p"))
+    return rows.select("sync_index", F.col("place").cast("long").alias("place"), *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("x_coord", "y_coord", "z_coord"))))
+
+
 @query("""AND own AS (SELECT * FROM world WHERE object_id = (SELECT object_id FROM world GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
 grid AS (SELECT object_id, keypoint_id, s AS sync_index FROM (SELECT DISTINCT object_id, keypoint_id FROM own), (SELECT unnest(range(min(sync_index), max(sync_index) + 1)) AS s FROM own)),
 j AS (SELECT grid.*, x_coord, y_coord, z_coord FROM grid LEFT JOIN own USING (sync_index, object_id, keypoint_id))
