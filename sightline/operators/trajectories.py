@@ -240,17 +240,34 @@ def wide(points: DataFrame, names: dict[tuple[int, int] | int, str]) -> DataFram
     return out
 
 
-def dense_trajectories(points: DataFrame) -> DataFrame:
-    """The most observed object on a dense grid of its frames, holes filled from before, then from after."""
+def dense_trajectories(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The most observed object on a dense grid of its frames, holes filled from before, then from after.
+
+    Frames are filled within blocks of ``block`` of them; what is known on either side of a block is one row each.
+    """
+    xyz = ("x_coord", "y_coord", "z_coord")
     moving = points.filter(F.col("sync_index") != STATIC_SYNC_INDEX)
     best = moving.groupBy("object_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "object_id").limit(1).select("object_id")
     own = moving.join(F.broadcast(best), "object_id")
+    at = F.floor(F.col("sync_index") / block)
     span = own.groupBy("object_id").agg(F.min("sync_index").alias("a"), F.max("sync_index").alias("z"))
-    grid = own.select("object_id", "keypoint_id").distinct().join(F.broadcast(span), "object_id").select("object_id", "keypoint_id", F.explode(F.sequence("a", "z")).alias("sync_index"))
-    full = grid.join(own.select("sync_index", *POINT, "x_coord", "y_coord", "z_coord"), ["sync_index", *POINT], "left")
-    back = Window.partitionBy(*POINT).orderBy("sync_index").rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy(*POINT).orderBy("sync_index").rowsBetween(0, Window.unboundedFollowing)
-    return full.select("sync_index", *POINT, *(F.coalesce(F.last(c, True).over(back), F.first(c, True).over(on)).alias(c) for c in ("x_coord", "y_coord", "z_coord")))
+    blocks = span.withColumn("_block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("z") / block))))
+    grid = own.select("object_id", "keypoint_id").distinct().join(F.broadcast(blocks), "object_id")
+    frames = F.sequence(F.greatest("a", F.col("_block") * block), F.least("z", F.col("_block") * block + block - 1))
+    full = grid.repartition(*POINT, "_block").select(*POINT, "_block", F.explode(frames).alias("sync_index")).join(own.select("sync_index", *POINT, *xyz), ["sync_index", *POINT], "left")
+    # Each coordinate by itself, since one alone may be missing.
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("sync_index"))
+    ends = own.withColumn("_block", at).groupBy(*POINT, "_block").agg(
+        *(F.max_by(c, known(c)).alias(f"_last_{c}") for c in xyz), *(F.min_by(c, known(c)).alias(f"_first_{c}") for c in xyz))
+    track = Window.partitionBy(*POINT)
+    before, after = (track.orderBy(o("_block")).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc, F.desc))
+    handed = grid.select(*POINT, "_block").join(ends, [*POINT, "_block"], "left").select(
+        *POINT, "_block", *(F.last(f"_last_{c}", True).over(before).alias(f"_before_{c}") for c in xyz), *(F.last(f"_first_{c}", True).over(after).alias(f"_after_{c}") for c in xyz))
+    rows = full.join(handed, [*POINT, "_block"])
+    # Backwards in descending order: a frame up to the end of the partition would be read again for each row.
+    inside = Window.partitionBy(*POINT, "_block")
+    back, on = (inside.orderBy(o("sync_index")).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc, F.desc))
+    return rows.select("sync_index", *POINT, *(F.coalesce(F.last(c, True).over(back), f"_before_{c}", F.last(c, True).over(on), f"_after_{c}").alias(c) for c in xyz))
 
 
 def rebased_times(points: DataFrame) -> DataFrame:
