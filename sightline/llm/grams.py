@@ -46,7 +46,7 @@ class Words:
         if len(start):
             self.joined[:-1] = self.doc[:-1] == self.doc[1:]
             if breaks:
-                piece = np.cumsum(kinds == 2, dtype=np.int64)[start]
+                piece = np.cumsum(kinds == 2, dtype=np.int32)[start]
                 self.joined[:-1] &= piece[:-1] == piece[1:]
 
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ KEPT_BITS = 48
 BITMAP = 32_768
 #: Rows of one language are ranked in so many groups before they are ranked together.
 GROUPS = 64
+#: Phrases that are made at once.
+SLICE = 65_536
 
 
 class Sequences:
@@ -128,17 +131,20 @@ def counted(docs: DataFrame, max_words: int = 4, least: int = 30) -> DataFrame:
         schema = pa.schema([("lang", pa.binary()), ("words", pa.int32()), ("phrase", pa.binary()), ("m", pa.int64())])
         for rows in sections(batches):
             found = Sequences(rows["text"], rows["lang"])
-            names, ids, languages = found.words.names.to_pylist(), found.words.ids.tolist(), found.languages
+            names, ids, languages = found.words.names, found.words.ids, pa.array(found.languages, pa.binary())
             totals = np.bincount(found.language, minlength=len(languages))
-            yield pa.record_batch([pa.array(languages, pa.binary()), pa.array([0] * len(languages), pa.int32()), pa.array([b""] * len(languages), pa.binary()), pa.array(totals)], schema=schema)
+            yield pa.record_batch([languages, pa.array([0] * len(languages), pa.int32()), pa.array([b""] * len(languages), pa.binary()), pa.array(totals)], schema=schema)
             for n in range(1, max_words + 1):
                 if n > 1:
                     found.grow()
                 if n < max_words:  # most of the longest ones whose parts are frequent are so, too
                     found.keep(bits[n - 1].value)
-                phrases = [b" ".join([names[i] for i in ids[a : a + n]]) for a in found.first.tolist()]
-                own = [languages[x] for x in found.language[found.first].tolist()]
-                yield pa.record_batch([pa.array(own, pa.binary()), pa.array([n] * len(own), pa.int32()), pa.array(phrases, pa.binary()), pa.array(found.count)], schema=schema)
+                # A slice at a time, as arrays: lists of words and phrases would take most of a task's memory.
+                for lo in range(0, len(found.first), SLICE):
+                    first = found.first[lo : lo + SLICE]
+                    phrases = pc.binary_join_element_wise(*(names.take(pa.array(ids[first + i])) for i in range(n)), pa.scalar(b" ", names.type)).cast(pa.binary())
+                    own = languages.take(pa.array(found.language[first]))
+                    yield pa.record_batch([own, pa.array(np.full(len(first), n, np.int32)), phrases, pa.array(found.count[lo : lo + SLICE])], schema=schema)
 
     rows = own.mapInArrow(released(work), "lang binary, words int, phrase binary, m long")
     sums = rows.groupBy("lang", "words", "phrase").agg(F.sum("m").alias("f")).filter((F.col("words") == 0) | (F.col("f") >= least))
