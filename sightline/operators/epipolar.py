@@ -21,6 +21,8 @@ INLIER_PIXELS, LEAST_MATCHES, LEAST_RESECTION, SCAFFOLDS = 3.0, 8, 50, 12
 CONDITIONING_FLOOR = 0.5
 #: Hypotheses for each pair or camera, drawn from so many of its matches; all matches vote.
 HYPOTHESES, DRAWN_FROM = 500, 1024
+#: Votes, hypotheses by matches, that a task holds at once.
+CELLS = 1 << 17
 
 
 def essential_of(rows: np.ndarray) -> np.ndarray:
@@ -50,6 +52,31 @@ def sampson(e: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.abs(off) / np.sqrt(np.maximum((line[..., :2] ** 2).sum(-1) + (back[..., :2] ** 2).sum(-1), 1e-300))
 
 
+def agreeing(e: np.ndarray, m: np.ndarray, gate: float) -> np.ndarray:
+    """How many matches lie within ``gate`` of the epipolar lines of each matrix: votes by ``sampson``, as products of matrices."""
+    p, q = np.column_stack([m[:, :2], np.ones(len(m))]), np.column_stack([m[:, 2:], np.ones(len(m))])
+    pairs = lambda x, y: (x[:, :, None] * y[:, None, :]).reshape(len(x), 9)
+    off, length = pairs(q, p), np.column_stack([pairs(p, p), pairs(q, q)])
+    line, back = np.einsum("hki,hkj->hij", e[:, :2], e[:, :2]), np.einsum("hik,hjk->hij", e[:, :, :2], e[:, :, :2])
+    e, lengths = e.reshape(-1, 9).T, gate**2 * np.column_stack([line.reshape(-1, 9), back.reshape(-1, 9)]).T
+    out, step = np.zeros(e.shape[1]), max(1, CELLS // e.shape[1])
+    for lo in range(0, len(m), step):
+        v = off[lo : lo + step] @ e
+        out += (np.multiply(v, v, out=v) <= length[lo : lo + step] @ lengths).sum(axis=0)
+    return out
+
+
+def before_both(m: np.ndarray, r: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether the lines of sight of matches are nearest to each other before both cameras, and not parallel."""
+    p, q = np.column_stack([m[:, :2], np.ones(len(m))]), np.column_stack([m[:, 2:], np.ones(len(m))])
+    d = p @ r.T
+    dd, qq, dq, dt, qt = (d * d).sum(1), (q * q).sum(1), (d * q).sum(1), d @ t, q @ t
+    det = dd * qq - dq * dq
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = (qt * dq - dt * qq) / det
+        return (det > 1e-24 * dd * qq) & (a > 0) & (a * dq + qt > 0)
+
+
 def motions(e: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """The four rotations and directions that an essential matrix allows."""
     u, _, vt = np.linalg.svd(e)
@@ -163,7 +190,7 @@ def pair_poses(found: DataFrame, focal: dict[int, float]) -> dict[tuple[int, int
             if key not in candidates:
                 return None
             out = np.zeros(width)
-            out[: len(candidates[key])] = (sampson(candidates[key], m) <= gate(key)).sum(axis=1)
+            out[: len(candidates[key])] = agreeing(candidates[key], m, gate(key))
             return out
 
         return {k: int(v[: len(candidates[k])].argmax()) for k, v in _by_key(found, _PAIR, _MATCH, votes, width).items()}
@@ -195,7 +222,7 @@ def pair_poses(found: DataFrame, focal: dict[int, float]) -> dict[tuple[int, int
         if key not in won:
             return None
         m = m[sampson(won[key][None], m)[0] <= gate(key)]
-        return [len(m), *(intersect(m, r, t)[1].sum() for r, t in motions(won[key]))]
+        return [len(m), *(before_both(m, r, t).sum() for r, t in motions(won[key]))]
 
     out = {}
     for key, s in _by_key(found, _PAIR, _MATCH, sides, 5).items():
@@ -231,6 +258,21 @@ def _off(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(c[..., 2] > 1e-9, d, np.inf)
 
 
+def _close(p: np.ndarray, x: np.ndarray, gate: float) -> np.ndarray:
+    """How many of (X, Y, Z, x, y) each pose (h, 3, 4) puts within ``gate``: votes by ``_off``, as products of matrices."""
+    at, rows = np.column_stack([x[:, :3], np.ones(len(x))]), [np.ascontiguousarray(p[:, k].T) for k in range(3)]
+    out, step = np.zeros(len(p)), max(1, CELLS // len(p))
+    for lo in range(0, len(x), step):
+        own = at[lo : lo + step]
+        a, b, z = (own @ r for r in rows)
+        a -= x[lo : lo + step, 3:4] * z
+        b -= x[lo : lo + step, 4:5] * z
+        a *= a
+        a += np.multiply(b, b, out=b)
+        out += ((z > 1e-9) & (a <= np.multiply(z, z, out=b) * gate**2)).sum(axis=0)
+    return out
+
+
 @dataclass(frozen=True)
 class Rig:
     """(rotation, translation) of each camera before the anchor, and how its scaffold fared."""
@@ -290,10 +332,14 @@ def _clouds(found: DataFrame, pairs: dict[tuple[int, int], PairPose], gate: dict
         import pyarrow as pa
 
         for batch in batches:
-            keys = list(zip(batch.column("cam_a").to_pylist(), batch.column("cam_b").to_pylist()))
-            m = np.column_stack([batch.column(c).to_numpy() for c in _MATCH]) if keys else np.zeros((0, 4))
-            for key in {*keys} & pairs.keys():
-                at = np.array([k == key for k in keys])
+            if not batch.num_rows:
+                continue
+            a, b = (batch.column(c).to_numpy() for c in _PAIR)
+            m = np.column_stack([batch.column(c).to_numpy() for c in _MATCH])
+            for key in pairs:
+                at = (a == key[0]) & (b == key[1])
+                if not at.any():
+                    continue
                 e = _cross(pairs[key].t) @ pairs[key].r
                 own = np.flatnonzero(at)[sampson(e[None], m[at])[0] <= gate[key]]
                 x, good = intersect(m[own], pairs[key].r, pairs[key].t)
@@ -319,7 +365,7 @@ def _resections(third: DataFrame, focal: dict[int, float]) -> tuple[dict[tuple,
         if key not in drawn:
             return None
         out = np.zeros(HYPOTHESES)
-        out[: len(drawn[key])] = (_off(drawn[key], x) <= gate(key)).sum(axis=1)
+        out[: len(drawn[key])] = _close(drawn[key], x, gate(key))
         return out
 
     poses = {k: drawn[k][int(v[: len(drawn[k])].argmax())] for k, v in _by_key(third, by, fields, votes, HYPOTHESES).items() if v.max() >= 6}
@@ -350,11 +396,13 @@ def _resections(third: DataFrame, focal: dict[int, float]) -> tuple[dict[tuple,
         import pyarrow as pa
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
-            x = np.column_stack([batch.column(c).to_numpy() for c in fields]) if keys else np.zeros((0, 5))
-            off = np.full(len(keys), np.inf)
-            for key in {*keys} & poses.keys():
-                at = np.array([k == key for k in keys])
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy() for c in by]
+            x = np.column_stack([batch.column(c).to_numpy() for c in fields])
+            off = np.full(len(x), np.inf)
+            for key in poses:
+                at = np.logical_and.reduce([k == v for k, v in zip(keys, key)])
                 off[at] = _off(poses[key][None], x[at])[0]
             yield pa.record_batch([*(batch.column(c) for c in by), pa.array(off)], names=[*by, "off"])
 

@@ -82,3 +82,16 @@ def test_flat_points_are_badly_conditioned(spark):
     good = epipolar.pair_poses(epipolar.matches(scene(spark, 5, noise=0.2), rig.cameras(spark, ROWS)), {c: 1301.37 for c in range(5)})
     assert min(p.conditioning for p in pairs.values()) < 0.9 < min(p.conditioning for p in good.values())
     assert epipolar.conditioning(np.diag([1.0, 1.0, 0.0])) == 1.0 and epipolar.conditioning(np.zeros((3, 3))) == 0.0
+
+
+def test_votes_are_those_of_the_distances():
+    """Products of matrices, in blocks smaller than the matches, count what the distances count."""
+    rng = np.random.default_rng(5)
+    e, m = epipolar._constrained(rng.normal(size=(500, 3, 3))), rng.normal(size=(1500, 4))
+    assert (epipolar.agreeing(e, m, 0.05) == (epipolar.sampson(e, m) <= 0.05).sum(axis=1)).all()
+    poses, x = rng.normal(size=(300, 3, 4)), rng.normal(size=(2000, 5))
+    assert (epipolar._close(poses, x, 0.3) == (epipolar._off(poses, x) <= 0.3).sum(axis=1)).all()
+    r, t, points = epipolar._turns(np.array([[0.1, 0.7, -0.2]]))[0], np.array([-0.8, 0.1, 0.3]), rng.normal(size=(500, 3)) * 4
+    far = points @ r.T + t
+    m = np.column_stack([points[:, :2] / points[:, 2:], far[:, :2] / far[:, 2:]])
+    assert (epipolar.before_both(m, r, t) == epipolar.intersect(m, r, t)[1]).all()
