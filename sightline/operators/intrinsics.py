@@ -14,6 +14,8 @@ from sightline.sources.checkpoints import use_checkpoints
 
 LENS = ("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3")
 VIEW = ("cam_id", "sync_index")
+#: Views whose equations a task holds at once.
+VIEWS = 512
 #: Damping at first, and its factor after a step that helped and one that didn't.
 DAMPING, EASE, BRAKE = 1e-3, 0.1, 10.0
 
@@ -84,13 +86,26 @@ def _equations(lens: np.ndarray, fisheye: bool, obj: np.ndarray, img: np.ndarray
     return np.stack(columns, axis=2), flat(project(lens, fisheye, c) - img)
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Inverses of symmetric matrices; pseudo-inverses, which take much longer, of those only that are nearly singular."""
+    try:
+        with np.errstate(all="ignore"):
+            out = np.linalg.inv(a)
+            bad = ~(np.abs(a @ out - np.eye(a.shape[-1])).max(axis=(1, 2)) < 1e-6)
+    except np.linalg.LinAlgError:
+        out, bad = np.empty_like(a), np.ones(len(a), bool)
+    if bad.any():
+        out[bad] = np.linalg.pinv(a[bad], hermitian=True)
+    return out
+
+
 def _reduced(jac: np.ndarray, res: np.ndarray, damping: float) -> tuple[np.ndarray, ...]:
     """The views' equations, and what is left of the lens's when the pose is solved for: (C^-1, B, b, S, s)."""
     full = np.einsum("gni,gnj->gij", jac, jac)
     right = np.einsum("gni,gn->gi", jac, res)
     pose = full[:, 9:, 9:]
     pose = pose + damping * np.einsum("gii->gi", pose)[:, :, None] * np.eye(6)
-    inverse = np.linalg.pinv(pose, hermitian=True)
+    inverse = _inverse(pose)
     cross = full[:, :9, 9:]
     left = full[:, :9, :9] - cross @ inverse @ cross.transpose(0, 2, 1)
     return inverse, cross, right, left, right[:, :9] - np.einsum("gij,gj->gi", cross @ inverse, right[:, 9:])
@@ -239,11 +254,22 @@ def _posed(views: DataFrame, spark, cameras: DataFrame, lens: dict[int, np.ndarr
     return own.mapInArrow(work, STATE)
 
 
+def _pose_arrays(batch) -> dict[str, np.ndarray]:
+    return {c: np.array(batch.column(c).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, k) for c, k in (("r", 9), ("t", 3), ("r2", 9), ("t2", 3))}
+
+
+def _slices(batches: Iterator) -> Iterator:
+    """Batches of VIEWS views at most, whose equations stay in the processor's cache."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, VIEWS):
+            yield batch.slice(lo, VIEWS)
+
+
 def _batches(batch, live: set[int], accepted: set[int]):
     """(camera, places, board, image, rotations, translations) of a batch's views by camera and number of corners; the
     poses of the last step where it was accepted."""
     cams = batch.column("cam_id").to_numpy()
-    arrays = {c: np.array(batch.column(c).to_pylist()) for c in ("r", "t", "r2", "t2")}
+    arrays = _pose_arrays(batch)
     for at, x in _by_size(batch, 5):
         for cam in np.unique(cams[at]).tolist():
             if cam in live:
@@ -259,7 +285,7 @@ def _reduce(state: DataFrame, lens: dict, fisheye: dict, damping: dict, live: se
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             for cam, at, obj, img, r, t in _batches(batch, live, accepted):
                 jac, res = _equations(lens[cam], fisheye[cam], obj, img, r, t)
                 _, _, _, left, right = _reduced(jac, res, damping[cam])
@@ -275,8 +301,8 @@ def _stepped(state: DataFrame, lens: dict, step: dict, fisheye: dict, damping: d
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            arrays = {c: np.array(batch.column(c).to_pylist()) for c in ("r", "t", "r2", "t2")}
+        for batch in _slices(batches):
+            arrays = _pose_arrays(batch)
             tried = batch.column("tried").to_numpy().copy()
             for cam, at, obj, img, r, t in _batches(batch, live, accepted):
                 jac, res = _equations(lens[cam], fisheye[cam], obj, img, r, t)
@@ -290,6 +316,6 @@ def _stepped(state: DataFrame, lens: dict, step: dict, fisheye: dict, damping: d
                 for name, y in (("r", r.reshape(-1, 9)), ("t", t), ("r2", r2.reshape(-1, 9)), ("t2", t2)):
                     arrays[name][at] = y
             own = [batch.column(c) for c in ("cam_id", "sync_index", "n", "v")]
-            yield pa.record_batch([*own, *(pa.array(list(arrays[c]), pa.list_(pa.float64())) for c in ("r", "t", "r2", "t2")), pa.array(tried)], names=batch.schema.names)
+            yield pa.record_batch([*own, *(pa.FixedSizeListArray.from_arrays(pa.array(arrays[c].reshape(-1)), arrays[c].shape[1]).cast(pa.list_(pa.float64())) for c in ("r", "t", "r2", "t2")), pa.array(tried)], names=batch.schema.names)
 
     return state.mapInArrow(work, STATE)

@@ -68,3 +68,16 @@ def test_default_lenses(spark):
         with pytest.raises(ValueError):
             intrinsics.default_lenses(bad)
     assert intrinsics.without_poses(cameras).filter("r0 is not null or t2 is not null").count() == 0
+
+
+def test_inverses_of_nearly_singular_matrices_are_pseudo_inverses():
+    import numpy as np
+
+    from sightline.operators.intrinsics import _inverse
+
+    rng = np.random.default_rng(2)
+    j = rng.normal(size=(6, 9, 6))
+    j[3, :, 5] = j[3, :, 4]
+    j[4] = 0.0
+    a = np.einsum("gni,gnj->gij", j, j)
+    assert np.allclose(_inverse(a), np.linalg.pinv(a, hermitian=True), rtol=1e-6, atol=1e-9)
