@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.operators.constraints import marker_corners
+from sightline.operators.constraints import CORNERS
 
 #: Families of marker dictionaries, and how many markers their pools hold.
 FAMILIES = ("DICT_4X4", "DICT_5X5", "DICT_6X6", "DICT_7X7")
@@ -115,11 +115,16 @@ def line_edges(corners: DataFrame) -> DataFrame:
 def placed(points: DataFrame, markers: DataFrame, back_faces: DataFrame | None = None) -> DataFrame:
     """``points`` with obj_loc_x/y/z from the markers' corners (replaced if there), null for unknown markers and corners.
     ``back_faces``: object_id, thickness of faces that lie so far behind the one that is placed."""
-    places = marker_corners(markers.dropDuplicates(["object_id"]))
+    # One row a marker is joined, not one a corner.
+    known = markers.dropDuplicates(["object_id"]).select("object_id", F.col("side").alias("_side"), F.lit(0.0).alias("_depth"))
     if back_faces is not None:
-        depth = back_faces.groupBy("object_id").agg(F.max("thickness").alias("_depth"))
-        places = places.join(depth, "object_id", "left").withColumn("obj_loc_z", F.coalesce("_depth", "obj_loc_z")).drop("_depth")
-    return points.drop("obj_loc_x", "obj_loc_y", "obj_loc_z").join(places, ["object_id", "keypoint_id"], "left")
+        depth = back_faces.groupBy("object_id").agg(F.max("thickness").alias("_back"))
+        known = known.join(depth, "object_id", "left").select("object_id", "_side", F.coalesce("_back", "_depth").alias("_depth"))
+    kept = [c for c in points.columns if c not in ("object_id", "keypoint_id", "obj_loc_x", "obj_loc_y", "obj_loc_z")]
+    corner = F.when(F.col("keypoint_id").between(0, len(CORNERS) - 1), F.col("keypoint_id").cast("int"))
+    on_side = (F.get(F.array(*(F.lit(c[k]) for c in CORNERS)), corner) * F.col("_side") for k in range(2))
+    return points.join(known, "object_id", "left").select(
+        "object_id", "keypoint_id", *kept, *(x.alias(f"obj_loc_{c}") for c, x in zip("xy", on_side)), F.when(corner.isNotNull(), F.col("_depth")).alias("obj_loc_z"))
 
 
 def unknown_markers(points: DataFrame, markers: DataFrame) -> DataFrame:

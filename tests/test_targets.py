@@ -100,3 +100,14 @@ def test_places_and_segments(spark, tmp_path):
     assert {tuple(r) for r in ops.unknown_markers(points, markers).collect()} == {(8, 1), (None, 1)}
     (tmp_path / "w.toml").write_text('[points]\nnose = 0\n[arm]\ncolor = "r"\npoints = ["shoulder", "elbow"]\n')
     assert [tuple(r) for r in targets.read_segments(spark, str(tmp_path / "w.toml")).collect()] == [("arm", "r", "shoulder", "elbow")]
+
+
+def test_placing_joins_a_row_a_marker(spark):
+    """Markers aren't multiplied by their corners before the join."""
+    points = spark.createDataFrame([(7, k, 1) for k in (-1, 0, 3, 4, None)] + [(8, 0, 1), (9, 1, 1)], "object_id long, keypoint_id long, n long")
+    markers = spark.createDataFrame([(7, 2.0, False), (9, None, False)], "object_id long, side double, static boolean")
+    found = ops.placed(points, markers)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    none = (None, None, None)
+    want = {(7, -1): none, (7, 0): (-1.0, 1.0, 0.0), (7, 3): (-1.0, -1.0, 0.0), (7, 4): none, (7, None): none, (8, 0): none, (9, 1): (None, None, 0.0)}
+    assert {(r["object_id"], r["keypoint_id"]): (r["obj_loc_x"], r["obj_loc_y"], r["obj_loc_z"]) for r in found.collect()} == want
