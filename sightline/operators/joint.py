@@ -29,6 +29,8 @@ SIZE = 9
 LEAST, GREATEST, NEAR = (0.5, -1.0, -2.0), (2.0, 1.0, 2.0), 0.01
 #: Numbers in the blocks of groups that a task holds at once.
 CELLS = 1 << 22
+#: Groups whose observations a task holds as arrays at once.
+GROUPS = 512
 #: Distances that are sent to all tasks at most; more are no configuration.
 MOST_DISTANCES = 1 << 16
 
@@ -176,6 +178,13 @@ class Terms:
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # groups' points, inverse, right side, coupling
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of GROUPS groups at most, so that what a task holds doesn't grow with its rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, GROUPS):
+            yield batch.slice(lo, GROUPS)
+
+
 def _terms(b: Groups, k: Cameras, damping: float, robust: float | None) -> Terms:
     n_cam = len(k.ids)
     pixel, jc, jp = _pixels(k, b.camera, b.x[b.seen_by])
@@ -231,7 +240,7 @@ def _system(rows: DataFrame, k: Cameras, distances, damping: float, robust: floa
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, distances = shared.value
         total = np.zeros(size * size + size + 5)
-        for batch in batches:
+        for batch in _slices(batches):
             if batch.num_rows:
                 found = _terms(Groups.read(batch, k.ids, distances), k, damping, robust)
                 full, right = np.zeros((size, size)), found.g.copy()
@@ -257,7 +266,7 @@ def _move(rows: DataFrame, k: Cameras, distances, step: np.ndarray, damping: flo
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, distances = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             if not batch.num_rows:
                 continue
             b = Groups.read(batch, k.ids, distances)

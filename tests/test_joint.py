@@ -144,3 +144,11 @@ def test_odd_tables(spark):
     twice = obs.unionByName(obs).unionByName(obs.withColumn("img_loc_x", F.lit(None).cast("double")))
     out = joint.adjust(twice.withColumn("unit", F.lit(5)), world.withColumn("members", F.lit(1)), cams, odd, rounds=2)
     assert out.world.count() == world.count() and out.rmse < 1e-6
+
+
+def test_batches_are_cut_to_a_few_groups():
+    import pyarrow as pa
+
+    whole = pa.record_batch([pa.array(range(1200))], names=["x"])
+    parts = list(joint._slices(iter([whole, whole.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= joint.GROUPS < 1200 and sum((p.column("x").to_pylist() for p in parts), []) == [*range(1200)]
