@@ -240,21 +240,30 @@ def wide(points: DataFrame, names: dict[tuple[int, int] | int, str]) -> DataFram
     return out
 
 
-def dense_trajectories(points: DataFrame, block: int = BLOCK) -> DataFrame:
+def dense_trajectories(points: DataFrame, block: int = BLOCK, seen_only: bool = False) -> DataFrame:
     """The most observed object on a dense grid of its frames, holes filled from before, then from after.
 
     Frames are filled within blocks of ``block`` of them; what is known on either side of a block is one row each.
+    With ``seen_only`` the grid has only frames in which the object was seen, filled with the same places: it then
+    grows with the rows, whatever numbers frames have.
     """
     xyz = ("x_coord", "y_coord", "z_coord")
     moving = points.filter(F.col("sync_index") != STATIC_SYNC_INDEX)
     best = moving.groupBy("object_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "object_id").limit(1).select("object_id")
     own = moving.join(F.broadcast(best), "object_id")
     at = F.floor(F.col("sync_index") / block)
-    span = own.groupBy("object_id").agg(F.min("sync_index").alias("a"), F.max("sync_index").alias("z"))
-    blocks = span.withColumn("_block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("z") / block))))
-    grid = own.select("object_id", "keypoint_id").distinct().join(F.broadcast(blocks), "object_id")
-    frames = F.sequence(F.greatest("a", F.col("_block") * block), F.least("z", F.col("_block") * block + block - 1))
-    full = grid.repartition(*POINT, "_block").select(*POINT, "_block", F.explode(frames).alias("sync_index")).join(own.select("sync_index", *POINT, *xyz), ["sync_index", *POINT], "left")
+    keypoints = own.select("object_id", "keypoint_id").distinct()
+    if seen_only:
+        frames = own.select("object_id", "sync_index", at.alias("_block")).distinct()
+        grid = frames.select("object_id", "_block").distinct().join(F.broadcast(keypoints), "object_id")
+        every = frames.join(F.broadcast(keypoints), "object_id").select(*POINT, "_block", "sync_index")
+    else:
+        span = own.groupBy("object_id").agg(F.min("sync_index").alias("a"), F.max("sync_index").alias("z"))
+        blocks = span.withColumn("_block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("z") / block))))
+        grid = keypoints.join(F.broadcast(blocks), "object_id")
+        frames = F.sequence(F.greatest("a", F.col("_block") * block), F.least("z", F.col("_block") * block + block - 1))
+        every = grid.repartition(*POINT, "_block").select(*POINT, "_block", F.explode(frames).alias("sync_index"))
+    full = every.join(own.select("sync_index", *POINT, *xyz), ["sync_index", *POINT], "left")
     # Each coordinate by itself, since one alone may be missing.
     known = lambda c: F.when(F.col(c).isNotNull(), F.col("sync_index"))
     ends = own.withColumn("_block", at).groupBy(*POINT, "_block").agg(

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from sightline.operators.filters import posed
 from sightline.operators.trajectories import dense_trajectories
-from sightline.schema import STATIC_SYNC_INDEX
 
 #: Digits of places in the file.
 DIGITS = 5
@@ -71,11 +70,10 @@ def scene_frames(points: DataFrame) -> DataFrame:
     order of ids, [x, y, z] to five digits. Gaps are held from before, then from after; static points and
     rows without a place are left out, keypoints that were never seen don't appear."""
     whole = points.dropna(subset=["x_coord", "y_coord", "z_coord"])
-    rows = dense_trajectories(whole)
     # Only frames in which the object was seen.
-    seen = whole.filter(F.col("sync_index") != STATIC_SYNC_INDEX).select("sync_index", "object_id").distinct()
+    rows = dense_trajectories(whole, seen_only=True)
     place = F.array(*(F.round(c, DIGITS) + F.lit(0.0) for c in ("x_coord", "y_coord", "z_coord")))
-    own = rows.join(seen, ["sync_index", "object_id"], "left_semi").groupBy("sync_index").agg(F.array_sort(F.collect_list(F.struct("keypoint_id", place.alias("p")))).alias("k"))
+    own = rows.groupBy("sync_index").agg(F.array_sort(F.collect_list(F.struct("keypoint_id", place.alias("p")))).alias("k"))
     return own.select("sync_index", F.col("k.keypoint_id").alias("keypoints"), F.col("k.p").alias("joints"))
 
 

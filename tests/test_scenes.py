@@ -57,3 +57,11 @@ def test_dense_trajectories_are_filled_across_blocks(spark):
         found = trajectories.dense_trajectories(points, block)
         assert {tuple(r[:3]): list(r[3:]) for r in found.collect()} == want
         assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_scene_frames_grow_with_rows_not_with_numbers_of_frames(spark):
+    """Numbers of frames far apart: only those seen are filled, over blocks without any frame."""
+    far = 10**14
+    rows = [(0, 5, 1, 1.0, 1.0, 1.0), (far, 5, 2, 2.0, 2.0, 2.0), (2 * far, 5, 1, 3.0, 3.0, 3.0), (2 * far + 1, 5, 2, None, 4.0, 4.0), (far + 1, 4, 1, 9.0, 9.0, 9.0)]
+    found = {r["sync_index"]: [list(p) for p in r["joints"]] for r in scenes.scene_frames(spark.createDataFrame(rows, WORLD)).collect()}
+    assert found == {0: [[1.0] * 3, [2.0] * 3], far: [[1.0] * 3, [2.0] * 3], 2 * far: [[3.0] * 3, [2.0] * 3]}
