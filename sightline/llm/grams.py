@@ -14,8 +14,9 @@ SECTION = 8_000_000
 #: Keys that a task holds before it sends their sums on, about.
 HELD = 4_000_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER = bytes(range(256)).lower()
+#: Bytes of a word that are hashed as arrays; a longer word is hashed by itself.
+SHORT = 64
 
 
 class Words:
@@ -31,17 +32,17 @@ class Words:
         kind[list(spaces)] = 1
         kind[list(breaks)] = 2
         # One byte that ends words lies between texts.
-        data = _LOWER[np.frombuffer(spaces[:1].join([*texts, b""]), dtype=np.uint8)]
-        kinds = kind[data]
+        raw = spaces[:1].join([*texts, b""])
+        kinds = np.frombuffer(raw.translate(kind.tobytes()), dtype=np.uint8)
         inside = np.concatenate(([False], kinds == 0, [False]))
         start, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
         offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
-        flat = np.ascontiguousarray(data[inside[1:-1]])
+        flat = raw.translate(_LOWER, spaces + breaks)
         found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
         self.names, self.ids = found.dictionary, found.indices.to_numpy().astype(np.int64)
-        self.hashes = np.array([xxhash.xxh64_intdigest(x) for x in self.names.to_pylist()], dtype=np.uint64)
-        first = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-        self.doc = np.searchsorted(first, start, side="right") - 1
+        self.hashes = word_hashes(self.names)
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, ends), prepend=0))
         self.joined = np.zeros(len(start), bool)
         if len(start):
             self.joined[:-1] = self.doc[:-1] == self.doc[1:]
@@ -50,6 +51,32 @@ class Words:
                 self.joined[:-1] &= piece[:-1] == piece[1:]
 
 
+def word_hashes(words: pa.LargeBinaryArray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes of all words at once."""
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    start, length = at[:-1], np.diff(at)
+    found = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    left = np.flatnonzero((length > 0) & (length <= SHORT))
+    if len(left):
+        data = np.concatenate((np.frombuffer(words.buffers()[2], np.uint8), np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        for done in range(0, SHORT, 8):
+            more = length[left] - done
+            beyond = (8 * (8 - np.minimum(more, 8))).astype(np.uint64)
+            found[left] = _scrambled(found[left] ^ (eight[start[left] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> beyond)))
+            left = left[more > 8]
+    for i in np.flatnonzero(length > SHORT).tolist():
+        found[i] = xxhash.xxh64_intdigest(words[i].as_py())
+    return found
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number as another one, all different."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
+
+
 def sections(batches: Iterable[pa.RecordBatch], size: int | None = None) -> Iterator[dict[str, list]]:
     """The rows of batches with a binary column ``text``, as columns, in parts of about ``size`` bytes."""
     size = size or SECTION
@@ -75,13 +102,50 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in ascending order, the place of each in ``keys``); equal keys in any order.
+
+    Where key and place fit into 63 bits together, they are sorted as one number, several times as fast as by argsort.
+    Halves of 32 bits are drawn together for that; -1 may stand for no key.
+    """
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    bits, most = len(keys).bit_length(), int(keys.max())
+    if int(keys.min()) >= -1 and most < (1 << 63) - 1:
+        packed = keys.astype(np.int64) + 1
+        if (most + 1).bit_length() + bits > 63:
+            low = packed & 0xFFFFFFFF
+            packed >>= 32
+            width = int(low.max()) + 1
+            if ((int(packed.max()) + 1) * width).bit_length() + bits > 63:
+                packed = None
+            else:
+                packed = packed * width + low
+        if packed is not None:
+            packed = (packed << bits) | np.arange(len(keys))
+            packed.sort()
+            at = packed & ((1 << bits) - 1)
+            return keys[at], at
+    at = np.argsort(keys)
+    return keys[at], at
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in ascending order, which of them each key is, one place of each, how often each occurs)."""
+    keys, at = ordered(keys)
+    new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+    first = np.flatnonzero(new)
+    which = np.empty(len(keys), np.int64)
+    which[at] = np.cumsum(new) - 1
+    return keys[first], which, at[first], np.diff(first, append=len(keys))
+
+
 def sums_by_key(keys: np.ndarray, *values: np.ndarray, carried: int = 0) -> tuple[np.ndarray, ...]:
     """(distinct keys in ascending order, sums of each column by key); the last ``carried`` columns
     follow from the key and stay as they are."""
     if not len(keys):
         return keys, *(v.astype(np.int64) for v in values)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    keys, order = ordered(keys)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     summing = len(values) - carried
     return keys[first], *(np.add.reduceat(v[order].astype(np.int64), first) for v in values[:summing]), *(v[order[first]] for v in values[summing:])

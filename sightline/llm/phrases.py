@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import checkpointed, released, stored
-from sightline.llm.grams import Words, mixed, sections, summed
+from sightline.llm.grams import Words, mixed, numbered, sections, summed
 
 #: What separates words inside a piece, and what ends a piece.
 SPACES, BREAKS = b" \t", b".,;:!?\x0a\x0b\x0c\x0d"
@@ -58,7 +58,7 @@ class Sequences:
 
     def _number(self, start: np.ndarray, key: np.ndarray) -> None:
         self.start = start
-        _, at, self.ids, self.count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        _, self.ids, at, self.count = numbered(key)
         self.first = start[at]
 
     def keep(self, bits: np.ndarray) -> None:

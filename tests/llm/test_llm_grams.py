@@ -197,3 +197,24 @@ def test_hot_contexts_are_split(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(model.seen[2].hot) < 70 and max(model.seen[2].sizes) < model.seen[2].size / 4
     check_scores([(r[0], r[1]) for r in rows], got, 2)
+
+
+def test_keys_are_numbered_as_numpy_does():
+    """Keys that fit into one number with their place, whose halves fit, and that don't; -1 is a key."""
+    rng = np.random.default_rng(5)
+    for keys in (
+        rng.integers(-1, 9, 500), rng.integers(0, 1 << 40, 500).astype(np.uint64), rng.integers(-1, 99, 500) << 32 | rng.integers(0, 99, 500), rng.integers(-(1 << 62), 1 << 62, 500),
+        rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2), np.array([(1 << 63) - 1, -1, 0, -1]), np.zeros(0, np.int64),
+    ):
+        want, first, which, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        got = grams.numbered(keys)
+        assert np.array_equal(got[0], want) and np.array_equal(got[1], which) and np.array_equal(got[3], count)
+        assert np.array_equal(keys[got[2]], want)
+
+
+def test_words_have_different_hashes_at_every_length():
+    words = [b"a" * n for n in range(1, 200)] + [b"a" * n + b"\0" for n in range(200)] + [bytes([i, j]) for i in range(50) for j in range(50)]
+    words = pa.array(sorted(set(words)), pa.large_binary())
+    found = grams.word_hashes(words)
+    assert len(np.unique(found)) == len(words)
+    assert np.array_equal(grams.word_hashes(words.slice(7)), found[7:])
