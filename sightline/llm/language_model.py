@@ -18,16 +18,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.common import filesystem, new_folder, parallelism, released
-from sightline.llm.grams import Words, mixed, sections, sums_by_key, summed
+from sightline.llm.grams import Words, mixed, numbered, sections, summed, sums_by_key, word_hashes
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: The end of a text as a token; no word holds white space.
-END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
+END = word_hashes(pa.array([b"\n"], pa.large_binary()))[0]
 #: Numbers below this can be the first part of a key.
 LARGEST = 1 << 31
 
@@ -99,7 +98,8 @@ class Lookup:
         place = np.full(len(keys), -1, np.int64)
         values = [np.zeros(len(keys), np.int64) for _ in range(self.table.columns if with_values else 0)]
         part = self.table.part_of(keys)
-        order = np.argsort(part, kind="stable")
+        # Places ascend within a part, by a radix sort where 16 bits do.
+        order = np.argsort(part.astype(np.int16) if self.table.parts < 1 << 15 else part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(self.table.parts + 1))
         for p in np.unique(part).tolist():
             if not self.table.sizes[p]:
@@ -258,7 +258,7 @@ class Reader:
             context[begin] = self.grams[n - 1].table.size  # the beginning of a text, as if it were one more n-gram
             out[n] = np.where((context >= 0) & (ids >= 0), context << 32 | np.maximum(ids, 0), -1)
             if n < order:
-                keys, back = np.unique(out[n], return_inverse=True)
+                keys, back, *_ = numbered(out[n])
                 number = self.grams[n].find(keys, with_values=False)[0][back]
         return out
 
@@ -267,23 +267,23 @@ class Reader:
         m = self.model
         if not m.tokens:
             return np.zeros(len(ids))
-        keys, back = np.unique(ids, return_inverse=True)
+        keys, back, *_ = numbered(ids)
         count = self.seen[1].find(keys)[1][0][back]
         p = self._share(count, m.discounts[1], [np.float64(x) for x in m.whole], np.full(len(ids), 1 / (m.words + 1)))
         number = ids
         for n, found in self.keys(ids, begin, m.order).items():
-            keys, back = np.unique(found, return_inverse=True)
+            keys, back, *_ = numbered(found)
             count = self.seen[n].find(keys)[1][0][back]
             context = np.empty(len(ids), np.int64)
             context[1:] = number[:-1]
             context[begin] = self.grams[n - 1].table.size
-            keys, back = np.unique(context, return_inverse=True)
+            keys, back, *_ = numbered(context)
             at, values = self.contexts[n].find(keys)
             known = (at >= 0)[back]
             whole = [v[back][known].astype(np.float64) for v in values]
             p[known] = self._share(count[known], m.discounts[n], whole, p[known])
             if n < m.order:
-                keys, back = np.unique(found, return_inverse=True)
+                keys, back, *_ = numbered(found)
                 number = self.grams[n].find(keys, with_values=False)[0][back]
         return np.log10(p)
 
@@ -345,7 +345,7 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
             def of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
                 ids, _, _, begin = reader.tokens(texts)
                 found = reader.keys(ids, begin, n)
-                keys, at, m = np.unique(found[n], return_index=True, return_counts=True)
+                keys, _, at, m = numbered(found[n])
                 return (keys, m) if n == 2 else (keys, m, found[n - 1][at])
 
             return of
