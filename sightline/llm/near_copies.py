@@ -1,9 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filter, bitmaps, exact check, components.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles: fingerprints in pigeonhole blocks, exact
+check, then a prefix filter, bitmaps and the exact check for what fingerprints leave open, components.
+
+Sets of shingles have SimHash fingerprints; those at most two bits apart are found as in simhash.near_links and checked
+with the texts. That links copies with few edits. What stands in one component from there on isn't compared again.
 
 Shingles have one order for all documents, rare ones first. Two sets whose similarity is at
 least s share one of their first n - ceil(s n) + 1 shingles, so that documents which meet
 nowhere there needn't be compared and no pair is missed. (Pigeonhole blocks of a 64-bit
-SimHash can't reach this: pairs at 0.8 differ in about 10 bits and often in 16.)
+SimHash alone can't reach this: pairs at 0.8 differ in about 10 bits and often in 16.)
 
 Sets that meet are first compared by bitmaps in which each shingle flips one bit: two
 bitmaps differ in at most as many bits as the sets do in shingles, so that no near pair is
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import broadcast_if_small, checkpointed, released, stored, texts
 from sightline.llm.graph import connected_components
-from sightline.llm.simhash import least_rows
+from sightline.llm.simhash import BITS, least_rows, majority, near_links
 
 #: Documents that the order of shingles is learnt from, about; any order gives the same result.
 SAMPLE_ROWS = 4_096
@@ -49,6 +53,11 @@ def _name(shingles: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _fingerprint(shingles: np.ndarray) -> int:
+    x = majority(shingles.view("<u8"))
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
 def prefix_length(n: int, least: Fraction) -> int:
     return n - -(-n * least.numerator // least.denominator) + 1 if n else 0
 
@@ -290,10 +299,20 @@ def _checked(edges: DataFrame, texts_of, least: Fraction, width: int, seed: int,
     return dealt_out.mapInArrow(released(work), "src long, dst long")
 
 
-def _links(met: DataFrame, maps: DataFrame, texts_of, least: Fraction, width: int, seed: int, pair_limit: int) -> DataFrame:
-    """(src, dst): links that connect all near sets. ``met`` has the entries (token, fp, n,
-    rest) of shingles that ``m`` > 1 sets hold in front, ``maps`` each set's n and bits;
-    ``texts_of`` joins a table that has fp with the text of each.
+def _fingerprint_edges(classes: DataFrame) -> DataFrame:
+    """(src, dst): edges between the sets (fp) whose fingerprints (sim) connect within two bits; equal ones lead to the smallest fp."""
+    heads = checkpointed(classes.groupBy("sim").agg(F.min("fp").alias("head"), F.count("*").alias("n")))
+    end = lambda a, b: heads.select(F.col("sim").alias(a), F.col("head").alias(b))
+    between = near_links(heads.select(F.col("sim").alias("fp"))).toDF("a", "b").join(end("a", "src"), "a").join(end("b", "dst"), "b")
+    equal = classes.select("fp", "sim").join(heads.filter("n > 1"), "sim").filter("fp <> head").select(F.col("fp").alias("src"), F.col("head").alias("dst"))
+    return checkpointed(between.select("src", "dst").unionByName(equal).distinct())
+
+
+def _links(met: DataFrame, maps: DataFrame, known: DataFrame, linked: DataFrame, texts_of, least: Fraction, width: int, seed: int, pair_limit: int) -> DataFrame:
+    """(src, dst): links that with those ``known`` connect all near sets. ``met`` has the entries
+    (token, fp, n, rest, and c, the component by ``known``) of shingles that ``m`` > 1 sets of
+    several components hold in front, ``maps`` each set's n and bits, ``linked`` the components
+    (node, component) of ``known``; ``texts_of`` joins a table that has fp with the text of each.
 
     Buckets of up to ``pair_limit`` classes give pairs, larger ones stars; a component of
     these is cut into blocks of about BLOCK classes. Each block is compared with itself. Once what is near has one component, the
@@ -301,11 +320,11 @@ def _links(met: DataFrame, maps: DataFrame, texts_of, least: Fraction, width: in
     of more than BLOCK classes in parts.
     """
     num, den = F.lit(least.numerator), F.lit(least.denominator)
-    small = met.filter(F.col("m") <= pair_limit).select("token", "fp", "n", "rest")
-    other = small.select("token", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"))
+    small = met.filter(F.col("m") <= pair_limit).select("token", "fp", "n", "rest", "c")
+    other = small.select("token", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("c").alias("c2"))
     # The first shingle that both share bounds how many they can share at most.
     pairs = checkpointed(
-        small.join(other, "token").filter("fp < fp2").filter(F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
+        small.join(other, "token").filter("fp < fp2 and c <> c2").filter(F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
         .groupBy("fp", "fp2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"), F.max(F.least("rest", "rest2") + 1).alias("most"))
         .filter(F.col("most") * den >= (F.col("n") + F.col("n2") - F.col("most")) * num).select("fp", "fp2")
     )
@@ -327,10 +346,13 @@ def _links(met: DataFrame, maps: DataFrame, texts_of, least: Fraction, width: in
     first = _first_edges(mapped(alone), least)
     # Each class is also tried with the first one of its most common bucket, which may be in another block.
     far = stars.groupBy("src").agg(F.max(F.struct("m", "dst")).alias("x")).select("src", "x.dst")
-    tried = checkpointed(first.unionByName(far).distinct())
+    # Edges inside a component of fingerprints say nothing new.
+    of = lambda a, b: linked.select(F.col("node").alias(a), F.col("component").alias(b))
+    tried = first.unionByName(far).distinct().join(of("src", "c"), "src", "left").join(of("dst", "c2"), "dst", "left")
+    tried = checkpointed(tried.filter("coalesce(c, src) <> coalesce(c2, dst)").select("src", "dst"))
     good = checkpointed(_checked(tried, texts_of, least, width, seed))
     failed = tried.join(good, ["src", "dst"], "left_anti")
-    named = placed.join(connected_components(good).withColumnRenamed("node", "fp"), "fp", "left")
+    named = placed.join(connected_components(good.unionByName(known)).withColumnRenamed("node", "fp"), "fp", "left")
     named = checkpointed(named.select("fp", "block", F.coalesce("component", "fp").alias("component")))
 
     # What is still open: blocks with a failed edge, and pairs and buckets of several blocks and components.
@@ -340,15 +362,26 @@ def _links(met: DataFrame, maps: DataFrame, texts_of, least: Fraction, width: in
     pair_unit = F.xxhash64(F.lit("pair"), "fp")
     ends = crossing.select(pair_unit.alias("unit"), F.lit(0).alias("side"), "fp", "component").distinct().unionByName(crossing.select(pair_unit.alias("unit"), F.lit(1).alias("side"), F.col("fp2").alias("fp"), F.col("component2").alias("component")))
     held = large.select("token", "fp").join(named, "fp")
-    buckets = held.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("block").alias("b0"), F.max("block").alias("b1"))
-    buckets = buckets.filter("c0 <> c1 and b0 <> b1")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    met_in = held.join(buckets.select("token", parts.alias("k")), "token").withColumn("p", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    met_in = met_in.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    met_in = met_in.select(
-        F.xxhash64(F.lit("bucket"), "token", F.least("p", "q"), F.greatest("p", "q")).alias("unit"),
+    counts = held.groupBy("token", "component").agg(F.count("*").alias("n"), F.min("block").alias("b0"), F.max("block").alias("b1"))
+    top = F.max(F.struct("n", "component"))
+    buckets = counts.groupBy("token").agg(F.sum("n").alias("n"), top.alias("top"), F.count("*").alias("components"), F.min("b0").alias("b0"), F.max("b1").alias("b1"))
+    buckets = buckets.filter("components > 1 and b0 <> b1")
+    # The largest component needn't be compared with itself: a bucket of k parts and few others has about one row a class.
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    shares = buckets.select("token", F.col("top.component").alias("c"), parts(F.col("top.n")).alias("k"), parts(F.col("n") - F.col("top.n")).alias("l"), (F.col("n") <= BLOCK).alias("whole"))
+    inside = held.join(shares, "token").withColumn("own", F.col("component") == F.col("c"))
+    inside = inside.withColumn("p", F.pmod(F.xxhash64("fp"), F.when(F.col("own"), F.col("k")).otherwise(F.col("l"))).cast("int"))
+    unit = lambda *x: F.xxhash64(F.lit("bucket"), "token", *x)
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("q")
+    seen = inside.select("token", "fp", "component", "own", "p", "k", "l", "whole")
+    of_top = seen.filter("own and not whole").select("*", to("l")).select(unit(F.lit("top"), "p", "q").alias("unit"), F.lit(0).alias("side"), "fp", "component")
+    facing = seen.filter("not own and not whole").select("*", to("k")).select(unit(F.lit("top"), "q", "p").alias("unit"), F.lit(1).alias("side"), "fp", "component")
+    among = seen.filter("not own and not whole").select("*", to("l")).select(
+        unit(F.lit("rest"), F.least("p", "q"), F.greatest("p", "q")).alias("unit"),
         F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1).alias("side"), "fp", "component",
     )
+    few = seen.filter("whole").select(unit(F.lit("whole")).alias("unit"), F.lit(2).alias("side"), "fp", "component")
+    met_in = few.unionByName(of_top).unionByName(facing).unionByName(among)
     units = checkpointed(again.unionByName(ends).unionByName(met_in))
     if units.isEmpty():
         return good
@@ -378,20 +411,22 @@ def _components(docs: DataFrame, similarity: str, width: int, seed: int, pair_li
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles_of(t, width, seed) for t in batch.column("text").to_pylist()]
-            columns = pa.array(map(_name, found), pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(map(bitmap_of, found), pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), *columns], names=["doc_id", "h", "fp", "n", "bits"])
+            columns = pa.array(map(_name, found), pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(map(bitmap_of, found), pa.binary()), pa.array(map(_fingerprint, found), pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), *columns], names=["doc_id", "h", "fp", "n", "bits", "sim"])
 
-    own = stored(hashed.mapInArrow(released(names), "doc_id long, h long, fp long, n long, bits binary"))
+    own = stored(hashed.mapInArrow(released(names), "doc_id long, h long, fp long, n long, bits binary, sim long"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x")
-    classes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least"), first).select("fp", "least", F.col("x.doc_id").alias("doc_id"), F.col("x.h").alias("h")))
+    classes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sim").alias("sim"), first).select("fp", "least", "sim", F.col("x.doc_id").alias("doc_id"), F.col("x.h").alias("h")))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """``wanted`` with the text of the row that stands for each fp."""
-        keys = checkpointed(classes.drop("least").join(wanted.select("fp").distinct(), "fp"))
+        keys = checkpointed(classes.drop("least", "sim").join(wanted.select("fp").distinct(), "fp"))
         found = hashed.alias("d").join(broadcast_if_small(keys).alias("c"), same("d", "c")).select("c.fp", "d.text")
         return wanted.join(found.groupBy("fp").agg(F.first("text").alias("text")), "fp")
 
+    known = checkpointed(_checked(_fingerprint_edges(classes), texts_of, least, width, seed))
+    linked = checkpointed(connected_components(known))
     common = spark.sparkContext.broadcast(common_shingles(docs, width, seed))
     entries = _entries(hashed, common, least, width, seed).repartition("token").groupBy("token", "fp").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
     bucket = Window.partitionBy("token")
@@ -400,11 +435,15 @@ def _components(docs: DataFrame, similarity: str, width: int, seed: int, pair_li
     }).filter("m > 1"))
     # Shingles that the same sets hold, such as those of one passage, are one bucket: that of the first of them in the order of all.
     chosen = met.groupBy("m", "x", "y").agg(F.max(F.struct("r", "token")).alias("first")).select(F.col("first.token").alias("token"))
-    met = checkpointed(met.join(chosen, "token").select("token", "fp", "n", "rest", "m"))
+    met = met.join(chosen, "token").select("token", "fp", "n", "rest", "m").join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    met = checkpointed(met.select("token", "fp", "n", "rest", "m", F.coalesce("component", "fp").alias("c")))
+    # A bucket whose sets fingerprints have linked already has nothing to add.
+    mixed = met.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
+    met = checkpointed(met.join(mixed, "token"))
     meeting = classes.join(met.select("fp").distinct(), "fp").select(F.col("fp").alias("c_fp"), "doc_id", "h").alias("c")
     maps = own.alias("d").join(meeting, (F.col("d.fp") == F.col("c.c_fp")) & same("d", "c")).select("d.fp", "d.n", "d.bits").dropDuplicates(["fp"])
     maps = stored(maps)
-    links = checkpointed(_links(met, maps, texts_of, least, width, seed, pair_limit))
+    links = checkpointed(known.unionByName(_links(met, maps, known, linked, texts_of, least, width, seed, pair_limit)))
     member = connected_components(links).withColumnRenamed("node", "fp")
     linked = member.join(classes.select("fp", "least"), "fp")
     named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")

@@ -34,7 +34,14 @@ def fingerprint_of(text: str, width: int = 3, seed: int = 42) -> int:
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
     n = len(words) - width + 1
     hashes = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), dtype="<u8", count=n)
-    ones = np.zeros(BITS, dtype=np.int64)
+    return majority(hashes)
+
+
+def majority(hashes) -> int:
+    """The bits that are set in more than half of the hashes (an array of 64-bit numbers), unsigned; none of no hashes."""
+    import numpy as np
+
+    n, ones = len(hashes), np.zeros(BITS, dtype=np.int64)
     for k in range(0, n, 4096):
         part = hashes[k : k + 4096]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

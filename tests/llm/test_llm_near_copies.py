@@ -63,3 +63,16 @@ def test_stage_drops_edited_copies(spark, copies):
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in copies.items()], "doc_id long, text string, lang string, source string, n_chars long")
     rows = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(set(brute_components(copies).values()))
+
+
+def test_fingerprints_link_copies_with_few_edits(spark):
+    """Sets within two bits of SimHash are linked by it, equal and distant ones too only after the check of their texts."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    rows = [(k, " ".join([*base[:k], "edit", *base[k + 1 :]])) for k in range(0, 2000, 100)] + [(5001, " ".join(f"v{i}" for i in range(300)))]
+    classes = [(i, near_copies._name(s), near_copies._fingerprint(s)) for i, s in ((i, near_copies.shingles_of(t)) for i, t in rows)]
+    near = {frozenset((a, b)) for _, a, x in classes for _, b, y in classes if a != b and ((x ^ y) & (1 << 64) - 1).bit_count() <= 2}
+    edges = near_copies._fingerprint_edges(spark.createDataFrame(classes, "id long, fp long, sim long")).collect()
+    assert near and edges and {x for e in edges for x in e} == {x for pair in near for x in pair}
+    found = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict.fromkeys(range(0, 2000, 100), 0) | {5001: 5001}
