@@ -57,6 +57,12 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, rows)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of a query when it ends, for the rest of the session: else
+    they lie on the executors' disks until the driver happens to collect its garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def released(work):
     """``work`` over a task's batches, after which freed memory goes back to the system: Python
     workers live on between tasks and would keep it."""

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import checkpointed, released, stored
+from sightline.llm.common import checkpointed, free_shuffles, released, stored
 from sightline.llm.grams import Words, mixed, numbered, sections, summed
 
 #: What separates words inside a piece, and what ends a piece.
@@ -123,6 +123,7 @@ def counted(docs: DataFrame, max_words: int = 4, least: int = 30) -> DataFrame:
     """lang, words, phrase, f: how often each sequence of up to ``max_words`` words occurs, of those that do so
     ``least`` times; with no words and an empty phrase: how many words the language has."""
     spark, own = docs.sparkSession, _texts(docs)
+    free_shuffles(spark)  # one length's shuffle needn't lie beside the next one's
     bits: list = []
     for _ in range(max_words - 1):
         bits.append(spark.sparkContext.broadcast(_frequent_bits(own, bits, least)))

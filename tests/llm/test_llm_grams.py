@@ -89,6 +89,16 @@ def test_phrases_empty(spark):
     assert phrases.collocations(spark.createDataFrame([(1, None, None, 0, 0, "")], DOCS)).collect() == []
 
 
+def test_phrases_leave_no_shuffle_of_a_length_behind(spark):
+    from pathlib import Path
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    assert phrases.counted(spark.createDataFrame(odd_docs(4), DOCS).repartition(3), least=20).count()
+    assert not files() - before
+
+
 def test_sums():
     parts = [(np.array([3, 1, 3]), np.array([1, 2, 4])), (np.array([2, 3]), np.array([5, 6])), (np.array([], np.int64), np.array([], np.int64))]
     got = Counter()
