@@ -11,41 +11,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm import near_copies, packing, quality, suffix_dedup, toxicity
-from sightline.llm.common import new_folder, small_batches, table
+from sightline.llm.common import free_shuffles, new_folder, small_batches, table
 from sightline.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _prepare(spark: SparkSession) -> None:
+    small_batches(spark)
+    free_shuffles(spark)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go. A null text is rejected; other cases are those of quality.keep_good."""
-    small_batches(spark)
+    _prepare(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go. Cases are those of toxicity.drop_toxic."""
-    small_batches(spark)
+    _prepare(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more.
     Cases are those of near_copies.drop_near_copies."""
-    small_batches(spark)
+    _prepare(spark)
     return near_copies.drop_near_copies(docs, similarity="0.8", width=5).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that are found twice go from every text; documents stay.
     Cases are those of suffix_dedup.without_repeats."""
-    small_batches(spark)
+    _prepare(spark)
     return suffix_dedup.without_repeats(docs, length=200).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens. Cases are those of packing.pack."""
-    small_batches(spark)
+    _prepare(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 

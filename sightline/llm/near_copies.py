@@ -6,7 +6,8 @@ with the texts. That links copies with few edits. What stands in one component f
 
 Shingles have one order for all documents, rare ones first. Two sets whose similarity is at
 least s share one of their first n - ceil(s n) + 1 shingles, so that documents which meet
-nowhere there needn't be compared and no pair is missed. (Pigeonhole blocks of a 64-bit
+nowhere there needn't be compared and no pair is missed. Those that meet are cut by size: the smaller of
+a near pair has at least s times as many shingles as the larger. (Pigeonhole blocks of a 64-bit
 SimHash alone can't reach this: pairs at 0.8 differ in about 10 bits and often in 16.)
 
 Sets that meet are first compared by bitmaps in which each shingle flips one bit: two
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import broadcast_if_small, checkpointed, released, stored, texts
+from sightline.llm.common import broadcast_if_small, checkpointed, free_shuffles, released, stored, texts
 from sightline.llm.graph import connected_components
 from sightline.llm.simhash import BITS, least_rows, majority, near_links
 
@@ -107,6 +108,15 @@ def _entries(own: DataFrame, common, least: Fraction, width: int, seed: int) ->
     return own.select("text").mapInArrow(released(work), "token long, fp long, n long, rest long")
 
 
+def _by_size(met: DataFrame, least: Fraction) -> DataFrame:
+    """``met`` (token, n and more) with buckets cut where sizes leap: sets below ``least`` of the next
+    larger one of their bucket are near to none that is larger. ``token`` names the part then."""
+    sizes = Window.partitionBy("token").orderBy("n")
+    leaps = met.withColumn("leap", (F.lag("n").over(sizes) * least.denominator < F.col("n") * least.numerator).cast("int"))
+    cut = leaps.withColumn("part", F.coalesce(F.sum("leap").over(sizes), F.lit(0)))
+    return cut.withColumn("token", F.xxhash64("token", "part")).select(*met.columns)
+
+
 def overlaps(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
     """How many members each set of ``p`` shares with each of ``q``."""
     if len(p) == len(q) == 1:
@@ -361,7 +371,7 @@ def _links(met: DataFrame, maps: DataFrame, known: DataFrame, linked: DataFrame,
     crossing = pairs.join(named, "fp").join(named.toDF("fp2", "block2", "component2"), "fp2").filter("block <> block2 and component <> component2")
     pair_unit = F.xxhash64(F.lit("pair"), "fp")
     ends = crossing.select(pair_unit.alias("unit"), F.lit(0).alias("side"), "fp", "component").distinct().unionByName(crossing.select(pair_unit.alias("unit"), F.lit(1).alias("side"), F.col("fp2").alias("fp"), F.col("component2").alias("component")))
-    held = large.select("token", "fp").join(named, "fp")
+    held = checkpointed(large.select("token", "fp").join(named, "fp"))
     counts = held.groupBy("token", "component").agg(F.count("*").alias("n"), F.min("block").alias("b0"), F.max("block").alias("b1"))
     top = F.max(F.struct("n", "component"))
     buckets = counts.groupBy("token").agg(F.sum("n").alias("n"), top.alias("top"), F.count("*").alias("components"), F.min("b0").alias("b0"), F.max("b1").alias("b1"))
@@ -373,7 +383,7 @@ def _links(met: DataFrame, maps: DataFrame, known: DataFrame, linked: DataFrame,
     inside = inside.withColumn("p", F.pmod(F.xxhash64("fp"), F.when(F.col("own"), F.col("k")).otherwise(F.col("l"))).cast("int"))
     unit = lambda *x: F.xxhash64(F.lit("bucket"), "token", *x)
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("q")
-    seen = inside.select("token", "fp", "component", "own", "p", "k", "l", "whole")
+    seen = checkpointed(inside.select("token", "fp", "component", "own", "p", "k", "l", "whole"))
     of_top = seen.filter("own and not whole").select("*", to("l")).select(unit(F.lit("top"), "p", "q").alias("unit"), F.lit(0).alias("side"), "fp", "component")
     facing = seen.filter("not own and not whole").select("*", to("k")).select(unit(F.lit("top"), "q", "p").alias("unit"), F.lit(1).alias("side"), "fp", "component")
     among = seen.filter("not own and not whole").select("*", to("l")).select(
@@ -406,6 +416,7 @@ def _links(met: DataFrame, maps: DataFrame, known: DataFrame, linked: DataFrame,
 def _components(docs: DataFrame, similarity: str, width: int, seed: int, pair_limit: int) -> DataFrame:
     """doc_id, h (hash of the text), fp (name of the set of shingles), component_id of every row."""
     spark, least = docs.sparkSession, Fraction(similarity)
+    free_shuffles(spark)
     hashed = texts(docs).withColumn("h", F.xxhash64("text"))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,10 +446,10 @@ def _components(docs: DataFrame, similarity: str, width: int, seed: int, pair_li
     }).filter("m > 1"))
     # Shingles that the same sets hold, such as those of one passage, are one bucket: that of the first of them in the order of all.
     chosen = met.groupBy("m", "x", "y").agg(F.max(F.struct("r", "token")).alias("first")).select(F.col("first.token").alias("token"))
-    met = met.join(chosen, "token").select("token", "fp", "n", "rest", "m").join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    met = checkpointed(met.select("token", "fp", "n", "rest", "m", F.coalesce("component", "fp").alias("c")))
+    met = met.join(chosen, "token").select("token", "fp", "n", "rest").join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    met = checkpointed(_by_size(met.select("token", "fp", "n", "rest", F.coalesce("component", "fp").alias("c")), least))
     # A bucket whose sets fingerprints have linked already has nothing to add.
-    mixed = met.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
+    mixed = met.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1").select("token", "m")
     met = checkpointed(met.join(mixed, "token"))
     meeting = classes.join(met.select("fp").distinct(), "fp").select(F.col("fp").alias("c_fp"), "doc_id", "h").alias("c")
     maps = own.alias("d").join(meeting, (F.col("d.fp") == F.col("c.c_fp")) & same("d", "c")).select("d.fp", "d.n", "d.bits").dropDuplicates(["fp"])

@@ -76,3 +76,42 @@ def test_fingerprints_link_copies_with_few_edits(spark):
     assert near and edges and {x for e in edges for x in e} == {x for pair in near for x in pair}
     found = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == dict.fromkeys(range(0, 2000, 100), 0) | {5001: 5001}
+
+
+def test_buckets_are_cut_where_sizes_leap(spark):
+    """No near pair is parted, and a bucket of sizes far apart gives a part for each of them."""
+    from fractions import Fraction
+
+    rows = [(1, k, n) for k, n in enumerate((5, 100, 80, 78, 63, 62, 400, 500, 500, 626))] + [(2, 20, 7)]
+    cut = {r["fp"]: r["token"] for r in near_copies._by_size(spark.createDataFrame(rows, "token long, fp long, n long"), Fraction("0.8")).collect()}
+    parts = sorted(sorted(n for _, k, n in rows if cut[k] == part) for part in set(cut.values()))
+    assert parts == [[5], [7], [62, 63, 78, 80, 100], [400, 500, 500], [626]]
+
+
+def test_no_join_multiplies_large_buckets(spark, monkeypatch):
+    """What large buckets hold is joined with its components once, for all the ways of comparing it."""
+    plans, own = [], near_copies.checkpointed
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return own(df)
+
+    monkeypatch.setattr(near_copies, "checkpointed", seen)
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(k, " ".join([f"w{rng.randrange(9000)}" for _ in range(60)] + common)) for k in range(30)]
+    found = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string"), pair_limit=2).collect()
+    assert len({r["component_id"] for r in found}) == 30
+    most = max(p.count("Join Inner, (fp") for p in plans)
+    assert most <= 4, most
+
+
+def test_shuffles_go_when_a_query_ends(spark):
+    from pathlib import Path
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    rows = [(k, f"{k} one two three four five six {k % 3}") for k in range(40)]
+    near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not files() - before
