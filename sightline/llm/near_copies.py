@@ -4,7 +4,8 @@ check, then a prefix filter, bitmaps and the exact check for what fingerprints l
 Sets of shingles have SimHash fingerprints; those at most two bits apart are found as in simhash.near_links and checked
 with the texts. That links copies with few edits. What stands in one component from there on isn't compared again.
 
-Shingles have one order for all documents, rare ones first. Two sets whose similarity is at
+Shingles have one order for all documents, rare ones first, by counts over all documents: what only some copies of a
+text were given comes before what all of them hold, so that copies that differ in more than a prefix don't meet. Two sets whose similarity is at
 least s share one of their first n - ceil(s n) + 1 shingles, so that documents which meet
 nowhere there needn't be compared and no pair is missed. Those that meet are cut by size: the smaller of
 a near pair has at least s times as many shingles as the larger. (Pigeonhole blocks of a 64-bit
@@ -30,8 +31,8 @@ from sightline.llm.common import broadcast_if_small, checkpointed, free_shuffles
 from sightline.llm.graph import connected_components
 from sightline.llm.simhash import BITS, least_rows, majority, near_links
 
-#: Documents that the order of shingles is learnt from, about; any order gives the same result.
-SAMPLE_ROWS = 4_096
+#: Slots in which shingles are counted, a power of two; any order of shingles gives the same result.
+SLOTS = 1 << 24
 #: Classes that are compared with each other at once; more are cut into blocks of this size.
 BLOCK = 4096
 
@@ -63,26 +64,55 @@ def prefix_length(n: int, least: Fraction) -> int:
     return n - -(-n * least.numerator // least.denominator) + 1 if n else 0
 
 
-def common_shingles(docs: DataFrame, width: int, seed: int, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, in ascending order; how many sampled documents hold each) of those in over a thousandth of a sample."""
+def shingle_counts(docs: DataFrame, width: int, seed: int) -> np.ndarray:
+    """About how many documents hold the shingles of each of SLOTS slots (the low bits), as a number from 0 to 255 that
+    rises with it. All documents are counted; one task tells up to 255 in a slot apart."""
+    part = 1 << 14
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.uint8)
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                yield pa.record_batch([pa.array(shingles_of(t, width, seed))], names=["s"])
+                slots = shingles_of(t, width, seed) & (SLOTS - 1)
+                counts[slots] = np.minimum(counts[slots], 254) + 1
+        for first in range(0, SLOTS // part, 64):
+            out = []
+            for k in range(first, min(first + 64, SLOTS // part)):
+                own = counts[k * part : (k + 1) * part]
+                if len(at := np.flatnonzero(own)):
+                    out.append((k, at.astype(np.uint16).tobytes(), own[at].tobytes()))
+            if out:
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["unit", "slots", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sums = None, np.zeros(part, np.int64)
+
+        def finish() -> pa.RecordBatch:
+            ranks = np.minimum(10 * np.log2(1 + sums), 255).astype(np.uint8)
+            return pa.record_batch([pa.array([unit], pa.int64()), pa.array([ranks.tobytes()], pa.binary())], names=["unit", "ranks"])
+
+        for batch in batches:
+            for u, slots, counts in zip(*(batch.column(c).to_pylist() for c in ("unit", "slots", "counts"))):
+                if u != unit:
+                    if unit is not None:
+                        yield finish()
+                    unit, sums = u, np.zeros(part, np.int64)
+                sums[np.frombuffer(slots, np.uint16)] += np.frombuffer(counts, np.uint8)
+        if unit is not None:
+            yield finish()
 
-    own = texts(docs)
-    part = max(1, own.count() // rows)
-    sample = own.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) == 0)
-    found = sample.mapInArrow(released(work), "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= max(4, rows // 1000)).toPandas().sort_values("s")
-    return found["s"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    counted = texts(docs).select("text").mapInArrow(released(count), "unit long, slots binary, counts binary")
+    ranks = np.zeros(SLOTS, np.uint8)
+    for unit, raw in counted.repartition("unit").sortWithinPartitions("unit").mapInArrow(released(total), "unit long, ranks binary").collect():
+        ranks[unit * part : (unit + 1) * part] = np.frombuffer(raw, np.uint8)
+    return ranks
 
 
-def _entries(own: DataFrame, common, least: Fraction, width: int, seed: int) -> DataFrame:
+def _entries(own: DataFrame, ranks, least: Fraction, width: int, seed: int) -> DataFrame:
     """(token, fp, n, rest): the shingles of each prefix and how many shingles follow."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, counts = common.value
+        rank = ranks.value
         seen: set[int] = set()
         for batch in batches:
             out: list[list] = [[], [], [], []]
@@ -95,10 +125,8 @@ def _entries(own: DataFrame, common, least: Fraction, width: int, seed: int) ->
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(name)
-                order = s
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    order = s[np.lexsort((s, np.where(hot[at] == s, counts[at], 0)))]
+                # A stable sort leaves shingles of one rank in their own order.
+                order = s[np.argsort(rank[s & (SLOTS - 1)], kind="stable")]
                 p = prefix_length(n, least)
                 for o, x in zip(out, (order[:p], np.full(p, name), np.full(p, n), n - 1 - np.arange(p))):
                     o.append(x)
@@ -438,8 +466,8 @@ def _components(docs: DataFrame, similarity: str, width: int, seed: int, pair_li
 
     known = checkpointed(_checked(_fingerprint_edges(classes), texts_of, least, width, seed))
     linked = checkpointed(connected_components(known))
-    common = spark.sparkContext.broadcast(common_shingles(docs, width, seed))
-    entries = _entries(hashed, common, least, width, seed).repartition("token").groupBy("token", "fp").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
+    ranks = spark.sparkContext.broadcast(shingle_counts(docs, width, seed))
+    entries = _entries(hashed, ranks, least, width, seed).repartition("token").groupBy("token", "fp").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
     bucket = Window.partitionBy("token")
     met = stored(entries.withColumns({
         "m": F.count("*").over(bucket), "x": F.bit_xor(F.xxhash64("fp")).over(bucket), "y": F.bit_xor(F.xxhash64("fp", F.lit(1))).over(bucket), "r": F.sum("rest").over(bucket),

@@ -115,3 +115,33 @@ def test_shuffles_go_when_a_query_ends(spark):
     rows = [(k, f"{k} one two three four five six {k % 3}") for k in range(40)]
     near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert not files() - before
+
+
+def test_copies_that_differ_in_more_than_a_prefix_do_not_meet(spark, monkeypatch):
+    """Texts with the same origin, each with many words of its own: what is theirs alone is rarer than what they share
+    and comes first, in small groups too, so that no bucket holds them."""
+    seen, own = [], near_copies._links
+
+    def links(met, *rest):
+        seen.append(met.count())
+        return own(met, *rest)
+
+    monkeypatch.setattr(near_copies, "_links", links)
+    rng, texts = random.Random(6), []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(200)]
+        texts += [" ".join(f"d{family}.{k}.{i}" if rng.random() < 0.15 else w for i, w in enumerate(base)) for k in range(3)]
+    texts += [texts[0] + " end", texts[5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.components(df).collect()}
+    assert found == brute_components(dict(enumerate(texts))) and found[36] == 0 and found[37] == 5
+    assert len(seen) == 1 and seen[0] < 36, seen
+
+
+def test_shingles_are_counted_over_all_documents(spark):
+    """Ranks follow the number of documents that hold a shingle, over several tasks, over 255 in one of them."""
+    held = {"common": 700, "frequent": 60, "rare": 3, "single": 1}
+    rows = [(k, " ".join(f"{w}{i}" for w, n in held.items() if k < n for i in range(5))) for k in range(700)]
+    ranks = near_copies.shingle_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 5, 42)
+    of = [int(ranks[near_copies.shingles_of(" ".join(f"{w}{i}" for i in range(5)))[0] & (near_copies.SLOTS - 1)]) for w in held]
+    assert of[0] > of[1] > of[2] > of[3] > 0 and of[1:] == [59, 20, 10] and (ranks > 0).sum() <= 16
